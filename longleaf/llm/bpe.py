@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longleaf.llm.common import map_arrow, text_blocks, texts, tokenizer_path
+from longleaf.session import ship
 
 #: The split pattern of byte-level BPE with white space as Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -279,6 +280,7 @@ def decode_bytes(ids: np.ndarray, table: list[bytes]) -> bytes:
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """df with out_col: the text's ids as binary, little-endian unsigned 32-bit."""
+    ship(df.sparkSession)
     path = tokenizer or tokenizer_path()
 
     @F.arrow_udf("binary")
@@ -290,6 +292,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", tokenize
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", tokenizer: str | None = None) -> DataFrame:
     """df with out_col: the text of binary ids (bytes that aren't UTF-8 are replaced); null ids give the empty text."""
+    ship(df.sparkSession)
     path = tokenizer or tokenizer_path()
 
     @F.arrow_udf("string")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longleaf.session import ship
+
 #: Tokenizer file used by the registered queries; every operator takes the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -80,6 +82,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, obje
 
     With whole=True the function gets the iterator of a partition's batches and yields such dicts.
     """
+    ship(df.sparkSession)
     spec = pa.schema([(k, arrow_type(v)) for k, v in schema.items()])
 
     def batch(cols: dict[str, object]) -> pa.RecordBatch:

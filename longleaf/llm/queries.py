@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from longleaf.llm import bpe
+from longleaf.llm import bpe, neardup, packing, sequences
 from longleaf.llm.common import read, small_batches
 
 
@@ -15,8 +15,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return sequences.pack_sequences(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences}
 
 
 def oracle_sql() -> dict[str, str]:
