@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from longleaf.llm import bpe, neardup, packing, sequences
+from longleaf.llm import bpe, linedup, neardup, packing, sequences, toxicity
 from longleaf.llm.common import read, small_batches
 
 
@@ -20,6 +21,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
@@ -30,8 +37,14 @@ def op9_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.pack_sequences(read(spark, sf_dir, "documents"))
 
 
+def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = linedup.drop_repeated_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences}
+    return {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup}
 
 
 def oracle_sql() -> dict[str, str]:
