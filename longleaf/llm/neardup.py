@@ -44,7 +44,7 @@ def prob_minhash(values: list[str], registers: int, width: int) -> tuple[np.ndar
     clock, arrival = np.zeros(len(h)), 0
     latest = np.full(len(values), np.inf)
     while len(h):
-        draw = mix(h + np.uint64(2 * arrival + 1) * np.uint64(0xA0761D6478BD642F))
+        draw = mix(h + np.uint64((2 * arrival + 1) * 0xA0761D6478BD642F % (1 << 64)))
         clock = clock - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         alive = clock < latest[doc]
         h, doc, rate, clock = h[alive], doc[alive], rate[alive], clock[alive]
@@ -82,8 +82,8 @@ def jaccard(left: list[str], right: list[str], width: int) -> np.ndarray:
     return out
 
 
-def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
-    """Every row's id with class_id (the smallest id of its class) and class_size (rows in it)."""
+def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, node, worded, comp) for every row: digest of its text, whether it has words, and its class."""
     tables = Tables(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.unhex(F.md5("text")))
@@ -152,8 +152,31 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         rows_of = rows_of.join(comps, "node", "left")
     else:
         rows_of = rows_of.withColumn("comp", F.lit(None).cast("binary"))
-    rows_of = rows_of.withColumn("comp", F.coalesce("comp", "node"))
-    worded = rows_of.where("worded")
+    return rows_of.withColumn("comp", F.coalesce("comp", "node"))
+
+
+def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
+    """Every row's id with class_id (the smallest id of its class) and class_size (rows in it)."""
+    every = classified(df, text_col, id_col, threshold, width, bands, rows)
+    worded = every.where("worded")
     classes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    alone = rows_of.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    alone = every.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return worded.join(classes, "comp").select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
+    """df without all but one document of each class: the one of the smallest id (nulls last) stays.
+
+    What goes is joined against df, so the join moves texts only if that list is too long to send
+    to every executor.  Rows equal in id and text are one document, of which one row stays.
+    """
+    every = classified(df, text_col, id_col, threshold, width, bands, rows).where("worded")
+    every = Tables(df.sparkSession).write(every.groupBy("comp", "node", F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).agg(F.count(F.lit(1)).alias("n")), "documents")
+    stays = every.groupBy("comp").agg(F.min(F.struct("null_id", "id", "node")).alias("best"))
+    judged = every.join(stays, "comp").withColumn("stays", F.struct("null_id", "id", "node") == F.col("best"))
+    drop = judged.where("not stays or n > 1").select(F.col("node").alias("_node"), F.col("null_id").alias("_null_id"), F.col("id").alias("_id"), F.col("stays").alias("_stays"))
+    keyed = df.withColumns({"_node": F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))), "_null_id": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
+    drop = Tables(df.sparkSession).write(drop, "drop")
+    keys = ["_node", "_null_id", "_id"]
+    repeated = keyed.join(drop.where("_stays").drop("_stays"), keys, "left_semi").dropDuplicates(keys)
+    return keyed.join(drop.drop("_stays"), keys, "left_anti").unionByName(repeated).select(df.columns)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from longleaf.llm.common import map_arrow, text_blocks, texts
 from longleaf.llm.hashing import mix
+from longleaf.session import ship
 
 WINDOW, STRIDE, STATE, WORD_DIM, CHAR_DIM, ATTEND, TRIGRAMS = 64, 48, 12, 8, 8, 8, 4096
 _LETTER = np.zeros(256, bool)
@@ -298,15 +299,30 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     return train([r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row (and the columns in keep)."""
-    keep = keep or []
-    types = dict(df.dtypes)
+def probabilities(values: list[str], model: Model) -> np.ndarray:
+    if not model.scale:
+        return np.zeros(len(values))
+    return _sigmoid(model.scale * (score_texts(values, model) - model.middle)).astype(np.float64)
+
+
+def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        logit = score_texts(texts(batch.column(2)), model)
-        s = _sigmoid(model.scale * (logit - model.middle)) if model.scale else np.zeros(len(logit))
-        return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": s.astype(np.float64), "predicted": (s >= 0.5).astype(np.int32)} | {k: batch.column(3 + i) for i, k in enumerate(keep)}
+        s = probabilities(texts(batch.column(2)), model)
+        return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
+
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")), run, {"doc_id": "long", "held_out": "boolean", "score": "double", "predicted": "int"})
+
+
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that score below 0.5."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(probabilities(texts(b.column(at)), model) < 0.5))
 
-    schema = {"doc_id": "long", "held_out": "boolean", "score": "double", "predicted": "int"} | {k: {"bigint": "long"}.get(types[k], types[k]) for k in keep}
-    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"), *keep), run, schema)
+    return df.mapInArrow(run, df.schema)
