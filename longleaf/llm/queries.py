@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longleaf.llm import bpe, linedup, neardup, packing, sequences, toxicity
+from longleaf.llm import ann, bpe, chat, linedup, neardup, packing, sequences, toxicity
 from longleaf.llm.common import read, small_batches
 
 
+def op1_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 8)  # a row is a pair of blocks
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.round_trip(read(spark, sf_dir, "documents"))
@@ -21,6 +26,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(read(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
+    return out.withColumn("mask", F.array_join(spans, ","))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read(spark, sf_dir, "documents")
@@ -44,8 +55,8 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup}
+    return {"op1_onebit": op1_onebit, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_chat": op4_chat, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_onebit": ann.ORACLE, "op4_chat": chat.ORACLE}
