@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longleaf.llm import ann, bpe, chat, linedup, neardup, packing, sequences, toxicity, wrapper
+from longleaf.llm import ann, bpe, chat, linedup, media, neardup, packing, sequences, toxicity, wrapper
 from longleaf.llm.common import read, small_batches
 
 
@@ -43,6 +43,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return media.copies(media.render(read(spark, sf_dir, "embeddings")))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
@@ -60,7 +65,7 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_onebit": op1_onebit, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_wrapper": op5_wrapper, "op6_toxicity": op6_toxicity, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup}
+    return {"op1_onebit": op1_onebit, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_wrapper": op5_wrapper, "op6_toxicity": op6_toxicity, "op7_media": op7_media, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup}
 
 
 def oracle_sql() -> dict[str, str]:
