@@ -9,10 +9,11 @@
 * Verification: within a bucket every node is compared with a leader, not with every other node.
   Links are set Jaccard of the shingles >= threshold, computed from whole texts.  Leaders are the
   nodes with most company over all bands, so the original of a family comes before its copies.
-* Nodes that a leader doesn't link may still link to each other or, by the triangle inequality of
-  the Jaccard distance, to those of its nodes that are about as far from it.  They become leaders
-  in later rounds (1, 4, 16, ... of a bucket at a time) until every such node is connected or has
-  been compared.  No bucket, partner or candidate is dropped or capped.
+* Nodes that are in another component than their leader after that are compared with the members of
+  their bucket that the triangle inequality of the Jaccard distance to the leader lets be near
+  enough.  They meet in blocks of bounded size, and only links leave a block, so a bucket of
+  thousands of texts just below the threshold makes no table of pairs.  No bucket, partner or
+  candidate is dropped or capped.
 * Classes are the connected components of the links.
 
 Cases: null texts and texts without words are classes of their own, whatever else is equal; texts
@@ -25,14 +26,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import Tables, lists, map_arrow, text_blocks, texts
+from longleaf.llm.common import Tables, lists, map_arrow, small_batches, text_blocks, texts
 from longleaf.llm.graph import components
 from longleaf.llm.hashing import mix, shingle_sets
 
 
+#: Nodes, and characters of their texts, that are compared with as many others in one step.
+BLOCK, BLOCK_CHARS = 256, 2_000_000
+
+
 def prob_minhash(values: list[str], registers: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Signature of each text (the shingle that each register keeps) and whether it has any shingle."""
     h, doc, n = shingle_sets(values, width)
@@ -82,6 +87,22 @@ def jaccard(left: list[str], right: list[str], width: int) -> np.ndarray:
     return out
 
 
+def linked(x: list[dict], y: list[dict], threshold: float, width: int) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of a bucket, of nodes in different components of which one is open, by exact Jaccard."""
+    h, owner, _ = shingle_sets([m["text"] for m in [*x, *y]], width)
+    names, column = np.unique(h, return_inverse=True)
+    size = np.bincount(owner, minlength=len(x) + len(y)).astype(np.float32)
+    both = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(column, kind="stable")
+    for first in range(0, len(names), 8192):
+        at = order[np.searchsorted(column[order], first) : np.searchsorted(column[order], first + 8192)]
+        has = np.zeros((len(x) + len(y), min(8192, len(names) - first)), np.float32)
+        has[owner[at], column[at] - first] = 1
+        both += has[: len(x)] @ has[len(x) :].T
+    alike = both >= (threshold - 1e-9) * (size[: len(x), None] + size[None, len(x) :] - both)
+    return [(x[i]["node"], y[k]["node"]) for i, k in np.argwhere(alike).tolist() if x[i]["comp"] != y[k]["comp"] and (x[i]["open"] or y[k]["open"])]
+
+
 def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, node, worded, comp) for every row: digest of its text, whether it has words, and its class."""
     tables = Tables(df.sparkSession)
@@ -102,50 +123,45 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
     crowd = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tables.write(nodes.join(crowd, "key"), "shared")
     standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
-    active = tables.write(shared.join(standing, "node").select("key", "node", "standing", F.lit(True).alias("open")), "active")
     kept = docs.join(standing.select("node"), "node", "left_semi").select("node", "text").dropDuplicates(["node"])
     kept = tables.write(kept, "texts")
 
     def verify(batch: pa.RecordBatch) -> dict[str, object]:
         return {"a": batch.column(0), "b": batch.column(1), "j": jaccard(texts(batch.column(2)), texts(batch.column(3)), width)}
 
-    links = comps = first = None
-    tested: DataFrame | None = None
-    leaders_each = 1
-    while not active.where("open").isEmpty():
-        order = Window.partitionBy("key").orderBy(F.desc("standing"), "node")
-        leaders = active.where("open").withColumn("k", F.row_number().over(order)).where(F.col("k") <= leaders_each).select("key", F.col("node").alias("leader"))
-        leaders = tables.write(leaders, "leaders")
-        pairs = active.join(leaders, "key").where("node <> leader")
-        if comps is not None:
-            at = comps.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))
-            pairs = pairs.join(comps, "node", "left").join(at, "leader", "left").where("comp is null or leader_comp is null or comp <> leader_comp")
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    comps = None
+    if not shared.isEmpty():
+        hubs = shared.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", "node")).alias("best")).select("key", F.col("best.node").alias("hub"))
+        active = tables.write(shared.select("key", "node").join(hubs, "key"), "active")
+        pairs = active.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         text_of = lambda n, t: kept.select(F.col("node").alias(n), F.col("text").alias(t))
         found = tables.write(map_arrow(pairs.join(text_of("a", "t"), "a").join(text_of("b", "u"), "b").select("a", "b", "t", "u"), verify, {"a": "binary", "b": "binary", "j": "double"}), "pairs")
-        tested = found if tested is None else tables.write(tested.union(found), "tested")
-        links = tested.where(F.col("j") >= threshold)
+        links = found.where(F.col("j") >= threshold).select("a", "b")
         comps = components(links, tables)
-        if first is None:
-            first = leaders
-            j = found.select("a", "b", "j").union(found.select("b", "a", "j"))
-            state = active.join(first, "key").join(j.select(F.col("a").alias("node"), F.col("b").alias("leader"), "j"), ["node", "leader"], "left")
-        else:
-            state = active.join(first, "key").withColumn("j", F.lit(None).cast("double"))
-        at = comps.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))
-        used = leaders.select("key", F.col("leader").alias("node"), F.lit(True).alias("led"))
-        state = state.join(comps, "node", "left").join(at, "leader", "left").join(used, ["key", "node"], "left")
-        apart = F.col("node") != F.col("leader")
-        apart &= ~F.coalesce(F.col("comp") == F.col("leader_comp"), F.lit(False))
-        state = state.withColumn("open", F.col("open") & F.col("led").isNull() & apart)
-        if leaders_each == 1:
-            far = state.where("open").groupBy("key").agg(F.max("j").alias("reach"))
-            state = state.join(far, "key").where(F.col("open") | (F.col("node") != F.col("leader")) & (F.col("j") >= threshold) & (F.col("j") <= F.col("reach") + (1 - threshold)) & (F.col("reach") >= 2 * threshold - 1))
-            state = state.where("open").select("key").distinct().join(state, "key")
-        active = tables.write(state.select("key", "node", "standing", "open"), "active")
-        leaders_each *= 4
+
+        j = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), "j").union(found.select("b", "a", "j"))
+        its = comps.select(F.col("node").alias("hub"), F.col("comp").alias("its_comp"))
+        state = active.join(j, ["node", "hub"], "left").join(comps, "node", "left").join(its, "hub", "left")
+        apart = (F.col("node") != F.col("hub")) & ~F.coalesce(F.col("comp") == F.col("its_comp"), F.lit(False))
+        state = tables.write(state.select("key", "node", "comp", F.coalesce("j", F.lit(1.0)).alias("j"), apart.alias("open")), "state")
+        reach = state.where("open").groupBy("key").agg(F.max("j").alias("reach"))
+        near = F.col("open") | (F.col("reach") >= 2 * threshold - 1) & (F.col("j") <= F.col("reach") + (1 - threshold))
+        left = tables.write(state.join(reach, "key").where(near).join(kept, "node").select("key", "node", "comp", "open", "text"), "left")
+        size = left.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("long").alias("parts")).where("parts > 0")
+        member = F.struct("node", F.coalesce("comp", "node").alias("comp"), "open", "text")
+        blocks = left.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list(member).alias("members"), F.max("open").alias("some"))
+        blocks = tables.write(blocks, "blocks")
+        other = blocks.select("key", F.col("part").alias("part2"), F.col("members").alias("others"), F.col("some").alias("some2"))
+        meet = blocks.join(other, "key").where("part <= part2 and (some or some2)").select("members", "others")
+
+        def compare(batch: pa.RecordBatch) -> dict[str, object] | None:
+            out = [p for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in linked(x, y, threshold, width)]
+            return {"a": [a for a, _ in out], "b": [b for _, b in out]} if out else None
+
+        small_batches(df.sparkSession, 16)
+        more = tables.write(map_arrow(meet, compare, {"a": "binary", "b": "binary"}), "more")
+        small_batches(df.sparkSession)
+        comps = components(links.union(more), tables)
 
     rows_of = signed.select("doc_id", "node", (F.size("keys") > 0).alias("worded"))
     if comps is not None:
@@ -167,8 +183,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
     """df without all but one document of each class: the one of the smallest id (nulls last) stays.
 
-    What goes is joined against df, so the join moves texts only if that list is too long to send
-    to every executor.  Rows equal in id and text are one document, of which one row stays.
+    Rows equal in id and text are one document, of which one row stays.
     """
     every = classified(df, text_col, id_col, threshold, width, bands, rows).where("worded")
     every = Tables(df.sparkSession).write(every.groupBy("comp", "node", F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).agg(F.count(F.lit(1)).alias("n")), "documents")
@@ -179,4 +194,4 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", thre
     drop = Tables(df.sparkSession).write(drop, "drop")
     keys = ["_node", "_null_id", "_id"]
     repeated = keyed.join(drop.where("_stays").drop("_stays"), keys, "left_semi").dropDuplicates(keys)
-    return keyed.join(drop.drop("_stays"), keys, "left_anti").unionByName(repeated).select(df.columns)
+    return keyed.join(drop.drop("_stays").hint("merge"), keys, "left_anti").unionByName(repeated).select(df.columns)
