@@ -29,6 +29,8 @@ from longleaf.llm.hashing import mix
 from longleaf.session import ship
 
 WINDOW, STRIDE, STATE, WORD_DIM, CHAR_DIM, ATTEND, TRIGRAMS = 64, 48, 12, 8, 8, 8, 4096
+#: Characters that are read at once.
+BLOCK_CHARS = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -154,7 +156,7 @@ class Inputs:
 def score_texts(values: list[str], m: Model, batch: int = 2048) -> np.ndarray:
     """Logit of each text: the highest of its windows."""
     best = np.full(len(values), -np.inf)
-    for a, b in text_blocks(values):
+    for a, b in text_blocks(values, BLOCK_CHARS):
         x = Inputs(values[a:b], m.known)
         rows = x.vectors(m.p)
         forward, backward = rows @ m.p["Wf"] + m.p["cf"], rows @ m.p["Wb"] + m.p["cb"]
@@ -240,39 +242,59 @@ def train(values: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 2
         p = _parameters(rng, np.zeros(0, np.float32))
         p["w"][:] = 0
         return Model(none, p, 0.0, 0.0)
-    x = Inputs(values, none)
-    doc = np.repeat(np.arange(len(values)), x.counts)
-    pair = np.unique(doc.astype(np.int64) * (len(x.hashes) + 1) + x.index)
-    of_doc, of_word = pair // (len(x.hashes) + 1), pair % (len(x.hashes) + 1)
-    toxic = np.bincount(of_word, labels[of_doc], len(x.hashes))
-    clean = np.bincount(of_word, 1 - labels[of_doc], len(x.hashes))
+    hashes, docs = [], []
+    for lo, hi in text_blocks(values, BLOCK_CHARS):
+        h, of = split_words(values[lo:hi])[3:]
+        pair = np.unique(h ^ mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)[1] if len(h) else of
+        hashes.append(h[pair])
+        docs.append(of[pair] + lo)
+    words_of, doc_of = np.concatenate(hashes), np.concatenate(docs)
+    names, index = np.unique(words_of, return_inverse=True)
+    toxic = np.bincount(index, labels[doc_of], len(names))
+    clean = np.bincount(index, 1 - labels[doc_of], len(names))
     odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
     sure = odds * np.minimum(1, (toxic + clean) / 10)
     frequent = np.argsort(-(toxic + clean), kind="stable")[:words]
     frequent = np.sort(frequent[(toxic + clean)[frequent] >= 5])
-    x.word = np.full(len(x.hashes), len(frequent))
-    x.word[frequent] = np.arange(len(frequent))
+    known, weight = names[frequent], np.append(sure[frequent], 0)
     p = _parameters(rng, sure[frequent].astype(np.float32))
-    known = x.hashes[frequent]
-    weight = np.append(np.where(x.word < len(frequent), sure, 0), 0)
-    at, there = x.places(np.arange(len(x.text)))
-    peak = np.where(there, weight[at], -9).max(axis=0)
-    order = np.lexsort((-peak, x.text))
-    top = order[np.searchsorted(x.text[order], np.arange(len(values)))]
+    del hashes, docs, words_of, doc_of, names, index, toxic, clean, odds, sure
+
+    learned: list[str] = []  # of each document its window of the highest log-odds; of a clean one another, too
+    label_of: list[int] = []
+    for lo, hi in text_blocks(values, BLOCK_CHARS):
+        data, start, size = split_words(values[lo:hi])[:3]
+        x = Inputs(values[lo:hi], known)
+        at, there = x.places(np.arange(len(x.text)))
+        peak = np.where(there, np.append(weight[x.word], 0)[at], -9).max(axis=0)
+        order = np.lexsort((-peak, x.text))
+        first = np.searchsorted(x.text[order], np.arange(hi - lo))
+        count = np.bincount(x.text, minlength=hi - lo)
+        picks = np.concatenate([order[first], order[(first + rng.integers(0, count))[labels[lo:hi] == 0]]])
+        for w in picks.tolist():
+            t = int(x.text[w])
+            a = int(x.first[t] + x.start[w])
+            b = int(x.first[t] + min(x.start[w] + WINDOW, x.counts[t])) - 1
+            learned.append(data[start[a] : start[b] + size[b]].tobytes().decode("utf-8", "ignore") if x.counts[t] else "")
+            label_of.append(int(labels[lo + t]))
+    targets = np.array(label_of)
+    mixed = rng.permutation(len(learned))
+    learned, targets = [learned[i] for i in mixed.tolist()], targets[mixed]
+    inputs = [Inputs(learned[i : i + 4096], known) for i in range(0, len(learned), 4096)]
     mean = {k: np.zeros_like(v) for k, v in p.items()}
     square = {k: np.zeros_like(v) for k, v in p.items()}
     steps = 0
     for _ in range(epochs):
-        other = np.flatnonzero(labels[x.text] == 0)
-        other = rng.choice(other, min(len(other), len(values)), replace=False)
-        chosen = rng.permutation(np.concatenate([top, other]))
-        for i in range(0, len(chosen), batch):
-            pick = chosen[i : i + batch]
-            steps += 1
-            for k, g in _learn(x, pick, labels[x.text[pick]].astype(np.float32), p).items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                p[k] -= 0.01 * (mean[k] / (1 - 0.9**steps)) / (np.sqrt(square[k] / (1 - 0.99**steps)) + 1e-8)
+        for part in rng.permutation(len(inputs)).tolist():
+            x = inputs[part]
+            chosen = rng.permutation(len(x.text))
+            for i in range(0, len(chosen), batch):
+                pick = chosen[i : i + batch]
+                steps += 1
+                for k, g in _learn(x, pick, targets[4096 * part + x.text[pick]].astype(np.float32), p).items():
+                    mean[k] += 0.1 * (g - mean[k])
+                    square[k] += 0.01 * (g * g - square[k])
+                    p[k] -= 0.01 * (mean[k] / (1 - 0.9**steps)) / (np.sqrt(square[k] / (1 - 0.99**steps)) + 1e-8)
     m = Model(known, p)
     got = score_texts(values, m)
     order = np.argsort(got, kind="stable")
