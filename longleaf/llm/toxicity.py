@@ -6,7 +6,7 @@ directions, attention pools their states, and a logistic unit gives the window's
 document's score is that of its highest window; windows overlap and cover the whole text.
 
 Training sees only labelled rows outside the held-out fifth, at most ``sample`` documents of each
-label, those with the smallest hash of their id.  Word vectors start from the smoothed log-odds of
+label, those with the smallest hash of their id (one text of each id).  Word vectors start from the smoothed log-odds of
 the word in that sample; of a toxic document the window with the highest log-odds is learned, of a
 clean one that window and others.  The final threshold is the one that errs least on the sample.
 
@@ -313,11 +313,12 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = 2500) -> Model:
     """Train on at most ``sample`` labelled documents of each label that aren't held out."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    seen = docs.where(~held_out(id_col)).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(marked, id_col)
-    rows = []
-    for label in (0, 1):  # two reads of a bounded number of rows
-        rows += seen.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col, F.xxhash64("_text")).limit(sample).collect()
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    marked = marked.where(~held_out("_id"))
+    chosen = [marked.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample) for label in (0, 1)]
+    ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 x sample rows at most
+    texts_of = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(ids, "_id")
+    rows = texts_of.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id").collect()
     return train([r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
 
 
