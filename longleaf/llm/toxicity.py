@@ -10,7 +10,7 @@ label, those with the smallest hash of their id (one text of each id).  Word vec
 the word in that sample; of a toxic document the window with the highest log-odds is learned, of a
 clean one that window and others.  The final threshold is the one that errs least on the sample.
 
-Cases: null and empty texts have the score of a window without words; very long texts are scored
+Cases: null and empty texts, and others without words, are clean; very long texts are scored
 in full; rows repeat as in the input; a null id counts as held out; contradicting labels of one id
 count as toxic; without labels of both kinds every score is 0.
 """
@@ -29,6 +29,8 @@ from longleaf.llm.hashing import mix
 from longleaf.session import ship
 
 WINDOW, STRIDE, STATE, WORD_DIM, CHAR_DIM, ATTEND, TRIGRAMS = 64, 48, 12, 8, 8, 8, 4096
+#: Logit of a window without words.
+CLEAN = -30.0
 #: Characters that are read at once.
 BLOCK_CHARS = 1_000_000
 _LETTER = np.zeros(256, bool)
@@ -166,7 +168,7 @@ def score_texts(values: list[str], m: Model, batch: int = 2048) -> np.ndarray:
             longest = max(1, int(there.sum(axis=0).max()))
             at, mask = at[:longest], there[:longest, :, None].astype(np.float32)
             s = np.concatenate([_layer(forward[at], mask, m.p["Uf"]), _layer(backward[at[::-1]], mask[::-1], m.p["Ub"])[::-1]], axis=2)
-            np.maximum.at(best, a + x.text[chosen], _pool(s, mask, m.p)[3])
+            np.maximum.at(best, a + x.text[chosen], np.where(there.any(axis=0), _pool(s, mask, m.p)[3], CLEAN))
     return best
 
 
