@@ -11,12 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
+from longleaf.session import ship
 
 K1, B, GRAM_WEIGHT, SUBSTRING_WEIGHT = 1.5, 0.75, 0.3, 0.25
+#: Targets whose likeness is computed by matrix products at most; more are compared pair by pair.
+TARGETS = 2048
 _TABLES = ("chunks", "postings", "vocabulary", "corpus")
 
 
@@ -75,6 +80,37 @@ def allowed(index: Index, filters: DataFrame, prefix: bool = True) -> DataFrame:
     return filters.join(index.chunks.select("ord", F.explode(names).alias("req_doc")), "req_doc").select("target", "req_doc", "ord")
 
 
+def likeness(chunks: DataFrame, asked: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """(ord, overlaps, insides): for each of the targets (grams, terms), how many grams a chunk shares and how many terms its text holds.
+
+    Two matrix products for a batch of chunks, instead of an intersection for each pair.
+    """
+    ship(chunks.sparkSession)
+    grams = {g: k for k, g in enumerate(sorted({g for x, _ in asked for g in x}))}
+    words = {t: k for k, t in enumerate(sorted({t for _, x in asked for t in x}))}
+
+    def run(batches):
+        by_gram, by_word = np.zeros((len(grams), len(asked)), np.float32), np.zeros((len(words), len(asked)), np.float32)
+        for k, (g, t) in enumerate(asked):
+            by_gram[[grams[x] for x in g], k] = 1
+            np.add.at(by_word[:, k], [words[x] for x in t], 1)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                shared, held = np.zeros((part.num_rows, len(grams)), np.float32), np.zeros((part.num_rows, len(words)), np.float32)
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    text = text or ""
+                    bare = "".join(text.split())
+                    mine = {*bare, *map(str.__add__, bare, bare[1:])}
+                    shared[i, [grams[g] for g in mine if g in grams]] = 1
+                    held[i, [k for t, k in words.items() if t in text]] = 1
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(asked), pa.int32()), pa.array(x.astype(np.int32).reshape(-1))) for x in (shared @ by_gram, held @ by_word)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["ord", "overlaps", "insides"])
+
+    kind = dict(chunks.dtypes)["ord"]
+    return chunks.select("ord", "text").mapInArrow(run, f"ord {kind}, overlaps array<int>, insides array<int>")
+
+
 def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | None = None, prefix: bool = True, enhanced: bool = True, per_doc: bool = False, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
     """Top k chunks of each target by score, rank 1 first; ties go to the smaller ord.
 
@@ -92,11 +128,19 @@ def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | N
         else:
             found = found.drop("req_doc").distinct()
     if enhanced:
-        grams = targets.select("target", T.char_grams(F.col("query")).alias("asked_grams"), F.filter(tokenizer(F.col("query")), lambda t: F.length(t) >= 2).alias("asked_terms"))
-        texts = index.chunks.select("ord", "text", T.char_grams(F.col("text")).alias("grams"))  # once for each chunk, not for each pair
-        overlap = F.size(F.array_intersect("asked_grams", "grams")) * F.lit(GRAM_WEIGHT)
-        inside = F.size(F.filter("asked_terms", lambda t: F.col("text").contains(t))) * F.lit(SUBSTRING_WEIGHT)
-        found = found.join(texts, "ord").join(grams, "target").select(*[c for c in found.columns if c != "bm25"], (F.col("bm25") + overlap + inside).alias("raw"))
+        asked = targets.select("target", T.char_grams(F.col("query")).alias("grams"), F.filter(tokenizer(F.col("query")), lambda t: F.length(t) >= 2).alias("terms"))
+        some = asked.limit(TARGETS + 1).collect()
+        kept = [c for c in found.columns if c != "bm25"]
+        if len(some) <= TARGETS:
+            places = targets.sparkSession.createDataFrame([(r["target"], k) for k, r in enumerate(some)], targets.select("target").withColumn("k", F.lit(0)).schema)
+            both = found.join(likeness(index.chunks, [(r["grams"], r["terms"]) for r in some]), "ord").join(F.broadcast(places), "target")  # at most TARGETS rows
+            overlap, inside = (F.col(c)[F.col("k")] for c in ("overlaps", "insides"))
+        else:
+            texts = index.chunks.select("ord", "text", T.char_grams(F.col("text")).alias("chunk_grams"))  # once for each chunk, not for each pair
+            both = found.join(texts, "ord").join(asked, "target")
+            overlap = F.size(F.array_intersect("grams", "chunk_grams"))
+            inside = F.size(F.filter("terms", lambda t: F.col("text").contains(t)))
+        found = both.select(*kept, (F.col("bm25") + overlap * F.lit(GRAM_WEIGHT) + inside * F.lit(SUBSTRING_WEIGHT)).alias("raw"))
     else:
         found = found.withColumnRenamed("bm25", "raw")
     found = found.withColumn("score", F.round("raw", 4)).drop("raw")
