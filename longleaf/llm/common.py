@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -29,16 +30,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a temporary one only for a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_longleaf_scratch", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="longleaf-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        context._longleaf_scratch = base  # type: ignore[attr-defined]
     return base.rstrip("/") + "/longleaf"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Results may be read until the driver's program ends; then their tables go."""
+    with contextlib.suppress(Exception):  # the session's JVM may be gone already
+        _delete(spark, path)
+    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 class Tables:
     """Intermediate tables written as Parquet in the shared folder.
 
@@ -50,6 +64,7 @@ class Tables:
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_forget, spark, self.base)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -60,10 +75,8 @@ class Tables:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._longleaf_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t._longleaf_path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
