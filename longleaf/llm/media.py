@@ -4,11 +4,14 @@
 * Around each, the direction to the centre of brightness turns a fixed set of 128 pairs of points;
   which point of a pair is brighter gives a bit.  Crops, shifts and changes of brightness or
   contrast leave such bits alone, turned and halved copies nearly so.
-* The bits are cut into four words.  Keypoints that agree in a word meet in a Hamming table: each
-  image that has the word is matched with the first image that has it, so a word that thousands of
-  images share costs a row for each, not one for each two.
-* A match is a shift, turn and change of scale.  Images are linked if ``votes`` keypoints agree in
-  these (geometric consensus, with bins that overlap by half).
+* The bits are cut into four words.  Keypoints that agree in a word meet in a Hamming table, and all
+  images of a bucket meet each other there.  A link needs ``votes`` places in either image, so the
+  rarest word that two linked images share is none of those commonest words of an image that
+  cover fewer places (``rare_words``): leaving these out of the table loses no link.  Buckets are
+  cut into blocks, so that no task holds a whole common word.
+* Images that met are matched in all their words and places.  A match is a shift, turn and change of
+  scale.  Images are linked if ``votes`` keypoints of each agree in these (geometric consensus,
+  with bins that overlap by half).
 * Classes are connected components; images of equal bytes are one node from the start.
 
 Content is binary PGM or PPM (P5, P6, 8 bits).
@@ -31,6 +34,8 @@ from longleaf.llm.common import Tables, map_arrow
 from longleaf.llm.graph import components
 
 RADIUS, MARGIN, BITS, TURNS = 7, 9, 128, 24
+#: Images of a bucket that meet another such block in one task.
+BLOCK = 512
 _HEAD = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 
 
@@ -123,6 +128,86 @@ def describe(contents: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return flat(owner), flat(keys), flat(places)
 
 
+def rare_words(keys: list[int], places: list[int], votes: int) -> list[int]:
+    """The words of an image (commonest last) without the commonest ones that cover fewer than votes places."""
+    covered: set[int] = set()
+    end = len(keys)
+    while end:
+        start = end - 1
+        while start and keys[start - 1] == keys[end - 1]:
+            start -= 1
+        covered |= set(places[start:end])
+        if len(covered) >= votes:
+            break
+        end = start
+    return list(dict.fromkeys(keys[:end]))
+
+
+def _codes(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns get equal numbers from 0."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        inverse = np.unique(c, return_inverse=True)[1]
+        out = np.unique(out * (inverse.max(initial=0) + 1) + inverse, return_inverse=True)[1]
+    return out
+
+
+def agreeing(pair: np.ndarray, place: np.ndarray, there: np.ndarray, votes: int, cell: int) -> np.ndarray:
+    """The pairs of images of which votes places, in either image, agree in scale, turn and shift."""
+    y, x, turn, level = (lambda c: c >> 32), (lambda c: c >> 8 & 0xFFFFFF), (lambda c: c >> 1 & 127), (lambda c: c & 1)
+    scale, turned = level(there) - level(place), (turn(there) - turn(place)) % TURNS
+    ratio, angle = 2.0**scale, turned * (2 * np.pi / TURNS)
+    dx = x(there) - ratio * (np.cos(angle) * x(place) - np.sin(angle) * y(place))
+    dy = y(there) - ratio * (np.sin(angle) * x(place) + np.cos(angle) * y(place))
+    found = [np.zeros(0, np.int64)]
+    for a, b, c in np.ndindex(2, 2, 2):
+        group = _codes(pair, scale, (turned + c) % TURNS // 2, np.floor(dx / cell + a / 2), np.floor(dy / cell + b / 2))
+        many = np.ones(group.max(initial=-1) + 1, bool)
+        for side in (place, there):
+            once = np.unique(_codes(group, side), return_index=True)[1]
+            many &= np.bincount(group[once], minlength=len(many)) >= votes
+        found.append(pair[many[group]])
+    return np.unique(np.concatenate(found))
+
+
+def matches(n: np.ndarray, keys: np.ndarray, places: np.ndarray, n2: np.ndarray, keys2: np.ndarray, places2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, place, place2) of every two keypoints of a pair that agree in a word."""
+    word = _codes(np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n2)), n2)]), np.concatenate([keys, keys2]))
+    mine, theirs = word[: len(keys)], word[len(keys) :]
+    order = np.argsort(theirs, kind="stable")
+    low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+    count = high - low
+    at = np.repeat(np.arange(len(mine)), count)
+    other = order[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    return np.repeat(np.arange(len(n)), n)[at], places[at], places2[other]
+
+
+def linked_images(points: DataFrame, tables: Tables, votes: int, cell: int) -> DataFrame:
+    """(a, b) of every two images, a > b, that are linked, from their words (node, key, place)."""
+    common = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "n")
+    listed = points.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "key", "place"))).alias("p")).select("node", F.col("p.key").alias("keys"), F.col("p.place").alias("places"))
+
+    def table(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"node": batch.column(0), "keys": batch.column(1), "places": batch.column(2), "rare": [rare_words(k, p, votes) for k, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]}
+
+    words = tables.write(map_arrow(listed, table, {"node": "long", "keys": "array<long>", "places": "array<long>", "rare": "array<long>"}).where("size(rare) > 0"), "words")
+    has = words.select("node", F.explode("rare").alias("key"))
+    parts = has.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"))
+    blocks = tables.write(has.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list("node").alias("members")), "blocks")
+    other = blocks.select("key", F.col("part").alias("part2"), F.col("members").alias("others"))
+    met = blocks.join(other, "key").where("part <= part2").select("part", "part2", F.explode("members").alias("x"), "others").select("part", "part2", "x", F.explode("others").alias("y")).where("part < part2 or x > y")
+    pairs = tables.write(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "met")
+
+    def verify(batch: pa.RecordBatch) -> dict[str, object] | None:
+        (n, k, p), (n2, k2, p2) = ((batch.column(i).value_lengths().to_numpy(zero_copy_only=False), batch.column(i).flatten().to_numpy(zero_copy_only=False), batch.column(i + 1).flatten().to_numpy(zero_copy_only=False)) for i in (2, 4))
+        at = pa.array(agreeing(*matches(n, k, p, n2, k2, p2), votes, cell))
+        return {"a": batch.column(0).take(at), "b": batch.column(1).take(at)} if len(at) else None
+
+    side = lambda n, k, p: words.select(F.col("node").alias(n), F.col("keys").alias(k), F.col("places").alias(p))
+    both = pairs.join(side("a", "keys", "places"), "a").join(side("b", "keys2", "places2"), "b").select("a", "b", "keys", "places", "keys2", "places2")
+    return tables.write(map_arrow(both, verify, {"a": "long", "b": "long"}), "links")
+
+
 def copies(df: DataFrame, content_col: str = "content", id_col: str = "media_id", votes: int = 4, cell: int = 6) -> DataFrame:
     """media_id, class_id and n_links (links of the image's bytes to others) of every row."""
     tables = Tables(df.sparkSession)
@@ -141,22 +226,7 @@ def copies(df: DataFrame, content_col: str = "content", id_col: str = "media_id"
     once = described.where("size(keys) > 0").select("node", "keys", "places").dropDuplicates(["node"])
     points = once.select("node", F.explode(F.arrays_zip("keys", "places")).alias("p")).select("node", F.col("p.keys").alias("key"), F.col("p.places").alias("place"))
     points = tables.write(points, "points")
-    firsts = points.groupBy("key").agg(F.min(F.struct("node", "place")).alias("f"), F.max("node").alias("last")).where("f.node <> last").select("key", F.col("f.node").alias("leader"), F.col("f.place").alias("there"))
-    met = points.join(firsts, "key").where("node <> leader")
-    y, x, turn, level = (lambda c, e=e: F.expr(e.format(c)) for e in ("shiftright({}, 32)", "shiftright({}, 8) & 16777215", "shiftright({}, 1) & 127", "{} & 1"))
-    ratio = F.pow(F.lit(2.0), (level("there") - level("place")).cast("double"))
-    turned = F.pmod(turn("there") - turn("place"), F.lit(TURNS))
-    angle = turned * (2 * np.pi / TURNS)
-    dx = x("there") - ratio * (F.cos(angle) * x("place") - F.sin(angle) * y("place"))
-    dy = y("there") - ratio * (F.sin(angle) * x("place") + F.cos(angle) * y("place"))
-    match = met.select("node", "leader", "place", "there", (level("there") - level("place")).alias("scale"), turned.alias("turn"), dx.alias("dx"), dy.alias("dy")).dropDuplicates(["node", "leader", "place", "there"])
-    half = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])).alias("h")
-    grid = match.select("*", half).select(
-        "node", "leader", "scale", "place", F.col("h.a").alias("a"), F.col("h.b").alias("b"), F.col("h.c").alias("c"),
-        F.floor(F.col("dx") / cell + F.col("h.a") / 2).alias("i"), F.floor(F.col("dy") / cell + F.col("h.b") / 2).alias("j"), F.floor(F.pmod(F.col("turn") + F.col("h.c"), F.lit(TURNS)) / 2).alias("k"),
-    )
-    agreed = grid.groupBy("node", "leader", "scale", "a", "b", "c", "i", "j", "k").agg(F.countDistinct("place").alias("n")).where(F.col("n") >= votes)
-    links = tables.write(agreed.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "links")
+    links = linked_images(points, tables, votes, cell)
     labels = components(links, tables)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = described.select("media_id", "node").join(labels, "node", "left").join(degree, "node", "left").select("media_id", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

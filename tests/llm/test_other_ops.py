@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from longleaf.llm import ann, chat, media, toxicity, wrapper
+from longleaf.llm import ann, chat, common, media, toxicity, wrapper
 
 
 def test_search_equals_brute_force(spark):
@@ -146,3 +146,30 @@ def test_cropped_and_edited_copies_are_found(spark):
     assert [classes[i] for i in (1000, 1001, 1002, 1003, 1004, None)] == [1000, 1001, 1002, 1002, 1004, 0]
     assert next(r["n_links"] for r in got if r["media_id"] == 1) == 1
     assert media.copies(spark.createDataFrame([], "media_id long, content binary")).count() == 0
+
+
+def test_every_two_copies_of_a_group_are_linked(spark):
+    rng = np.random.default_rng(8)
+    grey = np.kron(rng.integers(20, 235, (24, 24)), np.ones((3, 3)))
+    rows = [(i, media.encode(grey[i : 60 + i, 2 * i : 58 + 2 * i] * (1 - i / 20) + 5 * i)) for i in range(6)]
+    got = media.copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()
+    assert {(r["media_id"], r["class_id"], r["n_links"]) for r in got} == {(i, 0, 5) for i in range(6)}
+
+
+def test_images_meet_whatever_others_have_their_words(spark, monkeypatch):
+    place = lambda y, x: y << 32 | x << 8
+    rows = [(n, k, place(10 * k + n, 9 * k + 2 * n)) for n in (501, 502) for k in range(1, 6)]  # agree in words that 100 smaller nodes have too
+    rows += [(n, k, place(n * k * 37 % 4001, n * n * k * 53 % 3989)) for n in range(100, 200) for k in range(1, 6)]
+    rows += [(n, 100 + k, place(10 * k + n, 7 * k)) for n in (3, 4, 5) for k in range(6)]
+    rows += [(6, k, place(10 * k, 10 * k)) for k in (9, 10, 11, 12)] + [(7, k, place(50, 50)) for k in (9, 10, 11, 12)]  # four places against one
+    points = spark.createDataFrame(rows, "node long, key long, place long")
+    for block in (media.BLOCK, 7):
+        monkeypatch.setattr(media, "BLOCK", block)
+        got = {(r["a"], r["b"]) for r in media.linked_images(points, common.Tables(spark), 4, 6).collect()}
+        assert got == {(502, 501), (4, 3), (5, 3), (5, 4)}
+
+
+def test_rare_words_leave_out_fewer_places_than_a_link_needs():
+    assert media.rare_words([1, 2, 3, 4, 5], [10, 20, 30, 40, 50], 4) == [1, 2]
+    assert media.rare_words([1, 9, 9, 9, 9], [1, 2, 3, 4, 5], 4) == [1, 9]
+    assert media.rare_words([1, 2, 3, 4], [7, 7, 8, 9], 4) == []
