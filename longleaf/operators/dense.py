@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 
-#: Query vectors (rows) that are sent to every task at most; more are searched in rounds by the caller.
+#: Query vectors (rows) that are sent to every task at most; more meet the vectors in a distributed product.
 QUERIES = 4096
 
 
@@ -17,10 +17,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, allow: Column | N
     allow filters before ranking.  narrow filters after taking the coarse best, as search engines
     with a fixed index do, and so may give fewer than k.  Queries are scaled to length 1.
     """
-    n = queries.limit(QUERIES + 1).count()
-    if n > QUERIES:
-        raise ValueError(f"more than {QUERIES} query vectors; search them in rounds")
-    asked = F.broadcast(queries.withColumn("q", T.unit_vector(F.col("q"))))  # at most QUERIES rows, counted above
+    asked = queries.withColumn("q", T.unit_vector(F.col("q")))
+    if queries.limit(QUERIES + 1).count() <= QUERIES:
+        asked = F.broadcast(asked)
     pairs = (vectors if allow is None else vectors.where(allow)).crossJoin(asked)
     scored = pairs.withColumn("score", F.round(T.inner_product(F.col("embedding"), F.col("q")), 6)).drop("q", "embedding")
     order = Window.partitionBy("target").orderBy(F.desc("score"), "ord")

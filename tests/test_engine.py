@@ -133,3 +133,20 @@ def test_ingest_chunks_each_document_once(spark, tmp_path):
 def test_entry_and_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_more_query_vectors_than_are_broadcast(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(9)], "ord int, embedding array<double>, label int")
+    q = v.select(F.col("ord").alias("target"), F.col("embedding").alias("q"))
+    want = sorted(dense.top_k(v, q, 2).select("target", "ord", "rank").collect())
+    monkeypatch.setattr(dense, "QUERIES", 4)
+    assert len(want) == 18 and sorted(dense.top_k(v, q, 2).select("target", "ord", "rank").collect()) == want
+
+
+def test_recall_counts_every_item(spark, tmp_path):
+    items = [(i, f"q{i} z{i}") for i in range(1030)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(k, " ".join(t for _, t in items[k::103]), "en", "s") for k in range(103)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = entry.queries()["recall_at_ten"](spark, str(tmp_path)).head()
+    assert r["items"] == 1030
