@@ -6,7 +6,9 @@
   one for each two, and no line is too common to be followed.
 * Linked documents are aligned by patience diff: lines that occur once in both are anchors, the
   longest increasing run of anchors is kept and the gaps between them are aligned alike.  What
-  stays unaligned is aligned again, so passages in another order are found too.
+  stays unaligned is aligned again; a passage that no alignment shows, as its place is crossed by
+  a chain of short lines, is found by its windows: the shortest runs of lines that reach
+  ``min_words``.  So every block of both documents is found, in whatever order.
 * Aligned common blocks of at least ``min_words`` words are deleted from the later document.  The
   first document with a line always keeps it.
 
@@ -19,6 +21,7 @@ already has is replaced; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +92,33 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(start, stop) of the shortest runs of lines from and to each line with words that reach min_words.
+
+    Every line of a longer run lies in one of the windows inside that run.
+    """
+    total = [0, *accumulate(words)]
+    out = set()
+    for k, n in enumerate(words):
+        if n:
+            if (stop := bisect_left(total, total[k] + min_words)) < len(total):
+                out.add((k, stop))
+            if total[k + 1] >= min_words:
+                out.add((bisect_right(total, total[k + 1] - min_words) - 1, k + 1))
+    return sorted(out)
+
+
+def _moved(a: list[int], words: list[int], b: list[int], min_words: int, gone: set[int]) -> set[int]:
+    """Lines of a in windows that b has too, beyond those in gone."""
+    todo = [(i, i_end) for i, i_end in windows(words, min_words) if not gone.issuperset(range(i, i_end))]
+    if not todo:
+        return set()
+    known = dict(zip(a, words, strict=True))
+    mine, its = (np.array(x, np.int64).tobytes() for x in (a, b))
+    there = {its[8 * j : 8 * j_end] for j, j_end in windows([known.get(h, min_words) for h in b], min_words)}  # a line that a hasn't ends a window
+    return {k for i, i_end in todo if mine[8 * i : 8 * i_end] in there for k in range(i, i_end)}
+
+
 def common_blocks(a: list[int], words: list[int], b: list[int], min_words: int) -> list[int]:
     """Lines of a in blocks, of min_words words or more, that b has too."""
     gone: list[int] = []
@@ -116,7 +146,7 @@ def common_blocks(a: list[int], words: list[int], b: list[int], min_words: int)
         gone += found
         taken = set(found)
         left = [i for i in left if i not in taken]
-    return sorted(gone)
+    return sorted({*gone} | _moved(a, words, b, min_words, {*gone}))
 
 
 def repeated_lines(df: DataFrame, text_col: str, id_col: str, min_words: int) -> DataFrame:

@@ -196,6 +196,22 @@ def test_repeated_blocks_go_from_later_documents(spark):
     assert linedup.drop_repeated_lines(docs(spark).limit(0)).count() == 0
 
 
+def test_a_chain_of_short_lines_hides_no_moved_passage():
+    owner, later = [9, 11, 1, 12, 2, 13], [20, 1, 21, 2, 22, 9]
+    assert linedup.common_blocks(later, [3, 3, 3, 3, 3, 60], owner, 40) == [5]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
+def test_every_common_block_is_found(a, b):
+    words = [(0, 3, 5, 10, 17, 25)[h] for h in a]
+    got = linedup.common_blocks(a, words, b, 40)
+    runs = {tuple(b[j:k]) for j in range(len(b)) for k in range(j + 1, len(b) + 1)}
+    blocks = [range(i, k) for i in range(len(a)) for k in range(i + 1, len(a) + 1) if sum(words[i:k]) >= 40 and tuple(a[i:k]) in runs]
+    every = {i for r in blocks for i in r}
+    assert {i for i in every if words[i]} <= set(got) <= every
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_alignment_is_a_common_subsequence(a, b):
