@@ -1,14 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-* Lines (without surrounding white space) are hashed; so are pairs of neighbouring lines.  The
-  document of the smallest id that has a line or pair owns it, and every later document that has
-  it is linked to the owner: a line that many documents share costs a link for each of them, not
-  one for each two, and no line is too common to be followed.
+* Lines (without surrounding white space) are hashed; so are windows, the shortest runs of lines
+  that reach ``min_words``.  The document of the smallest id that has a window owns it, and every
+  later document that has it is linked to the owner.  Any block that may be deleted is made of
+  windows, so all of it is found with their owners.  A window that many documents share costs a
+  link for each of them, not one for each two, and none is too common to be followed.
 * Linked documents are aligned by patience diff: lines that occur once in both are anchors, the
   longest increasing run of anchors is kept and the gaps between them are aligned alike.  What
   stays unaligned is aligned again; a passage that no alignment shows, as its place is crossed by
-  a chain of short lines, is found by its windows: the shortest runs of lines that reach
-  ``min_words``.  So every block of both documents is found, in whatever order.
+  a chain of short lines, is found by its windows.  So every block of both documents is found, in
+  whatever order.
 * Aligned common blocks of at least ``min_words`` words are deleted from the later document.  The
   first document with a line always keeps it.
 
@@ -160,7 +161,8 @@ def repeated_lines(df: DataFrame, text_col: str, id_col: str, min_words: int) ->
             mine = [x.strip() for x in t.split("\n")]
             n = [len(x.split()) for x in mine]
             h = [xxhash.xxh64_intdigest(x) - (1 << 63) if k else 0 for x, k in zip(mine, n, strict=True)]
-            own = {x for x, k in zip(h, n, strict=True) if k} | {xxhash.xxh64_intdigest(b"%d %d" % (x, y)) - (1 << 63) for x, y, k, m in zip(h, h[1:], n, n[1:], strict=False) if k and m}
+            flat = np.array(h, np.int64).tobytes()
+            own = {xxhash.xxh64_intdigest(flat[8 * i : 8 * i_end]) - (1 << 63) for i, i_end in windows(n, min_words)}
             hashes += h
             words += n
             keys += own

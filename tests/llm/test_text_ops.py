@@ -201,6 +201,13 @@ def test_a_chain_of_short_lines_hides_no_moved_passage():
     assert linedup.common_blocks(later, [3, 3, 3, 3, 3, 60], owner, 40) == [5]
 
 
+def test_a_passage_is_found_though_others_own_its_lines(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(17)) for c in "abc")
+    rows = [(1, f"{one}\n{two}"), (2, f"{two}\n{three}"), (3, f"x\n{one}\n{two}\n{three}"), (4, f"{one}\n{two}\n{three}\ny")]
+    got = {r["doc_id"]: r["removed_lines"] for r in linedup.drop_repeated_lines(docs(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [0, 1, 2]}
+
+
 @settings(deadline=None, max_examples=300)
 @given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
 def test_every_common_block_is_found(a, b):
