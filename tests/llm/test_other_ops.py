@@ -68,6 +68,25 @@ def test_main_text(body, text):
     assert wrapper.extract_page(PAGE.format(body), None) == text
 
 
+@pytest.mark.parametrize("body,text", [
+    ('<article id="part-1"><p>a</article><div><article id="part-2"><p>b</article></div>', "a\n\nb"),
+    ('<div class="story-lead"><p>a</div><p>x<div class="story-body"><p>b<div class="story-text"><p>c</div></div>', "a\n\nb\n\nc"),
+    ('<main id="m1"><p>a</main><main id="m2"><p>b</main>', "a\n\nb"),
+    ('<article class="post tag-news"><p>a</article><article class="teaser"><p>t</article><article class="post"><p>b</article>', "a\n\nb"),
+    ('<article class="related"><p>only</article>', "only"),
+])
+def test_all_marked_parts_are_the_article(spark, body, text):
+    page = PAGE.format(body)
+    assert wrapper.extract_page(page, None) == text
+    assert wrapper.extract_page(page, wrapper.article(wrapper.fold(wrapper.parse(page)))) == text
+
+
+def test_a_host_with_articles_in_parts(spark):
+    rows = [(i, "http://h.org/", PAGE.format("".join(f'<article id="part-{k}"><p>{i} {k}</article>' for k in range(i)))) for i in range(1, 5)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(f"{i} {k}" for k in range(i)) for i in range(1, 5)}
+
+
 def test_wrappers_of_hosts(spark):
     rows = [(i, f"http://H{i % 2}.org/{i}", PAGE.format(f"<article><h1>h{i}</h1>" + "<p>x</p>" * (i % 4) + "</article>"), "k") for i in range(20)] + [(20, None, None, "k"), (None, "http://h0.org", "<p>a</p", "k"), (3, "http://h1.org/", "", "k")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
