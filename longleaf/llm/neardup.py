@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longleaf.llm.common import Tables, lists, map_arrow, small_batches, text_blocks, texts
@@ -103,6 +103,11 @@ def linked(x: list[dict], y: list[dict], threshold: float, width: int) -> list[t
     return [(x[i]["node"], y[k]["node"]) for i, k in np.argwhere(alike).tolist() if x[i]["comp"] != y[k]["comp"] and (x[i]["open"] or y[k]["open"])]
 
 
+def near_enough(threshold: float) -> Column:
+    """Whether a member of a bucket (open, its Jaccard j to the leader, the largest j of the open ones as reach) can link to an open one."""
+    return F.col("open") | (F.col("j") <= F.col("reach") + (1 - threshold) + 1e-9)
+
+
 def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, node, worded, comp) for every row: digest of its text, whether it has words, and its class."""
     tables = Tables(df.sparkSession)
@@ -145,8 +150,7 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
         apart = (F.col("node") != F.col("hub")) & ~F.coalesce(F.col("comp") == F.col("its_comp"), F.lit(False))
         state = tables.write(state.select("key", "node", "comp", F.coalesce("j", F.lit(1.0)).alias("j"), apart.alias("open")), "state")
         reach = state.where("open").groupBy("key").agg(F.max("j").alias("reach"))
-        near = F.col("open") | (F.col("reach") >= 2 * threshold - 1) & (F.col("j") <= F.col("reach") + (1 - threshold))
-        left = tables.write(state.join(reach, "key").where(near).join(kept, "node").select("key", "node", "comp", "open", "text"), "left")
+        left = tables.write(state.join(reach, "key").where(near_enough(threshold)).join(kept, "node").select("key", "node", "comp", "open", "text"), "left")
         size = left.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("long").alias("parts")).where("parts > 0")
         member = F.struct("node", F.coalesce("comp", "node").alias("comp"), "open", "text")
         blocks = left.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list(member).alias("members"), F.max("open").alias("some"))

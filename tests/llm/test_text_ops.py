@@ -227,3 +227,8 @@ def test_alignment_is_a_common_subsequence(a, b):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
     if a == b:
         assert len(got) == len(a)
+
+
+def test_members_closed_by_a_chain_meet_open_ones(spark):
+    state = spark.createDataFrame([(0, True, 0.45, 0.45), (1, False, 0.55, 0.45), (2, False, 0.66, 0.45), (3, False, 1.0, 0.8), (4, False, 0.3, 0.1)], "n int, open boolean, j double, reach double")
+    assert [r["n"] for r in state.where(neardup.near_enough(0.8)).orderBy("n").collect()] == [0, 1, 3, 4]
