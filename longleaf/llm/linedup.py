@@ -1,9 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-* Lines (without surrounding white space) are hashed; so are windows, the shortest runs of lines
-  that reach ``min_words``.  The document of the smallest id that has a window owns it, and every
-  later document that has it is linked to the owner.  Any block that may be deleted is made of
-  windows, so all of it is found with their owners.  A window that many documents share costs a
+* Lines (without surrounding white space) that aren't blank are hashed; so are windows, the shortest
+  runs of such lines that reach ``min_words``.  The document of the smallest id that has a window
+  owns it, and every later document that has it is linked to the owner.  Any block that may be
+  deleted is made of windows, so all of it is found with their owners.  Windows stand for the rare
+  lines of the method: a single line, however rare, would lead a document only to the line's first
+  owner, who need not have the rest of the passage.  A window that many documents share costs a
   link for each of them, not one for each two, and none is too common to be followed.
 * Linked documents are aligned by patience diff: lines that occur once in both are anchors, the
   longest increasing run of anchors is kept and the gaps between them are aligned alike.  What
@@ -13,10 +15,13 @@
 * Aligned common blocks of at least ``min_words`` words are deleted from the later document.  The
   first document with a line always keeps it.
 
+So a line goes exactly if it lies in a run of lines, of ``min_words`` words or more, that an earlier
+document has as well; blank lines count for nothing in such runs, and those inside a deleted block go.
+
 Cases: a null text stays null; a null id counts as later than all others; rows equal in id and text
 are one document and get the same result; rows of equal id and different text have an order of
-their own (by digest); blank lines are deleted only inside a block; an output column that df
-already has is replaced; an empty table gives no rows.
+their own (by digest); an output column that df already has is replaced, other names may clash; very
+long texts are aligned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,7 +99,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """(start, stop) of the shortest runs of lines from and to each line with words that reach min_words.
+    """(start, stop) of the shortest runs of lines from and to each line that reach min_words.
 
     Every line of a longer run lies in one of the windows inside that run.
     """
@@ -150,41 +155,54 @@ def common_blocks(a: list[int], words: list[int], b: list[int], min_words: int)
     return sorted({*gone} | _moved(a, words, b, min_words, {*gone}))
 
 
+def whole(gone: list[int], places: list[int]) -> list[int]:
+    """Places in the text of the lines in gone (places among those that aren't blank) and of the blank ones between them."""
+    out: list[int] = []
+    for before, i in zip([-2, *gone], gone, strict=False):
+        out += range(places[before] + 1, places[i] + 1) if before == i - 1 else [places[i]]
+    return out
+
+
 def repeated_lines(df: DataFrame, text_col: str, id_col: str, min_words: int) -> DataFrame:
     """(id, digest, lines): the places (from 0) of the lines to delete, for documents that have any."""
     tables = Tables(df.sparkSession)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        hashes, words, keys, n_lines, n_keys = [], [], [], [], []
+        hashes, words, places, keys, n_lines, n_keys = [], [], [], [], [], []
         for t in texts(batch.column(2)):
-            mine = [x.strip() for x in t.split("\n")]
-            n = [len(x.split()) for x in mine]
-            h = [xxhash.xxh64_intdigest(x) - (1 << 63) if k else 0 for x, k in zip(mine, n, strict=True)]
+            said = [(i, x, n) for i, x in enumerate(map(str.strip, t.split("\n"))) if (n := len(x.split()))]
+            h = [xxhash.xxh64_intdigest(x) - (1 << 63) for _, x, _ in said]
             flat = np.array(h, np.int64).tobytes()
-            own = {xxhash.xxh64_intdigest(flat[8 * i : 8 * i_end]) - (1 << 63) for i, i_end in windows(n, min_words)}
+            own = {xxhash.xxh64_intdigest(flat[8 * i : 8 * i_end]) - (1 << 63) for i, i_end in windows([n for _, _, n in said], min_words)}
             hashes += h
-            words += n
+            places += [i for i, _, _ in said]
+            words += [n for _, _, n in said]
             keys += own
             n_lines.append(len(h))
             n_keys.append(len(own))
-        return {"id": batch.column(0), "digest": batch.column(1), "lines": lists(np.array(hashes, np.int64), np.array(n_lines), pa.int64()), "words": lists(np.array(words, np.int32), np.array(n_lines), pa.int32()), "keys": lists(np.array(keys, np.int64), np.array(n_keys), pa.int64())}
+        n = np.array(n_lines)
+        return {"id": batch.column(0), "digest": batch.column(1), "lines": lists(np.array(hashes, np.int64), n, pa.int64()), "words": lists(np.array(words, np.int32), n, pa.int32()), "places": lists(np.array(places, np.int32), n, pa.int32()), "keys": lists(np.array(keys, np.int64), np.array(n_keys), pa.int64())}
 
-    lined = tables.write(map_arrow(docs, cut, {"id": "long", "digest": "long", "lines": "array<long>", "words": "array<int>", "keys": "array<long>"}), "lined")
+    lined = tables.write(map_arrow(docs, cut, {"id": "long", "digest": "long", "lines": "array<long>", "words": "array<int>", "places": "array<int>", "keys": "array<long>"}), "lined")
     has = lined.select("id", "digest", F.explode("keys").alias("key"))
     owners = has.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("own"), F.max(F.struct("id", "digest")).alias("last")).where("own <> last").select("key", F.col("own.id").alias("own_id"), F.col("own.digest").alias("own_digest"))
     linked = has.join(owners, "key").where("id <> own_id or digest <> own_digest").select("id", "digest", "own_id", "own_digest").distinct()
     once = lined.dropDuplicates(["id", "digest"])
-    sides = linked.join(once.select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("lines").alias("own_lines")), ["own_id", "own_digest"]).join(once.select("id", "digest", "lines", "words"), ["id", "digest"])
+    sides = linked.join(once.select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("lines").alias("own_lines")), ["own_id", "own_digest"]).join(once.select("id", "digest", "lines", "words", "places"), ["id", "digest"])
 
     def align(batch: pa.RecordBatch) -> dict[str, object] | None:
-        rows = [(i, gone) for i, (a, w, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)) if (gone := common_blocks(a, w, b, min_words))]
+        rows = []
+        for i in range(batch.num_rows):
+            a, w, b, at = (batch.column(k)[i].as_py() for k in (2, 3, 4, 5))
+            if gone := common_blocks(a, w, b, min_words):
+                rows.append((i, whole(gone, at)))
         if not rows:
             return None
         at = pa.array([i for i, _ in rows])
         return {"id": batch.column(0).take(at), "digest": batch.column(1).take(at), "gone": [g for _, g in rows]}
 
-    blocks = map_arrow(sides.select("id", "digest", "lines", "words", "own_lines"), align, {"id": "long", "digest": "long", "gone": "array<int>"})
+    blocks = map_arrow(sides.select("id", "digest", "lines", "words", "own_lines", "places"), align, {"id": "long", "digest": "long", "gone": "array<int>"})
     return tables.write(blocks.groupBy("id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
 
 
@@ -193,7 +211,7 @@ def drop_repeated_lines(df: DataFrame, text_col: str = "text", id_col: str = "do
     gone = repeated_lines(df, text_col, id_col, min_words)
     i, d = (free_name(df, n) for n in ("_line_id", "_line_digest"))
     keyed = df.drop("removed_lines").withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), d: F.xxhash64(text_col)})
-    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias("removed_lines")).hint("merge"), [i, d], "left")  # one plan at every size
+    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias("removed_lines")), [i, d], "left")
     pieces = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(pieces, lambda _, k: ~F.array_contains(F.col("removed_lines"), k)), "\n")
     out = both.withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(left)).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
