@@ -211,7 +211,7 @@ def drop_repeated_lines(df: DataFrame, text_col: str = "text", id_col: str = "do
     gone = repeated_lines(df, text_col, id_col, min_words)
     i, d = (free_name(df, n) for n in ("_line_id", "_line_digest"))
     keyed = df.drop("removed_lines").withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), d: F.xxhash64(text_col)})
-    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias("removed_lines")), [i, d], "left")
+    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias("removed_lines")).hint("merge"), [i, d], "left")  # the marked documents grow with the corpus, so no plan that suits a few of them
     pieces = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(pieces, lambda _, k: ~F.array_contains(F.col("removed_lines"), k)), "\n")
     out = both.withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(left)).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))

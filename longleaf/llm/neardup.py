@@ -250,4 +250,5 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", thre
     keys = [node, null_id, id_]
     keyed = df.withColumns({node: F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))), null_id: F.col(id_col).isNull(), id_: F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
     repeated = keyed.join(drop.where("stays").drop("stays"), keys, "left_semi").dropDuplicates(keys)
-    return keyed.join(drop.drop("stays"), keys, "left_anti").unionByName(repeated).select(df.columns)
+    # what goes grows with the corpus, so no plan that suits a few rows
+    return keyed.join(drop.drop("stays").hint("merge"), keys, "left_anti").unionByName(repeated).select(df.columns)
