@@ -2,23 +2,26 @@
 
 * Corners (Harris) are found at two scales of every image; none is capped, weak ones are no corners.
 * Around each, the direction to the centre of brightness turns a fixed set of 128 pairs of points;
-  which point of a pair is brighter gives a bit.  Crops, shifts and changes of brightness or
-  contrast leave such bits alone, turned and halved copies nearly so.
-* The bits are cut into four words.  Keypoints that agree in a word meet in a Hamming table, and all
-  images of a bucket meet each other there.  A link needs ``votes`` places in either image, so the
-  rarest word that two linked images share is none of those commonest words of an image that
-  cover fewer places (``rare_words``): leaving these out of the table loses no link.  Buckets are
-  cut into blocks, so that no task holds a whole common word.
-* Images that met are matched in all their words and places.  A match is a shift, turn and change of
-  scale.  Images are linked if ``votes`` keypoints of each agree in these (geometric consensus,
-  with bins that overlap by half).
+  which point of a pair is brighter in the smoothed image gives a bit.  Crops, shifts and changes of
+  brightness or contrast leave such bits alone, turned and halved copies nearly so.
+* The bits are cut into four words, the tables of a Hamming join: keypoints match if they agree in a
+  word and differ in ``far`` bits at most.  The bits are compared inside the join, so a word
+  that many unlike corners share gives no rows.
+* A match is a shift, turn and change of scale.  Images are linked if ``votes`` places of each
+  agree in these (geometric consensus, with bins that overlap by half).  The rarest word that two
+  linked images share is none of those commonest words of an image that cover fewer places, so
+  leaving these out of the join loses no link; images that met are then matched in all their words.
+* First every image of a bucket meets the bucket's leader only (the image with most company), so a
+  group of thousands of copies costs a row each.  Then images of a bucket meet those of
+  other components, whatever their number; a common word is dealt to many tasks.
 * Classes are connected components; images of equal bytes are one node from the start.
 
 Content is binary PGM or PPM (P5, P6, 8 bits).
 
 Cases: null, empty or unreadable content, and images without corners, are alone unless their bytes
-are equal to another's (null equals nothing); images are read whole at any size; rows repeat as in the input; a
-null id stays null; class_id is the smallest id of the class; an empty table gives no rows.
+are equal to another's (null equals nothing); images are read whole at any size; rows repeat as in
+the input; other columns are not read, whatever their names; a null id stays null; class_id is the
+smallest id of the class (null if it has none); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longleaf.llm.common import Tables, map_arrow
 from longleaf.llm.graph import components
 
-RADIUS, MARGIN, BITS, TURNS = 7, 9, 128, 24
-#: Images of a bucket that meet another such block in one task.
+RADIUS, MARGIN, BITS, TURNS = 7, 9, 128, 72
+#: Turns that count as one in the consensus.
+SWAY = 6
+#: Keypoints of a bucket that meet all others of it in one task.
 BLOCK = 512
 _HEAD = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 
@@ -98,18 +103,19 @@ def keypoints(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     angle = np.arctan2((disc * _DISC[:, 0]).sum(axis=1), (disc * _DISC[:, 1]).sum(axis=1))
     turn = np.rint(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
     at = _PAIRS[turn]
+    smooth = _box(smooth) / 9
     ends = smooth[image[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
     bits = ends[:, :, 0] < ends[:, :, 1]
     return image, np.stack([y, x], axis=1), turn, np.packbits(bits, axis=1, bitorder="little").view("<u4")
 
 
-def describe(contents: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of each keypoint: its image, its key in the Hamming table, and its place (packed)."""
+def describe(contents: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of each keypoint: its image, its key in the Hamming table, its place (packed) and all its bits (two longs)."""
     shapes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
     for i, c in enumerate(contents):
         if (grey := decode(c)) is not None:
             shapes.setdefault(grey.shape, []).append((i, grey))
-    owner, keys, places = [], [], []
+    owner, keys, places, bits = [], [], [], [np.zeros((0, 2), np.int64)]
     for images in shapes.values():
         step = max(1, 2_000_000 // images[0][1].size)
         for k in range(0, len(images), step):
@@ -124,12 +130,13 @@ def describe(contents: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.n
                 owner.append(np.repeat(index[image], 4))
                 keys.append((words.astype(np.int64) | np.arange(4) << 32).reshape(-1))
                 places.append(np.repeat(place, 4))
+                bits.append(np.repeat(np.ascontiguousarray(words).view("<i8"), 4, axis=0))
     flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return flat(owner), flat(keys), flat(places)
+    return flat(owner), flat(keys), flat(places), flat(bits)
 
 
-def rare_words(keys: list[int], places: list[int], votes: int) -> list[int]:
-    """The words of an image (commonest last) without the commonest ones that cover fewer than votes places."""
+def rare_words(keys: list[int], places: list[int], votes: int) -> int:
+    """How many of an image's words (commonest last) are left without the commonest ones that cover fewer than votes places."""
     covered: set[int] = set()
     end = len(keys)
     while end:
@@ -140,7 +147,7 @@ def rare_words(keys: list[int], places: list[int], votes: int) -> list[int]:
         if len(covered) >= votes:
             break
         end = start
-    return list(dict.fromkeys(keys[:end]))
+    return end
 
 
 def _codes(*columns: np.ndarray) -> np.ndarray:
@@ -157,11 +164,14 @@ def agreeing(pair: np.ndarray, place: np.ndarray, there: np.ndarray, votes: int,
     y, x, turn, level = (lambda c: c >> 32), (lambda c: c >> 8 & 0xFFFFFF), (lambda c: c >> 1 & 127), (lambda c: c & 1)
     scale, turned = level(there) - level(place), (turn(there) - turn(place)) % TURNS
     ratio, angle = 2.0**scale, turned * (2 * np.pi / TURNS)
-    dx = x(there) - ratio * (np.cos(angle) * x(place) - np.sin(angle) * y(place))
-    dy = y(there) - ratio * (np.sin(angle) * x(place) + np.cos(angle) * y(place))
+    one = _codes(pair)
+    n = np.bincount(one)
+    py, px = y(place) - (np.bincount(one, y(place)) / n)[one], x(place) - (np.bincount(one, x(place)) / n)[one]  # a turn about the middle moves places least
+    dx = x(there) - ratio * (np.cos(angle) * px - np.sin(angle) * py)
+    dy = y(there) - ratio * (np.sin(angle) * px + np.cos(angle) * py)
     found = [np.zeros(0, np.int64)]
     for a, b, c in np.ndindex(2, 2, 2):
-        group = _codes(pair, scale, (turned + c) % TURNS // 2, np.floor(dx / cell + a / 2), np.floor(dy / cell + b / 2))
+        group = _codes(pair, scale, (turned + c * SWAY // 2) % TURNS // SWAY, np.floor(dx / cell + a / 2), np.floor(dy / cell + b / 2))
         many = np.ones(group.max(initial=-1) + 1, bool)
         for side in (place, there):
             once = np.unique(_codes(group, side), return_index=True)[1]
@@ -170,8 +180,8 @@ def agreeing(pair: np.ndarray, place: np.ndarray, there: np.ndarray, votes: int,
     return np.unique(np.concatenate(found))
 
 
-def matches(n: np.ndarray, keys: np.ndarray, places: np.ndarray, n2: np.ndarray, keys2: np.ndarray, places2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, place, place2) of every two keypoints of a pair that agree in a word."""
+def matches(n: np.ndarray, keys: np.ndarray, places: np.ndarray, bits: np.ndarray, n2: np.ndarray, keys2: np.ndarray, places2: np.ndarray, bits2: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, place, place2) of every two keypoints of a pair that agree in a word and differ in at most far bits."""
     word = _codes(np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n2)), n2)]), np.concatenate([keys, keys2]))
     mine, theirs = word[: len(keys)], word[len(keys) :]
     order = np.argsort(theirs, kind="stable")
@@ -179,63 +189,88 @@ def matches(n: np.ndarray, keys: np.ndarray, places: np.ndarray, n2: np.ndarray,
     count = high - low
     at = np.repeat(np.arange(len(mine)), count)
     other = order[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    near = np.bitwise_count(bits[at] ^ bits2[other]).sum(axis=1) <= far
+    at, other = at[near], other[near]
     return np.repeat(np.arange(len(n)), n)[at], places[at], places2[other]
 
 
-def linked_images(points: DataFrame, tables: Tables, votes: int, cell: int) -> DataFrame:
-    """(a, b) of every two images, a > b, that are linked, from their words (node, key, place)."""
+def _near(far: int, *sides: str) -> Column:
+    """Whether the keypoints of both sides of a join differ in at most far bits."""
+    x, y = ([F.col(f"{s}.{c}") for c in ("low", "high")] for s in sides)
+    return F.bit_count(x[0].bitwiseXOR(y[0])) + F.bit_count(x[1].bitwiseXOR(y[1])) <= far
+
+
+def linked_images(points: DataFrame, tables: Tables, votes: int, cell: int, far: int) -> DataFrame:
+    """Links (a, b) whose components are the classes of images, from their words (node, key, place, low, high)."""
     common = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "n")
-    listed = points.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "key", "place"))).alias("p")).select("node", F.col("p.key").alias("keys"), F.col("p.place").alias("places"))
+    listed = points.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key", "place", "low", "high"))).alias("p"))
 
-    def table(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"node": batch.column(0), "keys": batch.column(1), "places": batch.column(2), "rare": [rare_words(k, p, votes) for k, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]}
+    def rank(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"node": batch.column(0), "rare": [rare_words(k, p, votes) for k, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]}
 
-    words = tables.write(map_arrow(listed, table, {"node": "long", "keys": "array<long>", "places": "array<long>", "rare": "array<long>"}).where("size(rare) > 0"), "words")
-    has = words.select("node", F.explode("rare").alias("key"))
-    parts = has.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"))
-    blocks = tables.write(has.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list("node").alias("members")), "blocks")
-    other = blocks.select("key", F.col("part").alias("part2"), F.col("members").alias("others"))
-    met = blocks.join(other, "key").where("part <= part2").select("part", "part2", F.explode("members").alias("x"), "others").select("part", "part2", "x", F.explode("others").alias("y")).where("part < part2 or x > y")
-    pairs = tables.write(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "met")
+    listed = tables.write(listed.select("node", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("key", "place", "low", "high")]), "listed")
+    rare = map_arrow(listed.select("node", "keys", "places"), rank, {"node": "long", "rare": "int"}).where("rare > 0")
+    words = tables.write(listed.join(rare, "node"), "words")
+    entry = F.explode(F.slice(F.arrays_zip("keys", "lows", "highs"), 1, F.col("rare"))).alias("e")
+    has = tables.write(words.select("node", entry).select("node", F.col("e.keys").alias("key"), F.col("e.lows").alias("low"), F.col("e.highs").alias("high")).distinct(), "has")
 
     def verify(batch: pa.RecordBatch) -> dict[str, object] | None:
-        (n, k, p), (n2, k2, p2) = ((batch.column(i).value_lengths().to_numpy(zero_copy_only=False), batch.column(i).flatten().to_numpy(zero_copy_only=False), batch.column(i + 1).flatten().to_numpy(zero_copy_only=False)) for i in (2, 4))
-        at = pa.array(agreeing(*matches(n, k, p, n2, k2, p2), votes, cell))
-        return {"a": batch.column(0).take(at), "b": batch.column(1).take(at)} if len(at) else None
-
-    side = lambda n, k, p: words.select(F.col("node").alias(n), F.col("keys").alias(k), F.col("places").alias(p))
-    both = pairs.join(side("a", "keys", "places"), "a").join(side("b", "keys2", "places2"), "b").select("a", "b", "keys", "places", "keys2", "places2")
-    return tables.write(map_arrow(both, verify, {"a": "long", "b": "long"}), "links")
+        def side(first: int) -> list[np.ndarray]:
+            flat = [batch.column(first + k).flatten().to_numpy(zero_copy_only=False) for k in range(4)]
+            return [batch.column(first).value_lengths().to_numpy(zero_copy_only=False), *flat[:2], np.stack(flat[2:], axis=1)]
 
+        at = pa.array(agreeing(*matches(*side(2), *side(6), far), votes, cell))
+        return {"a": batch.column(0).take(at), "b": batch.column(1).take(at)} if len(at) else None
 
-def copies(df: DataFrame, content_col: str = "content", id_col: str = "media_id", votes: int = 4, cell: int = 6) -> DataFrame:
-    """media_id, class_id and n_links (links of the image's bytes to others) of every row."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        names = ("keys", "places", "lows", "highs")
+        side = lambda n, mark: words.select(F.col("node").alias(n), *[F.col(c).alias(c + mark) for c in names])
+        both = pairs.join(side("a", ""), "a").join(side("b", "2"), "b").select("a", "b", *names, *[f"{c}2" for c in names])
+        return tables.write(map_arrow(both, verify, {"a": "long", "b": "long"}), "links")
+
+    pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
+    crowd = has.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    standing = has.join(crowd, "key").groupBy("node").agg(F.sum("n").alias("standing"))
+    leaders = has.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", "node", "low", "high")).alias("best")).select("key", "best.*")
+    starred = tables.write(has.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _near(far, "x", "y")).select(*pair).distinct(), "starred")
+    links = verified(starred)
+
+    known = components(links, tables)
+    placed = has.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
+    parts = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"))
+    placed = tables.write(placed.join(parts, "key"), "placed")
+    x = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
+    y = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") < F.col("y.comp")) & _near(far, "x", "y")).select(*pair).distinct()
+    return links.unionByName(verified(met.join(starred, ["a", "b"], "left_anti")))
+
+
+def copies(df: DataFrame, content_col: str = "content", id_col: str = "media_id", votes: int = 4, cell: int = 6, far: int = 16) -> DataFrame:
+    """media_id, class_id and class_size (rows in the class) of every row."""
     tables = Tables(df.sparkSession)
     media = df.select(F.col(id_col).cast("long").alias("media_id"), F.col(content_col).alias("content"))
     media = media.withColumn("node", F.coalesce(F.xxhash64(F.md5("content")), F.monotonically_increasing_id() - (1 << 62)))
 
     def words(batch: pa.RecordBatch) -> dict[str, object]:
-        owner, keys, places = describe(batch.column(1).to_pylist())
+        owner, keys, places, bits = describe(batch.column(1).to_pylist())
         order = np.argsort(owner, kind="stable")
         n = np.bincount(owner, minlength=batch.num_rows)
         cut = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         many = lambda x: pa.ListArray.from_arrays(cut, pa.array(x[order], pa.int64()))
-        return {"media_id": batch.column(0), "node": batch.column(2), "keys": many(keys), "places": many(places)}
+        return {"media_id": batch.column(0), "node": batch.column(2), "keys": many(keys), "places": many(places), "lows": many(bits[:, 0]), "highs": many(bits[:, 1])}
 
-    described = tables.write(map_arrow(media.select("media_id", "content", "node"), words, {"media_id": "long", "node": "long", "keys": "array<long>", "places": "array<long>"}), "described")
-    once = described.where("size(keys) > 0").select("node", "keys", "places").dropDuplicates(["node"])
-    points = once.select("node", F.explode(F.arrays_zip("keys", "places")).alias("p")).select("node", F.col("p.keys").alias("key"), F.col("p.places").alias("place"))
-    points = tables.write(points, "points")
-    links = linked_images(points, tables, votes, cell)
-    labels = components(links, tables)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = described.select("media_id", "node").join(labels, "node", "left").join(degree, "node", "left").select("media_id", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classes = rows.groupBy("comp").agg(F.min("media_id").alias("class_id"))
-    return rows.join(classes, "comp").select("media_id", "class_id", "n_links")
+    described = tables.write(map_arrow(media.select("media_id", "content", "node"), words, {"media_id": "long", "node": "long", "keys": "array<long>", "places": "array<long>", "lows": "array<long>", "highs": "array<long>"}), "described")
+    once = described.where("size(keys) > 0").select("node", F.arrays_zip("keys", "places", "lows", "highs").alias("p")).dropDuplicates(["node"])
+    points = once.select("node", F.explode("p").alias("p")).select("node", *[F.col(f"p.{c}s").alias(c) for c in ("key", "place", "low", "high")])
+    labels = components(linked_images(tables.write(points, "points"), tables, votes, cell, far), tables)
+    rows = described.select("media_id", "node").join(labels, "node", "left").select("media_id", F.coalesce("comp", "node").alias("comp"))
+    classes = rows.groupBy("comp").agg(F.min("media_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return rows.join(classes, "comp").select("media_id", "class_id", "class_size")
 
 
 def render(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id", side: int = 48, edited: int = 10) -> DataFrame:
-    """A media table made from vectors, as the given tables hold no images.
+    """A media table made from vectors, as the given tables hold no images: drawings of 48 by 48 points.
 
     Media 2 x id draws fixed random projections of the vector as light and dark fields; every edited-th id also
     gives media 2 x id + 1, a cropped copy of it with other brightness and contrast.

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from longleaf.llm import ann, chat, common, media, toxicity, wrapper
+from longleaf.llm import ann, chat, common, graph, media, toxicity, wrapper
 
 
 def test_search_equals_brute_force(spark):
@@ -163,16 +163,80 @@ def test_cropped_and_edited_copies_are_found(spark):
     assert len(got) == len(rows)
     assert all(classes[10 * i + k] == 10 * i for i in range(30) for k in range(3))
     assert [classes[i] for i in (1000, 1001, 1002, 1003, 1004, None)] == [1000, 1001, 1002, 1002, 1004, 0]
-    assert next(r["n_links"] for r in got if r["media_id"] == 1) == 1
+    assert {r["media_id"]: r["class_size"] for r in got}[11] == 3 and {r["media_id"]: r["class_size"] for r in got}[0] == 4  # with the image without an id
     assert media.copies(spark.createDataFrame([], "media_id long, content binary")).count() == 0
 
 
-def test_every_two_copies_of_a_group_are_linked(spark):
+def turned(grey, degrees):
+    """A copy turned about its middle, by linear interpolation."""
+    high, wide = grey.shape
+    t, cy, cx = np.deg2rad(degrees), (high - 1) / 2, (wide - 1) / 2
+    y, x = np.mgrid[0:high, 0:wide]
+    sy, sx = cy + (y - cy) * np.cos(t) - (x - cx) * np.sin(t), cx + (y - cy) * np.sin(t) + (x - cx) * np.cos(t)
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    fy, fx = sy - y0, sx - x0
+    at = lambda i, j: np.where((i >= 0) & (i < high) & (j >= 0) & (j < wide), grey[np.clip(i, 0, high - 1), np.clip(j, 0, wide - 1)], 128)
+    return at(y0, x0) * (1 - fy) * (1 - fx) + at(y0, x0 + 1) * (1 - fy) * fx + at(y0 + 1, x0) * fy * (1 - fx) + at(y0 + 1, x0 + 1) * fy * fx
+
+
+EDITS = {
+    "turned by 17 degrees": lambda g: turned(g, 17),
+    "turned by 8 degrees": lambda g: turned(g, 8),
+    "turned by 90 degrees": np.rot90,
+    "half as large": lambda g: g.reshape(g.shape[0] // 2, 2, -1, 2).mean(axis=(1, 3)),
+    "cropped": lambda g: g[12:-8, 10:-20],
+    "darker": lambda g: g * 0.7 + 20,
+    "noisy": lambda g: g + np.random.default_rng(1).normal(0, 4, g.shape),
+}
+
+
+@pytest.mark.parametrize("edit", EDITS.values(), ids=EDITS)
+def test_edited_copies_are_found(spark, edit):
+    """40 images and an edited copy of each: nine in ten copies join their original, and no two originals meet."""
+    rng = np.random.default_rng(17)
+    greys = [np.kron(rng.integers(20, 235, (16, 16)), np.ones((6, 6))) for _ in range(40)]
+    rows = [(2 * i + k, media.encode(f(g))) for i, g in enumerate(greys) for k, f in enumerate((lambda g: g, edit))]
+    classes = {r["media_id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()}
+    assert sum(classes[2 * i + 1] == 2 * i for i in range(40)) >= 36 and all(classes[2 * i] == 2 * i for i in range(40))
+
+
+def test_classes_equal_those_of_all_pairs(spark):
+    """60 images, among them copies that share corners with each other only: classes are those of brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(12):
+        grey = np.kron(rng.integers(20, 235, (20, 20)), np.ones((5, 5)))
+        rows += [(5 * i + k, media.encode(grey[a:b, c:d])) for k, (a, b, c, d) in enumerate([(0, 60, 0, 60), (0, 60, 30, 100), (30, 100, 30, 100), (40, 100, 0, 60), (10, 90, 10, 90)])]
+    owner, keys, places, bits = media.describe([c for _, c in rows])
+    side = lambda i: (np.array([(owner == i).sum()]), keys[owner == i], places[owner == i], bits[owner == i])
+    parent = list(range(60))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(60):
+        for j in range(i):
+            if len(media.agreeing(*media.matches(*side(i), *side(j), 16), 4, 6)):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r["media_id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()}
+    assert got == {i: root(i) for i in range(60)}
+
+
+def test_a_group_of_copies_is_one_class(spark):
     rng = np.random.default_rng(8)
     grey = np.kron(rng.integers(20, 235, (24, 24)), np.ones((3, 3)))
-    rows = [(i, media.encode(grey[i : 60 + i, 2 * i : 58 + 2 * i] * (1 - i / 20) + 5 * i)) for i in range(6)]
-    got = media.copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()
-    assert {(r["media_id"], r["class_id"], r["n_links"]) for r in got} == {(i, 0, 5) for i in range(6)}
+    rows = [(i, media.encode(grey[i : 60 + i, 2 * i : 58 + 2 * i] * (1 - i / 20) + 5 * i), "x") for i in range(6)]
+    got = media.copies(spark.createDataFrame(rows, "media_id long, content binary, node string")).collect()
+    assert {(r["media_id"], r["class_id"], r["class_size"]) for r in got} == {(i, 0, 6) for i in range(6)}
+
+
+def test_a_large_image_is_read_whole(spark):
+    rng = np.random.default_rng(12)
+    grey = np.kron(rng.integers(20, 235, (150, 200)), np.ones((6, 6)))
+    rows = [(1, media.encode(grey)), (2, media.encode(grey[-200:, -220:])), (3, media.encode(rng.integers(0, 255, (60, 60)).astype(float)))]
+    assert {(r["media_id"], r["class_id"]) for r in media.copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
 def test_images_meet_whatever_others_have_their_words(spark, monkeypatch):
@@ -181,14 +245,19 @@ def test_images_meet_whatever_others_have_their_words(spark, monkeypatch):
     rows += [(n, k, place(n * k * 37 % 4001, n * n * k * 53 % 3989)) for n in range(100, 200) for k in range(1, 6)]
     rows += [(n, 100 + k, place(10 * k + n, 7 * k)) for n in (3, 4, 5) for k in range(6)]
     rows += [(6, k, place(10 * k, 10 * k)) for k in (9, 10, 11, 12)] + [(7, k, place(50, 50)) for k in (9, 10, 11, 12)]  # four places against one
-    points = spark.createDataFrame(rows, "node long, key long, place long")
+    points = spark.createDataFrame([(*r, 0, 0) for r in rows], "node long, key long, place long, low long, high long")
+    apart = points.withColumn("low", F.when(F.col("node") == 5, (1 << 17) - 1).otherwise(0))  # 17 bits off
     for block in (media.BLOCK, 7):
         monkeypatch.setattr(media, "BLOCK", block)
-        got = {(r["a"], r["b"]) for r in media.linked_images(points, common.Tables(spark), 4, 6).collect()}
-        assert got == {(502, 501), (4, 3), (5, 3), (5, 4)}
+        for table, rest in ((points, {3, 4, 5}), (apart, {3, 4})):
+            tables = common.Tables(spark)
+            got = {}
+            for r in graph.components(media.linked_images(table, tables, 4, 6, 16), tables).collect():
+                got.setdefault(r["comp"], set()).add(r["node"])
+            assert sorted(got.values(), key=min) == [rest, {501, 502}]
 
 
 def test_rare_words_leave_out_fewer_places_than_a_link_needs():
-    assert media.rare_words([1, 2, 3, 4, 5], [10, 20, 30, 40, 50], 4) == [1, 2]
-    assert media.rare_words([1, 9, 9, 9, 9], [1, 2, 3, 4, 5], 4) == [1, 9]
-    assert media.rare_words([1, 2, 3, 4], [7, 7, 8, 9], 4) == []
+    assert media.rare_words([1, 2, 3, 4, 5], [10, 20, 30, 40, 50], 4) == 2
+    assert media.rare_words([1, 9, 9, 9, 9], [1, 2, 3, 4, 5], 4) == 5
+    assert media.rare_words([1, 2, 3, 4], [7, 7, 8, 9], 4) == 0
