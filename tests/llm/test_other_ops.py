@@ -98,6 +98,45 @@ def test_wrappers_of_hosts(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def _unmarked(i):
+    """A page without article, main or telling names: links, a slot for an advert, the story, a fixed line in it, terms."""
+    story = "".join(f"<p>{' '.join(f's{i}p{k}w{j}' for j in range(12))}</p>" for k in range(1 + i % 3))
+    return f'<div class="c1"><a href="/">Home</a> <a href="/n">News</a></div><div class="c2"><h1>Title {i}</h1>{"<p>By A</p>" if i % 2 else ""}{story}<p class="c9">Join our list today</p></div><div class="c3"><p>Terms apply to all of it</p><p>Made by hand</p></div>'
+
+
+def test_slots_tell_the_article_and_the_template(spark):
+    rows = [(i, f"http://h.org/{i}", _unmarked(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(9):
+        want = [f"Title {i}", *(["By A"] if i % 2 else []), *(" ".join(f"s{i}p{k}w{j}" for j in range(12)) for k in range(1 + i % 3))]
+        assert got[i] == "\n\n".join(want)
+        assert wrapper.extract_page(rows[i][2], None) != got[i]  # the page alone does not tell
+
+
+def test_pages_that_repeat_one_article_keep_it(spark):
+    rows = [(i, "http://h.org/", PAGE.format(f"<article><h1>One</h1><p>same text</p><p>again</p>{'<p>x' * (i % 2)}</article>")) for i in range(8)]
+    got = {r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"One\n\nsame text\n\nagain", "One\n\nsame text\n\nagain\n\nx"}
+
+
+def test_an_articles_own_header_stays_and_marked_parts_go():
+    body = '<article><header><h1>Title</h1></header><p>body</p><p class="legal">small print</p><p class="notice">n</p><div class="share-links">s</div><footer>f</footer><section class="comments"><p>c</section></article>'
+    assert wrapper.extract_page(PAGE.format(body), None) == "Title\n\nbody\n\nsmall print"
+
+
+def test_deep_and_long_pages_are_read_whole(spark):
+    deep = "<div>" * 3000 + "<p>deep</p><aside>no</aside>" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>{k} {'w ' * 20}</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, "http://a.org", deep), (2, "http://b.org", long), (3, "http://b.org", long)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "deep" and got[2] == got[3] == "\n\n".join(f"{k} {'w ' * 20}".strip() for k in range(20_000))
+
+
+def test_wrappers_survive_being_written():
+    w = wrapper.fold(wrapper.parse(_unmarked(3)))
+    assert wrapper.loads(wrapper.dumps(w)) == w
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a, b = (wrapper.fold(wrapper.parse(x)) for x in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>x</h1><ul><li>y</ul></div>"))
     merged = wrapper.merge(a, b)[5][0]
