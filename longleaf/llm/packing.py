@@ -7,18 +7,20 @@ are interchangeable, so packing them is a cutting-stock problem over a histogram
 
 * a linear program chooses how often to use each pattern (a multiset of lengths that fits);
 * knapsack dynamic programming over the program's prices finds the pattern that improves it most;
-* the numbers are rounded down, and the documents of a length, ranked, take its places in order;
-* tails beyond the rounded patterns (and those of patterns that would waste more than ``waste``
-  tokens) are laid end to end, largest first, and cut where a sequence ends: no padding there but
-  in the last sequence.
+* the numbers are rounded down, and the program is solved once more for the lengths that are left;
+  what that leaves (fewer sequences than there are lengths) gets patterns one by one, each by
+  dynamic programming over the lengths still there, as long as they waste ``waste`` ids or fewer;
+* the documents of a length, ranked, take its places in order;
+* tails beyond the patterns are laid end to end, largest first, and cut where a sequence ends: no
+  padding there but in the last sequence.
 
 Only the histogram comes to the driver.  Ranks come from counts by (length, task), never from
 sorting the documents of a length in one task, so a length that a third of all documents share
 is no hot spot.
 
 Cases: a null text is the empty text (one end id); very long texts give many whole sequences; equal
-rows are packed as rows of their own; an empty table gives no pieces; other columns are not read;
-a null id column stays null in the pieces.
+rows are packed as rows of their own; an empty table gives no pieces; other columns are not read,
+whatever their names; a null id stays null in the pieces.
 """
 
 from __future__ import annotations
@@ -121,26 +123,59 @@ def cutting_stock(counts: dict[int, int], size: int, rounds: int = 80, gap: floa
     return list(zip(basis, x.tolist(), strict=True))
 
 
+def fullest(left: dict[int, int], size: int) -> dict[int, int]:
+    """The fullest pattern with the largest length of left that its numbers allow (bounded knapsack; sums are bits of an integer)."""
+    first = max(left)
+    room = size - first
+    reach, mask, steps = 1, (1 << room + 1) - 1, []
+    for n in sorted(left, reverse=True):
+        count, times = left[n] - (n == first), 1
+        while count > 0 and not reach >> room & 1:
+            m = min(times, count)
+            steps.append((n, m, reach))
+            reach |= reach << n * m & mask
+            count, times = count - m, 2 * times
+    at = reach.bit_length() - 1
+    pattern = {first: 1}
+    for n, m, before in reversed(steps):
+        if not before >> at & 1:
+            pattern[n] = pattern.get(n, 0) + m
+            at -= n * m
+    return pattern
+
+
 class Places:
     """Where the tail of a given length and rank goes."""
 
-    def __init__(self, counts: dict[int, int], size: int, waste: int):
+    def __init__(self, counts: dict[int, int], size: int, waste: int, rounds: int = 80):
         self.size = size
         slots: list[tuple[int, int, int, int, int]] = []  # length, first rank, times in the pattern, first sequence, offset
         used = dict.fromkeys(counts, 0)
         sequence = 0
-        for pattern, x in cutting_stock(counts, size):
-            if size - sum(n * k for n, k in pattern.items()) > waste:
-                continue
-            times = min([int(x + 1e-6), *((counts[n] - used[n]) // k for n, k in pattern.items())])
-            if times <= 0:
-                continue
+
+        def take(pattern: dict[int, int], times: int) -> None:
+            nonlocal sequence
             offset = 0
             for n, k in sorted(pattern.items(), reverse=True):
                 slots.append((n, used[n], k, sequence, offset))
                 used[n] += times * k
                 offset += n * k
             sequence += times
+
+        for most in (rounds, rounds // 4):
+            for pattern, x in cutting_stock({n: k - used[n] for n, k in counts.items() if k > used[n]}, size, most):
+                times = min(int(x + 1e-6), *((counts[n] - used[n]) // k for n, k in pattern.items()))
+                if times > 0 and size - sum(n * k for n, k in pattern.items()) <= waste:
+                    take(pattern, times)
+        spare: dict[int, int] = {n: k - used[n] for n, k in counts.items()}
+        while any(spare.values()):
+            pattern = fullest({n: k for n, k in spare.items() if k}, size)
+            if size - sum(n * k for n, k in pattern.items()) <= waste:
+                take(pattern, 1)
+            else:
+                pattern = {max(pattern): spare[max(pattern)]}  # no pattern holds this length
+            for n, k in pattern.items():
+                spare[n] -= k
         slots.sort()
         self.length, self.first, self.times, self.sequence, self.offset = (np.array([s[i] for s in slots], np.int64) for i in range(5))
         self.used = np.zeros(size + 1, np.int64)
@@ -169,7 +204,7 @@ def _cut(path: str, size: int, end_id: int):
 
     def run(batches) -> Iterator[dict[str, object]]:
         part = TaskContext.get().partitionId()
-        n, full_before = 0, 0
+        full_before = 0
         ranks = np.zeros(size + 1, np.int64)
         for batch in batches:
             values = texts(batch.column(1))
@@ -188,48 +223,52 @@ def _cut(path: str, size: int, end_id: int):
                 crcs = [zlib.crc32(x[i : i + step]) for x, f in zip(ids, full.tolist(), strict=True) for i in range(0, f * step, step)]
                 before = full_before + np.cumsum(full) - full
                 yield {
-                    "row": (part << 33) + n + np.arange(k), "part": np.full(k, part), "doc_id": batch.column(0)[a:b], "doc_tokens": length, "full_before": before,
+                    "part": np.full(k, part), "doc_id": batch.column(0)[a:b], "doc_tokens": length, "full_before": before,
                     "full_crcs": lists(np.array(crcs, np.int64), full, pa.int64()), "tail": tail.astype(np.int32), "tail_rank": rank, "tail_crc": [zlib.crc32(x) for x in tails], "tail_ids": binaries(b"".join(tails), 4 * tail),
                 }
-                n, full_before = n + k, full_before + int(full.sum())
+                full_before += int(full.sum())
 
     return run
 
 
-def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 1024, end_id: int = 0, tokenizer: str | None = None, waste: int = 8) -> DataFrame:
-    """Pieces of documents in sequences of ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 1024, end_id: int = 0, tokenizer: str | None = None, waste: int = 8, rounds: int = 80) -> DataFrame:
+    """Pieces of documents in sequences of ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    rounds bounds the pricing rounds of a program, and so the driver's time; what they leave is cut, not padded.
+    """
     spark, path = df.sparkSession, tokenizer or tokenizer_path()
     tables = Tables(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = tables.write(map_arrow(docs, _cut(path, size, end_id), {"row": "long", "part": "long", "doc_id": "long", "doc_tokens": "long", "full_before": "long", "full_crcs": "array<long>", "tail": "int", "tail_rank": "long", "tail_crc": "long", "tail_ids": "binary"}, whole=True), "cut")
+    cut = tables.write(map_arrow(docs, _cut(path, size, end_id), {"part": "long", "doc_id": "long", "doc_tokens": "long", "full_before": "long", "full_crcs": "array<long>", "tail": "int", "tail_rank": "long", "tail_crc": "long", "tail_ids": "binary"}, whole=True), "cut")
 
     by_task = cut.where("tail > 0").groupBy("tail", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = {int(r["tail"]): int(r["n"]) for r in by_task.groupBy("tail").agg(F.sum("n").alias("n")).collect()}  # size - 1 rows at most
-    places = Places(counts, size, waste)
+    places = Places(counts, size, waste, rounds)
     offsets = by_task.select("tail", "part", (F.sum("n").over(Window.partitionBy("tail").orderBy("part")) - F.col("n")).alias("ranked"))
 
     def place(batch: pa.RecordBatch) -> dict[str, object]:
-        doc, row, tokens, tail, rank, crc = (batch.column(i) for i in range(6))
-        tokens, tail, rank = (np.asarray(x, np.int64) for x in (tokens, tail, rank))
+        doc, tokens, tail, rank, crc = (batch.column(i) for i in range(5))
+        tokens, tail, rank, crc = (np.asarray(x, np.int64) for x in (tokens, tail, rank, crc))
         sequence, offset = places.of(tail, rank)
         over = np.maximum(offset + tail - size, 0)
         twice = np.flatnonzero(over)
         take = np.concatenate([np.arange(len(tail)), twice])
         second = np.arange(len(take)) >= len(tail)
         head = tail - over
+        skip, length = np.where(second, head[take], 0), np.where(second, over[take], head[take])
+        crcs = crc[take]
+        for i in np.flatnonzero(over[take]).tolist():
+            crcs[i] = zlib.crc32(batch.column(5)[int(take[i])].as_py()[4 * skip[i] : 4 * (skip[i] + length[i])])
         return {
-            "row": row.take(pa.array(take)), "doc_id": doc.take(pa.array(take)), "skip": np.where(second, head[take], 0), "length": np.where(second, over[take], head[take]), "ids_crc32": pa.array(np.asarray(crc)[take], mask=over[take] > 0),
-            "start": np.where(second, head[take], 0) + (tokens - tail)[take], "doc_tokens": tokens[take], "sequence_id": sequence[take] + second, "offset": np.where(second, 0, offset[take]),
+            "doc_id": doc.take(pa.array(take)), "start": skip + (tokens - tail)[take], "length": length, "ids_crc32": crcs,
+            "doc_tokens": tokens[take], "sequence_id": sequence[take] + second, "offset": np.where(second, 0, offset[take]),
         }
 
-    ranked = cut.where("tail > 0").join(offsets, ["tail", "part"]).select("doc_id", "row", "doc_tokens", F.col("tail").cast("long"), (F.col("tail_rank") + F.col("ranked")).alias("rank"), "tail_crc")
-    placed = tables.write(map_arrow(ranked, place, {"row": "long", "doc_id": "long", "skip": "long", "length": "long", "ids_crc32": "long", "start": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}), "placed")
+    ranked = cut.where("tail > 0").join(offsets, ["tail", "part"]).select("doc_id", "doc_tokens", F.col("tail").cast("long"), (F.col("tail_rank") + F.col("ranked")).alias("rank"), "tail_crc", "tail_ids")
+    placed = map_arrow(ranked, place, {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"})
 
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    piece = F.expr("substring(tail_ids, cast(4 * skip + 1 as int), cast(4 * length as int))")
-    halves = placed.where("ids_crc32 is null").drop("ids_crc32").join(cut.select("row", "tail_ids"), "row").withColumn("ids_crc32", F.crc32(piece))
     by_part = cut.groupBy("part").agg(F.max(F.col("full_before") + F.size("full_crcs")).alias("n"))
     firsts = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") + F.lit(places.sequences)).alias("first"))  # a row for each task
     whole = cut.join(firsts, "part").select("doc_id", "doc_tokens", (F.col("first") + F.col("full_before")).alias("first"), F.posexplode("full_crcs").alias("i", "ids_crc32"))
     whole = whole.select("doc_id", (F.col("i").cast("long") * size).alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(placed.where("ids_crc32 is not null").select(columns)).unionByName(halves.select(columns))
+    return whole.unionByName(placed)

@@ -95,6 +95,26 @@ def test_cutting_stock_is_near_the_least_number():
     assert sum(x for _, x in patterns) <= 1.02 * sum(k * t for k, t in counts.items()) / 256
 
 
+def test_most_tails_are_placed_by_patterns():
+    rng = np.random.default_rng(6)
+    for n in (1000, 20_000):
+        counts = dict(Counter(np.minimum(1023, rng.geometric(1 / 300, n)).tolist()))
+        places = packing.Places(counts, 1024, 8)
+        assert sum(int(places.used[k]) for k in counts) >= 0.9 * n
+        assert places.sequences <= 1.01 * sum(k * c for k, c in counts.items()) / 1024 + 1
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=6))
+def test_fullest_pattern_equals_a_plain_search(left):
+    got = packing.fullest(left, 40)
+    assert all(k <= left[n] for n, k in got.items()) and got.get(max(left), 0) >= 1
+    sums = {max(left)}
+    for n, k in left.items():
+        sums |= {s + n * m for s in list(sums) for m in range(1, k + 1 - (n == max(left))) if s + n * m <= 40}
+    assert sum(n * k for n, k in got.items()) == max(sums)
+
+
 def test_sequences_are_lossless(spark):
     rows = sequences.pack_sequences(docs(spark), size=256).collect()
     matrix = sequences.matrix_of(rows, 256)
