@@ -161,7 +161,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def env_single_thread() -> None:
-    """One thread per worker: Spark already runs one worker per core."""
-    for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "TOKENIZERS_PARALLELISM"):
-        os.environ.setdefault(k, "false" if k.startswith("TOK") else "1")
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside, whatever the session's setting is before and after."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        small_batches(spark, int(before))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import Tables, free_name, lists, map_arrow, small_batches, text_blocks, texts
+from longleaf.llm.common import Tables, batches_of, free_name, lists, map_arrow, text_blocks, texts
 from longleaf.llm.graph import components
 from longleaf.llm.hashing import mix, shingle_sets
 
@@ -213,9 +213,8 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
             out = [p for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in linked(x, y, threshold, width)]
             return {"a": [a for a, _ in out], "b": [b for _, b in out]} if out else None
 
-        small_batches(df.sparkSession, 16)
-        more = tables.write(map_arrow(meet, compare, {"a": "binary", "b": "binary"}), "more")
-        small_batches(df.sparkSession)
+        with batches_of(df.sparkSession, 16):  # a row is a pair of blocks
+            more = tables.write(map_arrow(meet, compare, {"a": "binary", "b": "binary"}), "more")
         comps = components(links.union(more), tables)
 
     rows_of = signed.select("doc_id", "node", (F.size("keys") > 0).alias("worded"))

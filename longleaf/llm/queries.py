@@ -12,7 +12,6 @@ from longleaf.llm.common import read, small_batches
 
 
 def op1_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 8)  # a row is a pair of blocks
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
