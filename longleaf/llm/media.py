@@ -11,9 +11,10 @@
   agree in these (geometric consensus, with bins that overlap by half).  The rarest word that two
   linked images share is none of those commonest words of an image that cover fewer places, so
   leaving these out of the join loses no link; images that met are then matched in all their words.
-* First every image of a bucket meets the bucket's leader only (the image with most company), so a
-  group of thousands of copies costs a row each.  Then images of a bucket meet those of
-  other components, whatever their number; a common word is dealt to many tasks.
+* First every image meets one leader only (of those that lead its buckets, being the images with
+  most company there), so a group of thousands of copies costs a row each.  Then images meet
+  their other leaders, and at last all images of their buckets, that are in other
+  components, whatever their number; a common word is dealt to many tasks.
 * Classes are connected components; images of equal bytes are one node from the start.
 
 Content is binary PGM or PPM (P5, P6, 8 bits).
@@ -231,19 +232,28 @@ def linked_images(points: DataFrame, tables: Tables, votes: int, cell: int, far:
     pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
     crowd = has.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     standing = has.join(crowd, "key").groupBy("node").agg(F.sum("n").alias("standing"))
-    leaders = has.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", "node", "low", "high")).alias("best")).select("key", "best.*")
-    starred = tables.write(has.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _near(far, "x", "y")).select(*pair).distinct(), "starred")
-    links = verified(starred)
-
-    known = components(links, tables)
-    placed = has.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
-    parts = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"))
-    placed = tables.write(placed.join(parts, "key"), "placed")
+    leaders = tables.write(has.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", "node", "low", "high")).alias("best")).select("key", "best.*"), "leaders")
+    led = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _near(far, "x", "y")
+
+    def placed_by(links: DataFrame) -> DataFrame:
+        """Keypoints with the components of their images, in buckets of several components."""
+        placed = has.join(components(links, tables), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
+        return tables.write(placed.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts")), "key"), "placed")
+
+    # every image with its best leader; with its other leaders in other components; with all others in other components
+    best = has.alias("x").join(leaders.alias("y"), led).groupBy("x.node").agg(F.max(F.struct("y.standing", "y.node")).alias("best"))
+    tried = tables.write(best.select(F.greatest("node", "best.node").alias("a"), F.least("node", "best.node").alias("b")).distinct(), "tried")
+    links = verified(tried)
+    placed = placed_by(links)
+    head = leaders.join(placed.select("node", F.col("comp").alias("its")).distinct(), "node").alias("y")
+    starred = tables.write(placed.alias("x").join(head, led & (F.col("x.comp") != F.col("y.its"))).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "starred")
+    links = tables.write(links.unionByName(verified(starred)), "links")
+    placed = placed_by(links)
     x = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
     y = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") < F.col("y.comp")) & _near(far, "x", "y")).select(*pair).distinct()
-    return links.unionByName(verified(met.join(starred, ["a", "b"], "left_anti")))
+    met = x.join(y, led & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") < F.col("y.comp"))).select(*pair).distinct()
+    return links.unionByName(verified(met.join(tried.union(starred), ["a", "b"], "left_anti")))
 
 
 def copies(df: DataFrame, content_col: str = "content", id_col: str = "media_id", votes: int = 4, cell: int = 6, far: int = 16) -> DataFrame:
