@@ -8,11 +8,15 @@ document's score is that of its highest window; windows overlap and cover the wh
 Training sees only labelled rows outside the held-out fifth, at most ``sample`` documents of each
 label, those with the smallest hash of their id (one text of each id).  Word vectors start from the smoothed log-odds of
 the word in that sample; of a toxic document the window with the highest log-odds is learned, of a
-clean one that window and others.  The final threshold is the one that errs least on the sample.
+clean one that window and another.  Executors count the sample's words, cut its windows and score
+it; only frequent words, windows (of at most ``WINDOW_CHARS`` characters; longer ones are not
+learned) and scores come to the driver.  The threshold is the one that errs least on the
+sample, and scores are scaled to be its likeliest probabilities.
 
 Cases: null and empty texts, and others without words, are clean; very long texts are scored
 in full; rows repeat as in the input; a null id counts as held out; contradicting labels of one id
-count as toxic; without labels of both kinds every score is 0.
+count as toxic; without labels of both kinds every score is 0; an empty table gives no rows; other columns
+are not read, whatever their names, and keep_clean hands them on.
 """
 
 from __future__ import annotations
@@ -24,33 +28,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import map_arrow, text_blocks, texts
+from longleaf.llm.common import Tables, map_arrow, text_blocks, texts
 from longleaf.llm.hashing import mix
 from longleaf.session import ship
 
 WINDOW, STRIDE, STATE, WORD_DIM, CHAR_DIM, ATTEND, TRIGRAMS = 64, 48, 12, 8, 8, 8, 4096
 #: Logit of a window without words.
 CLEAN = -30.0
-#: Characters that are read at once.
-BLOCK_CHARS = 1_000_000
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Characters that are read at once, and those of a window that is learned from at most.
+BLOCK_CHARS, WINDOW_CHARS = 1_000_000, 20_000
+_ASCII = np.zeros(128, bool)
+_ASCII[[*range(48, 58), *range(97, 123)]] = True
 
 
 def split_words(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the lower-case texts; start, size, hash and text of every word (run of letters and digits)."""
-    raw = [v.lower().encode("utf-8", "surrogatepass") for v in values]
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
-    edge = np.diff(_LETTER[data].astype(np.int8), prepend=0, append=0)
+    """Characters of the lower-case texts; start, size, hash and text of every word (run of ASCII letters and digits and of other characters)."""
+    lower = [v.lower() for v in values]
+    data = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = data >= 128
+    low = np.flatnonzero(~letter)
+    letter[low] = _ASCII[data[low]]
+    edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return data, start, start, np.zeros(0, np.uint64), start
     size = stop - start
-    at = np.flatnonzero(_LETTER[data])
+    at = np.flatnonzero(letter)
     pos = at - np.repeat(start, size)
     powers = np.multiply.accumulate(np.full(int(size.max()), 0xD6E8FEB86659FD93, np.uint64))
     h = mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * powers[pos], np.concatenate([[0], np.cumsum(size)[:-1]])))
-    return data, start, size, h, np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    return data, start, size, h, np.searchsorted(np.cumsum([len(t) + 1 for t in lower]), start, side="right")
 
 
 def trigrams(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +69,7 @@ def trigrams(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
     first, last = at == start[owner], at == (start + size - 1)[owner]
     left = np.where(first, 1, data[np.maximum(at - 1, 0)]).astype(np.uint64)
     right = np.where(last, 2, data[np.minimum(at + 1, len(data) - 1)]).astype(np.uint64)
-    return (mix(left << np.uint64(16) | data[at].astype(np.uint64) << np.uint64(8) | right) % np.uint64(TRIGRAMS)).astype(np.int64), owner
+    return (mix(left << np.uint64(42) | data[at].astype(np.uint64) << np.uint64(21) | right) % np.uint64(TRIGRAMS)).astype(np.int64), owner
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,34 +243,27 @@ def _learn(x: Inputs, chosen: np.ndarray, label: np.ndarray, p: dict[str, np.nda
     return g
 
 
-def train(values: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 256, words: int = 20_000, seed: int = 7) -> Model:
-    """Fit a model on texts and their labels (1: toxic)."""
-    rng = np.random.default_rng(seed)
-    none = np.zeros(0, np.uint64)
-    if not len(values) or labels.min() == labels.max():
-        p = _parameters(rng, np.zeros(0, np.float32))
-        p["w"][:] = 0
-        return Model(none, p, 0.0, 0.0)
-    hashes, docs = [], []
+def word_counts(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words (hashes) of each text, and the text they are in."""
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi in text_blocks(values, BLOCK_CHARS):
         h, of = split_words(values[lo:hi])[3:]
         pair = np.unique(h ^ mix(of.astype(np.uint64) + np.uint64(1)), return_index=True)[1] if len(h) else of
         hashes.append(h[pair])
         docs.append(of[pair] + lo)
-    words_of, doc_of = np.concatenate(hashes), np.concatenate(docs)
-    names, index = np.unique(words_of, return_inverse=True)
-    toxic = np.bincount(index, labels[doc_of], len(names))
-    clean = np.bincount(index, 1 - labels[doc_of], len(names))
-    odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
-    sure = odds * np.minimum(1, (toxic + clean) / 10)
-    frequent = np.argsort(-(toxic + clean), kind="stable")[:words]
-    frequent = np.sort(frequent[(toxic + clean)[frequent] >= 5])
-    known, weight = names[frequent], np.append(sure[frequent], 0)
-    p = _parameters(rng, sure[frequent].astype(np.float32))
-    del hashes, docs, words_of, doc_of, names, index, toxic, clean, odds, sure
-
-    learned: list[str] = []  # of each document its window of the highest log-odds; of a clean one another, too
-    label_of: list[int] = []
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def odds_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Smoothed log-odds of words that so many toxic and clean texts have; those of rare words count less."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    return (odds * np.minimum(1, (toxic + clean) / 10)).astype(np.float32)
+
+
+def learned_windows(values: list[str], labels: np.ndarray, draws: np.ndarray, known: np.ndarray, odds: np.ndarray) -> list[list[str]]:
+    """Of each text its window of the highest log-odds; of a clean one (label 0) the one that draws, a number, picks, too."""
+    weight = np.append(odds, 0)
+    out: list[list[str]] = []
     for lo, hi in text_blocks(values, BLOCK_CHARS):
         data, start, size = split_words(values[lo:hi])[:3]
         x = Inputs(values[lo:hi], known)
@@ -272,17 +272,24 @@ def train(values: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 2
         order = np.lexsort((-peak, x.text))
         first = np.searchsorted(x.text[order], np.arange(hi - lo))
         count = np.bincount(x.text, minlength=hi - lo)
-        picks = np.concatenate([order[first], order[(first + rng.integers(0, count))[labels[lo:hi] == 0]]])
-        for w in picks.tolist():
-            t = int(x.text[w])
-            a = int(x.first[t] + x.start[w])
-            b = int(x.first[t] + min(x.start[w] + WINDOW, x.counts[t])) - 1
-            learned.append(data[start[a] : start[b] + size[b]].tobytes().decode("utf-8", "ignore") if x.counts[t] else "")
-            label_of.append(int(labels[lo + t]))
-    targets = np.array(label_of)
-    mixed = rng.permutation(len(learned))
-    learned, targets = [learned[i] for i in mixed.tolist()], targets[mixed]
-    inputs = [Inputs(learned[i : i + 4096], known) for i in range(0, len(learned), 4096)]
+        for t in range(hi - lo):
+            picks = [order[first[t]], *([order[first[t] + int(draws[lo + t]) % int(count[t])]] if labels[lo + t] == 0 else [])]
+            mine = []
+            for w in map(int, picks):
+                a = int(x.first[t] + x.start[w])
+                b = int(x.first[t] + min(x.start[w] + WINDOW, x.counts[t])) - 1
+                mine.append(data[start[a] : start[b] + size[b]].tobytes().decode("utf-32-le", "surrogatepass") if x.counts[t] else "")
+            out.append([m for m in mine if len(m) <= WINDOW_CHARS])
+    return out
+
+
+def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.ndarray, epochs: int = 6, batch: int = 256, seed: int = 7) -> Model:
+    """Fit a network on windows of words and their labels (1: toxic); known words have vectors that start from their log-odds."""
+    rng = np.random.default_rng(seed)
+    p = _parameters(rng, odds)
+    mixed = rng.permutation(len(windows))
+    windows, targets = [windows[i] for i in mixed.tolist()], labels[mixed]
+    inputs = [Inputs(windows[i : i + 4096], known) for i in range(0, len(windows), 4096)]
     mean = {k: np.zeros_like(v) for k, v in p.items()}
     square = {k: np.zeros_like(v) for k, v in p.items()}
     steps = 0
@@ -297,14 +304,22 @@ def train(values: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 2
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
                     p[k] -= 0.01 * (mean[k] / (1 - 0.9**steps)) / (np.sqrt(square[k] / (1 - 0.99**steps)) + 1e-8)
-    m = Model(known, p)
-    got = score_texts(values, m)
+    return Model(known, p)
+
+
+def calibrate(m: Model, got: np.ndarray, labels: np.ndarray) -> Model:
+    """Set the logit that errs least on these scores as the middle, and the scale that makes the labels likeliest (smoothed, so that no scale is endless)."""
     order = np.argsort(got, kind="stable")
     wrong = np.concatenate([[(labels == 0).sum()], (labels == 0).sum() + np.cumsum(np.where(labels[order] == 1, 1, -1))])
     best = np.flatnonzero(wrong == wrong.min())
     k = int(best[len(best) // 2])
     low, high = got[order[max(k - 1, 0)]], got[order[min(k, len(order) - 1)]]
     m.middle = float((low + high) / 2) if 0 < k < len(order) else float(low - 1 if k == 0 else high + 1)
+    n = labels.sum()
+    target = np.where(labels == 1, (n + 1) / (n + 2), 1 / (len(labels) - n + 2))
+    scales = np.geomspace(0.05, 20, 80)
+    loss = [np.mean(np.logaddexp(0, (s := c * np.clip(got - m.middle, -30, 30))) - target * s) for c in scales]
+    m.scale = float(scales[int(np.argmin(loss))])
     return m
 
 
@@ -313,15 +328,44 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = 2500) -> Model:
-    """Train on at most ``sample`` labelled documents of each label that aren't held out."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    marked = marked.where(~held_out("_id"))
-    chosen = [marked.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample) for label in (0, 1)]
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = 2500, words: int = 20_000) -> Model:
+    """Train on at most ``sample`` labelled documents of each label that aren't held out; ``words`` frequent words have vectors of their own."""
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    marked = marked.where(~held_out("id"))
+    chosen = [marked.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample) for label in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 x sample rows at most
-    texts_of = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(ids, "_id")
-    rows = texts_of.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id").collect()
-    return train([r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
+    texts_of = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id")
+    rows = Tables(docs.sparkSession).write(texts_of.groupBy("id", "label").agg(F.min("text").alias("text")), "sample")
+    n_of = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n_of) < 2:
+        none = np.zeros(0, np.uint64)
+        return Model(none, _parameters(np.random.default_rng(0), np.zeros(0, np.float32)), 0.0, 0.0)
+
+    def count(batch: pa.RecordBatch) -> dict[str, object]:
+        h, doc = word_counts(texts(batch.column(2)))
+        return {"word": h.view(np.int64), "label": np.asarray(batch.column(1))[doc]}
+
+    counts = map_arrow(rows, count, {"word": "long", "label": "int"}).groupBy("word").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    frequent = counts.where("n >= 5").orderBy(F.desc("n"), "word").limit(words).collect()
+    known = np.array([r["word"] for r in frequent], np.int64).view(np.uint64)
+    toxic, n = (np.array([r[c] for r in frequent], np.float64) for c in ("toxic", "n"))
+    order = np.argsort(known)
+    known, odds = known[order], odds_of(toxic, n - toxic, n_of[1], n_of[0])[order]
+
+    def cut(batch: pa.RecordBatch) -> dict[str, object] | None:
+        label, ids = np.asarray(batch.column(1)), np.asarray(batch.column(0))
+        mine = learned_windows(texts(batch.column(2)), label, mix(ids.astype(np.uint64)), known, odds)
+        times = [len(w) for w in mine]
+        return {"id": np.repeat(ids, times), "nth": [k for w in mine for k in range(len(w))], "label": np.repeat(label, times), "window": [x for w in mine for x in w]}
+
+    learned = map_arrow(rows, cut, {"id": "long", "nth": "int", "label": "int", "window": "string"}).orderBy(F.xxhash64("id"), "id", "nth").collect()
+    model = train([r["window"] for r in learned], np.array([r["label"] for r in learned], np.int64), known, odds)
+
+    def judge(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"id": batch.column(0), "label": batch.column(1), "logit": score_texts(texts(batch.column(2)), model)}
+
+    judged = map_arrow(rows, judge, {"id": "long", "label": "int", "logit": "double"}).orderBy("id").collect()
+    return calibrate(model, np.array([r["logit"] for r in judged]), np.array([r["label"] for r in judged]))
 
 
 def probabilities(values: list[str], model: Model) -> np.ndarray:

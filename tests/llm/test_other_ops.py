@@ -188,6 +188,55 @@ def test_toxic_words_are_learned_anywhere_in_a_text(spark):
     assert {r["score"] for r in toxicity.score(docs.limit(5), none).collect()} == {0.0}
 
 
+def test_layer_equals_scalar_recurrence():
+    """One window, word by word, with the gates written out."""
+    rng = np.random.default_rng(1)
+    n = toxicity.STATE
+    x, u = rng.standard_normal((9, 1, 3 * n)).astype(np.float32), rng.standard_normal((n, 3 * n)).astype(np.float32)
+    h = [0.0] * n
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(9):
+        a = [sum(h[i] * float(u[i, j]) for i in range(n)) for j in range(3 * n)]
+        z = [sig(x[t, 0, j] + a[j]) for j in range(n)]
+        r = [sig(x[t, 0, n + j] + a[n + j]) for j in range(n)]
+        c = [np.tanh(x[t, 0, 2 * n + j] + r[j] * a[2 * n + j]) for j in range(n)]
+        h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+    assert np.allclose(toxicity._layer(x, np.ones((9, 1, 1), np.float32), u)[-1, 0], h, atol=1e-4)
+
+
+def test_network_beats_its_word_odds(spark):
+    """Texts are toxic where two words stand in one order, clean in the other: word odds tell nothing, the network does."""
+    rng = np.random.default_rng(3)
+    plain = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(3000):
+        words = rng.choice(plain, 12).tolist()
+        at = int(rng.integers(11))
+        words[at : at + 2] = ("gorp", "zand") if i % 2 else ("zand", "gorp")
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).where("held_out").collect()}
+    right = np.mean([r["predicted"] == rows[i][2] for i, r in got.items()])
+    h, doc = toxicity.word_counts([t for _, t, _ in rows])
+    label = np.array([x for _, _, x in rows])
+    names, index = np.unique(h, return_inverse=True)
+    toxic = np.bincount(index, label[doc])
+    odds = toxicity.odds_of(toxic, np.bincount(index) - toxic, 1500, 1500)
+    lexicon = np.zeros(3000)
+    np.add.at(lexicon, doc, odds[index])
+    guess = np.mean([(lexicon[i] >= np.median(lexicon)) == rows[i][2] for i in got])
+    assert right > 0.9 > 0.65 > guess
+
+
+def test_clean_rows_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} {'vile' if i % 2 else 'kind'} w{i % 5}", i, "x", 0.5) for i in range(400)], "doc_id long, text string, id long, label string, score double")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2, "t") for i in range(400)], "doc_id long, toxic int, text string"))
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(0, 400, 2))
+    assert {(r["doc_id"] % 2, r["predicted"]) for r in toxicity.score(docs, model).collect()} == {(0, 0), (1, 1)}
+
+
 def test_cropped_and_edited_copies_are_found(spark):
     rng = np.random.default_rng(6)
     rows = []
