@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Chinese digits and units, answer letters, words that mark weak headings and words that call for a calculation.
-CN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+#: Chinese digits and units, words that mark weak headings, words that call for a calculation, types and formats of choices.
+CN_DIGITS = {"零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 CN_UNITS = {"十": 10, "百": 100, "千": 1000}
-WEAK_TITLES = ("目录", "附录", "附件", "前言", "释义", "备查文件", "声明", "注释", "说明", "参考文献", "contents", "appendix", "disclaimer")
+WEAK_TITLES = ("目录", "释义", "备查文件", "附件", "摘要", "声明", "TOC", "abstract", "summary", "disclaimer", "declaration", "glossary", "appendix")
 COMPARISONS = (
-    "超过", "低于", "高于", "不低于", "不超过", "大于", "小于", "等于", "增长", "下降", "增加", "减少", "同比", "环比", "合计", "总计", "差额", "比例", "占比", "倍", "平均", "计算", "金额", "百分比",
+    "大于", "小于", "不低于", "不超过", "高于", "低于", "至少", "至多", "超过", "介于", "范围", "以内", "以上", "以下", "不足", "多于", "少于", "同比增长", "同比下降", "增幅", "降幅", "占比", "比率", "倍",
 )
+CHOICES = ("单选题", "多选题", "判断题", "mcq", "multi", "tf")
 CJK = "[\\u4e00-\\u9fff]"
 
 
@@ -133,16 +134,22 @@ def query_text(keywords: Column, question: Column) -> Column:
     return F.coalesce(F.nullif(strip(F.replace(F.coalesce(keywords, F.lit("")), F.lit("|"), F.lit(" "))), F.lit("")), question)
 
 
+#: Lines that are page numbers, and texts of lines that stand on pages for form's sake.
+PAGE_NUMBERS = (r"^\s*\d{1,4}\s*$", r"^\s*\d{1,4}\s*/\s*\d{1,4}\s*$")
+PAGE_TEXTS = ("请扫描以查询验证条款", "请务必阅读正文之后的免责条款")
+
+
 def is_page_furniture(c: Column) -> Column:
-    """Whether a line is only a page number or one of the usual report disclaimers."""
-    return c.rlike(r"^\s*\d+\s*$|^\s*\d+\s*/\s*\d+\s*$|请务必阅读.{0,20}(?:声明|条款)|^\s*敬请参阅.{0,20}(?:声明|说明)")
+    """Whether a line is only a page number or holds one of the fixed texts of pages."""
+    return c.rlike("|".join([*PAGE_NUMBERS, *PAGE_TEXTS]))
 
 
 def is_empty_chunk(text: Column, images: Column) -> Column:
-    """Whether a chunk says nothing: short after removing marks of absence, or a table of contents."""
-    table = text.rlike(r"(?m)^\s*\|.*\|\s*$")
-    rest = strip(F.regexp_replace(F.regexp_replace(text, r"(?:□|☑|√)?\s*不?适用|无[。．.]", ""), r"\|", ""))
-    listing = F.regexp_count(text, F.lit(r"\.{2,}\s*\d+|…+\s*\d+")) >= 2
+    """Whether a chunk without images and tables says nothing: under 10 characters after removing marks of absence, or a table of contents."""
+    bare = F.regexp_replace(strip(text), "无。|无．|不适用", "")
+    rest = strip(F.replace(F.regexp_replace(bare, r"(?U)□\s*适用", ""), F.lit("|"), F.lit("")))
+    listing = F.regexp_count(rest, F.lit(r"(?U)\.\.\s*\d+")) >= 2
+    table = text.contains("|") & text.contains("---")
     return ~((F.coalesce(F.size(images), F.lit(0)) > 0) | table) & ((F.length(rest) < 10) | listing)
 
 
@@ -151,40 +158,53 @@ def keeps_whole(c: Column) -> Column:
     return (F.regexp_count(c, F.lit(r"\|")) > 5) | (F.length(c) < 100)
 
 
+#: What a list of a JSON text and this mark ends with, if the text is one value and nothing else.
+_MARK = "end of the value 5f3c"
+
+
+def _whole_json(c: Column) -> Column:
+    """VARIANT of a text that is one JSON value; null for others, also for several values in a row."""
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f', "{_MARK}"]')))
+    last = F.try_variant_get(both, "$[1]", "string") == _MARK
+    return F.when(F.coalesce(last, F.lit(False)) & F.try_variant_get(both, "$[2]", "variant").isNull(), F.try_variant_get(both, "$[0]", "variant"))
+
+
 def json_value(c: Column) -> Column:
     """VARIANT of a model's reply: all of it, or what stands between its first and last brace or bracket; null if neither is JSON."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<thinking>.*?</thinking>", ""), r"```(?:json)?", "")
-    span = lambda p: F.try_parse_json(F.nullif(F.regexp_extract(bare, p, 0), F.lit("")))
-    return F.coalesce(F.try_parse_json(bare), span(r"(?s)\{.*\}"), span(r"(?s)\[.*\]"))
+    bare = strip(F.regexp_replace(F.regexp_replace(c, r"```[a-z]*(?U)\s*", ""), r"(?s)<thinking>.*?</thinking>", ""))
+    span = lambda p: _whole_json(F.nullif(F.regexp_extract(bare, p, 0), F.lit("")))
+    return F.coalesce(_whole_json(bare), span(r"(?s)\{.*\}"), span(r"(?s)\[.*\]"))
 
 
-def needs_calculation(question: Column, evidence: Column) -> Column:
-    """Whether question and evidence hold a number and the question's texts a word of comparison."""
-    text = F.concat_ws(" ", question, evidence)
-    return text.rlike(r"\d") & text.rlike("|".join(COMPARISONS))
+def needs_calculation(kind: Column, answer_format: Column, question: Column, options: Column, evidence: Column) -> Column:
+    """Whether a question is to be calculated: by its type, or if it asks for choices and its texts hold a digit and a word of comparison."""
+    text = F.concat_ws(" ", question, F.array_join(F.map_values(options), " "), evidence)
+    stated = F.coalesce(answer_format, F.lit("mcq")).isin("mcq", "multi")
+    return F.coalesce(kind.contains("计算"), F.lit(False)) | (stated & text.rlike(r"(?U)\d") & text.rlike("|".join(COMPARISONS)))
 
 
 def format_answer(options: Column, kind: Column) -> Column:
-    """Answer letters of a list of chosen options: A or B for true/false, the first for one choice, sorted letters otherwise."""
+    """Answer letters of a list of chosen options: A if it is chosen or else B for true/false, the first for one choice, sorted letters otherwise."""
     letters = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.array_join(options, ""), F.lit("[ABCD]"), F.lit(0)))), "")
-    truth = F.when(F.array_join(options, "").contains("A"), F.lit("A")).otherwise(F.lit("B"))
+    truth = F.when(F.array_contains(options, "A"), F.lit("A")).otherwise(F.lit("B"))
     return F.when(F.coalesce(F.size(options), F.lit(0)) <= 0, F.lit("")).when(kind == "tf", truth).when(kind == "mcq", options[0]).otherwise(letters)
 
 
 def split_answer(answer: Column, kind: Column) -> Column:
-    """The four answer slots (array of 4): choices stay whole, other answers are cut at separators and the fourth takes the rest."""
-    whole = kind.isin("单选题", "多选题", "判断题") | answer.rlike("^[A-D]+$")
-    parts = F.filter(F.split(answer, r"[；;，,\s]+"), lambda p: p != "")
+    """The four answer slots (array of 4) of an answer without white space around it: choices stay whole, others are cut at separators and the fourth takes the rest."""
+    bare = strip(F.coalesce(answer, F.lit("")))
+    parts = F.filter(F.split(bare, r"(?U)[；;，,\s]+"), lambda p: p != "")
+    whole = F.coalesce(kind.isin(*CHOICES), F.lit(False)) | bare.rlike("^[A-D]+$") | (F.size(parts) <= 1)
     slot = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
     fourth = F.array_join(F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0))), "；")
-    return F.when(F.coalesce(answer, F.lit("")) == "", F.array_repeat(F.lit(""), 4)).when(whole, F.concat(F.array(answer), F.array_repeat(F.lit(""), 3))).otherwise(F.array(slot(1), slot(2), slot(3), fourth))
+    return F.when(whole, F.concat(F.array(bare), F.array_repeat(F.lit(""), 3))).otherwise(F.array(slot(1), slot(2), slot(3), fourth))
 
 
 def answer_warnings(answer: Column, kind: Column) -> Column:
-    """What is wrong with an answer: empty, or not letters A-D where a choice is asked for."""
-    blank = strip(F.coalesce(answer, F.lit(""))) == ""
-    wrong = ~blank & kind.isin("单选题", "多选题", "判断题") & ~answer.rlike("^[A-D]+$")
-    return F.array_compact(F.array(F.when(blank, F.lit("empty answer")), F.when(wrong, F.lit("not a choice"))))
+    """What is wrong with an answer: empty, and not letters A-D where a choice is asked for."""
+    bare = strip(F.coalesce(answer, F.lit("")))
+    wrong = F.coalesce(kind.isin(*CHOICES), F.lit(False)) & ~bare.rlike("^[A-D]+$")
+    return F.array_compact(F.array(F.when(bare == "", F.lit("empty answer")), F.when(wrong, F.lit("not a choice"))))
 
 
 def token_score(total: Column, budget: int = 5_000_000) -> Column:
@@ -225,11 +245,12 @@ def packed(pieces: Column, limit: int, size=None, glue: str = "\n\n") -> Column:
 
 
 def merged_short(chunks: Column, least: int, most: int, glue: str = "\n\n") -> Column:
-    """Chunks shorter than least join the one before them if the union is estimated at most at most tokens."""
+    """A chunk shorter than least joins the one before it if both together are estimated at most at most tokens."""
 
     def step(out: Column, c: Column) -> Column:
-        joined = F.concat(F.element_at(out, -1), F.lit(glue), c)
-        fits = (F.size(out) > 0) & ((tokens_mixed(c) < least) | (tokens_mixed(F.try_element_at(out, F.lit(-1))) < least)) & (tokens_mixed(F.concat(F.try_element_at(out, F.lit(-1)), F.lit(glue), c)) <= most)
+        before = F.try_element_at(out, F.lit(-1))
+        joined = F.concat(before, F.lit(glue), c)
+        fits = (F.size(out) > 0) & (tokens_mixed(c) < least) & (tokens_mixed(joined) <= most)
         return F.when(fits, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(c)))
 
     return F.aggregate(chunks, F.array().cast("array<string>"), step)

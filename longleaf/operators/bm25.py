@@ -1,15 +1,17 @@
 """A keyword index as ordinary tables, and ranked search over it.
 
 The index is four tables: chunks (with their length), postings (term, chunk, times), vocabulary
-(term, documents, idf) and one row of corpus figures.  A search joins the terms of all targets
-with the postings at once; Catalyst picks the strategy by size, and adaptive execution splits
-terms that are far more common than others.
+(term, documents, idf) and one row of corpus figures.  A saved index is used again until it is
+built anew.  A search joins the terms of all targets with the postings at once; Catalyst picks the
+strategy by size, and adaptive execution splits terms that are far more common than others.  What
+characters and substrings add is scored for the chunks that the terms found, and only for those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
-from longleaf.session import ship
+from longleaf.session import delete, is_complete, ship
 
 K1, B, GRAM_WEIGHT, SUBSTRING_WEIGHT = 1.5, 0.75, 0.3, 0.25
-#: Targets whose likeness is computed by matrix products at most; more are compared pair by pair.
+#: Targets whose grams and terms are sent to the tasks at once; more go in several rounds.
 TARGETS = 2048
+#: Unicode's white space, as patterns with (?U) have it.
+SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _TABLES = ("chunks", "postings", "vocabulary", "corpus")
 
 
@@ -33,13 +37,28 @@ class Index:
     corpus: DataFrame  # n_chunks, avg_terms
 
     def save(self, path: str) -> None:
-        for name in _TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Each table from those saved before it, so texts are cut into terms once."""
+        spark = self.chunks.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        saved = _figures(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+        saved.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        saved.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in _TABLES))
 
+    @staticmethod
+    def ensure(chunks: DataFrame, path: str, force: bool = False, tokenizer: Callable[[Column], Column] = T.terms) -> Index:
+        """The index saved at path; built from chunks (and saved there) if there is none, or anew if forced."""
+        spark = chunks.sparkSession
+        if force:
+            delete(spark, path)
+        if not all(is_complete(spark, f"{path}/{name}") for name in _TABLES):
+            build(chunks, tokenizer).save(path)
+        return Index.load(spark, path)
+
     def info(self) -> DataFrame:
         """n_chunks, n_terms and avg_terms in one row."""
         return self.corpus.crossJoin(self.vocabulary.agg(F.count(F.lit(1)).alias("n_terms"))).select("n_chunks", "n_terms", "avg_terms")
@@ -50,6 +69,10 @@ def build(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.terms) ->
     base = chunks.select("ord", "doc_id", "chunk_id", "header_path", "text", tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
     sized = base.withColumn("n_terms", F.size("terms")).drop("terms")
     postings = base.select("ord", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "ord", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
+    return _figures(sized, postings)
+
+
+def _figures(sized: DataFrame, postings: DataFrame) -> Index:
     corpus = sized.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.avg("n_terms"), F.lit(1.0)).alias("avg_terms"))
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus.select("n_chunks"))
     idf = F.ln((F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
@@ -80,35 +103,75 @@ def allowed(index: Index, filters: DataFrame, prefix: bool = True) -> DataFrame:
     return filters.join(index.chunks.select("ord", F.explode(names).alias("req_doc")), "req_doc").select("target", "req_doc", "ord")
 
 
-def likeness(chunks: DataFrame, asked: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """(ord, overlaps, insides): for each of the targets (grams, terms), how many grams a chunk shares and how many terms its text holds.
-
-    Two matrix products for a batch of chunks, instead of an intersection for each pair.
-    """
-    ship(chunks.sparkSession)
-    grams = {g: k for k, g in enumerate(sorted({g for x, _ in asked for g in x}))}
-    words = {t: k for k, t in enumerate(sorted({t for _, x in asked for t in x}))}
-
-    def run(batches):
-        by_gram, by_word = np.zeros((len(grams), len(asked)), np.float32), np.zeros((len(words), len(asked)), np.float32)
-        for k, (g, t) in enumerate(asked):
-            by_gram[[grams[x] for x in g], k] = 1
-            np.add.at(by_word[:, k], [words[x] for x in t], 1)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                shared, held = np.zeros((part.num_rows, len(grams)), np.float32), np.zeros((part.num_rows, len(words)), np.float32)
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    text = text or ""
-                    bare = "".join(text.split())
-                    mine = {*bare, *map(str.__add__, bare, bare[1:])}
-                    shared[i, [grams[g] for g in mine if g in grams]] = 1
-                    held[i, [k for t, k in words.items() if t in text]] = 1
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(asked), pa.int32()), pa.array(x.astype(np.int32).reshape(-1))) for x in (shared @ by_gram, held @ by_word)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["ord", "overlaps", "insides"])
-
-    kind = dict(chunks.dtypes)["ord"]
-    return chunks.select("ord", "text").mapInArrow(run, f"ord {kind}, overlaps array<int>, insides array<int>")
+def gram_codes(text: str) -> np.ndarray:
+    """The characters and pairs of neighbouring characters of a text without its white space, as sorted numbers."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    c = c[~np.isin(c, SPACE)]
+    return np.unique(np.concatenate([c, c[:-1] << 21 | c[1:] | 1 << 42])) if len(c) else c
+
+
+def likeness(asked: list[tuple[str, list[str]]]):
+    """A function of (text, numbers of targets): what the shared grams and found terms of these targets (query, terms) add to their scores."""
+    names, grams = _listed([gram_codes(q).tolist() for q, _ in asked])
+    words, terms = _listed([t for _, t in asked])
+
+    @F.arrow_udf("array<double>")
+    def adds(texts: pa.Array, targets: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, t in enumerate(words):
+            automaton.add_word(t, k)
+        automaton.make_automaton()
+        known = np.array(names, np.int64)
+        out, lengths = [np.zeros(0)], [0]
+        for text, ks in zip(texts.to_pylist(), targets.to_pylist(), strict=True):
+            text = text or ""
+            shared, held = np.zeros(len(names) + 1), np.zeros(len(words) + 1)
+            at = np.searchsorted(known, mine := gram_codes(text))
+            has = at < len(known)
+            shared[at[has][known[at[has]] == mine[has]]] = 1
+            if words:
+                held[[*{k for _, k in automaton.iter(text)}]] = 1
+            out.append(np.stack([_summed(shared, *grams)[ks], _summed(held, *terms)[ks]], axis=1).reshape(-1))
+            lengths.append(2 * len(ks))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(np.concatenate(out)))
+
+    return adds
+
+
+def _listed(parts: list[list]) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
+    """The distinct values of lists, sorted, and the lists as places in them (each ended by the place after the last), with their starts."""
+    names = sorted({x for p in parts for x in p})
+    place = {x: k for k, x in enumerate(names)}
+    flat = [k for p in parts for k in [*map(place.__getitem__, p), len(names)]]
+    return names, (np.array(flat, np.int64), np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1])
+
+
+def _summed(values: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the values that each list names."""
+    return np.add.reduceat(values[flat], starts) if len(flat) else np.zeros(0)
+
+
+def _enhanced(found: DataFrame, chunks: DataFrame, targets: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """found (target, ord, bm25 and others) with raw instead of bm25: a chunk's text meets the targets that found it, in one row."""
+    ship(targets.sparkSession)
+    asked = targets.select("target", "query", F.filter(tokenizer(F.col("query")), lambda t: F.length(t) >= 2).alias("terms"))
+    kept = [c for c in found.columns if c not in ("bm25", "ord")]
+    schema = targets.select("target").withColumn("k", F.lit(0)).schema
+    out = None
+    rows = asked.toLocalIterator()
+    while (block := list(islice(rows, TARGETS))) or out is None:
+        places = targets.sparkSession.createDataFrame([(r["target"], k) for k, r in enumerate(block)], schema)
+        mine = found.join(F.broadcast(places), "target")  # TARGETS rows at most
+        by_chunk = mine.groupBy("ord").agg(F.collect_list(F.struct(*kept, "bm25", "k")).alias("c"))
+        adds = likeness([(r["query"] or "", r["terms"] or []) for r in block])
+        both = by_chunk.join(chunks.select("ord", "text"), "ord").select("ord", "c", adds(F.col("text"), F.col("c.k")).alias("adds"))
+        each = both.select("ord", "adds", F.posexplode("c").alias("at", "c"))
+        raw = F.col("c.bm25") + F.get("adds", 2 * F.col("at")) * F.lit(GRAM_WEIGHT) + F.get("adds", 2 * F.col("at") + 1) * F.lit(SUBSTRING_WEIGHT)
+        part = each.select("ord", *[F.col(f"c.{c}").alias(c) for c in kept], raw.alias("raw"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | None = None, prefix: bool = True, enhanced: bool = True, per_doc: bool = False, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
@@ -127,22 +190,7 @@ def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | N
             group = ["target", "req_doc"]
         else:
             found = found.drop("req_doc").distinct()
-    if enhanced:
-        asked = targets.select("target", T.char_grams(F.col("query")).alias("grams"), F.filter(tokenizer(F.col("query")), lambda t: F.length(t) >= 2).alias("terms"))
-        some = asked.limit(TARGETS + 1).collect()
-        kept = [c for c in found.columns if c != "bm25"]
-        if len(some) <= TARGETS:
-            places = targets.sparkSession.createDataFrame([(r["target"], k) for k, r in enumerate(some)], targets.select("target").withColumn("k", F.lit(0)).schema)
-            both = found.join(likeness(index.chunks, [(r["grams"], r["terms"]) for r in some]), "ord").join(F.broadcast(places), "target")  # at most TARGETS rows
-            overlap, inside = (F.col(c)[F.col("k")] for c in ("overlaps", "insides"))
-        else:
-            texts = index.chunks.select("ord", "text", T.char_grams(F.col("text")).alias("chunk_grams"))  # once for each chunk, not for each pair
-            both = found.join(texts, "ord").join(asked, "target")
-            overlap = F.size(F.array_intersect("grams", "chunk_grams"))
-            inside = F.size(F.filter("terms", lambda t: F.col("text").contains(t)))
-        found = both.select(*kept, (F.col("bm25") + overlap * F.lit(GRAM_WEIGHT) + inside * F.lit(SUBSTRING_WEIGHT)).alias("raw"))
-    else:
-        found = found.withColumnRenamed("bm25", "raw")
+    found = _enhanced(found, index.chunks, targets, tokenizer) if enhanced else found.withColumnRenamed("bm25", "raw")
     found = found.withColumn("score", F.round("raw", 4)).drop("raw")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= k)
     return ranked.join(index.chunks.select("ord", "doc_id", "chunk_id", "header_path", "text"), "ord")

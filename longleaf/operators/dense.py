@@ -1,29 +1,70 @@
-"""Exact dense search by inner product, and the fusion of ranked lists."""
+"""Exact dense search by inner product, saved vectors, and the fusion of ranked lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from longleaf.functions import text as T
+from longleaf.plans import provider
+from longleaf.session import delete, is_complete, ship
+
+#: Query vectors that are sent to the tasks at once (more go in several rounds), and vectors that meet them in one product.
+QUERIES, ROWS = 4096, 1024
+
+
+def _hits(vectors: DataFrame, block: list, kind: pa.DataType, schema: str, k: int) -> DataFrame:
+    """(target, ord, score): for each query of a block, what can be among its k best in a batch of vectors; nearly equal scores stay."""
+    q = np.array([r["q"] for r in block], np.float64).reshape(len(block), -1)
+    norm = np.sqrt((q * q).sum(axis=1))
+    q = q / np.where(norm > 0, norm, 1)[:, None]
+    targets = pa.array([r["target"] for r in block], kind)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                keep = [i for i, v in enumerate(part.column(1).to_pylist()) if v is not None and len(v) == q.shape[1] and None not in v]
+                if not keep:
+                    continue
+                part = part.take(pa.array(keep))
+                v = np.asarray(part.column(1).flatten(), np.float64).reshape(len(keep), -1)
+                scores = q @ v.T
+                floor = np.partition(scores, -k, axis=1)[:, -k] - 2e-6 if len(keep) > k else np.full(len(q), -np.inf)
+                i, j = np.nonzero(scores >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([targets.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(scores[i, j])], names=["target", "ord", "score"])
 
-#: Query vectors (rows) that are sent to every task at most; more meet the vectors in a distributed product.
-QUERIES = 4096
+    return vectors.select("ord", "embedding").mapInArrow(run, schema)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, allow: Column | None = None, narrow: Column | None = None, coarse: int = 100) -> DataFrame:
-    """(target, ord, score, rank): the k best vectors (ord, embedding) for each of queries (target, q).
+    """(target, ord, score, rank and the vectors' other columns): the k best vectors (ord, embedding) for each of queries (target, q).
 
     allow filters before ranking.  narrow filters after taking the coarse best, as search engines
-    with a fixed index do, and so may give fewer than k.  Queries are scaled to length 1.
+    with a fixed index do, and so may give fewer than k.  Queries are scaled to length 1; vectors
+    that are null, hold nulls or have another length than the queries take no part.  Matrix
+    products of a block of queries and a batch of vectors leave the batch's best only, so
+    no table of pairs is made.
     """
-    asked = queries.withColumn("q", T.unit_vector(F.col("q")))
-    if queries.limit(QUERIES + 1).count() <= QUERIES:
-        asked = F.broadcast(asked)
-    pairs = (vectors if allow is None else vectors.where(allow)).crossJoin(asked)
-    scored = pairs.withColumn("score", F.round(T.inner_product(F.col("embedding"), F.col("q")), 6)).drop("q", "embedding")
+    ship(vectors.sparkSession)
+    kind = to_arrow_type(queries.schema["target"].dataType)
+    schema = f"target {dict(queries.dtypes)['target']}, ord {dict(vectors.dtypes)['ord']}, score double"
+    base = vectors if allow is None else vectors.where(allow)
+    wanted = k if narrow is None else max(k, coarse)
+    rows = queries.select("target", "q").where("q is not null").toLocalIterator()
+    found = None
+    while (block := list(islice(rows, QUERIES))) or found is None:
+        part = _hits(base, block, kind, schema, wanted) if block else vectors.sparkSession.createDataFrame([], schema)
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("target").orderBy(F.desc("score"), "ord")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (k if narrow is None else max(k, coarse)))
+    ranked = found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+    ranked = ranked.join(vectors.drop("embedding"), "ord")
     if narrow is not None:
         ranked = ranked.where(narrow).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked
@@ -33,3 +74,46 @@ def fused(lists: DataFrame, k: int = 10, offset: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (target, ord, rank), one row for each list's hit.  An extension: the two search paths are otherwise apart."""
     total = lists.groupBy("target", "ord").agg(F.round(F.sum(F.lit(1.0) / (F.lit(float(offset)) + F.col("rank"))), 6).alias("score"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= k)
+
+
+def embed(chunks: DataFrame, path: str, make: Callable[[], provider.Embed] = provider.HashedGrams, dim: int = 256, slices: int = 8, force: bool = False) -> DataFrame:
+    """Vectors of chunks (ord, text), kept at path: chunks that have one there are left out, so a build that was stopped goes on where it was.
+
+    Each slice of the chunks is a job of its own whose output is there whole or not at all.
+    """
+    spark = chunks.sparkSession
+    if force:
+        delete(spark, path)
+    for n in range(slices):
+        if not is_complete(spark, f"{path}/slice={n}"):
+            mine = chunks.select("ord", "text").where(F.pmod(F.xxhash64("ord"), F.lit(slices)) == n)
+            provider.with_embedding(mine, "text", make, dim).select("ord", "embedding").write.mode("overwrite").parquet(f"{path}/slice={n}")
+    stored = load(spark, path).select("ord", "embedding")
+    fresh = chunks.select("ord", "text").join(stored, "ord", "left_anti")
+    if not fresh.isEmpty():
+        more = sum(1 for _ in _slices(spark, path))
+        provider.with_embedding(fresh, "text", make, dim).select("ord", "embedding").write.mode("overwrite").parquet(f"{path}/slice={more}")
+    return load(spark, path).select("ord", "embedding")
+
+
+def _slices(spark: SparkSession, path: str):
+    n = 0
+    while is_complete(spark, f"{path}/slice={n}"):
+        yield n
+        n += 1
+
+
+def save(vectors: DataFrame, path: str) -> None:
+    """Vectors with their chunks' columns, to be loaded again."""
+    vectors.write.mode("overwrite").parquet(f"{path}/slice=0")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Saved vectors; text, doc_id and header_path are empty where they were not saved."""
+    saved = spark.read.option("basePath", path).parquet(*[f"{path}/slice={n}" for n in _slices(spark, path)]).drop("slice")
+    return saved.select("*", *[F.lit("").alias(c) for c in ("doc_id", "header_path") if c not in saved.columns])
+
+
+def count(vectors: DataFrame) -> DataFrame:
+    """vectors and their dim, in one row."""
+    return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).alias("dim"))

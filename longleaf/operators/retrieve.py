@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators import bm25
+from longleaf.session import delete, scratch_dir
 
 
 def _hits(index: bm25.Index, targets: DataFrame, k: int) -> DataFrame:
@@ -26,7 +32,19 @@ def retrieve(index: bm25.Index, targets: DataFrame, k: int = 3, second_k: int =
     """
     asked = targets.select("target", "doc_ids", "semantic_query", T.query_text(F.col("keywords"), F.col("semantic_query")).alias("query"))
     real = asked.where(F.coalesce(F.col("semantic_query"), F.lit("")) != "")
-    first = _hits(index, real, k).withColumn("source", F.lit("keywords"))
+    spark = targets.sparkSession
+    path = f"{scratch_dir(spark)}/hits-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    _hits(index, real, k).withColumn("source", F.lit("keywords")).write.parquet(path)
+    first = spark.read.parquet(path)  # found once, for the answer and for what it leaves open
     missed = real.join(first.select("target").distinct(), "target", "left_anti").withColumn("query", F.col("semantic_query"))
-    second = _hits(index, missed, second_k).where(F.col("hit") <= second_keep).withColumn("source", F.lit("semantic"))
-    return asked.select("target").join(first.unionByName(second), "target", "left")
+    found = first
+    if not missed.isEmpty():
+        found = first.unionByName(_hits(index, missed, second_k).where(F.col("hit") <= second_keep).withColumn("source", F.lit("semantic")))
+    return asked.select("target").join(found, "target", "left")
+
+
+def _forget(spark, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session's JVM may be gone already
+        delete(spark, path)
+    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,11 +42,6 @@ def html_to_markdown(c: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
 
 
-def markdown_cells(line: Column) -> Column:
-    """Cells of a Markdown table line; empty ones are left out."""
-    return F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-
-
 def parse(text: str) -> Table:
     """Header and rows of a Markdown table; empty cells are left out."""
     lines = [[c.strip() for c in line.split("|") if c.strip()] for line in text.splitlines() if "|" in line and not re.fullmatch(r"[\s|:-]+", line)]
@@ -60,18 +56,22 @@ def build(header: list[str], rows: list[list[str]]) -> str:
 
 
 def _batches(header: list[str], rows: list[list[str]], limit: int) -> list[list[list[str]]]:
-    """Rows, in order, in batches that fit under the limit with the header (a larger row alone)."""
+    """Rows, in order, in batches whose estimates, with the header's, sum to at most the limit (a larger row alone)."""
+    empty = tokens(build(header, []))
     out: list[list[list[str]]] = []
+    used = empty
     for r in rows:
-        if out and tokens(build(header, [*out[-1], r])) <= limit:
-            out[-1].append(r)
-        else:
-            out.append([r])
+        n = tokens(build(header, [r])) - empty
+        if not out or used + n > limit:
+            out.append([])
+            used = empty
+        out[-1].append(r)
+        used += n
     return out
 
 
 def _hard(text: str, limit: int) -> list[str]:
-    n = max(1, int(limit * 1.8))
+    n = max(1, int(limit / 1.5))
     return [text[i : i + n] for i in range(0, len(text), n)]
 
 
@@ -80,8 +80,6 @@ def split_tall(text: str, limit: int) -> list[str]:
     header, rows = parse(text)
     if not header or not rows:
         return _hard(text, limit)
-    if tokens(text) <= limit:
-        return [text]
     out: list[str] = []
     for batch in _batches(header, rows, limit):
         part = build(header, batch)
@@ -94,34 +92,50 @@ def split_tall(text: str, limit: int) -> list[str]:
     return out
 
 
+def _groups(header: list[str], first: list[str], limit: int) -> Iterator[list[int]]:
+    """Columns 1, 2, ... in groups, each as large as BESIDE has it and as the first row, beside column 0, allows."""
+    at = 1
+    while at < len(header):
+        for n in BESIDE:
+            columns = [0, *range(at, min(at + n, len(header)))]
+            if n == BESIDE[-1] or tokens(build([header[c] for c in columns], [[first[c] for c in columns]])) <= limit:
+                yield columns
+                at += n
+                break
+
+
 def split_wide(text: str, limit: int) -> list[str]:
-    """Parts of a table by groups of columns, each beside the first column, numbered through."""
+    """Parts of a table by groups of columns, each beside the first column; numbered through where there are several."""
     header, rows = parse(text)
     if len(header) < 2 or not rows:
         return [cut_cells(text, limit)]
     rows = [(r + [""] * len(header))[: len(header)] for r in rows]
-    out, at = [], 1
-    while at < len(header):
-        pick = lambda r, n, at=at: [r[0], *r[at : at + n]]
-        take = next((n for n in BESIDE if tokens(build(pick(header, n), [pick(rows[0], n)])) <= limit), 1)
-        head = pick(header, take)
-        for batch in _batches(head, [pick(r, take) for r in rows], limit):
-            part = build(head, batch)
-            out.append(part if tokens(part) <= limit else cut_cells(part, limit))
-        at += take
-    return [f"[表 {k}]\n{part}" for k, part in enumerate(out, 1)]
+    parts: list[tuple[list[str], list[list[str]]]] = []
+    groups = list(_groups(header, rows[0], limit))
+    for columns in groups:
+        head = [header[c] for c in columns]
+        parts += [(head, batch) for batch in _batches(head, [[r[c] for c in columns] for r in rows], limit)]
+    out = []
+    for k, (head, batch) in enumerate(parts, 1):
+        label = f"[表 {k}]\n" if len(groups) > 1 or len(batch) < len(rows) else ""
+        part = build(head, batch)
+        out.append(label + (part if tokens(label + part) <= limit else cut_cells(part, limit - (tokens(label) if label else 1))))
+    return out
 
 
 def cut_cells(text: str, limit: int) -> str:
-    """The table with long cells cut and as many rows as fit; the header always stays."""
-    header, rows = parse(text)
-    cut = lambda c: c if len(c) <= CELL else c[:CELL] + "..."
-    head, kept = [cut(c) for c in header], []
-    for r in rows:
-        if tokens(build(head, [*kept, [cut(c) for c in r]])) > limit:
-            break
-        kept.append([cut(c) for c in r])
-    return build(head, kept)
+    """The table's lines up to the limit; the line that passes it stays, with its long cells cut, if it fits then.  The header always stays."""
+    lines = text.split("\n")
+    kept = lines[:2]
+    if tokens(text) <= limit:
+        return text
+    for line in lines[2:]:
+        if tokens("\n".join([*kept, line])) > limit:
+            line = "| " + " | ".join(c[:CELL] + "..." * (len(c) > CELL) for c in map(str.strip, line.split("|"))) + " |"
+            if tokens("\n".join([*kept, line])) > limit:
+                break
+        kept.append(line)
+    return "\n".join(kept)
 
 
 def rows_to_markdown(html: str) -> str:

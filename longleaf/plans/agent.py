@@ -1,20 +1,24 @@
 """Question answering in stages, each a DataFrame: plan, retrieve, compress, answer.
 
-A model's reply is used where it is valid; else each stage has a rule of its own.
+A model's reply is used where it is valid; else each stage has a rule of its own.  Questions that
+call for a calculation take two calls: the first one writes formulas, which are evaluated here (no code of a
+model is executed), the second one answers with their results.
 """
 
 from __future__ import annotations
 
 import ast
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators import bm25, retrieve
 from longleaf.plans import provider
+from longleaf.session import ship
 
 #: How long texts of the rules' answers are, what joins evidence, and what marks a target without evidence.
 QUERY_CHARS, KEYWORD_CHARS, EVIDENCE_CHARS = 60, 80, 500
@@ -28,6 +32,38 @@ def answer_kind(kind: Column, stated: Column | None = None) -> Column:
     return guess if stated is None else F.coalesce(F.nullif(stated, F.lit("")), guess)
 
 
+def route(kind: Column, stated: Column) -> Column:
+    """Which of the prompts a question gets, by its type and format: calc, mcq, multi or tf."""
+    return F.when(F.coalesce(kind.contains("计算"), F.lit(False)), "calc").when(stated.isin("multi", "tf"), stated).otherwise("mcq")
+
+
+#: What each stage asks for, by route.
+TASKS = {
+    "plan": {
+        "calc": "Plan what to look up for this calculation: formulas, rates, limits and every parameter.",
+        "mcq": "Plan what to look up to find the one right option.",
+        "multi": "Plan what to look up for each option, each being a statement of its own.",
+        "tf": "Plan what to look up to prove or refute each part of the statement.",
+    },
+    "answer": {
+        "calc": "Take the parameters from the question and the formula from the evidence, work it out step by step and choose the matching option.",
+        "mcq": "Weigh each option and choose the only right one.",
+        "multi": "Judge each option on its own and choose all that are right.",
+        "tf": "Check each part of the statement: A if all of them hold, B if any fails.",
+    },
+    "formula": {
+        "calc": 'Write every step as assignments of arithmetic, the last one to result or results, as JSON {"need_calc": true, "code": "..."}.',
+        "mcq": 'If an option compares numbers, write assignments of arithmetic, the last one to results by option, as JSON {"need_calc": true, "code": "..."}; else {"need_calc": false, "code": ""}.',
+    },
+}
+
+
+def task(stage: str, way: Column) -> Column:
+    """The text of a stage for a route (the one of mcq where a route has none)."""
+    texts = TASKS[stage]
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), way), F.lit(texts["mcq"]))
+
+
 def fallback_plan(questions: DataFrame) -> DataFrame:
     """One target for each question (qid, question, doc_ids): its beginning as query, its terms as keywords."""
     keywords = F.substring(F.array_join(T.terms(F.col("question")), " "), 1, KEYWORD_CHARS)
@@ -53,31 +89,44 @@ def flatten_plan(plans: DataFrame) -> DataFrame:
 
 
 def plan(questions: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
-    """Targets of questions (qid, question, options, doc_ids), by a model or else by rule."""
-    asked = questions.select("qid", plan_prompt(F.col("question"), F.col("options"), F.col("doc_ids")).alias("prompt"))
+    """Targets of questions (qid, question, options, type, doc_ids), by a model or else by rule, with the tokens of the plan's call at its first target."""
+    way = route(F.col("type"), answer_kind(F.col("type"), _stated(questions)))
+    titles = F.col("titles") if "titles" in questions.columns else F.col("doc_ids")
+    asked = questions.select("qid", plan_prompt(way, F.col("question"), F.col("options"), titles).alias("prompt"))
     replies = parse_plan(provider.with_chat(asked, "prompt", make))
     planned = flatten_plan(replies)
     rest = questions.join(planned.select("qid").distinct(), "qid", "left_anti")
-    return planned.unionByName(fallback_plan(rest))
+    spent = replies.select("qid", F.col("prompt_tokens").alias("plan_prompt"), F.col("completion_tokens").alias("plan_completion"))
+    first = F.row_number().over(Window.partitionBy("qid").orderBy("target_ord")) == 1
+    both = planned.unionByName(fallback_plan(rest)).join(spent, "qid", "left")
+    return both.withColumn("is_first", first).withColumns({c: F.when(F.col("is_first"), F.col(c)).otherwise(F.lit(0)) for c in ("plan_prompt", "plan_completion")}).drop("is_first")
+
+
+def _stated(questions: DataFrame) -> Column:
+    return F.col("answer_format") if "answer_format" in questions.columns else F.lit(None).cast("string")
 
 
 def _options(options: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
 
 
-def plan_prompt(question: Column, options: Column, doc_ids: Column) -> Column:
-    return F.concat_ws("\n", F.lit("List, as JSON, what has to be looked up to answer this question, and in which documents."), question, F.coalesce(_options(options), F.lit("")), F.concat(F.lit("Documents: "), F.array_join(F.coalesce(doc_ids, F.array().cast("array<string>")), ", ")))
+def plan_prompt(way: Column, question: Column, options: Column, titles: Column) -> Column:
+    return F.concat_ws("\n", F.lit("List, as JSON, what has to be looked up to answer this question, and in which documents."), task("plan", way), question, F.coalesce(_options(options), F.lit("")), F.concat(F.lit("Documents: "), F.array_join(F.coalesce(titles, F.array().cast("array<string>")), ", ")))
 
 
 def compress_prompt(description: Column, evidence: Column) -> Column:
     return F.concat_ws("\n", F.lit("Keep, in the words of the text, only what bears on:"), description, F.lit("Text:"), evidence)
 
 
-def answer_prompt(question: Column, options: Column, evidence: Column, calculated: Column | None = None) -> Column:
-    parts = [F.lit("Answer from the evidence alone, as JSON with correct_options and the clauses you rely on."), question, F.coalesce(_options(options), F.lit("")), F.lit("Evidence:"), evidence]
+def answer_prompt(way: Column, question: Column, options: Column, evidence: Column, calculated: Column | None = None) -> Column:
+    parts = [F.lit("Answer from the evidence alone, as JSON with correct_options and the clauses you rely on."), task("answer", way), question, F.coalesce(_options(options), F.lit("")), F.lit("Evidence:"), F.when(evidence == "", F.lit("(nothing found)")).otherwise(evidence)]
     return F.concat_ws("\n", *parts, *([F.lit("Calculated:"), calculated] if calculated is not None else []))
 
 
+def formula_prompt(way: Column, question: Column, options: Column, evidence: Column) -> Column:
+    return F.concat_ws("\n", answer_prompt(way, question, options, evidence), task("formula", way))
+
+
 def grouped(hits: DataFrame) -> DataFrame:
     """Evidence of each (qid, description, semantic_query): chunk ids and texts in order, in one row."""
     g = hits.groupBy("qid", "description", "semantic_query").agg(F.min("target_ord").alias("target_ord"), F.array_sort(F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("target_ord", "hit", "chunk_id", "text")))).alias("h"))
@@ -92,9 +141,12 @@ def compress(hits: DataFrame, make: Callable[[], provider.Chat] = provider.NoMod
 
 
 def evidence_of(compressed: DataFrame) -> DataFrame:
-    """(qid, evidence): texts under their descriptions, in the order of the plan."""
-    lists = F.array_sort(F.collect_list(F.struct("target_ord", "description", "compressed_text")))
-    return compressed.groupBy("qid").agg(F.array_join(F.transform(lists, lambda x: F.concat_ws("\n", x["description"], x["compressed_text"])), "\n\n").alias("evidence"), F.sum("prompt_tokens").alias("evidence_prompt"), F.sum("completion_tokens").alias("evidence_completion"))
+    """(qid, evidence): texts with their chunk ids under their descriptions, both in the order of the plan."""
+    line = F.when(F.col("compressed_text") != "", F.concat(F.lit("["), F.array_join("chunk_ids", ", "), F.lit("] "), F.col("compressed_text")))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), "\n")
+    by_head = compressed.groupBy("qid", "description").agg(F.min("target_ord").alias("target_ord"), joined(F.when(line.isNotNull(), F.struct("target_ord", "semantic_query", line.alias("text")))).alias("said"), F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("c"))
+    whole = F.struct("target_ord", F.concat_ws("\n", F.nullif("description", F.lit("")), F.nullif("said", F.lit(""))).alias("text"))
+    return by_head.groupBy("qid").agg(joined(whole).alias("evidence"), F.sum("p").alias("evidence_prompt"), F.sum("c").alias("evidence_completion"))
 
 
 def offline_choice(options: Column, evidence: Column) -> Column:
@@ -104,43 +156,133 @@ def offline_choice(options: Column, evidence: Column) -> Column:
     return F.coalesce(F.array_max(scored)["key"], F.lit(""))
 
 
-_ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
+_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod}
+_UNARY = {ast.USub: operator.neg, ast.UAdd: operator.pos, ast.Not: operator.not_}
+_COMPARE = {ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
+_FUNCTIONS = {"abs": abs, "round": round, "min": min, "max": max, "sum": sum, "len": len, "sorted": sorted, "int": int, "float": float}
+#: Characters of formulas, and the largest power they may raise to.
+FORMULA_CHARS, POWER = 10_000, 64
+
+
+class _Formula:
+    """Values of assignments of numbers, comparisons, lists and the functions above; anything else is a ValueError."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, object] = {}
+
+    def run(self, body: list[ast.stmt]) -> None:
+        for line in body:
+            if isinstance(line, ast.Assign) and all(isinstance(t, ast.Name) for t in line.targets):
+                self.names |= dict.fromkeys([t.id for t in line.targets], self.value(line.value))
+            elif not isinstance(line, ast.Pass):
+                raise ValueError(f"not an assignment: {type(line).__name__}")
+
+    def number(self, n: ast.AST) -> float:
+        x = self.value(n)
+        if not isinstance(x, int | float):
+            raise ValueError("not a number")
+        return float(x)
+
+    def value(self, n: ast.AST) -> object:
+        match n:
+            case ast.Constant(value=bool() | int() | float() | str() as x):
+                return x
+            case ast.Name(id=name) if name in self.names:
+                return self.names[name]
+            case ast.UnaryOp(op=op, operand=x) if type(op) in _UNARY:
+                return _UNARY[type(op)](self.value(x) if isinstance(op, ast.Not) else self.number(x))
+            case ast.BinOp(left=a, op=ast.Pow(), right=b) if abs(p := self.number(b)) <= POWER:
+                return self.number(a) ** p
+            case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
+                return _BINARY[type(op)](self.number(a), self.number(b))
+            case ast.BoolOp(op=op, values=xs):
+                return (all if isinstance(op, ast.And) else any)(bool(self.value(x)) for x in xs)
+            case ast.Compare(left=a, ops=ops, comparators=xs) if all(type(o) in _COMPARE for o in ops):
+                chain = [self.value(a), *map(self.value, xs)]
+                return all(_COMPARE[type(o)](x, y) for o, x, y in zip(ops, chain, chain[1:], strict=True))
+            case ast.IfExp(test=t, body=a, orelse=b):
+                return self.value(a if self.value(t) else b)
+            case ast.List(elts=xs) | ast.Tuple(elts=xs):
+                return [self.value(x) for x in xs]
+            case ast.Dict(keys=ks, values=xs) if all(ks):
+                return {str(self.value(k)): self.value(x) for k, x in zip(ks, xs, strict=True)}
+            case ast.Subscript(value=a, slice=i):
+                return self.value(a)[self.value(i)]
+            case ast.Call(func=ast.Name(id=name), args=xs, keywords=[]) if name in _FUNCTIONS:
+                return _FUNCTIONS[name](*map(self.value, xs))
+        raise ValueError(f"not allowed: {type(n).__name__}")
+
+
+def evaluate(code: str) -> str:
+    """The result of formulas as text: what they assign to results or result, or an expression's value; or what failed.  Code from a model is never executed."""
+    try:
+        if len(code) > FORMULA_CHARS:
+            raise ValueError("too long")
+        tree, f = ast.parse(code.strip()), _Formula()
+        last = tree.body[-1] if tree.body else None
+        if isinstance(last, ast.Expr):
+            f.run(tree.body[:-1])
+            return f"result = {f.value(last.value)!r}"
+        f.run(tree.body)
+        name = next(n for n in ("results", "result") if n in f.names)
+        return f"{name} = {f.names[name]!r}"
+    except StopIteration:
+        return "failed: no result"
+    except (ValueError, SyntaxError, ArithmeticError, RecursionError, TypeError, LookupError, MemoryError) as e:
+        return f"failed: {e}"
 
 
 def calculate(expression: str) -> float | None:
-    """Value of an expression of numbers, + - * / and parentheses; null for anything else.  Code from a model is never executed."""
-
-    def value(n: ast.AST) -> float:
-        if isinstance(n, ast.Expression):
-            return value(n.body)
-        if isinstance(n, ast.Constant) and isinstance(n.value, int | float) and not isinstance(n.value, bool):
-            return float(n.value)
-        if isinstance(n, ast.UnaryOp) and type(n.op) in _ARITHMETIC:
-            return _ARITHMETIC[type(n.op)](value(n.operand))
-        if isinstance(n, ast.BinOp) and type(n.op) in _ARITHMETIC:
-            return _ARITHMETIC[type(n.op)](value(n.left), value(n.right))
-        raise ValueError
-
+    """Value of an expression of numbers, + - * / and parentheses; null for anything else."""
     try:
-        return value(ast.parse(expression, mode="eval")) if len(expression) <= 1000 else None
-    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, RecursionError):
+        tree = ast.parse(expression, mode="eval")
+        if any(isinstance(n, ast.Pow | ast.Call | ast.Name) for n in ast.walk(tree)):
+            return None
+        return _Formula().number(tree.body)
+    except (ValueError, SyntaxError, ArithmeticError, RecursionError, TypeError, LookupError, MemoryError):
         return None
 
 
+def with_calculation(df: DataFrame, reply_col: str) -> DataFrame:
+    """df with calculated: the result of the formulas in a reply, or that none was asked for."""
+    ship(df.sparkSession)
+    value = T.json_value(F.col(reply_col))
+    wants = F.coalesce(F.try_variant_get(value, "$.need_calc", "boolean"), F.lit(False))
+    code = F.when(wants, F.coalesce(F.try_variant_get(value, "$.code", "string"), F.lit(""))).otherwise(F.lit(""))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(calculated=[evaluate(c) if c.strip() else "failed: nothing to calculate" for c in f["calculated"]])
+
+    out = df.withColumn("calculated", code)
+    return out.mapInPandas(run, out.schema)
+
+
 def answers(questions: DataFrame, compressed: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
-    """qid, answer, correct_options, needs_calculation, prompt_tokens, completion_tokens of every question."""
+    """qid, answer, correct_options, needs_calculation, calculated, prompt_tokens, completion_tokens of every question.
+
+    Questions that need a calculation take two calls, whose tokens are summed.
+    """
     e = questions.join(evidence_of(compressed), "qid", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
-    e = e.select("qid", "question", "options", "type", F.col("answer_format") if "answer_format" in questions.columns else F.lit(None).cast("string").alias("answer_format"), "evidence", "evidence_prompt", "evidence_completion")
-    replied = provider.with_chat(e.withColumn("prompt", answer_prompt(F.col("question"), F.col("options"), F.col("evidence"))), "prompt", make)
+    kind = answer_kind(F.col("type"), _stated(questions))
+    needs = T.needs_calculation(F.col("type"), kind, F.col("question"), F.col("options"), F.col("evidence"))
+    e = e.select("qid", "question", "options", "type", kind.alias("kind"), route(F.col("type"), kind).alias("way"), needs.alias("needs_calculation"), "evidence", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("evidence_prompt", "evidence_completion")])
+    texts = [F.col(c) for c in ("way", "question", "options", "evidence")]
+    direct = e.where("not needs_calculation").withColumns({"calculated": F.lit(None).cast("string"), "first_prompt": F.lit(0).cast("long"), "first_completion": F.lit(0).cast("long"), "prompt": answer_prompt(*texts)})
+    formulas = provider.with_chat(e.where("needs_calculation").withColumn("prompt", formula_prompt(*texts)), "prompt", make)
+    worked = with_calculation(formulas.withColumnsRenamed({"prompt_tokens": "first_prompt", "completion_tokens": "first_completion"}), "reply").drop("reply", "prompt")
+    second = worked.withColumn("prompt", answer_prompt(*texts, F.col("calculated")))
+    replied = provider.with_chat(direct.unionByName(second), "prompt", make)
     chosen = F.from_json(F.to_json(T.json_value(F.col("reply"))), "struct<correct_options:array<string>>")["correct_options"]
     picked = F.coalesce(chosen, F.filter(F.array(offline_choice(F.col("options"), F.col("evidence"))), lambda x: x != ""))
-    out = replied.withColumn("correct_options", picked)
-    total = lambda a, b: (F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))).cast("long").alias(a)
-    return out.select("qid", T.format_answer(F.col("correct_options"), answer_kind(F.col("type"), F.col("answer_format"))).alias("answer"), "correct_options", T.needs_calculation(F.col("question"), F.col("evidence")).alias("needs_calculation"), total("prompt_tokens", "evidence_prompt"), total("completion_tokens", "evidence_completion"))
+    total = lambda c: (F.col(f"{c}_tokens") + F.col(f"first_{c}") + F.col(f"evidence_{c}")).cast("long").alias(f"{c}_tokens")
+    return replied.withColumn("correct_options", picked).select("qid", T.format_answer(F.col("correct_options"), F.col("kind")).alias("answer"), "correct_options", "needs_calculation", "calculated", total("prompt"), total("completion"))
 
 
 def run(questions: DataFrame, index: bm25.Index, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
-    """Answers of questions (qid, question, options, type, doc_ids) from an index."""
+    """Answers of questions (qid, question, options, type, doc_ids) from an index; tokens are those of all calls."""
     targets = plan(questions, make).withColumn("target", F.concat_ws("#", F.col("qid"), F.col("target_ord").cast("string")))
     hits = retrieve.retrieve(index, targets).drop("semantic_query")
-    return answers(questions, compress(targets.join(hits, "target", "left"), make), make)
+    spent = targets.groupBy("qid").agg(F.sum("plan_prompt").alias("p"), F.sum("plan_completion").alias("c"))
+    out = answers(questions, compress(targets.drop("plan_prompt", "plan_completion").join(hits, "target", "left"), make), make).join(spent, "qid", "left")
+    return out.withColumns({"prompt_tokens": F.col("prompt_tokens") + F.coalesce("p", F.lit(0)), "completion_tokens": F.col("completion_tokens") + F.coalesce("c", F.lit(0))}).drop("p", "c")

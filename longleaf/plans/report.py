@@ -51,3 +51,24 @@ def corpus_statistics(chunks: DataFrame, by: str = "doc_id") -> DataFrame:
     """Chunks, tokens and whole tokens a chunk, by document or domain."""
     s = chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
     return s.withColumn("average", F.floor(F.col("tokens") / F.greatest("chunks", F.lit(1))))
+
+
+def round_histogram(targets: DataFrame) -> DataFrame:
+    """(round, targets): how many targets each round of retrieval has; targets without one are of the first."""
+    return targets.groupBy(F.coalesce("round", F.lit(1)).alias("round")).agg(F.count(F.lit(1)).alias("targets"))
+
+
+def uncovered(compressed: DataFrame) -> DataFrame:
+    """(qid, targets, empty, any_empty): targets of a plan, and those for which nothing was found."""
+    none = F.size("chunk_ids") == 0
+    return compressed.groupBy("qid").agg(F.count(F.lit(1)).alias("targets"), F.count_if(none).alias("empty"), F.bool_or(none).alias("any_empty"))
+
+
+def empty_answers(rows: DataFrame) -> int:
+    """How many questions of a submission have no answer (an exit code of 2 in a batch run)."""
+    return rows.where("qid <> 'summary' and answer_1 = ''").count()
+
+
+def section_counts(sections: DataFrame, by: str = "domain") -> DataFrame:
+    """(by, files, sections): documents and titled sections by domain, from flat sections (doc_id, title, and the domain)."""
+    return sections.groupBy(by).agg(F.count_distinct("doc_id").alias("files"), F.count_if(F.col("title") != "").alias("sections"))

@@ -1,8 +1,9 @@
-"""What a session needs before Python workers can run this package."""
+"""What a session needs: the package on its executors, a folder they share, and files written there."""
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import zipfile
@@ -25,3 +26,39 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(target))
     atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the context serves the file until it ends
     context._longleaf_shipped = True  # type: ignore[attr-defined]
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a temporary one only for a local master."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_longleaf_scratch", None)
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="longleaf-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        context._longleaf_scratch = base  # type: ignore[attr-defined]
+    return base.rstrip("/") + "/longleaf"
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    fs, p = _place(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _place(spark, path)
+    fs.delete(p, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Digest of a file's or folder's name, size and time: equal for unchanged inputs."""
+    fs, p = _place(spark, path)
+    seen = [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in sorted(fs.listStatus(p), key=lambda f: str(f.getPath()))]
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]

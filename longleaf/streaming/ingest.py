@@ -12,18 +12,15 @@ from longleaf.operators import chunking
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "doc_id string, text string", files: int = 1000) -> StreamingQuery:
     """Chunk the documents that arrive as Parquet in a folder.
 
-    A batch writes to a folder of its number, so a batch that is run again after a failure replaces
-    its own output.  Documents that an earlier batch has chunked are left out.
+    The ids of all documents so far are the stream's state, so each is worked on once, with or
+    without chunks, and no batch reads what others wrote.  A batch writes to a folder of its
+    number, so a batch that is run again after a failure replaces its own output.
     """
 
     def land(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["doc_id"])
-        if number:
-            done = chunks(spark, target).where(F.col("batch") < number).select("doc_id").distinct()
-            fresh = fresh.join(done, "doc_id", "left_anti")
-        chunking.chunk_markdown(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        chunking.chunk_markdown(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["doc_id"])
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -35,3 +32,9 @@ def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str = "10
     """Events and their value by type in windows, for a stream or a table; in a stream rows later than the watermark go."""
     stamped = events.withWatermark("ts", late) if events.isStreaming else events
     return stamped.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events and their span by user in sessions that a gap ends, for a stream or a table; in a stream rows later than the watermark go."""
+    stamped = events.withWatermark("ts", late) if events.isStreaming else events
+    return stamped.groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))

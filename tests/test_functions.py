@@ -52,7 +52,10 @@ def test_query_text_falls_back_to_the_question(spark):
 def test_empty_chunk(spark):
     no = F.array().cast("array<string>")
     assert one(spark, T.is_empty_chunk(F.col("t"), no), t="不适用") is True
-    assert one(spark, T.is_empty_chunk(F.col("t"), no), t="| a | b |") is False
+    assert one(spark, T.is_empty_chunk(F.col("t"), no), t="| a | b |\n| --- | --- |") is False
+    assert one(spark, T.is_empty_chunk(F.col("t"), no), t="| a | b |") is True
+    assert one(spark, T.is_empty_chunk(F.col("t"), no), t="□ 适用 □ 不适用 本期无变化") is True
+    assert one(spark, T.is_empty_chunk(F.col("t"), no), t="本条款适用于全部投保人员和受益人") is False
     assert one(spark, T.is_empty_chunk(F.col("t"), no), t="第一章 总则 ..... 1\n第二章 附则 ..... 9") is True
 
 
