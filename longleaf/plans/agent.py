@@ -199,7 +199,7 @@ class _Formula:
                 return (all if isinstance(op, ast.And) else any)(bool(self.value(x)) for x in xs)
             case ast.Compare(left=a, ops=ops, comparators=xs) if all(type(o) in _COMPARE for o in ops):
                 chain = [self.value(a), *map(self.value, xs)]
-                return all(_COMPARE[type(o)](x, y) for o, x, y in zip(ops, chain, chain[1:], strict=True))
+                return all(_COMPARE[type(o)](x, y) for o, x, y in zip(ops, chain[:-1], chain[1:], strict=True))
             case ast.IfExp(test=t, body=a, orelse=b):
                 return self.value(a if self.value(t) else b)
             case ast.List(elts=xs) | ast.Tuple(elts=xs):
