@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longleaf.session import ship
+from longleaf.session import delete, scratch_dir, ship
 
 #: Tokenizer file used by the registered queries; every operator takes the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,28 +26,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only for a local master."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_longleaf_scratch", None)
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="longleaf-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        context._longleaf_scratch = base  # type: ignore[attr-defined]
-    return base.rstrip("/") + "/longleaf"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _forget(spark: SparkSession, path: str) -> None:
     """Results may be read until the driver's program ends; then their tables go."""
     with contextlib.suppress(Exception):  # the session's JVM may be gone already
-        _delete(spark, path)
+        delete(spark, path)
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
@@ -76,7 +56,7 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            _delete(self.spark, t._longleaf_path)
+            delete(self.spark, t._longleaf_path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

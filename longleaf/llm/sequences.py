@@ -9,8 +9,10 @@ A packed row holds: ids (binary, little-endian, padded), position within the pie
 id (binary; it starts anew with each piece), cumulative segment lengths, and the document id and
 start of each segment.
 
-Cases: a null or empty text has no ids and so no segment; very long texts fill many rows; equal
-rows are packed each on its own; a null document id stays null; an empty table gives no rows.
+Cases: a null or empty text has no ids and so no segment and leaves no trace; very long texts fill
+many rows; equal rows are packed each on its own; a null document id stays null; an empty table gives no
+rows; other columns are not read, whatever their names.  Ids that don't fit the width are an error before
+any row is read.  Segments have no end id of their own: cumulative lengths tell them apart.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.bpe import text_encoder
+from longleaf.llm.bpe import text_encoder, vocabulary
 from longleaf.llm.common import binaries, lists, map_arrow, text_blocks, texts, tokenizer_path
 
 
@@ -135,8 +137,11 @@ def _packed(path: str, size: int, pad_id: int, window: int, wide: bool):
 
 
 def pack_sequences(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 2048, pad_id: int = 0, window: int = 2_000_000, wide: bool = False, tokenizer: str | None = None) -> DataFrame:
-    """Packed rows of ``size`` ids; ids and positions are unsigned 16-bit, or 32-bit if wide (size and vocabulary must fit)."""
+    """Packed rows of ``size`` ids; ids and positions are unsigned 16-bit, or 32-bit if wide (ValueError where vocabulary, pad_id or size don't fit)."""
     path = tokenizer or tokenizer_path()
+    largest = max(len(vocabulary(path).table()) - 1, pad_id, size - 1)
+    if largest >= 1 << (32 if wide else 16):
+        raise ValueError(f"ids and positions up to {largest} need wide=True")
     schema = {"sequence_id": "long", "input_ids": "binary", "position_ids": "binary", "cu_seqlens": "array<int>", "doc_ids": "array<long>", "starts": "array<long>"}
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _packed(path, size, pad_id, window, wide), schema, whole=True)
 

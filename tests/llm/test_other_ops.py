@@ -54,6 +54,18 @@ def test_every_participant_is_the_assistant_once(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_repeated_turn_numbers_and_long_texts_are_rendered_in_pieces(spark):
+    long = "word " * 200_000
+    rows = [(1, 5, "ann" if i % 2 else "bob", f"t{i:04d}") for i in range(2500)] + [(2, 0, "ann", long), (2, 1, "bob", "ok")]
+    got = chat.perspectives(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, piece string")).collect()
+    one = sorted((r["piece"], r["n_turns"]) for r in got if r["conv_id"] == 1 and r["perspective"] == "ann")
+    assert one == [(0, 1024), (1, 1024), (2, 452)]
+    whole = "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == "ann"), key=lambda r: r["piece"]))
+    assert all(f"t{i:04d}" in whole for i in range(2500)) and whole.count("<|im_start|>assistant") == 1250
+    r = next(r for r in got if r["conv_id"] == 2 and r["perspective"] == "ann")
+    assert [r["rendered"][m["start"] : m["stop"]] for m in r["mask"]] == [long]
+
+
 PAGE = '<html><head><title>t</title><style>x</style></head><body><header>Site</header><nav><ul><li>a</ul></nav><div class="ad">buy</div>{}<aside>s</aside><section class="comments"><p>first!</section><form>f</form><script>"</p>"</script><footer>&copy;</footer></body></html>'
 
 

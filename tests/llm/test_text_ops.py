@@ -260,6 +260,14 @@ def test_shingle_hashes_follow_words():
     assert n[owner == 4].tolist() == [3]
 
 
+def test_sequences_of_nothing_and_of_ids_too_large(spark):
+    assert sequences.pack_sequences(docs(spark).limit(0)).count() == 0
+    assert sequences.pack_sequences(docs(spark, [(1, None), (2, "")])).count() == 0
+    with pytest.raises(ValueError, match="wide"):
+        sequences.pack_sequences(docs(spark), size=70_000)
+    assert sequences.pack_sequences(docs(spark), size=70_000, wide=True).count() > 0
+
+
 LONG = [" ".join(f"{c}{k}" for k in range(45)) for c in "pqrs"]
 
 
