@@ -44,6 +44,22 @@ def retrieve(index: bm25.Index, targets: DataFrame, k: int = 3, second_k: int =
     return asked.select("target").join(found, "target", "left")
 
 
+def containing(index: bm25.Index, targets: DataFrame) -> DataFrame:
+    """(target, ord) of every chunk whose text holds a target's query, character by character.
+
+    A text that holds a query has all terms inside of it, so only chunks with the rarest of these
+    are compared; queries without a term that is surely whole are compared with all chunks.
+    """
+    asked = targets.where("query is not null").withColumn("terms", T.terms(F.col("query")))
+    inner = asked.select("target", F.explode(F.slice("terms", 2, F.greatest(F.size("terms") - 2, F.lit(0)))).alias("term"))
+    rarest = inner.join(index.vocabulary.select("term", "idf"), "term", "left").groupBy("target").agg(F.max_by("term", F.struct(F.coalesce("idf", F.lit(float("inf"))), "term")).alias("term"))
+    texts = index.chunks.select("ord", "text")
+    likely = rarest.join(index.postings.select("term", "ord"), "term").join(texts, "ord").join(asked.select("target", "query"), "target")
+    rest = texts.crossJoin(asked.join(rarest.select("target"), "target", "left_anti").select("target", "query"))
+    held = lambda df: df.where(F.col("text").contains(F.col("query"))).select("target", "ord")
+    return held(likely).unionByName(held(rest))
+
+
 def _forget(spark, path: str) -> None:
     with contextlib.suppress(Exception):  # the session's JVM may be gone already
         delete(spark, path)

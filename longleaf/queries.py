@@ -157,7 +157,7 @@ best AS (SELECT target, max((r.ord IS NOT NULL)::INT) AS hit FROM truth LEFT JOI
 SELECT count(*) AS items, sum(hit)::BIGINT AS found FROM best""")
 def recall_at_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = bm25.search(index(spark, sf_dir), targets(spark, sf_dir), 10).select("target", "ord", F.lit(1).alias("hit"))
-    truth = table(spark, sf_dir, "documents").join(targets(spark, sf_dir), F.col("text").contains(F.col("query"))).select("target", F.col("doc_id").alias("ord"))
+    truth = retrieve.containing(index(spark, sf_dir), targets(spark, sf_dir))
     best = truth.join(hits, ["target", "ord"], "left").groupBy("target").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return best.agg(F.count(F.lit(1)).alias("items"), F.sum("hit").alias("found"))
 
