@@ -206,15 +206,13 @@ def repeated_lines(df: DataFrame, text_col: str, id_col: str, min_words: int) ->
     return tables.write(blocks.groupBy("id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
 
 
-def drop_repeated_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = 40) -> DataFrame:
-    """df with its text without the repeated blocks, and removed_lines, the places (from 0) of what was deleted."""
+def drop_repeated_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = 40, removed_col: str = "removed_lines") -> DataFrame:
+    """df with its text without the repeated blocks, and removed_col, the places (from 0) of the lines that were deleted."""
     gone = repeated_lines(df, text_col, id_col, min_words)
     i, d = (free_name(df, n) for n in ("_line_id", "_line_digest"))
-    keyed = df.drop("removed_lines").withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), d: F.xxhash64(text_col)})
-    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias("removed_lines")).hint("merge"), [i, d], "left")  # the marked documents grow with the corpus, so no plan that suits a few of them
+    keyed = df.drop(removed_col).withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), d: F.xxhash64(text_col)})
+    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias(removed_col)).hint("merge"), [i, d], "left")  # the marked documents grow with the corpus, so no plan that suits a few of them
     pieces = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(pieces, lambda _, k: ~F.array_contains(F.col("removed_lines"), k)), "\n")
-    out = both.withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(left)).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-    return out.select(*[c for c in df.columns if c.lower() != "removed_lines"], "removed_lines")
-
-
+    left = F.array_join(F.filter(pieces, lambda _, k: ~F.array_contains(F.col(removed_col), k)), "\n")
+    out = both.withColumn(text_col, F.when(F.col(removed_col).isNull(), F.col(text_col)).otherwise(left)).withColumn(removed_col, F.coalesce(removed_col, F.array().cast("array<int>")))
+    return out.select(*[c for c in df.columns if c.lower() != removed_col.lower()], removed_col)
