@@ -9,13 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Table = tuple[list[str], list[list[str]]]
+_CJK = re.compile("[一-鿿]")
 #: Characters that a cell keeps when it is cut, and columns that a wide table's parts take beside the first.
 CELL, BESIDE = 200, (4, 3, 2, 1)
 
 
 def tokens(text: str) -> int:
     """Estimate for mixed text, as the column function of the same rule."""
-    cjk = sum("一" <= c <= "鿿" for c in text)
+    cjk = 0 if text.isascii() else len(_CJK.findall(text))
     return int(cjk / 1.8 + (len(text) - cjk) / 4.0) + 1
 
 
