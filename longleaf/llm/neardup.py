@@ -110,28 +110,54 @@ def jaccard(left: list[str], right: list[str], width: int) -> np.ndarray:
     return np.array([probability_jaccard(h[first[x] : last[x]], w[first[x] : last[x]], h[first[y] : last[y]], w[first[y] : last[y]]) for x, y in zip(a, b, strict=True)])
 
 
-def linked(x: list[dict], y: list[dict], threshold: float, width: int) -> list[tuple[bytes, bytes]]:
+def due(x: list[dict], y: list[dict], key: int) -> np.ndarray:
+    """Which pairs of two blocks are to be compared in the bucket of that key: of different components, one open, and no earlier band shared."""
+    a, b = (np.array([m["keys"] for m in z], np.int64).reshape(len(z), -1) for z in (x, y))
+    first = np.zeros((len(x), len(y)), bool)
+    shared = np.zeros((len(x), len(y)), bool)
+    for band in range(a.shape[1]):
+        same = a[:, band, None] == b[None, :, band]
+        first |= same & ~shared & (a[:, band, None] == key)
+        shared |= same
+    comp = {c: k for k, c in enumerate({m["comp"] for z in (x, y) for m in z})}
+    p, q = (np.array([comp[m["comp"]] for m in z]) for z in (x, y))
+    some = np.array([m["open"] for m in x], bool)[:, None] | np.array([m["open"] for m in y], bool)[None, :]
+    return first & some & (p[:, None] != q[None, :])
+
+
+def linked(x: list[dict], y: list[dict], key: int, threshold: float, width: int) -> list[tuple[bytes, bytes]]:
     """Links between two blocks of a bucket, of nodes in different components of which one is open.
 
-    Matrix products give the weight that each node shares with each other one, relative to its
-    own; no probability Jaccard is larger than the lesser of both, and those that can reach the
-    threshold are computed exactly, until a link has joined both components.
+    Nodes that share several buckets are compared in the first one.  Matrix products give the
+    weight that each node shares with each other one, relative to its own; no probability Jaccard
+    is larger than the lesser of both, and those that can reach the threshold are computed
+    exactly, until a link has joined both components.
     """
+    wanted = due(x, y, key)
+    if not wanted.any():
+        return []
     h, w, start, stop = _sets([m["text"] for m in [*x, *y]], width)
     names, column = np.unique(h, return_inverse=True)
     size = stop - start
     owner = np.repeat(np.arange(len(size)), size)
-    share = (w / np.repeat(np.add.reduceat(w, start) if len(w) else w, size)).astype(np.float32)
-    mine, its = np.zeros((2, len(x), len(y)), np.float32)
+    weight = np.add.reduceat(w, start)  # of each text; texts in buckets have shingles
+    both = np.zeros((len(x), len(y)), np.float32)
     order = np.argsort(column, kind="stable")
     for first in range(0, len(names), 8192):
         at = order[np.searchsorted(column[order], first) : np.searchsorted(column[order], first + 8192)]
-        has, part = np.zeros((2, len(x) + len(y), min(8192, len(names) - first)), np.float32)
+        has = np.zeros((len(size), min(8192, len(names) - first)), np.float32)
         has[owner[at], column[at] - first] = 1
-        part[owner[at], column[at] - first] = share[at]
-        mine += part[: len(x)] @ has[len(x) :].T
-        its += has[: len(x)] @ part[len(x) :].T
-    bound = np.minimum(mine, its)
+        both += has[: len(x)] @ has[len(x) :].T
+    mine, its = both.copy(), both
+    heavy = np.unique(column[w > 1])  # shingles that repeat in some text count for more than one
+    if len(heavy):
+        at = np.flatnonzero(np.isin(column, heavy))
+        has, more = np.zeros((2, len(size), len(heavy)), np.float32)
+        place = np.searchsorted(heavy, column[at])
+        has[owner[at], place], more[owner[at], place] = 1, w[at] - 1
+        mine = mine + more[: len(x)] @ has[len(x) :].T
+        its = its + has[: len(x)] @ more[len(x) :].T
+    bound = np.minimum(mine / weight[: len(x), None], its / weight[None, len(x) :])
     out: list[tuple[bytes, bytes]] = []
     above: dict[bytes, bytes] = {}
 
@@ -140,10 +166,10 @@ def linked(x: list[dict], y: list[dict], threshold: float, width: int) -> list[t
             c = above[c]
         return c
 
-    could = np.argwhere(bound >= threshold - 1e-4)
+    could = np.argwhere(wanted & (bound >= threshold - 1e-4))
     for i, k in could[np.argsort(-bound[could[:, 0], could[:, 1]], kind="stable")].tolist():
         p, q = top(x[i]["comp"]), top(y[k]["comp"])
-        if p != q and (x[i]["open"] or y[k]["open"]):
+        if p != q:
             a, b = slice(start[i], stop[i]), slice(start[len(x) + k], stop[len(x) + k])
             if probability_jaccard(h[a], w[a], h[b], w[b]) >= threshold - 1e-12:
                 out.append((x[i]["node"], y[k]["node"]))
@@ -199,18 +225,19 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
         state = tables.write(state.select("key", "node", "comp", F.coalesce("j", F.lit(1.0)).alias("j"), apart.alias("open")), "state")
         reach = state.where("open").groupBy("key").agg(F.max("j").alias("reach"))
         left = tables.write(state.join(reach, "key").where(near_enough(threshold)).join(kept, "node").select("key", "node", "comp", "open", "text"), "left")
+        keys_of = signed.join(left.select("node").distinct(), "node", "left_semi").select("node", "keys").dropDuplicates(["node"])
         size = left.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("long").alias("parts")).where("parts > 0")
-        member = F.struct("node", F.coalesce("comp", "node").alias("comp"), "open", "text")
-        blocks = left.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list(member).alias("members"), F.max("open").alias("some"))
+        member = F.struct("node", F.coalesce("comp", "node").alias("comp"), "open", "keys", "text")
+        blocks = left.join(size, "key").join(keys_of, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list(member).alias("members"), F.max("open").alias("some"))
         blocks = tables.write(blocks, "blocks")
         tasks = size.select("key", F.ceil(F.col("parts") / TASK_BLOCKS).cast("long").alias("tasks"))  # a bucket of many blocks is no task's alone
         dealt = blocks.join(tasks, "key")
         mine = dealt.withColumn("task", F.pmod("part", "tasks"))
         other = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.col("part").alias("part2"), F.col("members").alias("others"), F.col("some").alias("some2"))
-        meet = mine.join(other, ["key", "task"]).where("part <= part2 and (some or some2)").select("members", "others")
+        meet = mine.join(other, ["key", "task"]).where("part <= part2 and (some or some2)").select("key", "members", "others")
 
         def compare(batch: pa.RecordBatch) -> dict[str, object] | None:
-            out = [p for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in linked(x, y, threshold, width)]
+            out = [p for key, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in linked(x, y, key, threshold, width)]
             return {"a": [a for a, _ in out], "b": [b for _, b in out]} if out else None
 
         with batches_of(df.sparkSession, 16):  # a row is a pair of blocks

@@ -248,9 +248,12 @@ def test_clashing_names_stay(spark):
 def test_a_block_gives_only_true_links():
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join([*base[:k], "zz", *base[k + 1 :]]) for k in range(0, 100, 10)] + ["other words " * 20]
-    members = [{"node": bytes([i]), "comp": bytes([i]), "open": True, "text": t} for i, t in enumerate(texts)]
+    members = [{"node": bytes([i]), "comp": bytes([i]), "open": True, "keys": [i, 7], "text": t} for i, t in enumerate(texts)]
     want = {(i, j) for i in range(11) for j in range(11) if i != j and neardup.jaccard([texts[i]], [texts[j]], 5)[0] >= 0.8}
-    got = {(a[0], b[0]) for a, b in neardup.linked(members, members, 0.8, 5)}
+    got = {(a[0], b[0]) for a, b in neardup.linked(members, members, 7, 0.8, 5)}
+    assert neardup.linked(members, members, 3, 0.8, 5) == []  # each shares that band with itself only
+    earlier = [m | {"keys": [1, 7]} for m in members]
+    assert neardup.linked(earlier, earlier, 7, 0.8, 5) == [] and len(neardup.linked(earlier, earlier, 1, 0.8, 5)) == 9
     assert got <= want and len(got) == 9 and {i for p in got for i in p} == {i for p in want for i in p}
 
 

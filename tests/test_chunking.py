@@ -79,3 +79,27 @@ def test_chunk_numbers_are_dense(spark):
     assert [r["chunk_no"] for r in rows] == list(range(1, len(rows) + 1)) and {r["doc_id"] for r in rows} == {"d"}
     split = C.split_long(C.chunk_headers(docs)).collect()
     assert all(r["tokens"] > 0 for r in split)
+
+
+def test_parts_of_tables():
+    one = B.build(["k", "v"], [["a", "x" * 40], ["b", "y" * 40]])
+    assert B.split_tall(one, 400) == [one]
+    assert B.split_tall("| only a header |", 3) == ["| ", "on", "ly", " a", " h", "ea", "de", "r ", "|"]
+    rows = B.build(["k", "v"], [[str(i), "z" * 80] for i in range(6)])
+    assert [len(B.parse(p)[1]) for p in B.split_tall(rows, 60)] == [2, 2, 2]
+    wide = B.build([f"c{i}" for i in range(9)], [["x" * 100] * 9])
+    parts = B.split_wide(wide, 150)
+    assert [p.split("\n")[0] for p in parts] == ["[表 1]", "[表 2]"] and [len(B.parse(p)[0]) for p in parts] == [5, 5]
+    assert B.split_wide(B.build(["a", "b", "c"], [["1", "2", "3"]]), 100) == [B.build(["a", "b", "c"], [["1", "2", "3"]])]
+
+
+def test_cells_are_cut_in_the_line_that_passes_the_limit():
+    t = B.build(["k"], [["a" * 300], ["b" * 400], ["c" * 400]])
+    assert B.cut_cells(t, 10_000) == t
+    got = B.cut_cells(t, 150).split("\n")
+    assert got[2] == "| " + "a" * 300 + " |" and got[3].count("b") == 200 and "..." in got[3] and len(got) == 4
+
+
+def test_levels_follow_the_outline():
+    text = "# 第一章 甲\n## x\n## y\n# 附件\n## 一、乙\n##  \n### 第二章 丙"
+    assert C.normalized(text) == "# 第一章 甲\n## x\n## y\n### 附件\n## 一、乙\n##  \n# 第二章 丙"
