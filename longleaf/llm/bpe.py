@@ -23,7 +23,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +115,8 @@ class PrefixEncoder:
             if i not in special:
                 self.machine.add_word(b.decode("latin-1"), (i, len(b)))
         self.machine.make_automaton()
+        #: A piece that is a token ends with it after the empty prefix.
+        self.single = {b: i for i, b in vocabulary.bytes.items() if i not in special}
         self.known: dict[int, bool] = {}
         self.seams: dict[int, tuple[tuple[tuple[int, int], ...], tuple[tuple[int, int], ...]]] = {}
         self.pieces = Generations(lambda p: array("I", self.encode_piece(p.encode())).tobytes(), PIECES)
@@ -147,6 +149,8 @@ class PrefixEncoder:
         return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        if (whole := self.single.get(piece)) is not None:
+            return [whole]
         n = len(piece)
         last, back, known = [-1] * (n + 1), [0] * (n + 1), self.known
         for end, (token, length) in self.machine.iter(piece.decode("latin-1")):
@@ -238,11 +242,11 @@ class TextEncoder:
         return [_SAFE_SPACE.split(line) for line in _SAFE_FEED.split(text)]
 
     def _learn(self, lines: list[list[str]]) -> None:
-        later, old = self.later, self.later.old
-        new = {c for c in set(chain.from_iterable(lines)) if c not in later and c not in old and 0 < len(c) <= LONG and not _SPACE.search(c)}
+        unknown = filterfalse(self.later.old.__contains__, filterfalse(self.later.__contains__, set(chain.from_iterable(lines))))
+        new = {c for c in unknown if 0 < len(c) <= LONG and not _SPACE.search(c)}
         if new:
             for c, ids in zip(new, self.encoder.encode_chunks(list(new)), strict=True):
-                later.put(c, ids)
+                self.later.put(c, ids)
 
     def _join(self, lines: list[list[str]]) -> bytes:
         first, later = self.first.__getitem__, self.later.__getitem__
