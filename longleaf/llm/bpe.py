@@ -36,7 +36,7 @@ from longleaf.session import ship
 #: The split pattern of byte-level BPE with white space as Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of a generation of each cache, and the longest text (in characters) that a cache keeps.
-CHUNKS, PIECES, FIRSTS, SEAMS, LONG = 300_000, 200_000, 50_000, 1_000_000, 40
+CHUNKS, PIECES, FIRSTS, SEAMS, LONG = 600_000, 500_000, 50_000, 1_000_000, 40
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SAFE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
