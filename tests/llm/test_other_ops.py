@@ -137,11 +137,11 @@ def test_an_articles_own_header_stays_and_marked_parts_go():
 
 
 def test_deep_and_long_pages_are_read_whole(spark):
-    deep = "<div>" * 3000 + "<p>deep</p><aside>no</aside>" + "</div>" * 3000
+    deep = "<div>" * 30_000 + "<p>deep</p><aside>no</aside>" + "</div>" * 30_000
     long = "<article>" + "".join(f"<p>{k} {'w ' * 20}</p>" for k in range(20_000)) + "</article>"
-    rows = [(1, "http://a.org", deep), (2, "http://b.org", long), (3, "http://b.org", long)]
-    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1] == "deep" and got[2] == got[3] == "\n\n".join(f"{k} {'w ' * 20}".strip() for k in range(20_000))
+    rows = [(1, "http://a.org", deep), (2, "http://b.org", long), (3, "http://b.org", long), (4, "http://a.org", deep.replace("deep", "other"))]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4, "page_id")).collect()}
+    assert got[1] == "deep" and got[4] == "other" and got[2] == got[3] == "\n\n".join(f"{k} {'w ' * 20}".strip() for k in range(20_000))
 
 
 def test_wrappers_survive_being_written():
