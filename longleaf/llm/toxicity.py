@@ -283,8 +283,8 @@ def learned_windows(values: list[str], labels: np.ndarray, draws: np.ndarray, kn
     return out
 
 
-def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.ndarray, epochs: int = 6, batch: int = 256, seed: int = 7) -> Model:
-    """Fit a network on windows of words and their labels (1: toxic); known words have vectors that start from their log-odds."""
+def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.ndarray, least_steps: int = 200, epochs: int = 6, batch: int = 256, seed: int = 7) -> Model:
+    """Fit a network on windows of words and their labels (1: toxic), in so many rounds or as many as make the least steps; known words have vectors that start from their log-odds."""
     rng = np.random.default_rng(seed)
     p = _parameters(rng, odds)
     mixed = rng.permutation(len(windows))
@@ -293,7 +293,7 @@ def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.nd
     mean = {k: np.zeros_like(v) for k, v in p.items()}
     square = {k: np.zeros_like(v) for k, v in p.items()}
     steps = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // max(1, len(windows))))):
         for part in rng.permutation(len(inputs)).tolist():
             x = inputs[part]
             chosen = rng.permutation(len(x.text))
