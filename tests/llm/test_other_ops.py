@@ -125,6 +125,33 @@ def test_slots_tell_the_article_and_the_template(spark):
         assert wrapper.extract_page(rows[i][2], None) != got[i]  # the page alone does not tell
 
 
+def test_pages_made_from_known_blocks_give_them_back(spark):
+    """Eight hosts of their own templates, twelve pages each: the text is exactly the blocks that the page was made from."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
+    said = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for h in range(8):
+        marked = h % 2 == 0
+        tag = ("article", "main", "section", "div")[h % 4]
+        own = f'{tag} class="{"x" + word()}"'
+        links = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(5))
+        terms, join = said(12), said(6)
+        for i in range(12):
+            blocks = [f"{said(3)} &amp; co", *(said(int(rng.integers(8, 30))) for _ in range(int(rng.integers(2, 6))))]
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b.replace(' ', chr(10), 1) if k % 2 else f'<b>{b}</b>'}</p>" for k, b in enumerate(blocks[1:]))
+            if marked:
+                body = f"<header>{body[: body.index('</h1>') + 5]}</header>{body[body.index('</h1>') + 5 :]}<aside>{said(9)}</aside><div class='share'>{said(4)}</div>"
+            else:
+                body += f"<p>{join}</p>"
+            extra = f'<section class="comments"><p>{said(15)}</p></section>' if i % 3 == 0 else ""
+            page = f"<html><head><title>{said(3)}</title></head><body><ul>{links}</ul><div class='ad'>{said(7)}</div><{own}>{body}</{tag}>{extra}<div><p>{terms}</p></div><footer>{said(3)}</footer></body></html>"
+            want[len(rows)] = "\n\n".join(b.replace("&amp;", "&") for b in blocks)
+            rows.append((len(rows), f"https://host{h}.org/{i}", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert {r["page_id"]: r["text"] for r in wrapper.main_text(df).collect()} == want
+
+
 def test_pages_that_repeat_one_article_keep_it(spark):
     rows = [(i, "http://h.org/", PAGE.format(f"<article><h1>One</h1><p>same text</p><p>again</p>{'<p>x' * (i % 2)}</article>")) for i in range(8)]
     got = {r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
