@@ -33,8 +33,8 @@ from longleaf.llm.hashing import mix
 from longleaf.session import ship
 
 WINDOW, STRIDE, STATE, WORD_DIM, CHAR_DIM, ATTEND, TRIGRAMS = 64, 48, 12, 8, 8, 8, 4096
-#: Logit of a window without words.
-CLEAN = -30.0
+#: Logit of a window without words, and what a trigram's vector keeps in a step of training.
+CLEAN, DECAY = -30.0, 0.97
 #: Characters that are read at once, and those of a window that is learned from at most.
 BLOCK_CHARS, WINDOW_CHARS = 1_000_000, 20_000
 _ASCII = np.zeros(128, bool)
@@ -283,7 +283,7 @@ def learned_windows(values: list[str], labels: np.ndarray, draws: np.ndarray, kn
     return out
 
 
-def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.ndarray, least_steps: int = 200, epochs: int = 6, batch: int = 256, seed: int = 7) -> Model:
+def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.ndarray, least_steps: int = 60, epochs: int = 6, batch: int = 256, seed: int = 7) -> Model:
     """Fit a network on windows of words and their labels (1: toxic), in so many rounds or as many as make the least steps; known words have vectors that start from their log-odds."""
     rng = np.random.default_rng(seed)
     p = _parameters(rng, odds)
@@ -303,6 +303,8 @@ def train(windows: list[str], labels: np.ndarray, known: np.ndarray, odds: np.nd
                 for k, g in _learn(x, pick, targets[4096 * part + x.text[pick]].astype(np.float32), p).items():
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
+                    if k == "char":
+                        p[k] *= DECAY  # what few windows say of trigrams fades
                     p[k] -= 0.01 * (mean[k] / (1 - 0.9**steps)) / (np.sqrt(square[k] / (1 - 0.99**steps)) + 1e-8)
     return Model(known, p)
 
