@@ -130,6 +130,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of the map of hashed keys that ``parted`` sends to every task, 64 to a row: a million rows at most.
+MAP_BITS = 1 << 26
+
+
+def parted(df: DataFrame, marks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df (read twice) in two: rows whose keys surely aren't in marks, and those whose keys may be.
+
+    Rows of the first part need no join, and so no shuffle.  Keys are hashed into a map of bits of fixed size,
+    which is broadcast; with more keys than it can tell apart, the second part becomes all of df.
+    """
+    place, word, bits = (free_name(df, n) for n in ("_place", "_word", "_bits"))
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
+    held = marks.select(hashed.alias(place)).select(F.shiftright(place, 6).alias(word), F.expr(f"shiftleft(1L, cast({place} & 63 as int))").alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    met = df.withColumn(place, hashed).join(F.broadcast(held), F.shiftright(place, 6) == F.col(word), "left")  # MAP_BITS / 64 rows at most
+    may = F.coalesce(F.expr(f"shiftright({bits}, cast({place} & 63 as int)) & 1") == 1, F.lit(False))
+    return met.where(~may).select(df.columns), met.where(may).select(df.columns)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a unique long for each row.  Materialise the result before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import Tables, free_name, lists, map_arrow, texts
+from longleaf.llm.common import Tables, free_name, lists, map_arrow, parted, texts
 
 _LAST = (1 << 63) - 1
 
@@ -211,7 +211,9 @@ def drop_repeated_lines(df: DataFrame, text_col: str = "text", id_col: str = "do
     gone = repeated_lines(df, text_col, id_col, min_words)
     i, d = (free_name(df, n) for n in ("_line_id", "_line_digest"))
     keyed = df.drop(removed_col).withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), d: F.xxhash64(text_col)})
-    both = keyed.join(gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias(removed_col)).hint("merge"), [i, d], "left")  # the marked documents grow with the corpus, so no plan that suits a few of them
+    marks = gone.select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias(removed_col))
+    whole, rest = parted(keyed, marks, [i, d])  # what is marked grows with the corpus, so the rest takes one plan at every size
+    both = whole.withColumn(removed_col, F.lit(None).cast("array<int>")).unionByName(rest.join(marks.hint("merge"), [i, d], "left"))
     pieces = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(pieces, lambda _, k: ~F.array_contains(F.col(removed_col), k)), "\n")
     out = both.withColumn(text_col, F.when(F.col(removed_col).isNull(), F.col(text_col)).otherwise(left)).withColumn(removed_col, F.coalesce(removed_col, F.array().cast("array<int>")))
