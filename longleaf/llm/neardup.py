@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import Tables, batches_of, free_name, lists, map_arrow, text_blocks, texts
+from longleaf.llm.common import Tables, batches_of, free_name, lists, map_arrow, parted, text_blocks, texts
 from longleaf.llm.graph import components
 from longleaf.llm.hashing import mix, shingle_sets
 
@@ -202,7 +202,8 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
     crowd = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tables.write(nodes.join(crowd, "key"), "shared")
     standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
-    kept = docs.join(standing.select("node"), "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    standing = tables.write(standing, "standing")
+    kept = parted(docs.select("node", "text"), standing, ["node"])[1].join(standing.select("node"), "node", "left_semi").dropDuplicates(["node"])
     kept = tables.write(kept, "texts")
 
     def verify(batch: pa.RecordBatch) -> dict[str, object]:
@@ -275,6 +276,6 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", thre
     drop = Tables(df.sparkSession).write(drop, "drop")
     keys = [node, null_id, id_]
     keyed = df.withColumns({node: F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))), null_id: F.col(id_col).isNull(), id_: F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
-    repeated = keyed.join(drop.where("stays").drop("stays"), keys, "left_semi").dropDuplicates(keys)
-    # what goes grows with the corpus, so no plan that suits a few rows
-    return keyed.join(drop.drop("stays").hint("merge"), keys, "left_anti").unionByName(repeated).select(df.columns)
+    whole, rest = parted(keyed, drop, keys)  # what goes grows with the corpus, so the rest takes one plan at every size
+    repeated = rest.join(drop.where("stays").drop("stays"), keys, "left_semi").dropDuplicates(keys)
+    return whole.unionByName(rest.join(drop.drop("stays").hint("merge"), keys, "left_anti")).unionByName(repeated).select(df.columns)
