@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from longleaf.llm import bpe, hashing, linedup, neardup, packing, sequences
+from longleaf.llm import bpe, common, hashing, linedup, neardup, packing, sequences
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 REFERENCE = Tokenizer.from_file(PATH)
@@ -239,6 +239,19 @@ def test_near_duplicates_with_repeats_equal_brute_force(spark):
     assert len(links) > 200 and got == {i: root(i) for i in range(300)}
 
 
+def test_parted_rows_are_all_there_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"k{i % 50}", "x") for i in range(200)] + [(None, None, "x")], "doc_id long, key string, _word string")
+    marks = spark.createDataFrame([("k3",), ("k7",), (None,)], "key string")
+    for bits in (common.MAP_BITS, 64):
+        monkeypatch.setattr(common, "MAP_BITS", bits)
+        whole, rest = common.parted(df, marks, ["key"])
+        assert whole.columns == rest.columns == df.columns
+        assert sorted(str(tuple(r)) for r in whole.union(rest).collect()) == sorted(str(tuple(r)) for r in df.collect())
+        assert {"k3", "k7", None} <= {r["key"] for r in rest.collect()} and (bits == 64 or rest.count() == 9)
+    whole, rest = common.parted(df, marks.limit(0), ["key"])
+    assert (whole.count(), rest.count()) == (201, 0)
+
+
 def test_clashing_names_stay(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "X", "n", True), (2, "a b c d e f", "Y", "m", False), (3, None, None, None, None)], "doc_id long, text string, _id string, _node string, stays boolean")
     kept = neardup.keep_one(df)
