@@ -66,7 +66,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_type(name: str) -> pa.DataType:
     return {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-        "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+        "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
     }[name]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longleaf.llm import ann, bpe, bpetree, chat, filteraudit, linedup, media, neardup, packing, sequences, toxicity, wrapper
+from longleaf.llm import ann, bpe, bpetree, chat, filteraudit, hardneg, linedup, media, neardup, packing, sequences, toxicity, wrapper
 from longleaf.llm.common import read, small_batches
 
 
@@ -67,14 +67,19 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_bpetree(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpetree.round_trip(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_onebit": op1_onebit, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_wrapper": op5_wrapper, "op6_toxicity": op6_toxicity, "op7_media": op7_media, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup, "op11_audit": op11_audit, "op13_bpetree": op13_bpetree}
+    return {"op1_onebit": op1_onebit, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_wrapper": op5_wrapper, "op6_toxicity": op6_toxicity, "op7_media": op7_media, "op8_minhash": op8_minhash, "op9_sequences": op9_sequences, "op10_linedup": op10_linedup, "op11_audit": op11_audit, "op12_vptree": op12_vptree, "op13_bpetree": op13_bpetree}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_onebit": ann.ORACLE, "op4_chat": chat.ORACLE, "op11_audit": filteraudit.ORACLE}
+    return {"op1_onebit": ann.ORACLE, "op4_chat": chat.ORACLE, "op11_audit": filteraudit.ORACLE, "op12_vptree": hardneg.ORACLE}
