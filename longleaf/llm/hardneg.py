@@ -15,7 +15,8 @@ annulus around the anchor.
   one vector cannot be told apart) is split by hash into blocks.  A block is one task's, which builds the rest of the tree
   over its rows and then reads the anchors that come to it: only those whose annulus may meet the block's leaf.
 * Positives are searched in the anchor's own block first; the last of them is the floor under which other blocks, and
-  nodes in them, are not entered.  Then all windows of an anchor are searched at once.
+  nodes in them, are not entered.  Then all windows of an anchor are searched at once, its own block first again: a window that is full there takes
+  better rows only from other blocks.
 
 Everything after the sample is exact: scores are sums of integers in double precision, exact below 2^53.
 
@@ -313,8 +314,14 @@ def mine(df: DataFrame, is_anchor: Column, label: Column, vector_col: str = "emb
         lows, highs = b.column(4).to_pylist(), b.column(5).to_pylist()
         return np.array([min(x) for x in lows], np.float64), np.array([max(x) for x in highs], np.float64)
 
-    around = map_arrow(ask, lambda b: visited(b, span), carried).withColumn("block", F.explode("blocks"))
-    hits = tables.write(_met(rows, around, search=window, schema=found, **ways), "negatives")
+    ask = tables.write(ask, "windows")
+    inside = tables.write(_met(rows, ask.withColumn("block", F.col("home")), search=window, schema=found, **ways), "inside")
+    full = inside.groupBy(F.col("anchor").alias("row"), "place").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= negatives)
+    raised = full.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "floor"))).alias("floors"))  # positives entries each
+    floor_at = lambda x, i: F.greatest(x, F.try_element_at("floors", i + 1))  # noqa: E731  greatest passes over nulls
+    around = ask.join(raised, "row", "left").withColumn("low", F.transform("low", floor_at)).drop("floors")
+    around = map_arrow(around.select("row", "id", "label", "v", "low", "high", "home"), lambda b: visited(b, span), carried).withColumn("block", F.explode("blocks")).where("block <> home")
+    hits = inside.unionByName(tables.write(_met(rows, around, search=window, schema=found, **ways), "outside"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "place").orderBy(F.desc("score"), "other_id"))).where(F.col("rank") <= negatives)
     known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     pairs = likes.select("anchor", "place", known("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
