@@ -1,4 +1,10 @@
-"""A collection of chunks with a dense and a sparse vector each, as a table that is searched exactly."""
+"""A collection of chunks with a dense and a sparse vector each, as tables.
+
+A collection starts as one table that is searched exactly.  ``create_index`` deals its rows to inverted lists by their dense vectors (see
+``ivf``) and keeps the places of their sparse vectors as postings sorted by place.  Each index is a
+version in a folder of its own, complete when its centres are written, so a stopped build leaves the version
+before it in use.  Rows inserted later go to the lists of the version in use.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longleaf.operators import dense
+from longleaf.operators import dense, ivf
 from longleaf.session import delete, is_complete
 
 SCHEMA = "id string, text string, dense array<float>, sparse map<int,float>"
+#: Parts of the postings of sparse vectors, each of a range of places.
+RANGES = 32
 
 
 @dataclass
@@ -22,28 +30,73 @@ class Collection:
         """An empty collection; without drop one that is there stays as it is."""
         if drop:
             delete(self.spark, self.path)
-        if not is_complete(self.spark, self.path):
-            self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(self.path)
+        if self._version() < 0:
+            self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{self.path}/version=0/rows/list=-1")
+            ivf.Centres.save(ivf.Centres(ivf.np.zeros((0, 0))), self.spark, f"{self.path}/version=0/centres")
         return self
 
+    def _version(self) -> int:
+        """The last complete version, -1 if there is none."""
+        n = -1
+        while is_complete(self.spark, f"{self.path}/version={n + 1}/centres"):
+            n += 1
+        return n
+
+    def _at(self, name: str) -> str:
+        return f"{self.path}/version={self._version()}/{name}"
+
+    def _centres(self) -> ivf.Centres:
+        return ivf.Centres.load(self.spark, self._at("centres"))
+
     def insert(self, rows: DataFrame) -> None:
         """Add rows (id, text, dense, sparse); of equal ids the last one inserted is not told from the first, so ids should be new."""
-        rows.selectExpr("cast(id as string) id", "cast(text as string) text", "cast(dense as array<float>) dense", "cast(sparse as map<int,float>) sparse").write.mode("append").parquet(self.path)
+        rows = rows.selectExpr("cast(id as string) id", "cast(text as string) text", "cast(dense as array<float>) dense", "cast(sparse as map<int,float>) sparse")
+        self._put(rows, self._centres(), f"{self.path}/version={self._version()}", "append")
+
+    def _put(self, rows: DataFrame, centres: ivf.Centres, folder: str, mode: str) -> None:
+        named = rows.withColumnRenamed("dense", "embedding")
+        ivf.write(named, centres, f"{folder}/rows", mode) if len(centres.points) else named.withColumnRenamed("embedding", "dense").write.mode("append").parquet(f"{folder}/rows/list=-1")
+        if len(centres.points):
+            places = rows.select("id", F.explode("sparse").alias("place", "weight"))
+            places.repartitionByRange(RANGES, "place", "id").sortWithinPartitions("place").write.mode(mode).parquet(f"{folder}/places")
+
+    def create_index(self, lists: int = ivf.LISTS, sample: int = ivf.SAMPLE) -> Collection:
+        """Inverted lists and postings over all rows, as a new version."""
+        centres = ivf.Centres.fit(self.rows().select(F.col("id").alias("ord"), F.col("dense").alias("embedding")), lists, sample)
+        folder = f"{self.path}/version={self._version() + 1}"
+        self._put(self.rows(), centres, folder, "overwrite")
+        centres.save(self.spark, f"{folder}/centres")
+        return self
+
+    def _lists(self) -> DataFrame:
+        """Rows with their list; vectors are named embedding in lists and dense in a collection without an index."""
+        indexed = len(self._centres().points) > 0
+        schema = SCHEMA.replace("dense", "embedding") if indexed else SCHEMA
+        rows = self.spark.read.schema(f"{schema}, list int").option("basePath", self._at("rows")).parquet(self._at("rows"))
+        return rows.withColumnRenamed("embedding", "dense")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self._lists().drop("list")
 
     def count(self) -> int:
         return self.rows().count()
 
-    def dense_search(self, queries: DataFrame, k: int = 50) -> DataFrame:
-        """(target, id, text, score, rank) of the k largest inner products with queries (target, q), scaled to length 1."""
-        vectors = self.rows().select(F.col("id").alias("ord"), F.col("dense").alias("embedding"), "text")
-        return dense.top_k(vectors, queries, k).withColumnRenamed("ord", "id")
+    def dense_search(self, queries: DataFrame, k: int = 50, probes: int = ivf.PROBES) -> DataFrame:
+        """(target, id, text, score, rank) of the k largest inner products with queries (target, q), scaled to length 1.
+
+        With an index only the probes nearest lists of each query are read; without one, all rows are.
+        """
+        rows = self._lists().select(F.col("id").alias("ord"), F.col("dense").alias("embedding"), "text", "list")
+        centres = self._centres()
+        found = ivf.search(rows, centres, queries, k, probes) if len(centres.points) else dense.top_k(rows, queries, k)
+        return found.withColumnRenamed("ord", "id").drop("list")
 
     def sparse_search(self, queries: DataFrame, k: int = 50) -> DataFrame:
         """The same with sparse queries (target, q as map); only shared places are joined, and rows without any are no hits."""
-        places = self.rows().select("id", F.explode("sparse").alias("place", "weight"))
+        if len(self._centres().points):
+            places = self.spark.read.schema("id string, place int, weight float").parquet(self._at("places"))
+        else:
+            places = self.rows().select("id", F.explode("sparse").alias("place", "weight"))
         asked = queries.select("target", F.explode("q").alias("place", "times"))
         scored = places.join(asked, "place").groupBy("target", "id").agg(F.round(F.sum(F.col("weight").cast("double") * F.col("times").cast("double")), 6).alias("score"))
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

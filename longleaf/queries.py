@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import headings as H
 from longleaf.functions import text as T
-from longleaf.operators import bm25, chunking, collection, dense, retrieve, tables
+from longleaf.operators import bm25, chunking, collection, dense, ivf, retrieve, tables
 from longleaf.plans import agent, provider, report
 from longleaf.session import fingerprint, scratch_dir
 from longleaf.sources import files
@@ -554,6 +554,31 @@ def collection_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.sparse_search(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("target"), F.col("sparse").alias("q")), 5).select("target", "id", "score", "rank")
 
 
+def _collected(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """A collection of all vectors with an index: half of them inserted before it is made, half after."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit("").alias("text"), F.col("embedding").alias("dense"), F.lit(None).cast("map<int,float>").alias("sparse"), "vec_id")
+    c = collection.Collection(spark, _scratch(spark, "collection")).create()
+    c.insert(v.where("vec_id % 2 = 0"))
+    c.create_index()
+    c.insert(v.where("vec_id % 2 = 1"))
+    return c
+
+
+@query(f"WITH {_DENSE} SELECT target, ord, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord::VARCHAR) AS rank FROM s) WHERE rank <= 10")
+def collection_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection with inverted lists, searched in all of them, and so exactly."""
+    hits = _collected(spark, sf_dir).dense_search(_dense(spark, sf_dir)[1], 10, ivf.LISTS)
+    return hits.select("target", F.col("id").cast("long").alias("ord"), "score", "rank")
+
+
+@query("SELECT count(*) AS queries, (count(*) * 10)::BIGINT AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def collection_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the ten best that a search finds which reads 64 of 128 lists, against the exact search: whether it is 0.9 at least."""
+    v, q = _dense(spark, sf_dir)
+    hits = _collected(spark, sf_dir).dense_search(q, 10).select("target", F.col("id").cast("long").alias("ord"))
+    return ivf.recall(hits, dense.top_k(v, q, 10)).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 UPLOADS = [("d1", "/raw/a/x.pdf"), ("d2", "/raw/b/y.html")]
 RESULTS = [("x.pdf", "d1"), ("y.html", "d2"), ("z.pdf", "z.pdf")]
 
