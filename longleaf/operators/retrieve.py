@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators import bm25
-from longleaf.session import delete, scratch_dir
+from longleaf.session import written
 
 
 def _hits(index: bm25.Index, targets: DataFrame, k: int) -> DataFrame:
@@ -32,11 +27,7 @@ def retrieve(index: bm25.Index, targets: DataFrame, k: int = 3, second_k: int =
     """
     asked = targets.select("target", "doc_ids", "semantic_query", T.query_text(F.col("keywords"), F.col("semantic_query")).alias("query"))
     real = asked.where(F.coalesce(F.col("semantic_query"), F.lit("")) != "")
-    spark = targets.sparkSession
-    path = f"{scratch_dir(spark)}/hits-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    _hits(index, real, k).withColumn("source", F.lit("keywords")).write.parquet(path)
-    first = spark.read.parquet(path)  # found once, for the answer and for what it leaves open
+    first = written(_hits(index, real, k).withColumn("source", F.lit("keywords")), "hits")  # found once, for the answer and for what it leaves open
     missed = real.join(first.select("target").distinct(), "target", "left_anti").withColumn("query", F.col("semantic_query"))
     found = first
     if not missed.isEmpty():
@@ -58,9 +49,3 @@ def containing(index: bm25.Index, targets: DataFrame) -> DataFrame:
     rest = texts.crossJoin(asked.join(rarest.select("target"), "target", "left_anti").select("target", "query"))
     held = lambda df: df.where(F.col("text").contains(F.col("query"))).select("target", "ord")
     return held(likely).unionByName(held(rest))
-
-
-def _forget(spark, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session's JVM may be gone already
-        delete(spark, path)
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

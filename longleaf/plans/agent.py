@@ -1,6 +1,7 @@
 """Question answering in stages, each a DataFrame: plan, retrieve, compress, answer.
 
-A model's reply is used where it is valid; else each stage has a rule of its own.  Questions that
+A model's reply is used where it is valid; else each stage has a rule of its own.  Replies are kept (see ``provider.Replies``), so
+each prompt is sent once and all that a stage does rests on the same replies.  Questions that
 call for a calculation take two calls: the first one writes formulas, which are evaluated here (no code of a
 model is executed), the second one answers with their results.
 """
@@ -9,16 +10,17 @@ from __future__ import annotations
 
 import ast
 import operator
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
 from longleaf.operators import bm25, retrieve
 from longleaf.plans import provider
-from longleaf.session import ship
+from longleaf.session import ship, written
 
 #: How long texts of the rules' answers are, what joins evidence, and what marks a target without evidence.
 QUERY_CHARS, KEYWORD_CHARS, EVIDENCE_CHARS = 60, 80, 500
@@ -58,6 +60,12 @@ TASKS = {
 }
 
 
+#: What the prompts of the three stages begin with.
+PLAN_TASK = "List, as JSON, what has to be looked up to answer this question, and in which documents."
+KEEP_TASK = "Keep, in the words of the text, only what bears on:"
+ANSWER_TASK = "Answer from the evidence alone, as JSON with correct_options and the clauses you rely on."
+
+
 def task(stage: str, way: Column) -> Column:
     """The text of a stage for a route (the one of mcq where a route has none)."""
     texts = TASKS[stage]
@@ -88,12 +96,12 @@ def flatten_plan(plans: DataFrame) -> DataFrame:
     return t.select("qid", "target_ord", F.coalesce("t.round", F.lit(1)).alias("round"), text("description").alias("description"), text("semantic_query").alias("semantic_query"), text("keywords").alias("keywords"), docs.alias("doc_ids"))
 
 
-def plan(questions: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
+def plan(questions: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel, replies: provider.Replies | None = None) -> DataFrame:
     """Targets of questions (qid, question, options, type, doc_ids), by a model or else by rule, with the tokens of the plan's call at its first target."""
     way = route(F.col("type"), answer_kind(F.col("type"), _stated(questions)))
     titles = F.col("titles") if "titles" in questions.columns else F.col("doc_ids")
     asked = questions.select("qid", plan_prompt(way, F.col("question"), F.col("options"), titles).alias("prompt"))
-    replies = parse_plan(provider.with_chat(asked, "prompt", make))
+    replies = parse_plan(provider.with_chat(asked, "prompt", make, replies, "plan"))
     planned = flatten_plan(replies)
     rest = questions.join(planned.select("qid").distinct(), "qid", "left_anti")
     spent = replies.select("qid", F.col("prompt_tokens").alias("plan_prompt"), F.col("completion_tokens").alias("plan_completion"))
@@ -111,15 +119,15 @@ def _options(options: Column) -> Column:
 
 
 def plan_prompt(way: Column, question: Column, options: Column, titles: Column) -> Column:
-    return F.concat_ws("\n", F.lit("List, as JSON, what has to be looked up to answer this question, and in which documents."), task("plan", way), question, F.coalesce(_options(options), F.lit("")), F.concat(F.lit("Documents: "), F.array_join(F.coalesce(titles, F.array().cast("array<string>")), ", ")))
+    return F.concat_ws("\n", F.lit(PLAN_TASK), task("plan", way), question, F.coalesce(_options(options), F.lit("")), F.concat(F.lit("Documents: "), F.array_join(F.coalesce(titles, F.array().cast("array<string>")), ", ")))
 
 
 def compress_prompt(description: Column, evidence: Column) -> Column:
-    return F.concat_ws("\n", F.lit("Keep, in the words of the text, only what bears on:"), description, F.lit("Text:"), evidence)
+    return F.concat_ws("\n", F.lit(KEEP_TASK), description, F.lit("Text:"), evidence)
 
 
 def answer_prompt(way: Column, question: Column, options: Column, evidence: Column, calculated: Column | None = None) -> Column:
-    parts = [F.lit("Answer from the evidence alone, as JSON with correct_options and the clauses you rely on."), task("answer", way), question, F.coalesce(_options(options), F.lit("")), F.lit("Evidence:"), F.when(evidence == "", F.lit("(nothing found)")).otherwise(evidence)]
+    parts = [F.lit(ANSWER_TASK), task("answer", way), question, F.coalesce(_options(options), F.lit("")), F.lit("Evidence:"), F.when(evidence == "", F.lit("(nothing found)")).otherwise(evidence)]
     return F.concat_ws("\n", *parts, *([F.lit("Calculated:"), calculated] if calculated is not None else []))
 
 
@@ -133,9 +141,10 @@ def grouped(hits: DataFrame) -> DataFrame:
     return g.select("qid", "target_ord", "description", "semantic_query", F.transform("h", lambda x: x["chunk_id"]).alias("chunk_ids"), F.array_join(F.transform("h", lambda x: x["text"]), GLUE).alias("evidence"))
 
 
-def compress(hits: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
-    """Grouped evidence with compressed_text; a group without evidence is marked, whatever the number of groups."""
-    g = provider.with_chat(grouped(hits).withColumn("prompt", compress_prompt(F.col("description"), F.col("evidence"))), "prompt", make).drop("prompt")
+def compress(hits: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel, replies: provider.Replies | None = None) -> DataFrame:
+    """Grouped evidence with compressed_text; a group without evidence is marked, whatever the number of groups, and not sent to the model."""
+    prompt = F.when(F.col("evidence") != "", compress_prompt(F.col("description"), F.col("evidence")))
+    g = provider.with_chat(grouped(hits).withColumn("prompt", prompt), "prompt", make, replies, "compress").drop("prompt")
     text = F.when(F.col("evidence") == "", F.lit(NEGATIVE)).otherwise(F.coalesce(F.nullif("reply", F.lit("")), F.substring("evidence", 1, EVIDENCE_CHARS)))
     return g.withColumn("compressed_text", text).drop("reply")
 
@@ -258,7 +267,7 @@ def with_calculation(df: DataFrame, reply_col: str) -> DataFrame:
     return out.mapInPandas(run, out.schema)
 
 
-def answers(questions: DataFrame, compressed: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
+def answers(questions: DataFrame, compressed: DataFrame, make: Callable[[], provider.Chat] = provider.NoModel, replies: provider.Replies | None = None) -> DataFrame:
     """qid, answer, correct_options, needs_calculation, calculated, prompt_tokens, completion_tokens of every question.
 
     Questions that need a calculation take two calls, whose tokens are summed.
@@ -269,20 +278,52 @@ def answers(questions: DataFrame, compressed: DataFrame, make: Callable[[], prov
     e = e.select("qid", "question", "options", "type", kind.alias("kind"), route(F.col("type"), kind).alias("way"), needs.alias("needs_calculation"), "evidence", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("evidence_prompt", "evidence_completion")])
     texts = [F.col(c) for c in ("way", "question", "options", "evidence")]
     direct = e.where("not needs_calculation").withColumns({"calculated": F.lit(None).cast("string"), "first_prompt": F.lit(0).cast("long"), "first_completion": F.lit(0).cast("long"), "prompt": answer_prompt(*texts)})
-    formulas = provider.with_chat(e.where("needs_calculation").withColumn("prompt", formula_prompt(*texts)), "prompt", make)
+    formulas = provider.with_chat(e.where("needs_calculation").withColumn("prompt", formula_prompt(*texts)), "prompt", make, replies, "formula")
     worked = with_calculation(formulas.withColumnsRenamed({"prompt_tokens": "first_prompt", "completion_tokens": "first_completion"}), "reply").drop("reply", "prompt")
     second = worked.withColumn("prompt", answer_prompt(*texts, F.col("calculated")))
-    replied = provider.with_chat(direct.unionByName(second), "prompt", make)
+    replied = provider.with_chat(direct.unionByName(second), "prompt", make, replies, "answer")
     chosen = F.from_json(F.to_json(T.json_value(F.col("reply"))), "struct<correct_options:array<string>>")["correct_options"]
     picked = F.coalesce(chosen, F.filter(F.array(offline_choice(F.col("options"), F.col("evidence"))), lambda x: x != ""))
     total = lambda c: (F.col(f"{c}_tokens") + F.col(f"first_{c}") + F.col(f"evidence_{c}")).cast("long").alias(f"{c}_tokens")
     return replied.withColumn("correct_options", picked).select("qid", T.format_answer(F.col("correct_options"), F.col("kind")).alias("answer"), "correct_options", "needs_calculation", "calculated", total("prompt"), total("completion"))
 
 
-def run(questions: DataFrame, index: bm25.Index, make: Callable[[], provider.Chat] = provider.NoModel) -> DataFrame:
-    """Answers of questions (qid, question, options, type, doc_ids) from an index; tokens are those of all calls."""
-    targets = plan(questions, make).withColumn("target", F.concat_ws("#", F.col("qid"), F.col("target_ord").cast("string")))
-    hits = retrieve.retrieve(index, targets).drop("semantic_query")
+class Trace:
+    """What the stages of a run gave, a row for each, counted in the pass that writes a stage's result."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def stage(self, name: str, df: DataFrame, **counted: Column) -> DataFrame:
+        """df as a written table; its rows, and those for which each of counted holds, are noted with the seconds it took."""
+        began, seen = time.monotonic(), Observation()
+        figures = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counted.items()]]
+        out = written(df.observe(seen, *figures), name)
+        got = seen.get
+        self.rows.append((name, got.pop("rows"), got, time.monotonic() - began))
+        return out
+
+    def table(self, replies: provider.Replies) -> DataFrame:
+        """(stage, ord, rows, figures, calls, prompt_tokens, completion_tokens, seconds); a stage's calls are those of its run."""
+        made = replies.spark.createDataFrame([(n, k, *r) for k, (n, *r) in enumerate(self.rows)], "stage string, ord int, rows long, figures map<string,long>, seconds double")
+        own = F.when(F.col("stage") == "formula", "answer").otherwise(F.col("stage"))
+        spent = replies.spent().where(F.col("run") == replies.run).groupBy(own.alias("stage")).agg(*[F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")])
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        return made.join(spent, "stage", "left").select("stage", "ord", "rows", "figures", *map(zero, ("calls", "prompt_tokens", "completion_tokens")), "seconds")
+
+
+def run(questions: DataFrame, index: bm25.Index, make: Callable[[], provider.Chat] = provider.NoModel, replies: provider.Replies | None = None, trace: Trace | None = None) -> DataFrame:
+    """Answers of questions (qid, question, options, type, doc_ids) from an index; tokens are those of all calls.
+
+    Each stage is written when it is done.  With replies of an earlier run, only prompts that it didn't send are sent.
+    """
+    replies, trace = replies or provider.Replies.temporary(questions.sparkSession), trace or Trace()
+    planned = plan(questions, make, replies).withColumn("target", F.concat_ws("#", F.col("qid"), F.col("target_ord").cast("string")))
+    targets = trace.stage("plan", planned, first_round=F.col("round") == 1)
+    hits = targets.drop("plan_prompt", "plan_completion").join(retrieve.retrieve(index, targets).drop("semantic_query"), "target", "left")
+    hits = trace.stage("retrieve", hits, empty=F.col("chunk_id").isNull(), second_try=F.col("source") == "semantic")
+    evidence = trace.stage("compress", compress(hits, make, replies), empty=F.col("compressed_text") == NEGATIVE)
     spent = targets.groupBy("qid").agg(F.sum("plan_prompt").alias("p"), F.sum("plan_completion").alias("c"))
-    out = answers(questions, compress(targets.drop("plan_prompt", "plan_completion").join(hits, "target", "left"), make), make).join(spent, "qid", "left")
-    return out.withColumns({"prompt_tokens": F.col("prompt_tokens") + F.coalesce("p", F.lit(0)), "completion_tokens": F.col("completion_tokens") + F.coalesce("c", F.lit(0))}).drop("p", "c")
+    out = answers(questions, evidence, make, replies).join(spent, "qid", "left")
+    out = out.withColumns({"prompt_tokens": F.col("prompt_tokens") + F.coalesce("p", F.lit(0)), "completion_tokens": F.col("completion_tokens") + F.coalesce("c", F.lit(0))}).drop("p", "c")
+    return trace.stage("answer", out, empty=F.col("answer") == "", calculated=F.col("needs_calculation"))

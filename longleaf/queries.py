@@ -766,6 +766,51 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.run(q, index(spark, sf_dir)).withColumn("correct_options", F.array_join("correct_options", ","))
 
 
+#: A model that chooses B for every question and says nothing else; it counts characters as tokens.
+ALWAYS_B = [("Answer from the evidence alone", '{"correct_options":["B"]}')]
+_PROMPTS = f"""benchmark AS {_KEYWORDS}, {_ENHANCED.strip().removeprefix("WITH ")},
+r AS (SELECT target, ord, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS hit FROM full_score),
+e AS (SELECT target, string_agg(r.ord::VARCHAR, ', ' ORDER BY hit) AS ids, string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY hit) AS evidence, count(*) AS hits FROM r JOIN documents d ON d.doc_id = r.ord WHERE hit <= 3 GROUP BY target),
+n AS (
+  SELECT item_id, coalesce(hits, 1) AS hits, 'A. ' || whole || chr(10) || 'B. ' || reverse(whole) AS options,
+    concat_ws(chr(10), '{agent.PLAN_TASK}', '{agent.TASKS["plan"]["mcq"]}', whole, options, 'Documents: ') AS planned,
+    CASE WHEN evidence <> '' THEN concat_ws(chr(10), '{agent.KEEP_TASK}', '', 'Text:', evidence) END AS kept,
+    concat_ws(chr(10), '{agent.ANSWER_TASK}', '{agent.TASKS["answer"]["mcq"]}', whole, options, 'Evidence:', coalesce('[' || ids || '] ' || substr(evidence, 1, 500), '[] NEGATIVE_VERIFIED')) AS answered
+  FROM benchmark LEFT JOIN e ON target = item_id)"""
+
+
+def _scripted(spark: SparkSession, sf_dir: str, replies: provider.Replies, trace: agent.Trace) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    options = F.create_map(F.lit("A"), F.col("text"), F.lit("B"), F.reverse("text"))
+    q = b.select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"), options.alias("options"), F.lit("单选题").alias("type"), F.array().cast("array<string>").alias("doc_ids"))
+    return agent.run(q, index(spark, sf_dir), partial(provider.Scripted, ALWAYS_B), replies, trace)
+
+
+@query(f"""WITH {_PROMPTS}
+SELECT item_id::VARCHAR AS qid, 'B' AS answer, (length(planned) + coalesce(length(kept), 0) + length(answered))::BIGINT AS prompt_tokens, {len(ALWAYS_B[0][1])}::BIGINT AS completion_tokens FROM n""")
+def answer_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as a question to a scripted model: its answer and the tokens of its three calls."""
+    out = _scripted(spark, sf_dir, provider.Replies.temporary(spark), agent.Trace())
+    return out.select("qid", "answer", "prompt_tokens", "completion_tokens")
+
+
+@query(f"""WITH {_PROMPTS}
+SELECT 'plan' AS stage, count(*) AS rows, count(*) AS calls, sum(length(planned))::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens FROM n
+UNION ALL SELECT 'retrieve', sum(hits)::BIGINT, 0, 0, 0 FROM n
+UNION ALL SELECT 'compress', count(*), count(kept), sum(length(kept))::BIGINT, 0 FROM n
+UNION ALL SELECT 'answer', count(*), count(*), sum(length(answered))::BIGINT, {len(ALWAYS_B[0][1])} * count(*) FROM n
+UNION ALL SELECT 'again', 0, 0, 0, 0""")
+def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, calls and tokens of each stage of the same run, counted as it runs; a second run with its replies (one row) makes no call."""
+    replies, trace = provider.Replies.temporary(spark), agent.Trace()
+    _scripted(spark, sf_dir, replies, trace)
+    once = trace.table(replies).select("stage", "rows", "calls", "prompt_tokens", "completion_tokens")
+    again = provider.Replies(spark, replies.path)
+    _scripted(spark, sf_dir, again, agent.Trace())
+    made = again.spent().where(F.col("run") == again.run).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")])
+    return once.unionByName(made.select(F.lit("again").alias("stage"), F.lit(0).cast("long").alias("rows"), "calls", "prompt_tokens", "completion_tokens"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

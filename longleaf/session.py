@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,6 +59,27 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, also when the session has ended."""
+    with contextlib.suppress(Exception):  # the session's JVM may be gone already
+        delete(spark, path)
+    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which goes when the driver's program ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(forget, spark, path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: it is worked out once, and a lost executor costs no stage before it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Digest of a file's or folder's name, size and time: equal for unchanged inputs."""
     fs, p = _place(spark, path)
