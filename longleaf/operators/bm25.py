@@ -2,13 +2,15 @@
 
 The index is four tables: chunks (with their length), postings (term, chunk, times), vocabulary
 (term, documents, idf) and one row of corpus figures.  A saved index is used again until it is
-built anew.  A search joins the terms of all targets with the postings at once; Catalyst picks the
-strategy by size, and adaptive execution splits terms that are far more common than others.  What
+built anew.  A term's postings are dealt to slots by their chunk, so that no term is one task's alone; saved postings are bucketed
+and sorted by slot.  A search joins the slots of all targets' terms with them, so only the
+targets' side is shuffled, and a search for few terms reads only their buckets.  What
 characters and substrings add is scored for the chunks that the terms found, and only for those.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import islice
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longleaf.functions import text as T
-from longleaf.session import delete, is_complete, ship
+from longleaf.session import delete, is_complete, scratch_path, ship, written
 
 K1, B, GRAM_WEIGHT, SUBSTRING_WEIGHT = 1.5, 0.75, 0.3, 0.25
 #: Targets whose grams and terms are sent to the tasks at once; more go in several rounds.
@@ -27,27 +29,42 @@ TARGETS = 2048
 #: Unicode's white space, as patterns with (?U) have it.
 SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _TABLES = ("chunks", "postings", "vocabulary", "corpus")
+#: Buckets of saved postings; chunks for each slot of a term; terms of a search that are looked up by their buckets alone.
+BUCKETS, SLOT_CHUNKS, NAMED_TERMS = 64, 1_000_000, 1000
+_CUT = "\x1f"  # stands between a term and its slot's number; terms are letters and digits
 
 
 @dataclass
 class Index:
     chunks: DataFrame  # ord, doc_id, chunk_id, header_path, text, n_terms
-    postings: DataFrame  # term, ord, tf, n_terms
+    postings: DataFrame  # slot, term, ord, tf, n_terms
     vocabulary: DataFrame  # term, df, idf
     corpus: DataFrame  # n_chunks, avg_terms
+    slots: int = 1  # of each term
 
-    def save(self, path: str) -> None:
-        """Each table from those saved before it, so texts are cut into terms once."""
+    def save(self, path: str, buckets: int = BUCKETS) -> None:
+        """Each table from those saved before it, so texts are cut into terms once.  The corpus figures come last and complete it."""
         spark = self.chunks.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        saved = _figures(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
-        saved.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        name = _table(path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        dealt = self.postings.repartition(buckets, "slot")
+        dealt.write.mode("overwrite").bucketBy(buckets, "slot").sortBy("slot").option("path", f"{path}/postings").saveAsTable(name)
+        saved = _figures(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"), self.slots)
         saved.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        saved.corpus.withColumns({"slots": F.lit(self.slots), "buckets": F.lit(buckets)}).write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in _TABLES))
+        """A saved index.  Spark learns how its postings are bucketed from a table of this session's catalog over the same files."""
+        chunks, postings, vocabulary, corpus = (spark.read.parquet(f"{path}/{name}") for name in _TABLES)
+        layout = corpus.select("slots", "buckets").head()
+        name = _table(path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        columns = ", ".join(f"`{c}` {t}" for c, t in postings.dtypes)
+        place = f"{path}/postings".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (slot) SORTED BY (slot) INTO {layout['buckets']} BUCKETS LOCATION '{place}'")
+        return Index(chunks, spark.table(name), vocabulary, corpus.select("n_chunks", "avg_terms"), layout["slots"])
 
     @staticmethod
     def ensure(chunks: DataFrame, path: str, force: bool = False, tokenizer: Callable[[Column], Column] = T.terms) -> Index:
@@ -55,7 +72,9 @@ class Index:
         spark = chunks.sparkSession
         if force:
             delete(spark, path)
-        if not all(is_complete(spark, f"{path}/{name}") for name in _TABLES):
+        whole = all(is_complete(spark, f"{path}/{name}") for name in _TABLES)
+        if not whole or "buckets" not in spark.read.parquet(f"{path}/corpus").columns:  # stopped, or of another layout
+            delete(spark, path)
             build(chunks, tokenizer).save(path)
         return Index.load(spark, path)
 
@@ -64,19 +83,37 @@ class Index:
         return self.corpus.crossJoin(self.vocabulary.agg(F.count(F.lit(1)).alias("n_terms"))).select("n_chunks", "n_terms", "avg_terms")
 
 
-def build(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.terms) -> Index:
-    """Index of a table with ord, doc_id, chunk_id, header_path and text."""
+def _table(path: str) -> str:
+    return f"longleaf_postings_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+
+
+def build(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.terms, slots: int | None = None) -> Index:
+    """Index of a table with ord, doc_id, chunk_id, header_path and text.  slots: how many a term's postings are dealt to, by the number of chunks if not stated."""
     base = chunks.select("ord", "doc_id", "chunk_id", "header_path", "text", tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
     sized = base.withColumn("n_terms", F.size("terms")).drop("terms")
-    postings = base.select("ord", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "ord", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
-    return _figures(sized, postings)
+    counted = base.select("ord", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "ord", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
+    return indexed(sized, counted, slots)
+
+
+def indexed(sized: DataFrame, counted: DataFrame, slots: int | None = None) -> Index:
+    """Index of chunks that are cut already: sized as Index.chunks is, counted with term, ord, tf and n_terms."""
+    slots = slots or max(1, -(-sized.count() // SLOT_CHUNKS))
+    return _figures(sized, counted.select(_slot(F.pmod(F.xxhash64("ord"), F.lit(slots))), "term", "ord", "tf", "n_terms"), slots)
 
 
-def _figures(sized: DataFrame, postings: DataFrame) -> Index:
+def _slot(number: Column) -> Column:
+    return F.concat("term", F.lit(_CUT), number.cast("string")).alias("slot")
+
+
+def _figures(sized: DataFrame, postings: DataFrame, slots: int) -> Index:
     corpus = sized.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.avg("n_terms"), F.lit(1.0)).alias("avg_terms"))
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus.select("n_chunks"))
-    idf = F.ln((F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
-    return Index(sized, postings, counted.select("term", "df", idf.alias("idf")), corpus)
+    return Index(sized, postings, counted.select("term", "df", inverse(F.col("df"), F.col("n_chunks")).alias("idf")), corpus, slots)
+
+
+def inverse(df: Column, n_chunks: Column) -> Column:
+    """How rare a term is that df of n_chunks chunks have."""
+    return F.ln((n_chunks - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
 def saturation(tf: Column, n_terms: Column, avg_terms: Column) -> Column:
@@ -87,8 +124,13 @@ def scores(index: Index, targets: DataFrame, tokenizer: Callable[[Column], Colum
     """(target, ord, bm25) of every chunk that has a term of the target (columns target, query)."""
     asked = targets.select("target", F.explode(tokenizer(F.col("query"))).alias("term")).groupBy("target", "term").agg(F.count(F.lit(1)).alias("times"))
     weighted = asked.join(index.vocabulary.select("term", "idf"), "term")
+    weighted = weighted.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(index.slots - 1)))).select("target", "times", "idf", _slot(F.col("number")))
+    postings = index.postings.select("slot", "ord", "tf", "n_terms")
+    few = asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()  # so many rows at most
+    if len(few) * index.slots <= NAMED_TERMS:
+        postings = postings.where(F.col("slot").isin([f"{r['term']}{_CUT}{n}" for r in few for n in range(index.slots)]))
     part = F.col("times") * F.col("idf") * saturation(F.col("tf"), F.col("n_terms"), F.col("avg_terms"))
-    return index.postings.join(weighted, "term").crossJoin(F.broadcast(index.corpus)).groupBy("target", "ord").agg(F.sum(part).alias("bm25"))  # corpus: one row
+    return postings.join(weighted, "slot").crossJoin(F.broadcast(index.corpus)).groupBy("target", "ord").agg(F.sum(part).alias("bm25"))  # corpus: one row
 
 
 def doc_keys(doc_id: Column) -> Column:
@@ -115,14 +157,21 @@ def likeness(asked: list[tuple[str, list[str]]]):
     names, grams = _listed([gram_codes(q).tolist() for q, _ in asked])
     words, terms = _listed([t for _, t in asked])
 
-    @F.arrow_udf("array<double>")
-    def adds(texts: pa.Array, targets: pa.Array) -> pa.Array:
+    made: dict[str, object] = {}
+
+    def automaton():
+        """Of all terms, built once in a task."""
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for k, t in enumerate(words):
-            automaton.add_word(t, k)
-        automaton.make_automaton()
+        if "of" not in made:
+            made["of"] = a = ahocorasick.Automaton()
+            for k, t in enumerate(words):
+                a.add_word(t, k)
+            a.make_automaton()
+        return made["of"]
+
+    @F.arrow_udf("array<double>")
+    def adds(texts: pa.Array, targets: pa.Array) -> pa.Array:
         known = np.array(names, np.int64)
         out, lengths = [np.zeros(0)], [0]
         for text, ks in zip(texts.to_pylist(), targets.to_pylist(), strict=True):
@@ -132,7 +181,7 @@ def likeness(asked: list[tuple[str, list[str]]]):
             has = at < len(known)
             shared[at[has][known[at[has]] == mine[has]]] = 1
             if words:
-                held[[*{k for _, k in automaton.iter(text)}]] = 1
+                held[[*{k for _, k in automaton().iter(text)}]] = 1
             out.append(np.stack([_summed(shared, *grams)[ks], _summed(held, *terms)[ks]], axis=1).reshape(-1))
             lengths.append(2 * len(ks))
         return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(np.concatenate(out)))
@@ -154,24 +203,39 @@ def _summed(values: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndar
 
 
 def _enhanced(found: DataFrame, chunks: DataFrame, targets: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
-    """found (target, ord, bm25 and others) with raw instead of bm25: a chunk's text meets the targets that found it, in one row."""
+    """found (target, ord, bm25 and others) with raw instead of bm25: a chunk's text meets the targets that found it, in one row.
+
+    Targets beyond TARGETS go in several rounds.  What was found is written once, in a part for each round, so a round reads
+    its own part, and its result is written before the next one begins.
+    """
     ship(targets.sparkSession)
     asked = targets.select("target", "query", F.filter(tokenizer(F.col("query")), lambda t: F.length(t) >= 2).alias("terms"))
     kept = [c for c in found.columns if c not in ("bm25", "ord")]
     schema = targets.select("target").withColumn("k", F.lit(0)).schema
-    out = None
-    rows = asked.toLocalIterator()
-    while (block := list(islice(rows, TARGETS))) or out is None:
+
+    def scored(mine: DataFrame, block: list) -> DataFrame:
         places = targets.sparkSession.createDataFrame([(r["target"], k) for k, r in enumerate(block)], schema)
-        mine = found.join(F.broadcast(places), "target")  # TARGETS rows at most
-        by_chunk = mine.groupBy("ord").agg(F.collect_list(F.struct(*kept, "bm25", "k")).alias("c"))
+        by_chunk = mine.join(F.broadcast(places), "target").groupBy("ord").agg(F.collect_list(F.struct(*kept, "bm25", "k")).alias("c"))  # a round's targets
         adds = likeness([(r["query"] or "", r["terms"] or []) for r in block])
         both = by_chunk.join(chunks.select("ord", "text"), "ord").select("ord", "c", adds(F.col("text"), F.col("c.k")).alias("adds"))
         each = both.select("ord", "adds", F.posexplode("c").alias("at", "c"))
         raw = F.col("c.bm25") + F.get("adds", 2 * F.col("at")) * F.lit(GRAM_WEIGHT) + F.get("adds", 2 * F.col("at") + 1) * F.lit(SUBSTRING_WEIGHT)
-        part = each.select("ord", *[F.col(f"c.{c}").alias(c) for c in kept], raw.alias("raw"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return each.select("ord", *[F.col(f"c.{c}").alias(c) for c in kept], raw.alias("raw"))
+
+    first = asked.limit(TARGETS + 1).collect()
+    if len(first) <= TARGETS:
+        return scored(found, first)
+    rounds = -(-2 * asked.count() // TARGETS)  # by hash, so some hold more than others; half full on average
+    number = F.pmod(F.xxhash64("target"), F.lit(rounds)).cast("int").alias("round")
+    spark, parts, out = targets.sparkSession, scratch_path(targets.sparkSession, "found"), scratch_path(targets.sparkSession, "scored")
+    found.select("*", number).repartition("round", "ord").write.partitionBy("round").parquet(parts)
+    asked = written(asked.select("*", number), "asked")
+    for n in range(rounds):
+        rows = asked.where(F.col("round") == n).toLocalIterator()
+        for k, block in enumerate(iter(lambda rows=rows: list(islice(rows, TARGETS)), [])):
+            mine = spark.read.schema(found.withColumn("round", F.lit(0)).schema).parquet(parts).where(F.col("round") == n).drop("round")
+            scored(mine, block).write.parquet(f"{out}/round={n}/part={k}")
+    return spark.read.parquet(out).drop("round", "part")
 
 
 def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | None = None, prefix: bool = True, enhanced: bool = True, per_doc: bool = False, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
