@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import headings as H
 from longleaf.functions import text as T
-from longleaf.operators import bm25, chunking, collection, dense, ivf, retrieve, tables
+from longleaf.operators import bm25, chunking, collection, dense, ivf, lexicon, retrieve, tables
 from longleaf.plans import agent, provider, report
 from longleaf.session import fingerprint, scratch_dir
 from longleaf.sources import files
@@ -128,6 +128,22 @@ def bm25_enhanced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(index(spark, sf_dir), targets(spark, sf_dir), 5).select("target", "ord", "score", "rank")
 
 
+@query()
+def lexicon_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct run of letters and digits of all documents, cut by a lexicon that is fitted on them."""
+    d = table(spark, sf_dir, "documents")
+    runs = d.select(F.explode(T.terms(F.col("text"))).alias("run")).distinct()
+    return runs.select("run", F.array_join(lexicon.Lexicon.fit(d).cutter(parts=False)(F.array("run")), " ").alias("words"))
+
+
+@query()
+def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search with an index whose terms, and those of the queries, are cut by that lexicon."""
+    terms = lexicon.Lexicon.fit(table(spark, sf_dir, "documents")).tokenizer()
+    made = bm25.Index.ensure(corpus(spark, sf_dir), _scratch(spark, "lexical"), tokenizer=terms)
+    return bm25.search(made, targets(spark, sf_dir), 10, enhanced=False, tokenizer=terms).select("target", "ord", "score", "rank")
+
+
 def _filters(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return targets(spark, sf_dir).select("target", F.explode(F.array(*map(F.lit, names))).alias("req_doc"))
 
