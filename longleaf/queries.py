@@ -52,18 +52,6 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return bm25.Index.ensure(corpus(spark, sf_dir), path)
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _literal(x) -> str:
-    return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-
-def _sql_values(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(_literal(x) for x in r) + ")" for r in rows) + f") AS v({names})"
-
-
 _TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 _INDEX = f"""
 terms AS (SELECT doc_id AS ord, {_TERMS.format("text")} AS t, text, source || '_' || lang AS name, lang FROM documents),
@@ -247,106 +235,6 @@ def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.without_furniture(lines).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("kept"))
 
 
-FURNITURE = [("12", True), (" 1234 ", True), ("12345", False), ("3 / 10", True), ("3/10 页", False), ("请务必阅读正文之后的免责条款部分", True), ("请扫描以查询验证条款", True), ("敬请参阅最后一页特别声明", False), ("请务必阅读声明", False), ("正文", False)]
-
-
-@query("SELECT line, furniture FROM " + _sql_values(FURNITURE, "line, furniture"))
-def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in FURNITURE], "line string").select("line", T.is_page_furniture(F.col("line")).alias("furniture"))
-
-
-WEAK = [("目 录", True), ("目　录", True), ("附录", False), ("附件一", True), ("摘要", True), ("前言", False), ("说明", False), ("TOC", True), ("Abstract", True), ("Executive Summary", True), ("Contents", False), ("GLOSSARY", True), ("Declaration", True), ("注释", False), ("参考文献", False), ("备查文件目录", True)]
-
-
-@query("SELECT title, weak FROM " + _sql_values(WEAK, "title, weak"))
-def weak_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in WEAK], "title string").select("title", T.is_weak_title(F.col("title")).alias("weak"))
-
-
-#: Document, order, title, convention of the document, rank there.
-HEADINGS = [
-    ("a", 0, "第一章 总则", "A", 1), ("a", 1, "第一节 目的", "A", 2), ("a", 2, "第三条 范围", "A", 3), ("a", 3, "一、定义", "A", 4), ("a", 4, "（一）术语", "A", 5), ("a", 5, "（1）单位", "A", 7), ("a", 6, "第二章 附则", "A", 1), ("a", 7, "补充", "A", None),
-    ("a", 8, "百一、不是", "A", None), ("a", 9, "第 三 章 空格", "A", None), ("a", 10, "(1）混合", "A", None), ("a", 11, "(2)半角", "A", 7), ("a", 12, "1.2.3.4 深", "A", 9), ("a", 13, "十）括", "A", 4), ("a", 14, "3）旁", "A", 7),
-    ("b", 0, "1 Scope", "B", 4), ("b", 1, "1.1 General", "B", 5), ("b", 2, "1.1.1 Terms", "B", 6), ("b", 3, "2 Rules", "B", 4), ("b", 4, "2.1.3.4 Deep", "B", 7), ("b", 5, "3）旁注", "B", 9), ("b", 6, "12、其他", "B", 8), ("b", 7, "一、中文", "B", 10), ("b", 8, "（二）内", "B", 11), ("b", 9, "（3）里", "B", 12),
-    ("c", 0, "前言", "A", None), ("c", 1, "二十一、结语", "A", 4), ("d", 0, "1 a", "A", 6), ("d", 1, "2 b", "A", 6), ("e", 0, "1. x", "A", 6), ("e", 1, "一、y", "A", 4), ("e", 2, "2. z", "A", 6), ("e", 3, "3. w", "A", 6),
-]
-_RANKED = _sql_values(HEADINGS, "doc_id, ord, title, convention, rank")
-
-
-def _ranked(spark: SparkSession) -> DataFrame:
-    h = _values(spark, [r[:3] for r in HEADINGS], "doc_id string, ord int, title string")
-    r = h.join(H.conventions(h), "doc_id")
-    return r.withColumn("rank", H.heading(F.col("title"), F.col("convention"))["rank"])
-
-
-@query(f"SELECT doc_id, ord, title, convention, rank FROM {_RANKED}")
-def heading_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark)
-
-
-@query(f"""WITH r AS (SELECT * FROM {_RANKED}), p AS (SELECT a.doc_id, a.ord, a.rank, b.title AS t, b.rank AS br, b.ord AS bo FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.ord <= a.ord AND b.rank IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM r x WHERE x.doc_id = a.doc_id AND x.ord > b.ord AND x.ord <= a.ord AND x.rank <= b.rank) WHERE a.rank IS NOT NULL)
-SELECT doc_id, ord, string_agg(t, ' > ' ORDER BY br) AS path FROM p GROUP BY ALL""")
-def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.paths(_ranked(spark).where("rank is not null")).select("doc_id", "ord", "path")
-
-
-SIMPLE = [("第一章 总则", 1), ("第十条 范围", 1), ("第 12 条 范围", 1), ("第一编 甲", None), ("( 一 ) 甲", 2), ("（一）甲", None), ("1.2.3 甲", 3), ("1.2 乙", 3), ("1.2 3", None), ("A. Scope", 4), ("A.Scope", None), ("一、甲", None), ("正文", None)]
-
-
-@query("SELECT line, level FROM " + _sql_values(SIMPLE, "line, level"))
-def simple_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in SIMPLE], "line string").select("line", H.simple_level(F.col("line")).alias("level"))
-
-
-#: A line, its font size, the body's size, and the level and title that a rich heading has.
-RICH = [
-    ("1. 总体要求", 12.0, 10.0, 1, "总体要求"), ("1. 总体要求", 11.0, 10.0, None, None), ("1. 总体要求", 10.0, 10.0, 1, "总体要求"), ("1.1. 适用范围", 10.9, 10.0, 2, "适用范围"), ("1.1.1. 适用对象", 10.0, 10.0, 2, "1. 适用对象"), ("第一章 总则总则", 12.0, 10.0, 1, "总则总则"),
-    ("第二条、范围说明", 10.0, 10.0, 2, "范围说明"), ("第一类：高风险", 10.0, 10.0, 3, "高风险"), ("一、概述内容", 10.0, 10.0, 1, "概述内容"), ("（一）概述内容", 10.0, 10.0, 3, "概述内容"), ("（1）列表内容", 10.0, 10.0, None, None), ("1、列表内容", 10.0, 10.0, None, None), ("a. listed", 10.0, 10.0, None, None),
-    ("一、短", 10.0, 10.0, None, None), ("正文内容没有编号", 14.0, 10.0, None, None), ("", 10.0, 10.0, None, None),
-]
-
-
-@query("SELECT line, size::DOUBLE AS size, body::DOUBLE AS body, level, title FROM " + _sql_values(RICH, "line, size, body, level, title"))
-def rich_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = H.rich_heading(F.col("line"), F.col("size"), F.col("body"))
-    return _values(spark, [r[:3] for r in RICH], "line string, size double, body double").withColumn("h", h).select("line", "size", "body", F.col("h.level").alias("level"), F.col("h.title").alias("title"))
-
-
-TREE_LINES = [("d", 0, "序言"), ("d", 1, "一、总体概述"), ("d", 2, "甲"), ("d", 3, "（一）适用范围"), ("d", 4, "乙"), ("d", 5, "丙"), ("d", 6, "二、附则内容"), ("e", 0, "只有\"引号\"")]
-TREE_ROWS = [("d", 0, "文档", "文档", 0, "序言\n"), ("d", 1, "文档 > 总体概述", "总体概述", 1, "甲\n"), ("d", 2, "文档 > 总体概述 > 适用范围", "适用范围", 3, "乙\n丙\n"), ("d", 3, "文档 > 附则内容", "附则内容", 1, ""), ("e", 0, "文档", "文档", 0, "只有\"引号\"\n")]
-TREES = [
-    ("d", 4, '[{"level": 0, "title": "文档", "content": "序言\\n", "children": [{"level": 1, "title": "总体概述", "content": "甲\\n", "children": [{"level": 3, "title": "适用范围", "content": "乙\\n丙\\n", "children": []}]}, {"level": 1, "title": "附则内容", "content": "", "children": []}]}]'),
-    ("e", 1, '[{"level": 0, "title": "文档", "content": "只有\\"引号\\"\\n", "children": []}]'),
-]
-
-
-@query("SELECT doc_id, section::BIGINT AS section, header_path, title, level, content FROM " + _sql_values(TREE_ROWS, "doc_id, section, header_path, title, level, content"))
-def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.section_rows(_values(spark, TREE_LINES, "doc_id string, ord int, line string"))
-
-
-@query("SELECT doc_id, total_sections::BIGINT AS total_sections, section_tree FROM " + _sql_values(TREES, "doc_id, total_sections, section_tree"))
-def section_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.section_tree(H.section_rows(_values(spark, TREE_LINES, "doc_id string, ord int, line string"))).select("doc_id", "total_sections", "section_tree")
-
-
-NUMERALS = [("十", 10), ("二十一", 21), ("一百二十三", 123), ("一百零五", 105), ("第三十条", 30), ("两千零一十", 1010), ("零", 0), ("none", None)]
-
-
-@query("SELECT text, value FROM " + _sql_values(NUMERALS, "text, value"))
-def chinese_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in NUMERALS], "text string").select("text", T.chinese_number(F.col("text")).alias("value"))
-
-
-PREFIXES = [("1.2.3. 标题", "1.2.3", 3), ("1.2 标题", "1.2", 2), ("12、其他", "12", 12), ("标题", "", None), ("第3条", "", 3)]
-
-
-@query("SELECT title, prefix, last FROM " + _sql_values(PREFIXES, "title, prefix, last"))
-def dotted_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, *_ in PREFIXES], "title string").select("title", T.dotted_prefix(F.col("title")).alias("prefix"), T.last_number(F.regexp_extract("title", r"[\d.]+", 0)).alias("last"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents),
 m AS (SELECT *, regexp_matches(line, '^第[一二三四五六七八九十百千\d]+[章节条]\s+|^第\s*\d+\s*条\s+|^\(\s*[一二三四五六七八九十百千\d]+\s*\)\s+|^(\d+\.)+\d+\s+[^\d]|^\d+\.\d+\s+[^\d\s]|^[A-Z]\.\s\s*[A-Z一-鿿]') AS h FROM l),
 s AS (SELECT *, greatest(1, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY ord)) AS section FROM m)
@@ -356,15 +244,6 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.sections(lines).select("doc_id", F.col("section").cast("long").alias("section"), "line_count", "char_count")
 
 
-SHORT = [("a", "短", "长" * 300, "短|" + "长" * 300), ("b", "长" * 300, "短", "长" * 300 + "/短"), ("c", "长" * 700, "短", "长" * 700 + "/短"), ("d", "长" * 720, "短", "长" * 720 + "|短")]
-
-
-@query("SELECT id, merged FROM " + _sql_values([(r[0], r[3]) for r in SHORT], "id, merged"))
-def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _values(spark, [r[:3] for r in SHORT], "id string, x string, y string")
-    return d.select("id", F.array_join(T.merged_short(F.array("x", "y"), 100, 400, glue="/"), "|").alias("merged"))
-
-
 @query("""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents WHERE doc_id % 2 IN (0, 1)),
 n AS (SELECT doc_id, p, list_transform(p, lambda x: trunc((length(x) - len(regexp_extract_all(x, '[\\x{4e00}-\\x{9fff}]'))) / 4.0::DOUBLE + len(regexp_extract_all(x, '[\\x{4e00}-\\x{9fff}]')) / 1.8::DOUBLE)::INT + 1) AS t FROM l WHERE len(p) > 0),
 w AS (SELECT doc_id, 1 AS i, t, t[1] AS cur, 1 AS packs, t[1] AS top FROM n UNION ALL
@@ -375,88 +254,17 @@ def pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.packed(lines, 400).alias("p")).where(F.size("p") > 0).select("doc_id", F.size("p").alias("packs"))
 
 
-TABLES = [("<table><tr><th colspan=2>A</th><th>B</th></tr><tr><td>1</td><td>2 <b>x</b></td><td>3</td></tr></table>", "| A | A | B |\n| --- | --- | --- |\n| 1 | 2 x | 3 |"), ("<table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>", "| a |  |\n| --- | --- |\n| b | c |"), ("<p>none</p>", None)]
-
-
-@query("SELECT html, markdown FROM " + _sql_values(TABLES, "html, markdown"))
-def html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in TABLES], "html string").select("html", tables.html_to_markdown(F.col("html")).alias("markdown"))
-
-
 @query("SELECT doc_id FROM documents WHERE NOT (contains(text, '|') AND contains(text, '---')) AND (length(trim(replace(text, '|', ''), ' ' || chr(10) || chr(9))) < 10 OR len(regexp_extract_all(text, '\\.\\.\\s*\\d+')) >= 2)")
 def empty_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(T.is_empty_chunk(F.col("text"), F.array().cast("array<string>"))).select("doc_id")
 
 
-EMPTY = [("不适用", True), ("□ 适用 □ 不适用 无变化的情况", True), ("本条款适用于全部投保人员和受益人", False), ("| a | b |", True), ("| a | b |\n| --- | --- |", False), ("第一章 总则 ..... 1\n第二章 附则 ..... 9", True), ("第一章 总则 …… 1\n第二章 附则 …… 9", False), ("☑ 适用的全部说明内容文字", False), ("无。无．", True), ("a" * 9, True), ("a" * 10, False)]
-
-
-@query("SELECT text, empty FROM " + _sql_values(EMPTY, "text, empty"))
-def empty_chunk_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in EMPTY], "text string").select("text", T.is_empty_chunk(F.col("text"), F.array().cast("array<string>")).alias("empty"))
-
-
-REPLY_VALUES = [('{"a":1}', "1"), ('{"a":1} {"a":2}', None), ('x ```python\n{"a":2}\n``` y', "2"), ('<thinking>{"a":9}</thinking> {"a":3}', "3"), ('say {"a":4} done', "4"), ('{"a":5', None), ("", None), ('{"a":"x } y"}', "x } y"), ('{"a":6}]', "6"), ('{"a":7},{"a":8}', None)]
-
-
-@query("SELECT reply, a FROM " + _sql_values(REPLY_VALUES, "reply, a"))
-def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(t,) for t, _ in REPLY_VALUES], "reply string").select("reply", F.try_variant_get(T.json_value(F.col("reply")), "$.a", "string").alias("a"))
-
-
-#: Type, format, question, an option, evidence, and whether it is to be calculated.
-NUMERIC = [
-    ("计算题", "mcq", "问", "答", "", True), ("单选题", "mcq", "金额 3 元是否超过", "是", "", True), ("单选题", "mcq", "金额是否超过", "是", "", False), ("单选题", "mcq", "共 3 项", "增长 金额", "", False), ("多选题", "multi", "问", "至少 5 份", "", True), ("多选题", "multi", "问", "答", "以内 30 天", True),
-    ("判断题", "tf", "3 元超过 2 元", "", "", False), ("单选题", None, "3 年以上", "", "", True), ("问答", "free", "3 年以上", "", "", False),
-]
-
-
-@query("SELECT kind, fmt, question, choice, evidence, numeric FROM " + _sql_values(NUMERIC, "kind, fmt, question, choice, evidence, numeric"))
-def numeric_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _values(spark, [r[:5] for r in NUMERIC], "kind string, fmt string, question string, choice string, evidence string")
-    return d.withColumn("numeric", T.needs_calculation(F.col("kind"), F.col("fmt"), F.col("question"), F.create_map(F.lit("A"), F.col("choice")), F.col("evidence")))
-
-
-FORMULAS = [("result = 1e8 * 0.01 + max(2, 3)", "result = 1000003.0"), ("a = 3\nb = a ** 2\nresults = {'A': b > 8, 'B': b / 2}", "results = {'A': True, 'B': 4.5}"), ("import os", "failed: not an assignment: Import"), ("x = open('f')", "failed: not allowed: Call"), ("result = 1 / 0", "failed: float division by zero"), ("x = 1", "failed: no result"), ("result = 9 ** 9 ** 9", "failed: not allowed: BinOp"), ("3 + 4", "result = 7.0")]
-
-
-@query("SELECT code, calculated FROM " + _sql_values(FORMULAS, "code, calculated"))
-def calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.to_json(F.struct(F.lit(True).alias("need_calc"), "code"))
-    return agent.with_calculation(_values(spark, [(c,) for c, _ in FORMULAS], "code string").withColumn("reply", reply), "reply").select("code", "calculated")
-
-
-ROUTES = [("计算题", "mcq", "calc"), ("单选题", "mcq", "mcq"), ("多选题", "multi", "multi"), ("判断题", "tf", "tf"), ("其他", "free", "mcq"), (None, None, "mcq")]
-
-
-@query("SELECT kind, fmt, way FROM " + _sql_values(ROUTES, "kind, fmt, way"))
-def prompt_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [r[:2] for r in ROUTES], "kind string, fmt string").withColumn("way", agent.route(F.col("kind"), F.col("fmt")))
-
-
 @query(f"SELECT item_id AS qid, substr(text, 1, 60) AS semantic_query, substr(array_to_string({_TERMS.format('text')}, ' '), 1, 80) AS keywords FROM benchmark")
 def plan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("array<string>").alias("doc_ids"))
     return agent.fallback_plan(q).select("qid", "semantic_query", "keywords")
 
 
-REPLIES = [
-    ("q1", '{"retrieval_plan":[{"round":1,"description":"d","semantic_query":"s","keywords":"k","doc_ids":["x","y"]},{"round":2,"semantic_query":"t","doc_id":"z, w"}]}'),
-    ("q2", 'text before ```json\n{"retrieval_plan":[{"semantic_query":"u","doc_id":"v"}]}\n``` and after'),
-    ("q3", '{"retrieval_plan":[]}'),
-    ("q4", "no json"),
-    ("q5", '{"retrieval_plan":[{"semantic_query":"","doc_id":"v"}]}'),
-    ("q6", '{"a":1} {"b":2}'),
-]
-FLAT = [("q1", 0, 1, "s", "x,y"), ("q1", 1, 2, "t", "z,w"), ("q2", 0, 1, "u", "v")]
-
-
-@query("SELECT qid, target_ord, round, semantic_query, docs FROM " + _sql_values(FLAT, "qid, target_ord, round, semantic_query, docs"))
-def plan_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = agent.parse_plan(_values(spark, REPLIES, "qid string, reply string"))
-    return agent.flatten_plan(plans).select("qid", "target_ord", "round", "semantic_query", F.array_join("doc_ids", ",").alias("docs"))
-
-
 @query(f"""WITH {_ENHANCED}, r AS (SELECT target, ord, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS hit FROM full_score)
 SELECT b.item_id AS qid, coalesce(string_agg(r.ord::VARCHAR, ',' ORDER BY hit), '') AS chunk_ids, CASE WHEN count(r.ord) = 0 THEN 'NEGATIVE_VERIFIED' ELSE substr(string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY hit), 1, 500) END AS compressed_text
 FROM benchmark b LEFT JOIN r ON r.target = b.item_id AND hit <= 3 LEFT JOIN documents d ON d.doc_id = r.ord GROUP BY ALL""")
@@ -466,23 +274,6 @@ def compress_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.compress(asked.join(hits, "target", "left").drop("target")).select("qid", F.array_join("chunk_ids", ",").alias("chunk_ids"), "compressed_text")
 
 
-ANSWERS = [("A,C", "multi", "AC"), ("D,B,B", "multi", "BD"), ("B", "tf", "B"), ("A", "tf", "A"), ("C,A", "mcq", "C"), ("", "mcq", ""), ("AB", "tf", "B"), ("AB,D", "multi", "ABD")]
-SLOTS = [("ACD", "多选题", "ACD", "", "", "", ""), ("12.34%；56.78%", "计算题", "12.34%", "56.78%", "", "", ""), ("a,b,c,d,e", "计算题", "a", "b", "c", "d；e", ""), ("", "单选题", "", "", "", "", "empty answer,not a choice"), (" AB ", "mcq", "AB", "", "", "", ""), ("12%；", "计算题", "12%；", "", "", "", ""), ("甲 乙", "free", "甲", "乙", "", "", ""), ("甲", "单选题", "甲", "", "", "", "not a choice")]
-
-
-@query("SELECT options, kind, answer FROM " + _sql_values(ANSWERS, "options, kind, answer"))
-def answer_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _values(spark, [r[:2] for r in ANSWERS], "options string, kind string")
-    return d.select("options", "kind", T.format_answer(F.filter(F.split("options", ","), lambda x: x != ""), F.col("kind")).alias("answer"))
-
-
-@query("SELECT answer, kind, s1, s2, s3, s4, warnings FROM " + _sql_values(SLOTS, "answer, kind, s1, s2, s3, s4, warnings"))
-def answer_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _values(spark, [r[:2] for r in SLOTS], "answer string, kind string")
-    s = T.split_answer(F.col("answer"), F.col("kind"))
-    return d.select("answer", "kind", *[s[i].alias(f"s{i + 1}") for i in range(4)], F.array_join(T.answer_warnings(F.col("answer"), F.col("kind")), ",").alias("warnings"))
-
-
 @query("""WITH a AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'user') AS q, string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant') AS r FROM conversations GROUP BY conv_id),
 t AS (SELECT conv_id, greatest(1, trunc(length(coalesce(q, '')) * 0.25::DOUBLE)::INT) + 200 AS p, greatest(1, trunc(length(coalesce(r, '')) * 0.25::DOUBLE)::INT) + 50 AS c FROM a)
 SELECT conv_id::VARCHAR AS qid, p::BIGINT AS prompt_tokens, c::BIGINT AS completion_tokens, (p + c)::BIGINT AS total_tokens FROM t UNION ALL SELECT 'summary', sum(p)::BIGINT, sum(c)::BIGINT, sum(p + c)::BIGINT FROM t""")
@@ -595,15 +386,6 @@ def collection_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.recall(hits, dense.top_k(v, q, 10)).select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
-UPLOADS = [("d1", "/raw/a/x.pdf"), ("d2", "/raw/b/y.html")]
-RESULTS = [("x.pdf", "d1"), ("y.html", "d2"), ("z.pdf", "z.pdf")]
-
-
-@query("SELECT file_name, doc_id FROM " + _sql_values(RESULTS, "file_name, doc_id"))
-def upload_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.matched_results(_values(spark, [(f,) for f, _ in RESULTS], "file_name string"), _values(spark, UPLOADS, "doc_id string, path string"))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"))
@@ -670,102 +452,6 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_long(d)
 
 
-#: Documents of both conventions, with a table, an image, weak and plain headings, and a gap in the numbers.
-CHUNK_DOCS = [
-    ("A", "# 第一章 总则\n正文正文正文正文正文。\n## 第一条 甲\n甲的内容甲的内容甲的内容。\n## 第二条 乙\n乙的内容乙的内容乙的内容。\n## 附件一\n附件的内容附件的内容。\n# 第三章 表\n\n| 项 | 值 |\n| --- | --- |\n| 一 | 1 |\n\n![图](a.png)\n\n表后的文字内容文字内容。"),
-    ("B", "# 1 Scope\nThis part is the scope of it all.\n# 1.1 General\nGeneral words stand here in full.\n# 1.2 Terms\nTerms and words that are used below.\n# 2 Rules\nRules that hold for everybody here."),
-    ("C", "# Foreword\nSome plain words to begin with.\n# Thanks\nSome plain words of thanks to all.\n# 一、正题\n不适用\n# 二、后续\n后续的内容后续的内容后续的内容。\n# 四、跳号\n跳号的内容跳号的内容跳号的内容。"),
-]
-CHUNK_ROWS = [
-    ("A", 1, "第一章 总则", "第一章 总则\n正文正文正文正文正文。\n\n第一条 甲\n甲的内容甲的内容甲的内容。\n\n第二条 乙\n乙的内容乙的内容乙的内容。", 30, ""),
-    ("A", 2, "附件一", "附件一\n附件的内容附件的内容。", 8, ""),
-    ("A", 3, "第三章 表", "第三章 表\n\n| 项 | 值 |\n| --- | --- |\n| 一 | 1 |\n\n表后的文字内容文字内容。", 20, "![图](a.png)"),
-    ("B", 1, "1 + 2", "1 Scope\nThis part is the scope of it all.\n\n1.1 General\nGeneral words stand here in full.\n\n1.2 Terms\nTerms and words that are used below.\n\n2 Rules\nRules that hold for everybody here.", 46, ""),
-    ("C", 1, "", "Foreword\n\nForeword\nSome plain words to begin with.\n\nThanks\nSome plain words of thanks to all.", 24, ""),
-    ("C", 2, "一、正题 + 二、后续", "一、正题\n不适用\n\n二、后续\n后续的内容后续的内容后续的内容。", 16, ""),
-    ("C", 3, "四、跳号", "四、跳号\n跳号的内容跳号的内容跳号的内容。", 11, ""),
-]
-HEADER_ROWS = [
-    ("A", 1, "第一章 总则", "# 第一章 总则\n正文正文正文正文正文。", 10, ""),
-    ("A", 2, "第一章 总则 > 第一条 甲", "## 第一条 甲\n甲的内容甲的内容甲的内容。", 11, ""),
-    ("A", 3, "第一章 总则 > 第二条 乙", "## 第二条 乙\n乙的内容乙的内容乙的内容。", 11, ""),
-    ("A", 4, "第一章 总则 > 第二条 乙 > 附件一", "### 附件一\n附件的内容附件的内容。", 9, ""),
-    ("A", 5, "第三章 表", "# 第三章 表\n\n| 项 | 值 |\n| --- | --- |\n| 一 | 1 |\n\n表后的文字内容文字内容。", 20, "![图](a.png)"),
-    ("B", 1, "1 Scope", "# 1 Scope\nThis part is the scope of it all.", 11, ""),
-    ("B", 2, "1 Scope > 1.1 General", "## 1.1 General\nGeneral words stand here in full.", 13, ""),
-    ("B", 3, "1 Scope > 1.2 Terms", "## 1.2 Terms\nTerms and words that are used below.", 13, ""),
-    ("B", 4, "2 Rules", "# 2 Rules\nRules that hold for everybody here.", 12, ""),
-    ("C", 1, "Foreword", "# Foreword\nSome plain words to begin with.", 11, ""),
-    ("C", 2, "Thanks", "# Thanks\nSome plain words of thanks to all.", 11, ""),
-    ("C", 3, "一、正题", "# 一、正题\n不适用", 5, ""),
-    ("C", 4, "二、后续", "# 二、后续\n后续的内容后续的内容后续的内容。", 12, ""),
-    ("C", 5, "四、跳号", "# 四、跳号\n跳号的内容跳号的内容跳号的内容。", 12, ""),
-]
-REGULATION = "前文\n第一条 甲\n 内容\n第二条 乙\n" + "乙的句子。" * 100 + "\n\n" + "丙的句子。" * 100
-ARTICLE_ROWS = [("", 1, 3, 2), ("第一条 甲", 2, 8, 4), ("第二条 乙", 3, 500, 248), ("第二条 乙", 4, 500, 248)]
-SPLIT_TEXTS = [("sentences", "h", "句子内容。" * 200), ("hard", "", "x" * 1500), ("table", "h", "| a | b | c | d |\n" * 60), ("paragraph", "h", "段落一" * 60 + "\n\n" + "段落二" * 160 + "。" + "尾" * 200), ("short", "h", "短")]
-SPLIT_ROWS = [
-    ("sentences_s1", "h (part 1/2)", 600, 333), ("sentences_s2", "h (part 2/2)", 400, 222), ("hard_s1", "(part 1/4)", 400, 222), ("hard_s2", "(part 2/4)", 400, 222), ("hard_s3", "(part 3/4)", 400, 222), ("hard_s4", "(part 4/4)", 510, 283),
-    ("table", "h", 1080, 600), ("paragraph_s1", "h (part 1/3)", 180, 100), ("paragraph_s2", "h (part 2/3)", 481, 267), ("paragraph_s3", "h (part 3/3)", 200, 111), ("short", "h", 1, 1),
-]
-
-
-def _chunk_docs(spark: SparkSession) -> DataFrame:
-    return _values(spark, CHUNK_DOCS, "doc_id string, text string")
-
-
-@query("SELECT doc_id, chunk_no, header_path, text, tokens, images FROM " + _sql_values(CHUNK_ROWS, "doc_id, chunk_no, header_path, text, tokens, images"))
-def chunk_markdown_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_markdown(_chunk_docs(spark)).drop("chunk_id").withColumn("images", F.array_join("images", ","))
-
-
-@query("SELECT doc_id, chunk_no, header_path, text, tokens, images FROM " + _sql_values(HEADER_ROWS, "doc_id, chunk_no, header_path, text, tokens, images"))
-def chunk_headers_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_headers(_chunk_docs(spark)).drop("chunk_id").withColumn("images", F.array_join("images", ","))
-
-
-@query("SELECT header_path, chunk_no, chars, tokens FROM " + _sql_values(ARTICLE_ROWS, "header_path, chunk_no, chars, tokens"))
-def chunk_articles_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_articles(_values(spark, [("d", REGULATION)], "doc_id string, text string")).select("header_path", "chunk_no", F.length("text").alias("chars"), "tokens")
-
-
-@query("SELECT chunk_id, header_path, chars, tokens FROM " + _sql_values(SPLIT_ROWS, "chunk_id, header_path, chars, tokens"))
-def chunk_split_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _values(spark, SPLIT_TEXTS, "chunk_id string, header_path string, text string").select(F.lit("d").alias("doc_id"), "*", T.tokens_dense(F.col("text")).alias("tokens"))
-    return chunking.split_long(d).select("chunk_id", "header_path", F.length("text").alias("chars"), "tokens")
-
-
-@query("SELECT 5::BIGINT AS before, 2::BIGINT AS kept, 3::BIGINT AS split, 11::BIGINT AS after")
-def split_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _values(spark, SPLIT_TEXTS, "chunk_id string, header_path string, text string").select(F.lit("d").alias("doc_id"), "*", T.tokens_dense(F.col("text")).alias("tokens"))
-    return report.split_statistics(d, chunking.split_long(d))
-
-
-@query("SELECT chunk_no, header_path, tokens FROM " + _sql_values([(r[1], r[2], r[4]) for r in CHUNK_ROWS if r[0] == "A"], "chunk_no, header_path, tokens"))
-def chunk_document_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table function in SQL."""
-    chunking.register(spark)
-    _chunk_docs(spark).createOrReplaceTempView("longleaf_chunk_docs")
-    return spark.sql("SELECT c.chunk_no, c.header_path, c.tokens FROM longleaf_chunk_docs d, LATERAL chunk_document(d.doc_id, d.text, 'markdown') c WHERE d.doc_id = 'A'")
-
-
-#: Chunks, questions and a scripted model: a plan for q1, a formula for q2, no reply for q3.
-ANSWER_CHUNKS = [(0, "d1", "c0", "", "red apple pie"), (1, "d1", "c1", "", "green pear tart"), (2, "d2", "c2", "", "the rate is 5 of 100")]
-ANSWER_QUESTIONS = [("q1", "which pie", {"A": "apple", "B": "pear"}, "多选题", ["d1"]), ("q2", "what is the rate", {"A": "5", "B": "6"}, "计算题", ["d2"]), ("q3", "green tart", {"A": "apple", "B": "pear tart"}, "单选题", ["d1"])]
-REPLIES_OF = [
-    ("Calculated:\nresult = 0.05", '{"correct_options":["A"]}'), ('"need_calc": true', '{"need_calc":true,"code":"result = 5 / 100"}'), ("Answer from the evidence alone, as JSON with correct_options and the clauses you rely on.\nJudge each option", '{"correct_options":["B","A"]}'),
-    ("looked up to answer this question, and in which documents.\nPlan what to look up for each option", '{"retrieval_plan":[{"semantic_query":"apple pie","keywords":"apple|pie","description":"pies","doc_ids":["d1"]}]}'),
-]
-ANSWER_ROWS = [("q1", "AB", False, None), ("q2", "A", True, "result = 0.05"), ("q3", "B", False, None)]
-
-
-@query("SELECT qid, answer, needs_calculation, calculated FROM " + _sql_values(ANSWER_ROWS, "qid, answer, needs_calculation, calculated"))
-def answer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = bm25.build(_values(spark, ANSWER_CHUNKS, "ord int, doc_id string, chunk_id string, header_path string, text string"))
-    q = _values(spark, ANSWER_QUESTIONS, "qid string, question string, options map<string,string>, type string, doc_ids array<string>")
-    return agent.run(q, i, partial(provider.Scripted, REPLIES_OF)).select("qid", "answer", "needs_calculation", "calculated")
-
-
 _KEYWORDS = f"(SELECT item_id, substr(array_to_string({_TERMS.format('text')}, ' '), 1, 80) AS text, text AS whole FROM main.benchmark)"
 
 
@@ -827,9 +513,17 @@ def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.unionByName(made.select(F.lit("again").alias("stage"), F.lit(0).cast("long").alias("rows"), "calls", "prompt_tokens", "completion_tokens"))
 
 
+def oracle_sql_of(name: str) -> str:
+    return _SQL[name]
+
+
 def queries() -> dict[str, Query]:
+    from longleaf import rulequeries  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from longleaf import rulequeries  # noqa: F401
+
     return dict(_SQL)
