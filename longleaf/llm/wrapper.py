@@ -3,23 +3,28 @@
 * A page is tokenised into a tree of elements (end tags that HTML lets out are supplied).
 * Its wrapper is folded from that tree: neighbouring siblings of one kind become a repeated group
   ``( )+``, texts become slots, which keep the digest of each text that stands once on the page.
-* The wrappers of a host are aligned one after the other: children that have a partner in the
-  longest common subsequence are merged, the others become optional groups ``( )?``.  Where texts
-  of a slot differ from page to page the slot holds data; a text that every page with the
-  slot has (three pages at least) is the template's.  Pages of a host are merged in
+* The wrappers of a host are aligned one after the other: the n-th group of a kind under one parent is the partner of the n-th
+  group of that kind on other pages; partners are merged, what has none becomes an optional group ``( )?``.  Where texts
+  of a slot differ from page to page the slot holds data.  All that a wrapper counts is sums, and what it keeps of texts is what all
+  pages with the slot have, so neither the order of pages nor how they are dealt to tasks changes it.  Pages of a host are merged in
   each task first and the tasks' wrappers in two steps, so no task reads all pages of a hot host.
-* The host's article is where its slots vary: from the root, the element that holds nine tenths of
+* Which of its nodes are the article is decided on the wrapper.  From the root, the element that holds nine tenths of
   the varying text is entered as long as there is one (no repeated group, no block of text).  Marks (article, main, names of classes) only
-  break ties: the best marked element on that way, or the marked ones at its end that
-  hold half of the varying text, are the article; without any, the last element entered is.
-* A page's text is what stands in the host's article, without the template's texts (where they are
-  less than half of the article, as pages that repeat one article have nothing else), menus, headers,
-  footers, sidebars, notices, adverts, forms and comments.  The article's own header stays.
+  break ties: the best marked nodes on that way, or the marked ones at its end that
+  hold half of the varying text, are the article; without any, the last element entered is.  Nodes in it that are menus, footers,
+  sidebars, notices, adverts, forms and comments by their kind are left out; the article's own header stays.
+* The template's texts go too: a text that every page with its slot has, on three pages at least where the slot holds nothing
+  else, and on eight where it stands in a slot or repeated group that also holds data, as pages may share a paragraph.  They stay
+  where they are half or more of a page's article, as pages that repeat one article have nothing else.
+* A page's tokens are then matched with the wrapper, node by node, and its text is what they put into the slots of the article's nodes.
+
+A class is a sign of an aside only if all its parts are: ``share-buttons`` and ``cookie-notice`` are, ``share-price``
+and ``notice-period`` are not.
 
 Cases: a null or empty html gives the empty text; broken markup is read as far as it goes; pages
 without a host share one wrapper; repeated pages and page ids are rows of their own; a very long or deeply
-nested page is read whole; where an element has over 256 kinds of children, a wrapper forgets those seen on
-one page only, which no template's evidence needs; a page without its host's article is read as if it were alone;
+nested page is read whole; where an element has over 4096 kinds of children in a wrapper, those that the fewest pages have are forgotten there, and with them
+only what they would have told of the template: their texts stay in the pages; a page without its host's article is read as if it were alone;
 an empty table gives no rows; other columns are not read, whatever their names.
 """
 
@@ -31,7 +36,7 @@ import re
 import sys
 from collections import Counter
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -50,15 +55,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ASIDE = frozenset("nav header footer aside form button select head dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story)(?:[\s_-]?(?:body|text|content))?(?=$|[\s_-])", re.I)
-OFF = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|cookies?\w*|consent|notices?|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|login|signup|search|widget|copyright|legal|disclaimer|toolbar|pagination|pager|tags?)(?=$|[\s_-]|\d)", re.I)
+#: Words that say of an element, as a whole class or id, that it is no part of an article: outside of one, and in one.
+ASIDES = frozenset("ad ads advert adverts advertisement advertising banner banners sponsor sponsors sponsored promo promos promotion sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer footers cookie cookies consent notice notices popup popups modal modals newsletter newsletters subscribe subscription share shares sharing social related recommended recommendations recommendation comment comments pagination pager".split())
+OUTSIDE = ASIDES | frozenset("side header headers masthead foot reply replies respond login signup search widget widgets copyright legal disclaimer toolbar tag tags".split())
+#: Parts that may stand beside these words without changing what they say.
+NEUTRAL = frozenset("bar bars bottom box boxes block blocks body btn btns button buttons column container content contents form global group inner item items js left link links list lists main my outer page panel post posts right row section sections site slot story stories sticky strip teaser teasers thread top unit web widget widgets wrap wrapper zone area article articles blog module component".split())
 #: Marks of elements that are no part of an article if other marked elements are there.
 TEASER = re.compile(r"(?:^|[\s_-])(?:teasers?|related|recommend\w*|promo\w*|sponsor\w*|advert\w*|share|sharing|social|tags|comments?)(?=$|[\s_-]|\d)", re.I)
 #: Blocks of text, which are parts of an article and never all of it.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure".split())
-#: The same in an article as OFF outside of it.
-INSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|cookies?\w*|consent|notices?|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|pagination|pager)(?=$|[\s_-]|\d)", re.I)
-#: Pages that a template text stands on at least; kinds of children of an element from which those seen on one page are forgotten; hosts that a task merges at a time; groups of a host's wrappers.
-EVIDENCE, KINDS, HOSTS, GROUPS = 3, 256, 2000, 32
+#: Pages that a template text stands on at least, in a slot of its own and beside data; kinds of children that an element keeps; hosts that a task merges at a time; groups of a host's wrappers.
+EVIDENCE, SHARED, KINDS, HOSTS, GROUPS = 3, 8, 4096, 2000, 32
+
+
+@lru_cache(maxsize=100_000)
+def aside(mark: str, inside: bool) -> bool:
+    """Whether one of an element's classes, ids or roles says that it is no part of an article."""
+    words = ASIDES if inside else OUTSIDE
+    for name in mark.lower().split():
+        parts = [p for p in re.split(r"[-_\d]+", name) if p]
+        if any(p in words for p in parts) and all(p in OUTSIDE or p in NEUTRAL or len(p) == 1 for p in parts):
+            return True
+    return False
 
 
 @dataclass
@@ -122,7 +140,7 @@ def parse(page: str) -> Node:
 
 
 # A wrapper node is [tag, mark, how often ("1", "?", "+", "*"), pages, characters, children, characters in links, {digest of a
-# text that stands once on each of its pages: characters}].
+# text that stands once on each of its pages: characters}, sum of its places among its parent's children].
 
 
 def _deep() -> None:
@@ -144,8 +162,10 @@ def _said(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def _below(path: int, n: Node) -> int:
-    return xxhash.xxh64_intdigest(f"{n.tag} {_kind(n)}", path)
+def _below(path: int, n: Node | list) -> int:
+    """Digest of an element, or of a wrapper's node, below one of that digest."""
+    tag, kind = (n.tag, _kind(n)) if isinstance(n, Node) else (n[0], n[1])
+    return xxhash.xxh64_intdigest(f"{tag} {kind}", path)
 
 
 def _digest(path: int, text: str) -> int:
@@ -157,6 +177,16 @@ def _key(w: list) -> tuple[str, str]:
     return w[0], w[1]
 
 
+def _keys(children: list[list]) -> list[tuple[str, str, int]]:
+    """Kinds of children, with which of its kind each is."""
+    seen: Counter[tuple[str, str]] = Counter()
+    out = []
+    for w in children:
+        out.append((*_key(w), seen[_key(w)]))
+        seen[_key(w)] += 1
+    return out
+
+
 def fold(node: Node) -> list:
     """The wrapper of a page alone; inline elements are part of the text around them."""
     _deep()
@@ -195,7 +225,9 @@ def fold(node: Node) -> list:
                 children[-1] = _again(children[-1], w)
             else:
                 children.append(w)
-        return [node.tag, _kind(node), "1", 1, chars, children, min(linked, chars), fixed]
+        for place, w in enumerate(children):
+            w[8] = place
+        return [node.tag, _kind(node), "1", 1, chars, children, min(linked, chars), fixed, 0]
 
     def once(w: list) -> None:
         w[7] = {d: n for d, n in w[7].items() if seen[d] == 1}
@@ -213,21 +245,28 @@ def _often(a: str, b: str) -> str:
 
 
 def _aligned(x: list[list], y: list[list], join) -> list[list]:
-    """Children of two nodes: partners joined, the others optional."""
-    if [_key(w) for w in x] == [_key(w) for w in y]:
+    """Children of two nodes, by their mean places: partners joined, the others optional."""
+    one, other = dict(zip(_keys(x), x, strict=True)), dict(zip(_keys(y), y, strict=True))
+    if list(one) == list(other):
         return [join(p, q) for p, q in zip(x, y, strict=True)]
-    children: list[list] = []
-    for kind, i, i_end, j, j_end in SequenceMatcher(None, [_key(w) for w in x], [_key(w) for w in y], autojunk=False).get_opcodes():
-        if kind == "equal":
-            children += [join(p, q) for p, q in zip(x[i:i_end], y[j:j_end], strict=True)]
-        else:
-            children += [[*w[:2], _often(w[2], "?"), *w[3:]] for w in [*x[i:i_end], *y[j:j_end]]]
-    return children
+    lone = lambda w: [*w[:2], _often(w[2], "?"), *w[3:]]
+    both = {k: join(w, other[k]) if k in other else lone(w) for k, w in one.items()} | {k: lone(w) for k, w in other.items() if k not in one}
+    order = sorted(both, key=lambda k: (both[k][8] / both[k][3], k))
+    # of one kind, which is the first is what was merged as the first
+    rank = {k: n for n, k in enumerate(order)}
+    by_kind: dict[tuple[str, str], list[int]] = {}
+    for k in order:
+        by_kind.setdefault(k[:2], []).append(rank[k])
+    out: list[list] = [[]] * len(order)
+    for kind, places in by_kind.items():
+        for n, place in enumerate(sorted(places)):
+            out[place] = both[(*kind, n)]
+    return out
 
 
 def _again(a: list, b: list) -> list:
     """A repeated group from two neighbours on one page."""
-    return [a[0], a[1], _often(_often(a[2], b[2]), "+"), 1, a[4] + b[4], _aligned(a[5], b[5], _again_once), a[6] + b[6], {**a[7], **b[7]}]
+    return [a[0], a[1], _often(_often(a[2], b[2]), "+"), 1, a[4] + b[4], _aligned(a[5], b[5], _again_once), a[6] + b[6], {**a[7], **b[7]}, a[8]]
 
 
 def _again_once(a: list, b: list) -> list:
@@ -240,8 +279,9 @@ def merge(a: list, b: list) -> list:
     """Align two wrapper nodes of one kind, from different pages; texts that not both have are data."""
     children = _aligned(a[5], b[5], merge)
     if len(children) > KINDS:
-        children = [c for c in children if c[3] > 1 or c[2] not in "?*"]
-    return [a[0], a[1], _often(a[2], b[2]), a[3] + b[3], a[4] + b[4], children, a[6] + b[6], {d: n for d, n in a[7].items() if d in b[7]}]
+        least = sorted((c[3] for c in children), reverse=True)[KINDS - 1]
+        children = [c for c in children if c[3] >= least]
+    return [a[0], a[1], _often(a[2], b[2]), a[3] + b[3], a[4] + b[4], children, a[6] + b[6], {d: n for d, n in a[7].items() if d in b[7]}, a[8] + b[8]]
 
 
 def dumps(w: list) -> str:
@@ -249,7 +289,7 @@ def dumps(w: list) -> str:
     out, todo = [], [(0, w)]
     while todo:
         depth, n = todo.pop()
-        out.append([depth, *n[:5], n[6], sorted(n[7].items())])
+        out.append([depth, *n[:5], n[6], sorted(n[7].items()), n[8]])
         todo += [(depth + 1, c) for c in reversed(n[5])]
     return json.dumps(out)
 
@@ -257,8 +297,8 @@ def dumps(w: list) -> str:
 def loads(text: str) -> list:
     _deep()
     way: list[list] = []
-    for depth, tag, mark, often, pages, chars, links, fixed in json.loads(text):
-        node = [tag, mark, often, pages, chars, [], links, {d: n for d, n in fixed}]
+    for depth, tag, mark, often, pages, chars, links, fixed, place in json.loads(text):
+        node = [tag, mark, often, pages, chars, [], links, {d: n for d, n in fixed}, place]
         del way[depth:]
         if way:
             way[-1][5].append(node)
@@ -267,8 +307,16 @@ def loads(text: str) -> list:
 
 
 def off(w: list | Node) -> bool:
+    """Whether an element outside of an article is no way to one."""
     tag, mark = (w.tag, w.mark) if isinstance(w, Node) else (w[0], w[1])
-    return tag in ASIDE or bool(mark and OFF.search(mark) and not (tag in ("article", "main") or ARTICLE.search(mark) and not re.search(r"comment|sidebar|footer|header|related", mark, re.I)))
+    told = bool(mark) and tag not in ("article", "main") and aside(mark, False)
+    return tag in ASIDE or told and not (ARTICLE.search(mark) and not re.search(r"comment|sidebar|footer|header|related", mark, re.I))
+
+
+def inner_off(w: list | Node) -> bool:
+    """Whether an element in an article is no part of it."""
+    tag, mark = (w.tag, w.mark) if isinstance(w, Node) else (w[0], w[1])
+    return tag in ASIDE and tag != "header" or bool(mark) and tag not in ("article", "main") and aside(mark, True)
 
 
 def _rank(w: list | Node) -> int:
@@ -294,18 +342,17 @@ def _weights(w: list, varying: bool) -> dict[int, int]:
 
 
 def article(w: list) -> dict:
-    """Where a wrapper's article is: rank of the marks (0: none) or the kinds of elements on the way to it, and the template's texts."""
+    """What a wrapper says of its pages: the digests of the article's nodes (roots), of the nodes in them that are no part of it (off), of the template's texts (fixed), and whether roots are marked as an article."""
     _deep()
     weight = _weights(w, True)
     if weight[id(w)] * 10 < _weights(w, False)[id(w)]:  # pages that repeat one text
         weight = _weights(w, False)
-    node, path, rank = w, [], 0
+    node, digest, rank = w, 0, 0
     while inner := [c for c in node[5] if not off(c)]:
         most = max(inner, key=lambda c: weight[id(c)])
         if weight[id(most)] * 10 < weight[id(node)] * 9 or most[0] in BLOCKS or most[2] in "+*" and not _rank(most):
             break
-        node = most
-        path.append([node[0], node[1]])
+        node, digest = most, _below(digest, most)
         rank = max(rank, _rank(node))
     if not rank:
         share: Counter[int] = Counter()
@@ -322,8 +369,19 @@ def article(w: list) -> dict:
                 else:
                     todo.append(c)
         rank = max((r for r, n in share.items() if 2 * n >= weight[id(node)]), default=0)
-    fixed = sorted(d for n in _nodes(w) if n[3] >= EVIDENCE for d in n[7])
-    return {"rank": rank, "path": [] if rank else path, "fixed": fixed}
+    roots = _marked(w, rank) if rank else [(node, digest)]
+    gone: set[int] = set()
+    for root, at in roots:
+        own = root[0] not in ("#root", "html", "body")  # whether a header in it is the article's
+        todo_in = [(c, _below(at, c)) for c in root[5]]
+        while todo_in:
+            c, d = todo_in.pop()
+            if inner_off(c) if rank or own and c[0] == "header" else off(c):
+                gone.add(d)
+            else:
+                todo_in += [(x, _below(d, x)) for x in c[5]]
+    fixed = sorted({d for n in _nodes(w) for d in n[7] if n[3] >= (EVIDENCE if n[2] in "1?" and n[4] == n[3] * sum(n[7].values()) else SHARED)})
+    return {"roots": sorted({d for _, d in roots}), "off": sorted(gone), "fixed": fixed, "marked": bool(rank)}
 
 
 def _nodes(w: list) -> list[list]:
@@ -335,25 +393,33 @@ def _nodes(w: list) -> list[list]:
     return out
 
 
-def _marked(root: Node, rank: int) -> list[tuple[Node, int]]:
-    """The outermost elements of that rank, in page order, with their paths, without teasers beside others."""
-    out: list[tuple[Node, int]] = []
+def _marked(root: list, rank: int) -> list[tuple[list, int]]:
+    """The outermost nodes of a wrapper that are marked with that rank, with their digests, without teasers beside others."""
+    out: list[tuple[list, int]] = []
     todo = [(root, 0)]
     while todo:
         n, path = todo.pop()
         if n is not root and _rank(n) == rank:
             out.append((n, path))
             continue
-        todo += [(c, _below(path, c)) for c in reversed(n.children) if isinstance(c, Node) and not off(c) and not _plain(c)]
-    return [x for x in out if not TEASER.search(x[0].mark)] or out
+        todo += [(c, _below(path, c)) for c in reversed(n[5]) if not off(c)]
+    return [x for x in out if not TEASER.search(x[0][1])] or out
 
 
-def _find(root: Node, way: list[list[str]]) -> list[tuple[Node, int]]:
-    """All elements that the way leads to, with their paths."""
-    here = [(root, 0)]
-    for tag, mark in way:
-        here = [(c, _below(p, c)) for n, p in here for c in n.children if isinstance(c, Node) and c.tag == tag and _kind(c) == mark]
-    return here
+def _matched(root: Node, where: dict) -> list[tuple[Node, int]]:
+    """The page's elements that are the article's nodes of the wrapper, in page order, outermost ones, with their digests."""
+    roots = where["roots"]
+    if 0 in roots:
+        return [(root, 0)]
+    out: list[tuple[Node, int]] = []
+    todo = [(root, 0)]
+    while todo:
+        n, path = todo.pop()
+        if path in roots:
+            out.append((n, path))
+            continue
+        todo += [(c, _below(path, c)) for c in reversed(n.children) if isinstance(c, Node) and not _plain(c)]
+    return out
 
 
 def _menu(n: Node) -> bool:
@@ -372,17 +438,17 @@ def _menu(n: Node) -> bool:
     return links > 1 and linked * 10 >= all_of * 9
 
 
-def blocks(node: Node, path: int = 0, marked: bool = True) -> list[tuple[int, str]]:
-    """Digests (of path and text) and texts of the blocks below a node, in page order."""
+def blocks(node: Node, path: int, where: dict) -> list[tuple[int, str]]:
+    """Digests (of path and text) and texts of the blocks that a page puts into an article's node, in page order."""
     out: list[tuple[int, str]] = []
     said: list[str] = []
+    gone, marked = where["off"], where["marked"]
 
     def close(path: int) -> None:
         if text := _said(said):
             out.append((_digest(path, text), text))
         said.clear()
 
-    own = node.tag not in ("#root", "html", "body")  # whether a header in it is the article's
     todo: list = [(iter(node.children), path, False)]
     while todo:
         children, path, block = todo[-1]
@@ -395,35 +461,42 @@ def blocks(node: Node, path: int = 0, marked: bool = True) -> list[tuple[int, st
             said.append(c)
         elif c.tag in ("br", "wbr"):
             said.append(" " if c.tag == "br" else "")
-        elif (inner_off(c) if marked or own and c.tag == "header" else off(c)) or not marked and c.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and _menu(c):
-            close(path)
-        elif c.tag in INLINE:
-            todo.append((iter(c.children), path if _plain(c) else _below(path, c), False))
+        elif c.tag in INLINE and _plain(c):
+            if inner_off(c):
+                close(path)
+            else:
+                todo.append((iter(c.children), path, False))
         elif c.tag not in VOID:
-            close(path)
-            todo.append((iter(c.children), _below(path, c), True))
+            below = _below(path, c)
+            if below in gone or not marked and c.tag in ("ul", "ol", "dl", "div", "section", "table", "p") and _menu(c):
+                close(path)
+            elif c.tag in INLINE:
+                todo.append((iter(c.children), below, False))
+            else:
+                close(path)
+                todo.append((iter(c.children), below, True))
         elif c.tag == "hr":
             close(path)
     return out
 
 
-def inner_off(n: Node) -> bool:
-    """Whether an element in an article is no part of it."""
-    return n.tag in ASIDE and n.tag != "header" or bool(n.mark and INSIDE.search(n.mark) and n.tag not in ("article", "main"))
+def known(place: str) -> dict:
+    """What article() gave, from JSON, ready to be asked."""
+    where = json.loads(place)
+    return where | {k: frozenset(where[k]) for k in ("roots", "off", "fixed")}
 
 
 def extract_page(page: str, where: dict | None) -> str:
-    """The text of a page whose host keeps its article there (see article), or of a page alone."""
+    """The text of a page whose host's wrapper says so (see article), or of a page alone."""
     root = parse(page)
 
     def at(where: dict) -> list[tuple[int, str]]:
-        found = _marked(root, where["rank"]) if where["rank"] else _find(root, where["path"])
-        return [b for n, path in found for b in blocks(n, path, bool(where["rank"]))]
+        return [b for n, path in _matched(root, where) for b in blocks(n, path, where)]
 
     found = at(where) if where else []
     if not found:
         found = at(article(fold(root)))
-    fixed = set(where["fixed"]) if where else set()
+    fixed = where["fixed"] if where else ()
     own = [text for digest, text in found if digest not in fixed]
     everything = [text for _, text in found]
     return "\n\n".join(own if 2 * sum(map(len, own)) > sum(map(len, everything)) else everything)
@@ -485,12 +558,12 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     places = Tables(df.sparkSession).write(wrappers(df, url_col, html_col).select("host", "place"), "wrappers")
 
     def extract(batch: pa.RecordBatch) -> dict[str, object]:
-        known: dict[str, dict] = {}
+        places_of: dict[str, dict] = {}
         out = []
         for p, place in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            if place is not None and place not in known:
-                known[place] = json.loads(place)
-            out.append(extract_page(p, known.get(place)))
+            if place is not None and place not in places_of:
+                places_of[place] = known(place)
+            out.append(extract_page(p, places_of.get(place)))
         return {"page_id": batch.column(0), "url": batch.column(1), "text": out, "n_chars": [len(t) for t in out]}
 
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
