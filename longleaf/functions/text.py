@@ -228,20 +228,19 @@ def repaired_vector(v: Column, dim: int) -> Column:
 
 
 def packed(pieces: Column, limit: int, size=None, glue: str = "\n\n") -> Column:
-    """Greedy packing, in order, of an array of texts into texts whose size estimates sum to at most limit (one larger piece stands alone)."""
-    size = size or tokens_mixed
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
-
-    def step(s: Column, p: Column) -> Column:
-        n = size(p)
-        full = (F.size(s["open"]) > 0) & (s["n"] + n > limit)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(F.array_join(s["open"], glue)))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(p)).otherwise(F.concat(s["open"], F.array(p))).alias("open"),
-            F.when(full, n).otherwise(s["n"] + n).alias("n"),
-        )
-
-    return F.aggregate(pieces, empty, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], glue)))).otherwise(s["done"]))
+    """Greedy packing, in order, of an array of texts into texts whose size estimates sum to at most limit (one larger piece stands alone).
+
+    Each piece is measured once; the fold goes over sizes and keeps where packs begin.
+    """
+    begun = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"), F.lit(1).alias("at"))
+
+    def step(s: Column, n: Column) -> Column:
+        new = (F.size(s["starts"]) == 0) | (s["n"] + n > limit)
+        return F.struct(F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"), F.when(new, n).otherwise(s["n"] + n).alias("n"), (s["at"] + 1).alias("at"))
+
+    starts = F.aggregate(F.transform(pieces, size or tokens_mixed), begun, step, lambda s: F.concat(s["starts"], F.array(s["at"])))  # and where one would begin after the last piece
+    spans = F.zip_with(F.slice(starts, 1, F.size(starts) - 1), F.slice(starts, 2, F.size(starts) - 1), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    return F.transform(spans, lambda s: F.array_join(F.slice(pieces, s["a"], s["n"]), glue))
 
 
 def merged_short(chunks: Column, least: int, most: int, glue: str = "\n\n") -> Column:

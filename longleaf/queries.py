@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import headings as H
 from longleaf.functions import text as T
-from longleaf.operators import bm25, chunking, collection, dense, ivf, lexicon, retrieve, tables
+from longleaf.operators import bm25, chunking, collection, dense, ivf, lexicon, retrieve, segments
 from longleaf.plans import agent, provider, report
 from longleaf.session import fingerprint, scratch_dir
 from longleaf.sources import files
@@ -132,6 +132,22 @@ def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(made, targets(spark, sf_dir), 10, enhanced=False, tokenizer=terms).select("target", "ord", "score", "rank")
 
 
+@query(f"""WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN lang || ' ' || text ELSE text END AS text, lang, source FROM main.documents WHERE doc_id % 7 <> 0), {_INDEX.strip()},
+r AS (SELECT target, ord, round(bm25, 4) AS score, row_number() OVER (PARTITION BY target ORDER BY round(bm25, 4) DESC, ord) AS rank FROM base) SELECT target, ord, score, rank::INT AS rank FROM r WHERE rank <= 10""")
+def segments_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in an index of three additions, a removal, a replacement, a compaction, and what was added after it."""
+    c = corpus(spark, sf_dir)
+    s = segments.Segments(spark, _scratch(spark, "segments"))
+    s.add(c.where("ord % 4 = 0"))
+    s.add(c.where("ord % 4 = 1"))
+    s.remove(c.where("ord % 7 = 0").select("ord"))
+    s.compact()
+    s.add(c.where("ord % 4 = 2 and ord % 7 <> 0"))
+    s.add(c.where("ord % 4 = 3 and ord % 7 <> 0"))
+    s.add(c.where("ord % 10 = 3 and ord % 7 <> 0").withColumn("text", F.concat_ws(" ", "lang", "text")))
+    return bm25.search(s.index(), targets(spark, sf_dir), 10, enhanced=False).select("target", "ord", "score", "rank")
+
+
 def _filters(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return targets(spark, sf_dir).select("target", F.explode(F.array(*map(F.lit, names))).alias("req_doc"))
 

@@ -59,6 +59,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it isn't there."""
+    fs, p = _place(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder, also when the session has ended."""
     with contextlib.suppress(Exception):  # the session's JVM may be gone already
