@@ -48,6 +48,8 @@ LISTED = (r"^\s*（\d+）\s*", r"^\s*[\(（]\d+[\)）]\s*", r"^\s*[a-zA-Z][\.．
 LARGER = {1: 1.15, 2: 1.08, 3: 1.05, 4: 1.02}
 ROOT, BODY_SIZE = "文档", 10.5
 RANKS = 12
+#: Places of lines that are one block of a document.
+BLOCK = 1_000_000
 
 
 def heading(title: Column, convention: Column) -> Column:
@@ -72,15 +74,22 @@ def conventions(headings: DataFrame) -> DataFrame:
     return per.select("doc_id", F.when(~F.col("named") & digits, "B").otherwise("A").alias("convention"))
 
 
-def paths(headings: DataFrame, key: str = "doc_id", ranks: int = RANKS) -> DataFrame:
+def paths(headings: DataFrame, key: str = "doc_id", ranks: int = RANKS, block: int = BLOCK) -> DataFrame:
     """headings (key, ord, rank from 1 to ranks, title) with path, the titles of the open ancestors and the heading itself.
 
     A rank is open where its last heading comes after the last one of every smaller rank, which
-    running maxima over one window tell, without a stack.
+    running maxima tell, without a stack.  Maxima go on from block to block of a document (so many places of ord each): what
+    the blocks before have is taken from their own maxima, so a document of any length is many tasks' work.
     """
-    w = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max(F.when(F.col("rank") == r, F.struct("ord", "title"))).over(w) for r in range(1, ranks + 1)]
-    out = headings.select("*", *[c.alias(f"_p{r}") for r, c in enumerate(last, 1)])
+    number = F.floor(F.col("ord") / block)
+    mine = headings.withColumn("_block", number)
+    of_rank = [F.when(F.col("rank") == r, F.struct("ord", "title")) for r in range(1, ranks + 1)]
+    ends = mine.where(F.col("_block") >= 0).groupBy(key, "_block").agg(*[F.max(c).alias(f"_e{r}") for r, c in enumerate(of_rank, 1)])
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    handed = ends.select(key, "_block", *[F.max(f"_e{r}").over(before).alias(f"_e{r}") for r in range(1, ranks + 1)]).where("_block > 0")
+    w = Window.partitionBy(key, "_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    out = mine.select("*", *[F.max(c).over(w).alias(f"_p{r}") for r, c in enumerate(of_rank, 1)]).join(handed, [key, "_block"], "left")
+    out = out.select(*headings.columns, *[F.coalesce(f"_p{r}", f"_e{r}").alias(f"_p{r}") for r in range(1, ranks + 1)])
     parts = []
     for r in range(1, ranks + 1):
         above = [F.coalesce(F.col(f"_p{s}.ord"), F.lit(-1)) for s in range(1, r)]

@@ -15,7 +15,7 @@ from longleaf.operators import bm25, chunking, collection, dense, ivf, lexicon,
 from longleaf.plans import agent, provider, report
 from longleaf.session import fingerprint, scratch_dir
 from longleaf.sources import files
-from longleaf.streaming import ingest
+from longleaf.streaming import conversions, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -235,6 +235,27 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.fused(near.unionByName(words), 10)
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SPECTRUM = "list_transform(string_split('" + " ".join(_LETTERS) + "', ' '), lambda c: (length(lower(text)) - length(replace(lower(text), c, '')))::DOUBLE)"
+
+
+@query(f"""WITH {_INDEX.strip()}, k AS (SELECT target, ord, row_number() OVER (PARTITION BY target ORDER BY round(bm25, 4) DESC, ord) AS rank FROM base),
+v AS (SELECT id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n, kind FROM (SELECT doc_id AS id, {_SPECTRUM} AS v, 'd' AS kind FROM documents UNION ALL SELECT item_id, {_SPECTRUM}, 'q' FROM benchmark)),
+u AS (SELECT id, kind, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS v FROM v),
+s AS (SELECT q.id AS target, d.id AS ord, round(list_reduce(list_transform(list_zip(d.v, q.v), lambda z: z[1] * z[2]), lambda a, b: a + b), 6) AS score FROM u q, u d WHERE q.kind = 'q' AND d.kind = 'd'),
+d AS (SELECT target, ord, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS rank FROM s),
+f AS (SELECT target, ord, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 6) AS score FROM (SELECT * FROM d WHERE rank <= 20 UNION ALL SELECT * FROM k WHERE rank <= 20) GROUP BY ALL)
+SELECT target, ord, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits of each item among documents, fused with those whose letters are as frequent as the item's."""
+    spectrum = T.unit_vector(F.array(*[(F.length(F.lower("text")) - F.length(F.replace(F.lower("text"), F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]))
+    vectors = corpus(spark, sf_dir).select("ord", spectrum.alias("embedding"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), spectrum.alias("q"))
+    near = dense.top_k(vectors, asked, 20).select("target", "ord", "rank")
+    words = bm25.search(index(spark, sf_dir), targets(spark, sf_dir), 20, enhanced=False).select("target", "ord", "rank")
+    return dense.fused(near.unionByName(words), 10)
+
+
 _LINES = r"""list_filter(list_transform(string_split(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&[a-z]+;', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"""
 
 
@@ -424,6 +445,37 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windowed_counts(table(spark, sf_dir, "events"), "1 hour").select(F.col("window.start").alias("start"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
+@query("""WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS begins FROM events),
+s AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, session""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.sessions(table(spark, sf_dir, "events")).select("user_id", "n", "first", "last")
+
+
+#: What a service reports of each document, by the rest of its id by six, in three rounds of ten minutes.
+REPORTED = (("done",), ("failed", "done"), ("failed", "failed", "done"), ("failed", "failed", "failed"), ("running",), ("blank", "done"))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 6 WHEN 3 THEN 'failed' WHEN 4 THEN 'timed out' ELSE 'done' END AS status, (CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 0 ELSE 1 END)::INT AS tries,
+CASE WHEN doc_id % 6 NOT IN (3, 4) THEN (length(text) + 1)::INT END AS chars FROM documents""")
+def conversion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on all documents, replayed as a stream in batches: how each ends."""
+    folders = [_scratch(spark, n) for n in ("reports", "changes", "checkpoint")]
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 6).alias("kind"), F.concat(F.lit("#"), "text").alias("text"))
+    at = lambda minutes: F.timestamp_seconds(F.lit(86_400 + 60 * minutes))
+    last = spark.range(1).select(F.lit("last").alias("doc_id"), F.lit("running").alias("state"), F.lit(None).cast("string").alias("text"))
+    for n in range(5):
+        if n < 3:
+            state = F.get(F.array(*[F.get(F.array(*map(F.lit, r)), F.lit(n)) for r in REPORTED]), F.col("kind").cast("int"))
+            batch = d.withColumn("state", state).where("state is not null").select("doc_id", F.when(F.col("state") == "blank", "done").otherwise(F.col("state")).alias("state"), F.when(F.col("state") == "done", F.col("text")).alias("text"), at(10 * n).alias("at"))
+        else:  # time goes on, and the watermark with it
+            batch = last.withColumn("at", at(60 * n))
+        batch.write.mode("append").parquet(folders[0])
+        stream = spark.readStream.schema(conversions.REPORT).parquet(folders[0])
+        conversions.follow(stream, *folders[1:]).awaitTermination()
+    return conversions.ended(spark, folders[1]).where("doc_id <> 'last'").select("doc_id", "status", "tries", F.length("text").alias("chars"))
+
+
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: each line that ends a paragraph starts a section of the next number."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(" "), F.substring(x, 1, 20), F.lit("\n"), x))

@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from longleaf.operators import chunking
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "doc_id string, text string", files: int = 1000) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "doc_id string, text string", files: int = 1000, keep: str = "30 days") -> StreamingQuery:
     """Chunk the documents that arrive as Parquet in a folder.
 
-    The ids of all documents so far are the stream's state, so each is worked on once, with or
+    The ids of the documents of the last while (keep, by the times of their files) are the stream's state, so each is worked on once in it, with or
     without chunks, and no batch reads what others wrote.  A batch writes to a folder of its
     number, so a batch that is run again after a failure replaces its own output.
     """
@@ -20,7 +20,9 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     def land(batch: DataFrame, number: int) -> None:
         chunking.chunk_markdown(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["doc_id"])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    fields = stream.columns
+    stream = stream.select("*", F.col("_metadata.file_modification_time").alias("_seen")).withWatermark("_seen", keep).dropDuplicatesWithinWatermark(["doc_id"]).select(fields)
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -75,7 +75,10 @@ def test_paths_equal_a_stack(spark):
 
     rng = random.Random(3)
     rows = [("d", i, rng.randint(1, 12), f"t{i}") for i in range(300)]
-    got = {r["ord"]: r["path"] for r in H.paths(spark.createDataFrame(rows, "doc_id string, ord int, rank int, title string")).collect()}
+    h = spark.createDataFrame(rows, "doc_id string, ord int, rank int, title string")
+    got = {r["ord"]: r["path"] for r in H.paths(h).collect()}
+    for block in (1, 7, 100):
+        assert {r["ord"]: r["path"] for r in H.paths(h, block=block).collect()} == got
     stack: list[tuple[int, str]] = []
     for _, i, rank, title in rows:
         while stack and stack[-1][0] >= rank:
