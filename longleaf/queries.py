@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from longleaf.functions import headings as H
 from longleaf.functions import text as T
-from longleaf.operators import bm25, chunking, collection, dense, ivf, lexicon, retrieve, segments
+from longleaf.operators import bm25, bounded, chunking, collection, dense, ivf, lexicon, retrieve, segments
 from longleaf.plans import agent, provider, report
 from longleaf.session import fingerprint, scratch_dir
 from longleaf.sources import files
@@ -111,6 +111,25 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(index(spark, sf_dir), targets(spark, sf_dir), 10, enhanced=False).select("target", "ord", "score", "rank")
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> bounded.Blocks:
+    """Blocks of the saved index, in ranges of a hundredth of the chunks."""
+    i = index(spark, sf_dir)
+    size = max(10, i.corpus.head()["n_chunks"] // 100)
+    return bounded.Blocks.ensure(i, f"{scratch_dir(spark)}/blocks-{fingerprint(spark, f'{sf_dir}/documents.parquet')}", size)
+
+
+@query(f"WITH {_INDEX}, r AS (SELECT target, ord, round(bm25, 4) AS score, row_number() OVER (PARTITION BY target ORDER BY round(bm25, 4) DESC, ord) AS rank FROM base) SELECT target, ord, score, rank::INT AS rank FROM r WHERE rank <= 10")
+def bm25_bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full search's ten best, from the ranges whose bounds reach them."""
+    return _blocks(spark, sf_dir).search(targets(spark, sf_dir), 10)
+
+
+@query()
+def bm25_bounded_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ranges, and postings in them, that search has and reads."""
+    return _blocks(spark, sf_dir).share(targets(spark, sf_dir), 10)
+
+
 @query(f"WITH {_ENHANCED}, r AS (SELECT target, ord, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS rank FROM full_score) SELECT target, ord, score, rank::INT AS rank FROM r WHERE rank <= 5")
 def bm25_enhanced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(index(spark, sf_dir), targets(spark, sf_dir), 5).select("target", "ord", "score", "rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,12 +77,21 @@ def merged_parts(parts: DataFrame) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes in UTF-8, or else in GBK (which needs spark.sql.legacy.javaCharsets), without a byte order mark."""
-    return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "GBK")), "^﻿", "")
+    """Text of bytes in UTF-8, or else in GBK (bytes that aren't either are replaced), without a byte order mark.
+
+    Only bytes that aren't UTF-8 go to Python, as Spark has no decoder for GBK.
+    """
+
+    @F.arrow_udf("string")
+    def gbk(column: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("gb18030", "replace") for b in column.to_pylist()], pa.string())
+
+    valid = F.is_valid_utf8(content.cast("string"))
+    return F.regexp_replace(F.coalesce(F.when(valid, content.cast("string")), gbk(F.when(~valid, content))), "^﻿", "")
 
 
-def documents(spark: SparkSession, folder: str, ext: str = "md", gbk: bool = False) -> DataFrame:
-    """ord, doc_id, subdir and text of the files of one kind, ordered by path."""
+def documents(spark: SparkSession, folder: str, ext: str = "md", gbk: bool = True) -> DataFrame:
+    """ord, doc_id, subdir and text of the files of one kind, ordered by path; without gbk bytes that aren't UTF-8 are replaced."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ext}").load(folder)
     text = decoded(F.col("content")) if gbk else F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "")
     return f.select(F.col("path").alias("ord"), F.regexp_extract("path", _STEM, 1).alias("doc_id"), F.element_at(F.split("path", "/"), -2).alias("subdir"), text.alias("text"))

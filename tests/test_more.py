@@ -239,3 +239,11 @@ def test_peers_merge_in_rounds_from_the_left():
 def test_providers():
     s = provider.Scripted([("a", "1"), ("b", "22")])
     assert s.chat(["xa", "b", "c"]) == [("1", 2, 1), ("22", 1, 2), ("", 1, 0)]
+
+
+def test_texts_in_gbk_are_read(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, raw in (("u", "﻿# 标题 é".encode()), ("g", "# 标题\n内容".encode("gb18030")), ("x", b"\x81"), ("e", b"")):
+        (tmp_path / "d" / f"{name}.md").write_bytes(raw)
+    got = {r["doc_id"]: r["text"] for r in files.documents(spark, str(tmp_path / "d")).collect()}
+    assert got == {"u": "# 标题 é", "g": "# 标题\n内容", "x": "�", "e": ""}
