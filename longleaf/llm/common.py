@@ -148,6 +148,15 @@ def parted(df: DataFrame, marks: DataFrame, keys: list[str]) -> tuple[DataFrame,
     return met.where(~may).select(df.columns), met.where(may).select(df.columns)
 
 
+def met(rows: DataFrame, found: DataFrame, key: str, tables: Tables, name: str) -> DataFrame:
+    """rows joined with what an aggregate found by key.
+
+    The aggregate is written first: where it is part of the join's own stage, adaptive execution can't split a key that half of the
+    rows have, as both sides of what it splits must be plain exchanges.
+    """
+    return rows.join(tables.write(found, name).hint("merge"), key)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a unique long for each row.  Materialise the result before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import Tables, free_name, lists, map_arrow, parted, texts
+from longleaf.llm.common import Tables, free_name, lists, map_arrow, met, parted, texts
 
 _LAST = (1 << 63) - 1
 
@@ -187,7 +187,7 @@ def repeated_lines(df: DataFrame, text_col: str, id_col: str, min_words: int) ->
     lined = tables.write(map_arrow(docs, cut, {"id": "long", "digest": "long", "lines": "array<long>", "words": "array<int>", "places": "array<int>", "keys": "array<long>"}), "lined")
     has = lined.select("id", "digest", F.explode("keys").alias("key"))
     owners = has.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("own"), F.max(F.struct("id", "digest")).alias("last")).where("own <> last").select("key", F.col("own.id").alias("own_id"), F.col("own.digest").alias("own_digest"))
-    linked = has.join(owners, "key").where("id <> own_id or digest <> own_digest").select("id", "digest", "own_id", "own_digest").distinct()
+    linked = met(has, owners, "key", tables, "owners").where("id <> own_id or digest <> own_digest").select("id", "digest", "own_id", "own_digest").distinct()
     once = lined.dropDuplicates(["id", "digest"])
     sides = linked.join(once.select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("lines").alias("own_lines")), ["own_id", "own_digest"]).join(once.select("id", "digest", "lines", "words", "places"), ["id", "digest"])
 

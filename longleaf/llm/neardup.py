@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longleaf.llm.common import Tables, batches_of, free_name, lists, map_arrow, parted, text_blocks, texts
+from longleaf.llm.common import Tables, batches_of, free_name, lists, map_arrow, met, parted, text_blocks, texts
 from longleaf.llm.graph import components
 from longleaf.llm.hashing import mix, shingle_sets
 
@@ -200,7 +200,7 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
     signed = tables.write(map_arrow(docs.select("doc_id", "node", "text"), sign, {"doc_id": "long", "node": "binary", "keys": "array<long>"}), "signed")
     nodes = signed.where("size(keys) > 0").select("node", F.explode("keys").alias("key")).distinct()
     crowd = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tables.write(nodes.join(crowd, "key"), "shared")
+    shared = tables.write(met(nodes, crowd, "key", tables, "crowd"), "shared")
     standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
     standing = tables.write(standing, "standing")
     kept = parted(docs.select("node", "text"), standing, ["node"])[1].join(standing.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -212,7 +212,7 @@ def classified(df: DataFrame, text_col: str, id_col: str, threshold: float, widt
     comps = None
     if not shared.isEmpty():
         hubs = shared.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", "node")).alias("best")).select("key", F.col("best.node").alias("hub"))
-        active = tables.write(shared.select("key", "node").join(hubs, "key"), "active")
+        active = tables.write(met(shared.select("key", "node"), hubs, "key", tables, "hubs"), "active")
         pairs = active.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         text_of = lambda n, t: kept.select(F.col("node").alias(n), F.col("text").alias(t))
         found = tables.write(map_arrow(pairs.join(text_of("a", "t"), "a").join(text_of("b", "u"), "b").select("a", "b", "t", "u"), verify, {"a": "binary", "b": "binary", "j": "double"}), "pairs")
