@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from longleaf.functions import text as T
 from longleaf.plans import provider
 from longleaf.session import delete, is_complete, ship
 

@@ -66,6 +66,9 @@ def test_both_indexes(spark, tmp_path):
     f = spark.createDataFrame([("q", "ab")], "target string, req_doc string")
     assert [r["chunk_id"] for r in h.search_meaning(t, 3, filters=f).collect()] == ["c1"]
     assert h.search_meaning(t, 2, rerank=Failing).count() == 2
+    listed = hybrid.Hybrid.build(chunks(spark), str(tmp_path / "l"), lists=3)
+    assert listed.centres is not None and hybrid.Hybrid.load(spark, str(tmp_path / "l")).vectors.columns == ["ord", "embedding", "list"]
+    assert [r["chunk_id"] for r in listed.search_meaning(t, 1, probes=1).collect()] == ["c0"] and listed.search_meaning(t, 9).count() == h.search_meaning(t, 9).count()
 
 
 def test_a_stopped_embedding_goes_on(spark, tmp_path):
