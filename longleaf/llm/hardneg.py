@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from longleaf.llm.common import Tables, lists, map_arrow
 
 _LAST = (1 << 63) - 1
+#: Components of the sample's vectors together, at most (but for its first 1024 rows), in the driver.
+SAMPLED = 1 << 22
 
 
 @dataclass
@@ -209,7 +211,8 @@ def mine(df: DataFrame, is_anchor: Column, label: Column, vector_col: str = "emb
 
     A component x counts as floor(scale * x).  An anchor's positives are the rows of its label with the best scores; its negatives for a
     positive are the best rows of other labels whose score is low to high hundredths of the positive's.
-    block is the number of rows of a task's tree, leaf those of its leaves, sample the rows that the top of the tree is fitted on.
+    block is the number of rows of a task's tree, leaf those of its leaves, sample the rows that the top of the tree is fitted on (fewer where
+    vectors are long, see SAMPLED).
     """
     spark = df.sparkSession
     tables = Tables(spark)
@@ -227,9 +230,12 @@ def mine(df: DataFrame, is_anchor: Column, label: Column, vector_col: str = "emb
     base = base.where(F.size("v") == dim)
     block = min(block, max(1024, n // 32))  # enough tasks for small tables too
 
+    sample = min(sample, max(1024, SAMPLED // dim))
     share = min(1 << 30, int((1 << 30) * sample / n))
-    some = base.where(F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("row")).limit(2 * sample).select("v").collect() or base.select("v").limit(1).collect()
-    fitted = np.array([r["v"] for r in some], np.float64)
+    some = base.where(F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("row")).limit(2 * sample).select("v").toArrow()
+    if not some.num_rows:
+        some = base.select("v").limit(1).toArrow()
+    fitted = _matrix(some["v"].combine_chunks(), dim)
     top = Tree(fitted, most).grow(max(16, -(-len(fitted) * block // n)))
 
     def deal(batch: pa.RecordBatch) -> dict[str, object]:
