@@ -1,4 +1,4 @@
-"""``python -m longleaf build|search|info``: make, ask and describe a keyword index."""
+"""``python -m longleaf build|search|info|answer``: make, ask and describe a keyword index, and answer questions with it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from longleaf.operators import bm25
+from longleaf.plans import batch
 from longleaf.session import is_complete
 from longleaf.settings import Settings, known
 from longleaf.sources import files
@@ -24,6 +25,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     search.add_argument("query")
     search.add_argument("--top-k", type=int, default=5)
     commands.add_parser("info", help="figures of the index")
+    answer = commands.add_parser("answer", help="answer a folder of questions")
+    answer.add_argument("questions")
+    answer.add_argument("--out")
+    answer.add_argument("--model", default="longleaf.plans.provider:NoModel", help="package.module:factory")
+    answer.add_argument("--domain", default="*")
+    answer.add_argument("--limit", type=int, default=0)
     asked = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.getOrCreate()
     path = asked.index or known(Settings(asked.config))["index_dir"]
@@ -39,6 +46,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         row = index.info().head()
         print(f"chunks: {row['n_chunks']}\nterms: {row['n_terms']}\nterms a chunk: {row['avg_terms']:.1f}")
         return 0
+    if asked.command == "answer":
+        out = asked.out or known(Settings(asked.config))["output_dir"]
+        code = batch.answer(index, asked.questions, out, batch.model_of(asked.model), asked.model, asked.domain, asked.limit)
+        for r in spark.read.json(f"{out}/trace").orderBy("ord").collect():  # a row for each stage
+            print(f"{r['stage']}: {r['rows']} rows, {r['calls']} calls, {r['prompt_tokens']}/{r['completion_tokens']} tokens, {r['seconds']:.1f} s")
+        print(f"results: {out}")
+        return code
     target = spark.createDataFrame([(0, asked.query)], "target int, query string")
     for hit in bm25.search(index, target, asked.top_k).orderBy("rank").collect():  # top_k rows
         print(f"[{hit['rank']}] {hit['doc_id']} | {hit['chunk_id']} | {hit['score']:.4f}\n    {(hit['text'] or '')[:120]}".replace("\n ", "\n "))

@@ -293,12 +293,14 @@ class Trace:
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
+        #: What each stage gave.
+        self.tables: dict[str, DataFrame] = {}
 
     def stage(self, name: str, df: DataFrame, **counted: Column) -> DataFrame:
         """df as a written table; its rows, and those for which each of counted holds, are noted with the seconds it took."""
         began, seen = time.monotonic(), Observation()
         figures = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counted.items()]]
-        out = written(df.observe(seen, *figures), name)
+        out = self.tables[name] = written(df.observe(seen, *figures), name)
         got = seen.get
         self.rows.append((name, got.pop("rows"), got, time.monotonic() - began))
         return out
