@@ -9,6 +9,7 @@ model is executed), the second one answers with their results.
 from __future__ import annotations
 
 import ast
+import math
 import operator
 import time
 from collections.abc import Callable, Iterator
@@ -168,23 +169,100 @@ def offline_choice(options: Column, evidence: Column) -> Column:
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod}
 _UNARY = {ast.USub: operator.neg, ast.UAdd: operator.pos, ast.Not: operator.not_}
 _COMPARE = {ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
-_FUNCTIONS = {"abs": abs, "round": round, "min": min, "max": max, "sum": sum, "len": len, "sorted": sorted, "int": int, "float": float}
-#: Characters of formulas, and the largest power they may raise to.
-FORMULA_CHARS, POWER = 10_000, 64
+#: Characters of formulas, the largest power they may raise to, the steps they may take, and the numbers of a range.
+FORMULA_CHARS, POWER, STEPS, RANGE = 10_000, 64, 100_000, 10_000
+
+
+def _range(*ends: object) -> list[int]:
+    numbers = range(*map(int, ends))
+    if len(numbers) > RANGE:
+        raise ValueError("too long")
+    return list(numbers)
+
+
+def _small(x: object) -> object:
+    """x, if it is no list of lists that would take long to go through."""
+    todo, n = [x], 0
+    while todo:
+        y = todo.pop()
+        n += 1
+        if n > RANGE:
+            raise ValueError("too long")
+        if isinstance(y, list | dict):
+            todo += y.values() if isinstance(y, dict) else y
+    return x
+
+
+_FUNCTIONS = {"abs": abs, "round": round, "min": min, "max": max, "sum": sum, "len": len, "sorted": sorted, "int": int, "float": float, "bool": bool, "list": list, "any": any, "all": all, "range": _range, "enumerate": lambda x: [list(p) for p in enumerate(x)], "zip": lambda *x: [list(p) for p in zip(*x, strict=False)], "print": lambda *x: None}
+_MATH = {n: getattr(math, n) for n in ("ceil", "floor", "sqrt", "log", "log10", "log2", "exp", "fabs", "trunc", "isclose")} | {"pow": lambda a, b: a**b if abs(b) <= POWER else math.nan}
 
 
 class _Formula:
-    """Values of assignments of numbers, comparisons, lists and the functions above; anything else is a ValueError."""
+    """Values of assignments, loops and branches over numbers, comparisons, lists and the functions above, in so many steps; anything else is a ValueError."""
 
     def __init__(self) -> None:
         self.names: dict[str, object] = {}
+        self.left = STEPS
+
+    def step(self) -> None:
+        self.left -= 1
+        if self.left < 0:
+            raise ValueError("too long")
+
+    def put(self, target: ast.expr, x: object) -> None:
+        match target:
+            case ast.Name(id=name):
+                self.names[name] = x
+            case ast.Tuple(elts=ts) | ast.List(elts=ts) if isinstance(x, list) and len(x) == len(ts):
+                for t, y in zip(ts, x, strict=True):
+                    self.put(t, y)
+            case ast.Subscript(value=ast.Name(id=name), slice=i) if isinstance(held := self.names.get(name), dict):
+                held[str(_small(self.value(i)))] = x
+            case _:
+                raise ValueError(f"not allowed: {type(target).__name__}")
 
     def run(self, body: list[ast.stmt]) -> None:
         for line in body:
-            if isinstance(line, ast.Assign) and all(isinstance(t, ast.Name) for t in line.targets):
-                self.names |= dict.fromkeys([t.id for t in line.targets], self.value(line.value))
-            elif not isinstance(line, ast.Pass):
-                raise ValueError(f"not an assignment: {type(line).__name__}")
+            self.step()
+            match line:
+                case ast.Assign(targets=ts, value=v):
+                    x = self.value(v)
+                    for t in ts:
+                        self.put(t, x)
+                case ast.AnnAssign(target=t, value=v) if v is not None:
+                    self.put(t, self.value(v))
+                case ast.AugAssign(target=ast.Name() as t, op=op, value=v):
+                    self.put(t, self.value(ast.BinOp(left=ast.Name(id=t.id), op=op, right=v)))
+                case ast.If(test=t, body=a, orelse=b):
+                    self.run(a if self.value(t) else b)
+                case ast.For(target=t, iter=i, body=a, orelse=[]):
+                    for x in self.items(i):
+                        self.put(t, x)
+                        self.run(a)
+                case ast.Expr(value=ast.Call(func=ast.Attribute(value=ast.Name(id=name), attr="append"), args=[x], keywords=[])) if isinstance(held := self.names.get(name), list):
+                    held.append(self.value(x))
+                case ast.Expr(value=v):
+                    self.value(v)
+                case ast.Import(names=[ast.alias(name="math", asname=None)]) | ast.Pass():
+                    pass
+                case _:
+                    raise ValueError(f"not an assignment: {type(line).__name__}")
+
+    def items(self, n: ast.expr) -> list:
+        x = self.value(n)
+        if not isinstance(x, list | dict):
+            raise ValueError("not a list")
+        return list(x)
+
+    def comprehended(self, made: ast.expr, loops: list[ast.comprehension]) -> list:
+        if not loops:
+            return [self.value(made)]
+        first, out = loops[0], []
+        for x in self.items(first.iter):
+            self.put(first.target, x)
+            if all(self.value(t) for t in first.ifs):
+                out += self.comprehended(made, loops[1:])
+        return out
 
     def number(self, n: ast.AST) -> float:
         x = self.value(n)
@@ -193,6 +271,7 @@ class _Formula:
         return float(x)
 
     def value(self, n: ast.AST) -> object:
+        self.step()
         match n:
             case ast.Constant(value=bool() | int() | float() | str() as x):
                 return x
@@ -207,18 +286,28 @@ class _Formula:
             case ast.BoolOp(op=op, values=xs):
                 return (all if isinstance(op, ast.And) else any)(bool(self.value(x)) for x in xs)
             case ast.Compare(left=a, ops=ops, comparators=xs) if all(type(o) in _COMPARE for o in ops):
-                chain = [self.value(a), *map(self.value, xs)]
+                chain = [_small(self.value(x)) for x in (a, *xs)]
                 return all(_COMPARE[type(o)](x, y) for o, x, y in zip(ops, chain[:-1], chain[1:], strict=True))
             case ast.IfExp(test=t, body=a, orelse=b):
                 return self.value(a if self.value(t) else b)
             case ast.List(elts=xs) | ast.Tuple(elts=xs):
                 return [self.value(x) for x in xs]
             case ast.Dict(keys=ks, values=xs) if all(ks):
-                return {str(self.value(k)): self.value(x) for k, x in zip(ks, xs, strict=True)}
+                return {str(_small(self.value(k))): self.value(x) for k, x in zip(ks, xs, strict=True)}
             case ast.Subscript(value=a, slice=i):
                 return self.value(a)[self.value(i)]
             case ast.Call(func=ast.Name(id=name), args=xs, keywords=[]) if name in _FUNCTIONS:
-                return _FUNCTIONS[name](*map(self.value, xs))
+                return _FUNCTIONS[name](*(_small(self.value(x)) for x in xs))
+            case ast.Call(func=ast.Attribute(value=ast.Name(id="math"), attr=name), args=xs, keywords=[]) if name in _MATH:
+                return _MATH[name](*map(self.number, xs))
+            case ast.Attribute(value=ast.Name(id="math"), attr="pi" | "e" as name):
+                return getattr(math, name)
+            case ast.Call(func=ast.Attribute(value=x, attr="items" | "values" | "keys" as name), args=[], keywords=[]) if isinstance(held := self.value(x), dict):
+                return [list(p) if name == "items" else p for p in getattr(held, name)()]
+            case ast.ListComp(elt=made, generators=loops) | ast.GeneratorExp(elt=made, generators=loops):
+                return self.comprehended(made, loops)
+            case ast.DictComp(key=k, value=v, generators=loops):
+                return {str(_small(a)): b for a, b in self.comprehended(ast.List(elts=[k, v]), loops)}
         raise ValueError(f"not allowed: {type(n).__name__}")
 
 
@@ -231,10 +320,13 @@ def evaluate(code: str) -> str:
         last = tree.body[-1] if tree.body else None
         if isinstance(last, ast.Expr):
             f.run(tree.body[:-1])
-            return f"result = {f.value(last.value)!r}"
-        f.run(tree.body)
+            x = f.value(last.value)
+            if x is not None or not {"result", "results"} & f.names.keys():
+                return f"result = {_small(x)!r}"
+        else:
+            f.run(tree.body)
         name = next(n for n in ("results", "result") if n in f.names)
-        return f"{name} = {f.names[name]!r}"
+        return f"{name} = {_small(f.names[name])!r}"
     except StopIteration:
         return "failed: no result"
     except (ValueError, SyntaxError, ArithmeticError, RecursionError, TypeError, LookupError, MemoryError) as e:
@@ -245,7 +337,7 @@ def calculate(expression: str) -> float | None:
     """Value of an expression of numbers, + - * / and parentheses; null for anything else."""
     try:
         tree = ast.parse(expression, mode="eval")
-        if any(isinstance(n, ast.Pow | ast.Call | ast.Name) for n in ast.walk(tree)):
+        if any(isinstance(n, ast.Pow | ast.Call | ast.Name | ast.comprehension) for n in ast.walk(tree)):
             return None
         return _Formula().number(tree.body)
     except (ValueError, SyntaxError, ArithmeticError, RecursionError, TypeError, LookupError, MemoryError):

@@ -196,6 +196,21 @@ def test_numeric_questions_take_two_calls(spark):
     assert got["1"]["prompt_tokens"] == got["2"]["prompt_tokens"] + 10
 
 
+@pytest.mark.parametrize("code,result", [
+    ("import math\nresult = math.ceil(2.1) + math.sqrt(9)", "result = 6.0"), ("total = 0\nfor i in range(1, 4):\n    total += i * 10\nresult = total", "result = 60.0"),
+    ("rates = {'a': 0.1, 'b': 0.2}\nresults = {}\nfor k, v in rates.items():\n    if v > 0.15:\n        results[k] = v * 100\n    else:\n        results[k] = 0", "results = {'a': 0, 'b': 20.0}"),
+    ("xs = [1, 2, 3]\nys = [x * x for x in xs if x != 2]\nresult = sum(ys)", "result = 10.0"), ("a, b = [3, 4]\nresult = max(a, b)", "result = 4"), ("result = 2\nprint(result)", "result = 2"),
+    ("out = []\nfor i, x in enumerate([5, 6]):\n    out.append(i + x)\nresult = out", "result = [5.0, 7.0]"), ("results = {k: v > 1 for k, v in zip(['A', 'B'], [1, 2])}", "results = {'A': False, 'B': True}"),
+])
+def test_formulas_with_loops(code, result):
+    assert agent.evaluate(code) == result
+
+
+def test_formulas_take_so_many_steps():
+    for code in ("x = 0\nfor i in range(9999):\n    for j in range(9999):\n        x += 1\nresult = x", "result = range(10 ** 9)", "x = [1]\\nfor i in range(70):\\n    x = [x, x]\\nresult = x", "x = y = [1]\\nfor i in range(70):\\n    x = [x, x]\\n    y = [y, y]\\nresult = x == y", "while True:\n    pass", "def f():\n    return 1\nresult = f()", "import os", "from math import pi", "result = math.factorial(9)", "result = ().__class__", "result = [].append.__self__", "x = 'a'\nresult = x.format(1)", "result = print.__self__", "result = sorted(3)"):
+        assert agent.evaluate(code).startswith("failed"), code
+
+
 def test_formulas_are_bounded():
     assert agent.evaluate("x = [1, 2]\nresult = sum(x) / len(x) if 1 < 2 else 0") == "result = 1.5"
     for code in ("result = 'a' * 9", "result = (1).real", "f = lambda: 1", "result = 2 ** 1000", "for i in []: pass", "result = x", "result = [1] * 9", "(" * 300):
