@@ -207,7 +207,7 @@ def test_formulas_with_loops(code, result):
 
 
 def test_formulas_take_so_many_steps():
-    for code in ("x = 0\nfor i in range(9999):\n    for j in range(9999):\n        x += 1\nresult = x", "result = range(10 ** 9)", "x = [1]\\nfor i in range(70):\\n    x = [x, x]\\nresult = x", "x = y = [1]\\nfor i in range(70):\\n    x = [x, x]\\n    y = [y, y]\\nresult = x == y", "while True:\n    pass", "def f():\n    return 1\nresult = f()", "import os", "from math import pi", "result = math.factorial(9)", "result = ().__class__", "result = [].append.__self__", "x = 'a'\nresult = x.format(1)", "result = print.__self__", "result = sorted(3)"):
+    for code in ("x = 0\nfor i in range(9999):\n    for j in range(9999):\n        x += 1\nresult = x", "result = range(10 ** 9)", "x = [1]\nfor i in range(70):\n    x = [x, x]\nresult = x", "x = y = [1]\nfor i in range(70):\n    x = [x, x]\n    y = [y, y]\nresult = x == y", "while True:\n    pass", "def f():\n    return 1\nresult = f()", "import os", "from math import pi", "result = math.factorial(9)", "result = ().__class__", "result = [].append.__self__", "x = 'a'\nresult = x.format(1)", "result = print.__self__", "result = sorted(3)"):
         assert agent.evaluate(code).startswith("failed"), code
 
 
