@@ -139,10 +139,16 @@ def doc_keys(doc_id: Column) -> Column:
     return F.array_distinct(F.concat(F.array(doc_id), F.transform(ends, lambda i: doc_id.substr(F.lit(1), i - 1))))
 
 
-def allowed(index: Index, filters: DataFrame, prefix: bool = True) -> DataFrame:
-    """(target, req_doc, ord) for filters (target, req_doc): documents by exact name, or beginning, as an equi-join."""
+def named(index: Index, filters: DataFrame, prefix: bool = True) -> DataFrame:
+    """(target, req_doc, doc_id) for filters (target, req_doc): the documents that each names, exactly or by a beginning, as an equi-join over documents."""
     names = doc_keys(F.col("doc_id")) if prefix else F.array("doc_id")
-    return filters.join(index.chunks.select("ord", F.explode(names).alias("req_doc")), "req_doc").select("target", "req_doc", "ord")
+    known = index.chunks.select("doc_id").distinct().select("doc_id", F.explode(names).alias("req_doc"))
+    return filters.select("target", "req_doc").distinct().join(known, "req_doc").select("target", "req_doc", "doc_id")
+
+
+def allowed(index: Index, filters: DataFrame, prefix: bool = True) -> DataFrame:
+    """(target, req_doc, ord): the chunks of these documents."""
+    return named(index, filters, prefix).join(index.chunks.select("ord", "doc_id"), "doc_id").select("target", "req_doc", "ord")
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -247,9 +253,10 @@ def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | N
     found = scores(index, targets, tokenizer)
     group = ["target"]
     if filters is not None:
-        named = filters.select("target").distinct()
-        free = found.join(named, "target", "left_anti").withColumn("req_doc", F.lit(None).cast("string"))
-        found = found.join(allowed(index, filters, prefix), ["target", "ord"]).select("target", "ord", "bm25", "req_doc").unionByName(free)
+        filtered = filters.select("target").distinct()
+        free = found.join(filtered, "target", "left_anti").withColumn("req_doc", F.lit(None).cast("string"))
+        held = found.join(filtered, "target", "left_semi").join(index.chunks.select("ord", "doc_id"), "ord")  # what was found, and not all chunks of a document, meets the filters
+        found = held.join(named(index, filters, prefix), ["target", "doc_id"]).select("target", "ord", "bm25", "req_doc").unionByName(free)
         if per_doc:
             group = ["target", "req_doc"]
         else:
