@@ -205,14 +205,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(F.col(head).alias("﻿" + head), *names[1:]).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(str(PurePosixPath(path)) if "://" not in path else path)
 
 
-def scanned_lines(spark: SparkSession, files: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def scanned_lines(spark: SparkSession, files: DataFrame, words: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """(doc_id, ord, line, size, body) of raw files (doc_id, path, ext): text by lines, HTML without tags, PDF from a table of its words.
 
-    words (doc_id, page, text, top, x0, size) stands for what a PDF reader gives; without it PDF files have no lines.
+    words (doc_id, page, text, top, x0, size) stands for what a PDF reader gives; without it PDF files have no lines.  folder is
+    one that all files are below; without it the driver lists the files' folders.
     """
     contents = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     listed = files.select("doc_id", "path", "ext")
-    folders = [r["p"] for r in listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("p")).distinct().collect()]  # a row for each folder
+    folders = [folder] if folder else [r["p"] for r in listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("p")).distinct().collect()]  # a row for each folder
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "")
     lines = F.when(F.col("ext") == "html", T.html_lines(text)).otherwise(F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != ""))
     none = spark.createDataFrame([], "doc_id string, ord bigint, line string, size double, body double")
@@ -226,6 +227,6 @@ def scanned_lines(spark: SparkSession, files: DataFrame, words: DataFrame | None
     return none.unionByName(pdf)
 
 
-def parsed(spark: SparkSession, files: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """(doc_id, total_sections, section_tree, flat_sections) of raw files of any kind."""
-    return H.section_tree(H.section_rows(scanned_lines(spark, files, words)))
+def parsed(spark: SparkSession, files: DataFrame, words: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """(doc_id, total_sections, section_tree, flat_sections) of raw files of any kind (see scanned_lines)."""
+    return H.section_tree(H.section_rows(scanned_lines(spark, files, words, folder)))

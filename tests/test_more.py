@@ -130,6 +130,8 @@ def test_raw_files_of_domains(spark, tmp_path):
         ("c", 2, (("文档", ""), ("文档 > 总体要求", "正文\n"))),
         ("d", 2, (("文档", ""), ("文档 > 网页标题", "网页正文\n"))),
     }
+    same = lambda **ways: sorted(map(str, files.scanned_lines(spark, f.where("ext <> 'pdf'"), **ways).collect()))
+    assert same(folder=str(tmp_path / "raw")) == same()
     files.write_trees(files.parsed(spark, f.where("ext = 'html'")), str(tmp_path / "trees"))
     assert spark.read.json(str(tmp_path / "trees")).head()["section_tree"][0]["children"][0]["title"] == "网页标题"
 
