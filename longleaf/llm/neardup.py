@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     worded = every.where("worded")
     classes = worded.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = every.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return worded.join(classes, "comp").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return met(worded, classes, "comp", Tables(df.sparkSession), "classes").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
