@@ -321,22 +321,29 @@ def upload_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.matched_results(d.select(name.alias("file_name")), uploads)
 
 
-def headed_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (doc_id, text) whose numbered lines are Markdown headings, with the line itself below each."""
-    h = _ranked(spark, sf_dir).join(lines(spark, sf_dir).select("doc_id", "ord", "raw"), ["doc_id", "ord"])
-    line = F.when(F.col("rank").isNotNull(), F.concat(F.lit("# "), F.col("title"), F.lit("\n"), F.col("raw"))).otherwise(F.col("title"))
-    return h.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("x")))), lambda s: s["x"]), "\n").alias("text"))
+_ANNEX = _STRIP.format("'附件' || (ord + 1) || ' ' || t")
 
 
-@query()
+#: Annexes are never joined; of a long one six pieces of 67 tokens are more than 400; one that says nothing has no chunk.
+@query(f"""WITH {_LINES}, x AS (SELECT doc_id, {_ANNEX} AS title, {_STRIP.format("raw")} AS said, {_STRIP.format(_ANNEX + " || chr(10) || raw")} AS body FROM l), n AS (SELECT *, length(body) // 266 AS f, length(body) % 266 AS r, {_STRIP.format("replace(body, '|', '')")} AS rest FROM x),
+c AS (SELECT doc_id, title, CASE WHEN said = '' OR NOT (contains(body, '|') AND contains(body, '---')) AND (length(rest) < 10 OR len(regexp_extract_all(rest, '\.\.\s*\d+')) >= 2) AND length(body) // 4 + 1 <= 400 THEN 0
+  WHEN length(body) // 4 + 1 <= 400 THEN 1 WHEN r > 0 AND f % 5 = 0 AND r // 4 + 1 <= 65 THEN f // 5 ELSE ceil((f + (r > 0)::INT) / 5.0) END::BIGINT AS chunks FROM n)
+SELECT doc_id::VARCHAR AS doc_id, title AS header_path, chunks FROM c WHERE chunks > 0""")
 def chunk_markdown_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of documents with headings of both conventions; tests hold the rules against cases."""
-    return chunking.chunk_markdown(headed_markdown(spark, sf_dir)).withColumn("images", F.array_join("images", ","))
+    """Chunks by heading hierarchy of documents whose every line is an annex; tests hold how sections are joined against cases."""
+    annex = F.concat(F.lit("# 附件"), (F.col("ord") + 1).cast("string"), F.lit(" "), F.col("t"), F.lit("\n"), F.col("raw"))
+    d = lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", annex.alias("x")))), lambda s: s["x"]), "\n").alias("text"))
+    return chunking.chunk_markdown(d).groupBy("doc_id", "header_path").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query()
+#: A long line is cut every 682 characters, and six pieces of 171 tokens are more than 1024.
+@query(f"""WITH {_LINES}, x AS (SELECT doc_id, {_STRIP.format("'第' || (ord + 1) || '章 ' || t")} AS title, {_STRIP.format("'# ' || " + _STRIP.format("'第' || (ord + 1) || '章 ' || t") + " || chr(10) || raw")} AS body FROM l), n AS (SELECT *, length(body) // 682 AS f, length(body) % 682 AS r FROM x)
+SELECT doc_id::VARCHAR AS doc_id, title AS header_path, CASE WHEN length(body) // 4 + 1 <= 1024 THEN 1 WHEN r > 0 AND f % 5 = 0 AND r // 4 + 1 <= 169 THEN f // 5 ELSE ceil((f + (r > 0)::INT) / 5.0) END::BIGINT AS chunks FROM n""")
 def chunk_headers_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_headers(headed_markdown(spark, sf_dir)).withColumn("images", F.array_join("images", ","))
+    """Chunks by header of documents whose every line is a chapter."""
+    chapter = F.concat(F.lit("### 第"), (F.col("ord") + 1).cast("string"), F.lit("章 "), F.col("t"), F.lit("\n"), F.col("raw"))
+    d = lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", chapter.alias("x")))), lambda s: s["x"]), "\n").alias("text"))
+    return chunking.chunk_headers(d).groupBy("doc_id", "header_path").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 #: A line of documents has no break within, so a long one is cut every 266 characters, and six pieces of 67 tokens are more than 400.
@@ -349,12 +356,17 @@ def chunk_articles_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_articles(d).groupBy("doc_id", "header_path").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query()
+#: Of sentences of 101 characters five fit a part, and up to six that are left are not cut.
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN n < 7 THEN 1 ELSE 1 + ceil((n - 6) / 5.0) END::BIGINT AS parts, (101 * n)::BIGINT AS chars FROM (SELECT doc_id, length(text) // 100 AS n FROM documents)")
 def chunk_split_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secondary split of texts that hold breaks of all kinds; tests hold the rules against cases."""
-    broken = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("。")), F.lit("\n"), F.lit("\n\n"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("h").alias("header_path"), broken.alias("text"))
-    return chunking.split_long(d.withColumn("tokens", T.tokens_dense(F.col("text"))))
+    """The secondary split of documents whose text is made sentences of equal length; tests hold breaks of all kinds against cases."""
+    n = F.floor(F.length("text") / 100).cast("int")
+    solid = F.regexp_replace("text", r"[\s|]", "_")
+    sentences = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(solid.substr(i * 100 + 1, F.lit(100)), F.lit("。")))
+    name = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").select(name.alias("doc_id"), name.alias("chunk_id"), F.lit("h").alias("header_path"), F.array_join(sentences, "").alias("text"))
+    parts = chunking.split_long(d.withColumn("tokens", T.tokens_dense(F.col("text"))))
+    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"))
 
 
 @query(f"WITH s AS (SELECT doc_id, count(*) AS n FROM ({base.oracle_sql_of('chunk_split')}) GROUP BY 1) SELECT count(*) AS before, count(*) FILTER (n = 1) AS kept, count(*) FILTER (n > 1) AS split, sum(n)::BIGINT AS after FROM s")
