@@ -586,11 +586,11 @@ def answer_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PROMPTS}
 SELECT 'plan' AS stage, count(*) AS rows, count(*) AS calls, sum(length(planned))::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens FROM n
 UNION ALL SELECT 'retrieve', sum(hits)::BIGINT, 0, 0, 0 FROM n
-UNION ALL SELECT 'compress', count(*), count(kept), sum(length(kept))::BIGINT, 0 FROM n
+UNION ALL SELECT 'compress', count(*), count(DISTINCT kept), (SELECT sum(length(kept)) FROM (SELECT DISTINCT kept FROM n))::BIGINT, 0 FROM n
 UNION ALL SELECT 'answer', count(*), count(*), sum(length(answered))::BIGINT, {len(ALWAYS_B[0][1])} * count(*) FROM n
 UNION ALL SELECT 'again', 0, 0, 0, 0""")
 def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, calls and tokens of each stage of the same run, counted as it runs; a second run with its replies (one row) makes no call."""
+    """Rows, calls (one for each distinct prompt) and tokens of each stage of the same run, counted as it runs; a second run with its replies (one row) makes no call."""
     replies, trace = provider.Replies.temporary(spark), agent.Trace()
     _scripted(spark, sf_dir, replies, trace)
     once = trace.table(replies).select("stage", "rows", "calls", "prompt_tokens", "completion_tokens")
