@@ -326,7 +326,7 @@ _ANNEX = _STRIP.format("'附件' || (ord + 1) || ' ' || t")
 
 #: Annexes are never joined; of a long one six pieces of 67 tokens are more than 400; one that says nothing has no chunk.
 @query(f"""WITH {_LINES}, x AS (SELECT doc_id, {_ANNEX} AS title, {_STRIP.format("raw")} AS said, {_STRIP.format(_ANNEX + " || chr(10) || raw")} AS body FROM l), n AS (SELECT *, length(body) // 266 AS f, length(body) % 266 AS r, {_STRIP.format("replace(body, '|', '')")} AS rest FROM x),
-c AS (SELECT doc_id, title, CASE WHEN said = '' OR NOT (contains(body, '|') AND contains(body, '---')) AND (length(rest) < 10 OR len(regexp_extract_all(rest, '\.\.\s*\d+')) >= 2) AND length(body) // 4 + 1 <= 400 THEN 0
+c AS (SELECT doc_id, title, CASE WHEN said = '' OR NOT (contains(body, '|') AND contains(body, '---')) AND (length(rest) < 10 OR len(regexp_extract_all(rest, '\\.\\.\\s*\\d+')) >= 2) AND length(body) // 4 + 1 <= 400 THEN 0
   WHEN length(body) // 4 + 1 <= 400 THEN 1 WHEN r > 0 AND f % 5 = 0 AND r // 4 + 1 <= 65 THEN f // 5 ELSE ceil((f + (r > 0)::INT) / 5.0) END::BIGINT AS chunks FROM n)
 SELECT doc_id::VARCHAR AS doc_id, title AS header_path, chunks FROM c WHERE chunks > 0""")
 def chunk_markdown_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
