@@ -131,6 +131,11 @@ def test_rules(spark, name):
     assert [tuple(r) for r in d.orderBy("k").select(*rule()).collect()] == [tuple(r[n:]) for r in rows]
 
 
+def test_numbers_beyond_an_integer(spark):
+    d = spark.createDataFrame([(0, "4703443633 号"), (1, "1.2147483647"), (2, "1.2147483648")], "k int, c string")
+    assert [r["n"] for r in d.orderBy("k").select(T.last_number(F.col("c")).alias("n")).collect()] == [None, 2147483647, None]
+
+
 def test_headings_by_convention(spark):
     h = spark.createDataFrame([r[:3] for r in HEADINGS], "doc_id string, ord int, title string")
     ranked = h.join(H.conventions(h), "doc_id").withColumn("rank", H.heading(F.col("title"), F.col("convention"))["rank"])
