@@ -32,3 +32,14 @@ def test_a_query_equals_its_twin(spark, tables, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_annexes_at_the_limit_equal_their_twin(spark, tmp_path):
+    """A title of two Chinese characters over 1,580 letters or so: by length alone it is at the limit, as mixed text beyond it."""
+    d = spark.createDataFrame([(k, "x" * n) for k, n in enumerate(range(1570, 1600))], "doc_id long, text string")
+    d.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["chunk_markdown_cases"](spark, str(tmp_path)).select("doc_id", "header_path", "chunks").collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(c.execute(entry.oracle_sql()["chunk_markdown_cases"]).fetchall())
+    assert {r["chunks"] for r in got} == {1, 2}
