@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from longleaf import queries as Q
+from longleaf.functions import text as T
 from longleaf.operators import collection, dense, ivf
 
 
@@ -109,3 +111,16 @@ def test_a_collection_with_an_index(spark, tmp_path):
     c.create_index(4, 100)
     assert c.count() == 300 and len(c._centres().points) == 4
     assert collection.Collection(spark, str(tmp_path / "c")).create().count() == 0
+
+
+def test_a_vector_is_worked_out_once_to_be_scaled(spark):
+    """Its expression was worked out again for each component."""
+    d = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    scaled = d.select(T.unit_vector(F.transform("v", lambda x: x * 7919)).alias("u"))
+    assert [r["u"] for r in scaled.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert scaled._jdf.queryExecution().optimizedPlan().toString().count("7919") == 1
+
+
+def test_letters_are_counted(spark):
+    d = spark.createDataFrame([(0, "Abéa z"), (1, ""), (2, None)], "k int, c string")
+    assert [r["n"] for r in d.orderBy("k").select(Q.letter_counts(F.lower("c"), "abz").alias("n")).collect()] == [[2.0, 1.0, 1.0], [0.0] * 3, None]
