@@ -3,8 +3,9 @@
 The index is four tables: chunks (with their length), postings (term, chunk, times), vocabulary
 (term, documents, idf) and one row of corpus figures.  A saved index is used again until it is
 built anew.  A term's postings are dealt to slots by their chunk, so that no term is one task's alone; saved postings are bucketed
-and sorted by slot.  A search joins the slots of all targets' terms with them, so only the
-targets' side is shuffled, and a search for few terms reads only their buckets.  What
+and sorted by slot.  A search shuffles the postings of all targets' terms by their chunk and sends the targets' terms to them, so
+a chunk's scores for all targets are summed where it is, and pairs of target and chunk are never shuffled before the k best of each task are
+chosen.  A search for few terms reads only their buckets; one for very many terms joins the slots of all targets' terms with the postings instead.  What
 characters and substrings add is scored for the chunks that the terms found, and only for those.
 """
 
@@ -31,6 +32,8 @@ SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _TABLES = ("chunks", "postings", "vocabulary", "corpus")
 #: Buckets of saved postings; chunks for each slot of a term; terms of a search that are looked up by their buckets alone.
 BUCKETS, SLOT_CHUNKS, NAMED_TERMS = 64, 1_000_000, 1000
+#: Terms of all targets, and names of documents that filters allow, which are sent to every task at most; pairs of target and chunk of a task, and tasks at most.
+SENT, PAIRS, TASKS = 500_000, 1_000_000, 10_000
 _CUT = "\x1f"  # stands between a term and its slot's number; terms are letters and digits
 
 
@@ -133,6 +136,24 @@ def scores(index: Index, targets: DataFrame, tokenizer: Callable[[Column], Colum
     return postings.join(weighted, "slot").crossJoin(F.broadcast(index.corpus)).groupBy("target", "ord").agg(F.sum(part).alias("bm25"))  # corpus: one row
 
 
+def scores_by_chunk(index: Index, targets: DataFrame, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
+    """As scores, dealt to tasks by ord: the asked terms' postings are shuffled by it once, and what a task sums for its chunks is whole.  For more terms than are sent to every task it is scores itself."""
+    asked = targets.select("target", F.explode(tokenizer(F.col("query"))).alias("term")).groupBy("target", "term").agg(F.count(F.lit(1)).alias("times"))
+    weighted = written(asked.join(index.vocabulary.select("term", "idf"), "term").select("target", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+    if weighted.limit(SENT + 1).count() > SENT:
+        return scores(index, targets, tokenizer)
+    figures = weighted.agg(F.count_distinct("target").alias("targets"), F.slice(F.collect_set("term"), 1, NAMED_TERMS + 1).alias("terms")).head()  # so many rows at most
+    postings = index.postings
+    if len(figures["terms"]) * index.slots <= NAMED_TERMS:
+        postings = postings.where(F.col("slot").isin([f"{t}{_CUT}{n}" for t in figures["terms"] for n in range(index.slots)]))
+    pairs = figures["targets"] * index.corpus.select("n_chunks").head()["n_chunks"]
+    tasks = max(2 * postings.sparkSession.sparkContext.defaultParallelism, min(TASKS, pairs // PAIRS))
+    named = F.broadcast(weighted.select("term").distinct())  # SENT rows at most, as is the other
+    share = saturation(F.col("tf"), F.col("n_terms"), F.col("avg_terms")).alias("share")
+    mine = postings.select("term", "ord", "tf", "n_terms").join(named, "term").crossJoin(F.broadcast(index.corpus)).select("ord", "term", share)  # corpus: one row
+    return mine.repartition(tasks, "ord").join(F.broadcast(weighted), "term").groupBy("target", "ord").agg(F.sum(F.col("weight") * F.col("share")).alias("bm25"))
+
+
 def doc_keys(doc_id: Column) -> Column:
     """All names under which a document may be asked for: its id, and its beginnings before _ or an opening parenthesis."""
     ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(doc_id), F.lit(1))), lambda i: doc_id.substr(i, F.lit(1)).isin("_", "（", "("))
@@ -250,13 +271,15 @@ def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | N
     enhanced adds the overlap of character grams and the terms found in the text.  With per_doc the
     k best of each requested document are given, each with its own ranks.
     """
-    found = scores(index, targets, tokenizer)
+    found = scores_by_chunk(index, targets, tokenizer)
     group = ["target"]
     if filters is not None:
         filtered = filters.select("target").distinct()
         free = found.join(filtered, "target", "left_anti").withColumn("req_doc", F.lit(None).cast("string"))
         held = found.join(filtered, "target", "left_semi").join(index.chunks.select("ord", "doc_id"), "ord")  # what was found, and not all chunks of a document, meets the filters
-        found = held.join(named(index, filters, prefix), ["target", "doc_id"]).select("target", "ord", "bm25", "req_doc").unionByName(free)
+        docs = written(named(index, filters, prefix), "named")
+        docs = F.broadcast(docs) if docs.limit(SENT + 1).count() <= SENT else docs
+        found = held.join(docs, ["target", "doc_id"]).select("target", "ord", "bm25", "req_doc").unionByName(free)
         if per_doc:
             group = ["target", "req_doc"]
         else:

@@ -80,3 +80,10 @@ def test_queries_without_a_whole_term_are_found_at_once(spark, monkeypatch):
     texts = {r["ord"]: r["text"] for r in chunks(spark).collect()}
     assert {(r["target"], r["ord"]) for r in retrieve.containing(index, t).collect()} == {(k, o) for k, q in enumerate(queries) for o, x in texts.items() if q in x}
     assert retrieve.containing(index, asked(spark, None)).count() == 0
+
+
+def test_pairs_of_target_and_chunk_are_not_shuffled(spark, many):
+    index, t = bm25.build(many), spark.createDataFrame([("a", "every w3 w40 w3"), ("b", "every w7")], "target string, query string")
+    got = bm25.scores_by_chunk(index, t)
+    assert scored(got) == scored(bm25.scores(index, t))
+    assert "hashpartitioning(target" not in plan_of(got) and "hashpartitioning(ord" in plan_of(got)
