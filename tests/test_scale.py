@@ -1,10 +1,11 @@
 """What grows with the input: expressions worked out once, and tasks that hold little."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from longleaf import rulequeries
 from longleaf.functions import text as T
-from longleaf.operators import tables
+from longleaf.operators import chunking, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,3 +25,12 @@ def test_first_terms_are_those_of_all(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in df.select("text", T.first_terms(F.col("text"), 5).alias("first"), F.slice(T.terms(F.col("text")), 1, 5).alias("want")).collect():
         assert r["first"] == r["want"], r["text"]
+
+
+def test_pieces_leave_a_task_in_slices():
+    text = ("word " * 20 + "\n") * 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": [str(n) for n in range(500)], "text": [text] * 500})
+    schema = pa.schema([("doc_id", pa.string()), ("text", pa.string())])
+    got = list(chunking.in_slices(iter([batch]), lambda r: [(r["doc_id"], c[1]) for c in chunking.article_chunks(r["text"])], schema))
+    assert len(got) > 3 and max(sum(map(len, b["text"].to_pylist())) for b in got) < 2 * chunking.SLICE_CHARS
+    assert {d for b in got for d in b["doc_id"].to_pylist()} == {str(n) for n in range(500)}
