@@ -27,6 +27,10 @@ def test_first_terms_are_those_of_all(spark):
         assert r["first"] == r["want"], r["text"]
 
 
+def test_sentences_are_made_in_one_pass(spark):
+    assert "lambdafunction" not in optimized(rulequeries.chunk_split_cases(spark, SMALL))
+
+
 def test_pieces_leave_a_task_in_slices():
     text = ("word " * 20 + "\n") * 100
     batch = pa.RecordBatch.from_pydict({"doc_id": [str(n) for n in range(500)], "text": [text] * 500})
