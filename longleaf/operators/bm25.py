@@ -14,14 +14,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from longleaf.functions import text as T
+from longleaf.operators import dense
 from longleaf.session import delete, is_complete, scratch_path, ship, written
 
 K1, B, GRAM_WEIGHT, SUBSTRING_WEIGHT = 1.5, 0.75, 0.3, 0.25
@@ -34,6 +38,8 @@ _TABLES = ("chunks", "postings", "vocabulary", "corpus")
 BUCKETS, SLOT_CHUNKS, NAMED_TERMS = 64, 1_000_000, 1000
 #: Terms of all targets, and names of documents that filters allow, which are sent to every task at most; pairs of target and chunk of a task, and tasks at most.
 SENT, PAIRS, TASKS = 500_000, 1_000_000, 10_000
+#: Chunks that a task of a search scores, cells of one table of scores or counts in it, and characters of queries whose pairs are looked up in a square.
+CHUNKS, CELLS, LETTERS = 10_000, 4_000_000, 1500
 _CUT = "\x1f"  # stands between a term and its slot's number; terms are letters and digits
 
 
@@ -179,37 +185,90 @@ def gram_codes(text: str) -> np.ndarray:
     return np.unique(np.concatenate([c, c[:-1] << 21 | c[1:] | 1 << 42])) if len(c) else c
 
 
-def likeness(asked: list[tuple[str, list[str]]]):
-    """A function of (text, numbers of targets): what the shared grams and found terms of these targets (query, terms) add to their scores."""
+def _gram_finder(names: np.ndarray) -> Callable[[str], np.ndarray]:
+    """A function of a text: for each of these grams (sorted numbers), whether the text has it."""
+    single, pair = names[names < 1 << 42], names[names >= 1 << 42] & (1 << 42) - 1
+    first, second = pair >> 21, pair & (1 << 21) - 1
+    letters = np.unique(np.concatenate([single, first, second]))
+    m = len(letters) + 1
+    if m > LETTERS:
+
+        def sought(text: str) -> np.ndarray:
+            out = np.zeros(len(names), bool)
+            at = np.searchsorted(names, mine := gram_codes(text))
+            has = at < len(names)
+            out[at[has][names[at[has]] == mine[has]]] = True
+            return out
+
+        return sought
+    of = np.zeros(0x110000, np.int64)
+    of[list(SPACE)] = -1
+    of[letters] = np.arange(1, m)
+    one, two = of[single], of[first] * m + of[second]
+
+    def looked_up(text: str) -> np.ndarray:
+        a = of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        a = a[a >= 0]
+        seen, beside = np.zeros(m, bool), np.zeros(m * m, bool)
+        seen[a] = True
+        beside[a[:-1] * m + a[1:]] = True
+        return np.concatenate([seen[one], beside[two]])
+
+    return looked_up
+
+
+def _word_finder(words: list[str]) -> Callable[[str], np.ndarray]:
+    """A function of a text: for each of these words, whether it stands in the text."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for k, t in enumerate(words):
+        a.add_word(t, k)
+    a.make_automaton()
+
+    def found(text: str) -> np.ndarray:
+        out = np.zeros(len(words), bool)
+        if words:
+            out[[*{k for _, k in a.iter(text)}]] = True
+        return out
+
+    return found
+
+
+def _counted(n_names: int, flat: np.ndarray, starts: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of rows of marks of names: for each row and list, how many of the list's names are marked."""
+    n = len(starts)
+    if n_names * n > CELLS:
+        return lambda marks: np.stack([_summed(np.append(m, False).astype(np.float64), flat, starts) for m in marks])
+    times = np.zeros((n_names + 1, n), np.float32)
+    np.add.at(times, (flat, np.repeat(np.arange(n), np.diff(np.append(starts, len(flat))))), 1)
+    return lambda marks: (marks.astype(np.float32) @ times[:-1]).astype(np.float64)
+
+
+def overlaps(asked: list[tuple[str, list[str]]]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function of texts: their shared grams and found terms with each of these targets (query, terms), as rows of counts.  What it looks things up in is made at its first call in a task."""
     names, grams = _listed([gram_codes(q).tolist() for q, _ in asked])
     words, terms = _listed([t for _, t in asked])
+    codes, made = np.array(names, np.int64), {}
+
+    def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not made:
+            made.update(grams=_gram_finder(codes), words=_word_finder(words), shared=_counted(len(codes), *grams), held=_counted(len(words), *terms))
+        return made["shared"](np.stack([made["grams"](t) for t in texts])), made["held"](np.stack([made["words"](t) for t in texts]))
 
-    made: dict[str, object] = {}
+    return of
 
-    def automaton():
-        """Of all terms, built once in a task."""
-        import ahocorasick
 
-        if "of" not in made:
-            made["of"] = a = ahocorasick.Automaton()
-            for k, t in enumerate(words):
-                a.add_word(t, k)
-            a.make_automaton()
-        return made["of"]
+def likeness(asked: list[tuple[str, list[str]]]):
+    """A function of (text, numbers of targets): what the shared grams and found terms of these targets (query, terms) add to their scores."""
+    of = overlaps(asked)
 
     @F.arrow_udf("array<double>")
     def adds(texts: pa.Array, targets: pa.Array) -> pa.Array:
-        known = np.array(names, np.int64)
         out, lengths = [np.zeros(0)], [0]
         for text, ks in zip(texts.to_pylist(), targets.to_pylist(), strict=True):
-            text = text or ""
-            shared, held = np.zeros(len(names) + 1), np.zeros(len(words) + 1)
-            at = np.searchsorted(known, mine := gram_codes(text))
-            has = at < len(known)
-            shared[at[has][known[at[has]] == mine[has]]] = 1
-            if words:
-                held[[*{k for _, k in automaton().iter(text)}]] = 1
-            out.append(np.stack([_summed(shared, *grams)[ks], _summed(held, *terms)[ks]], axis=1).reshape(-1))
+            shared, held = of([text or ""])
+            out.append(np.stack([shared[0, ks], held[0, ks]], axis=1).reshape(-1))
             lengths.append(2 * len(ks))
         return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(np.concatenate(out)))
 
@@ -265,26 +324,149 @@ def _enhanced(found: DataFrame, chunks: DataFrame, targets: DataFrame, tokenizer
     return spark.read.parquet(out).drop("round", "part")
 
 
+def weighted(vocabulary: DataFrame, targets: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """(target, term, weight) of the targets' terms, written."""
+    asked = targets.select("target", F.explode(tokenizer(F.col("query"))).alias("term")).groupBy("target", "term").agg(F.count(F.lit(1)).alias("times"))
+    return written(asked.join(vocabulary.select("term", "idf"), "term").select("target", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+
+
+def best_of(postings: DataFrame, weights: dict, block: list, k: int, target_type, tasks: int, texts: DataFrame | None = None, ranges: dict | None = None) -> DataFrame:
+    """(target, ord, score): for each target of a block (target, and query and terms where texts are given), its k best chunks in each task.
+
+    postings: term, ord and share (and range where ranges are given), of which only the block's terms are read and shuffled by their chunk, as one row
+    for each.  A task adds up a chunk's scores for all targets at once, so no row for a pair of target and chunk is made.  weights: (term, weight) of each target.
+    texts: ord and text, for what shared grams and found terms add.  ranges: by target, the ranges in which it looks.
+    """
+    spark = postings.sparkSession
+    ship(spark)
+    n = len(block)
+    terms = sorted({t for r in block for t, _ in weights.get(r["target"], ())})
+    place = {t: i for i, t in enumerate(terms)}
+    each = sorted((place[t], j, w) for j, r in enumerate(block) for t, w in weights.get(r["target"], ()))
+    who, weight = np.array([j for _, j, _ in each], np.int64), np.array([w for _, _, w in each], np.float64)
+    counts = np.bincount(np.array([i for i, _, _ in each], np.int64), minlength=len(terms))
+    starts = np.cumsum(counts) - counts
+    of = overlaps([(r["query"] or "", r["terms"] or []) for r in block]) if texts is not None else None
+    numbers = {x: i for i, x in enumerate(sorted({x for r in block for x in ranges.get(r["target"], ())}))} if ranges is not None else {}
+    looks = np.zeros((len(numbers) + 1, n), bool)
+    for j, r in enumerate(block):
+        looks[[numbers[x] for x in (ranges or {}).get(r["target"], ())], j] = True
+    names = pa.array([r["target"] for r in block], to_arrow_type(target_type))
+    rows = max(1, min(1024, CELLS // 4 // max(1, n)))
+
+    def scored(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of a few chunks (rows) for all targets, and whether they have a term of the target."""
+        sizes, flat = np.asarray(pa.compute.list_value_length(part.column(1))), part.column(1).flatten()
+        term, share = (np.asarray(x) for x in flat.flatten())
+        many = counts[term]
+        ends = np.cumsum(many)
+        at = np.repeat(starts[term] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        cell = np.repeat(np.repeat(np.arange(part.num_rows), sizes) * n, many) + who[at]
+        raw = np.bincount(cell, weight[at] * np.repeat(share, many), part.num_rows * n).reshape(-1, n)
+        has = np.bincount(cell, minlength=part.num_rows * n).reshape(-1, n) > 0
+        if ranges is not None:
+            has &= looks[[numbers.get(x, len(numbers)) for x in part.column(2).to_pylist()]]
+        if of is not None:
+            shared, held = of([t or "" for t in part.column(2).to_pylist()])
+            raw += shared * GRAM_WEIGHT + held * SUBSTRING_WEIGHT
+        return np.where(has, np.floor(raw * 1e4 + 0.5) / 1e4, -np.inf), has
+
+    def run(batches):
+        best = dense.Best(n, k)
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                score, has = scored(part)
+                floor = best.floor if part.num_rows <= k else np.maximum(best.floor, np.partition(score, -k, axis=0)[-k])
+                i, j = np.nonzero(has & (score >= floor))
+                best.add(j, score[i, j], part.column(0).take(pa.array(i)))
+        if (whole := best.cut()) is not None:
+            yield pa.RecordBatch.from_arrays([names.take(whole["query"].combine_chunks()), whole["ord"].combine_chunks(), whole["score"].combine_chunks()], names=["target", "ord", "score"])
+
+    kinds = f"target {target_type.simpleString()}, ord {dict(postings.dtypes)['ord']}, score double"
+    if not terms:
+        return spark.createDataFrame([], kinds)
+    if ranges is not None:
+        postings = postings.where(F.col("range").isin(*numbers))
+    known = spark.createDataFrame(pa.table({"term": terms, "t": pa.array(range(len(terms)), pa.int32())}))
+    mine = postings.join(F.broadcast(known), "term").drop("term")  # a block's terms
+    more = [F.first("range").alias("range")] if ranges is not None else []
+    by_chunk = mine.repartition(tasks, "ord").groupBy("ord").agg(F.collect_list(F.struct("t", "share")).alias("c"), *more)
+    if texts is not None:
+        by_chunk = by_chunk.join(texts, "ord")
+    return by_chunk.mapInArrow(run, kinds)
+
+
+def tasks_of(spark: SparkSession, n_chunks: int) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, min(TASKS, -(-n_chunks // CHUNKS)))
+
+
+def by_target(weighted: DataFrame) -> dict | None:
+    """(term, weight) of each target, if there are no more rows than are sent to every task."""
+    rows = weighted.limit(SENT + 1).toArrow()
+    if rows.num_rows > SENT:
+        return None
+    out: dict = {}
+    for target, term, weight in zip(*(rows.column(c).to_pylist() for c in ("target", "term", "weight")), strict=True):
+        out.setdefault(target, []).append((term, weight))
+    return out
+
+
+def _searched(index: Index, targets: DataFrame, k: int, enhanced: bool, tokenizer: Callable[[Column], Column]) -> DataFrame | None:
+    """(target, ord, score) with the k best chunks of each target and more, or None if the targets have more terms than are sent to every task."""
+    weights = by_target(weighted(index.vocabulary, targets, tokenizer))
+    if weights is None:
+        return None
+    spark, kind = targets.sparkSession, targets.schema["target"].dataType
+    postings = index.postings
+    named = {t for ts in weights.values() for t, _ in ts}
+    if len(named) * index.slots <= NAMED_TERMS:
+        postings = postings.where(F.col("slot").isin([f"{t}{_CUT}{n}" for t in named for n in range(index.slots)]))
+    share = saturation(F.col("tf"), F.col("n_terms"), F.col("avg_terms")).alias("share")
+    shares = postings.select("term", "ord", "tf", "n_terms").crossJoin(F.broadcast(index.corpus)).select("term", "ord", share)  # corpus: one row
+    tasks = tasks_of(spark, index.corpus.head()["n_chunks"])
+    texts = index.chunks.select("ord", "text") if enhanced else None
+    asked = targets.where("target is not null").select("target", "query", F.filter(tokenizer(F.col("query")), lambda t: F.length(t) >= 2).alias("terms")) if enhanced else targets.select("target").distinct()
+    rows = asked.toLocalIterator()
+    parts = []
+    while (block := list(islice(rows, TARGETS))) or not parts:
+        parts.append(best_of(shares, weights, block, k, kind, tasks, texts))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def search(index: Index, targets: DataFrame, k: int = 10, filters: DataFrame | None = None, prefix: bool = True, enhanced: bool = True, per_doc: bool = False, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
     """Top k chunks of each target by score, rank 1 first; ties go to the smaller ord.
 
     enhanced adds the overlap of character grams and the terms found in the text.  With per_doc the
-    k best of each requested document are given, each with its own ranks.
+    k best of each requested document are given, each with its own ranks.  Targets without filters are scored where
+    their chunks are; for those with filters what was found meets the documents that they allow.
     """
-    found = scores_by_chunk(index, targets, tokenizer)
-    group = ["target"]
+    free, parts, per_filter = targets, [], False
     if filters is not None:
-        filtered = filters.select("target").distinct()
-        free = found.join(filtered, "target", "left_anti").withColumn("req_doc", F.lit(None).cast("string"))
-        held = found.join(filtered, "target", "left_semi").join(index.chunks.select("ord", "doc_id"), "ord")  # what was found, and not all chunks of a document, meets the filters
-        docs = written(named(index, filters, prefix), "named")
-        docs = F.broadcast(docs) if docs.limit(SENT + 1).count() <= SENT else docs
-        found = held.join(docs, ["target", "doc_id"]).select("target", "ord", "bm25", "req_doc").unionByName(free)
-        if per_doc:
-            group = ["target", "req_doc"]
-        else:
-            found = found.drop("req_doc").distinct()
-    found = _enhanced(found, index.chunks, targets, tokenizer) if enhanced else found.withColumnRenamed("bm25", "raw")
-    found = found.withColumn("score", F.round("raw", 4)).drop("raw")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= k)
+        filtered = written(filters.select("target").distinct(), "filtered")
+        free, held = targets.join(filtered, "target", "left_anti"), targets.join(filtered, "target", "left_semi")
+        if per_filter := not held.isEmpty():
+            parts.append(_filtered(index, held, filters, prefix, enhanced, per_doc, tokenizer))
+    if not parts or not free.isEmpty():
+        found = _searched(index, free, k, enhanced, tokenizer)
+        if found is None:
+            found = scores_by_chunk(index, free, tokenizer)
+            found = (_enhanced(found, index.chunks, free, tokenizer) if enhanced else found.withColumnRenamed("bm25", "raw")).withColumn("score", F.round("raw", 4)).drop("raw")
+        parts.append(found.withColumn("req_doc", F.lit(None).cast("string")) if per_doc else found)
+    group = ["target", "req_doc"] if per_doc else ["target"]
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= k)
+    if len(parts) == 1 and not per_filter and targets.count() * k <= SENT:
+        ranked = F.broadcast(ranked)  # so many rows at most: texts stay where they are
     return ranked.join(index.chunks.select("ord", "doc_id", "chunk_id", "header_path", "text"), "ord")
+
+
+def _filtered(index: Index, targets: DataFrame, filters: DataFrame, prefix: bool, enhanced: bool, per_doc: bool, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """(target, ord, score and, with per_doc, req_doc) of what targets with filters find in the documents that these allow."""
+    found = scores_by_chunk(index, targets, tokenizer).join(index.chunks.select("ord", "doc_id"), "ord")  # what was found, and not all chunks of a document, meets the filters
+    docs = written(named(index, filters, prefix), "named")
+    docs = F.broadcast(docs) if docs.limit(SENT + 1).count() <= SENT else docs
+    found = found.join(docs, ["target", "doc_id"]).select("target", "ord", "bm25", "req_doc")
+    if not per_doc:
+        found = found.drop("req_doc").distinct()
+    found = _enhanced(found, index.chunks, targets, tokenizer) if enhanced else found.withColumnRenamed("bm25", "raw")
+    return found.withColumn("score", F.round("raw", 4)).drop("raw")

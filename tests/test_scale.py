@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from longleaf import rulequeries
 from longleaf.functions import text as T
-from longleaf.operators import chunking, tables
+from longleaf.operators import bm25, chunking, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,3 +38,28 @@ def test_pieces_leave_a_task_in_slices():
     got = list(chunking.in_slices(iter([batch]), lambda r: [(r["doc_id"], c[1]) for c in chunking.article_chunks(r["text"])], schema))
     assert len(got) > 3 and max(sum(map(len, b["text"].to_pylist())) for b in got) < 2 * chunking.SLICE_CHARS
     assert {d for b in got for d in b["doc_id"].to_pylist()} == {str(n) for n in range(500)}
+
+
+def test_pairs_of_free_targets_are_scored_in_tasks(spark):
+    """With filters that name no target, what was found is neither worked out twice nor shuffled by pairs."""
+    index = bm25.build(spark.range(300).select(F.col("id").alias("ord"), F.lit("d").alias("doc_id"), F.col("id").cast("string").alias("chunk_id"), F.lit("").alias("header_path"), F.concat(F.lit("every w"), (F.col("id") % 17).cast("string")).alias("text")))
+    t = spark.createDataFrame([("a", "every w3"), ("b", "w7 w7"), ("c", "x"), (None, "w1")], "target string, query string")
+    none = spark.createDataFrame([], "target string, req_doc string")
+    got = bm25.search(index, t, 3, none, per_doc=True)
+    plan = optimized(got)
+    assert "bm25" not in plan and plan.count("collect_list") == 1
+    assert {(r["target"], r["ord"]) for r in got.collect()} == {("a", 3), ("a", 20), ("a", 37), ("b", 7), ("b", 24), ("b", 41)}
+    plain = {(r["target"], r["ord"], r["score"]) for r in bm25.search(index, t, 3, enhanced=False).collect() if r["target"]}
+    slow = bm25.scores(index, t).where("target is not null").select("target", "ord", F.round("bm25", 4).alias("score")).collect()
+    assert plain == {tuple(r) for x in "ab" for r in sorted((r for r in slow if r["target"] == x), key=lambda r: (-r["score"], r["ord"]))[:3]}
+
+
+def test_grams_and_words_are_counted_alike_by_squares_and_by_search(monkeypatch):
+    asked = [("red apple  pie", ["red", "apple", "pie"]), ("", []), ("中文 字", ["中文"]), ("pp\\x1cp\\U0001f600", ["pp"])]
+    texts = ["a red apple", "", "字 中文", "pie pie\\x1cp\\U0001f600 ", "\\ud800 x"]
+    want = [[(len({*bm25.gram_codes(q)} & {*bm25.gram_codes(t)}), sum(w in t for w in ws)) for q, ws in asked] for t in texts]
+    for limits in ({}, {"LETTERS": 1}, {"CELLS": 1}):
+        for name, n in limits.items():
+            monkeypatch.setattr(bm25, name, n)
+        shared, held = bm25.overlaps(asked)(texts)
+        assert [[(int(a), int(b)) for a, b in zip(x, y, strict=True)] for x, y in zip(shared, held, strict=True)] == want
