@@ -9,16 +9,24 @@ before it in use.  Rows inserted later go to the lists of the version in use.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from longleaf.operators import dense, ivf
-from longleaf.session import delete, is_complete
+from longleaf.session import delete, is_complete, ship
 
 SCHEMA = "id string, text string, dense array<float>, sparse map<int,float>"
 #: Parts of the postings of sparse vectors, each of a range of places.
 RANGES = 32
+#: Hits that are sent to the texts at most; scores that a task holds at once, and entries of rows that meet all queries at once.
+SENT, CELLS, STEP = 500_000, 1_000_000, 1024
 
 
 @dataclass
@@ -92,12 +100,68 @@ class Collection:
         return found.withColumnRenamed("ord", "id").drop("list")
 
     def sparse_search(self, queries: DataFrame, k: int = 50) -> DataFrame:
-        """The same with sparse queries (target, q as map); only shared places are joined, and rows without any are no hits."""
-        if len(self._centres().points):
-            places = self.spark.read.schema("id string, place int, weight float").parquet(self._at("places"))
-        else:
-            places = self.rows().select("id", F.explode("sparse").alias("place", "weight"))
-        asked = queries.select("target", F.explode("q").alias("place", "times"))
-        scored = places.join(asked, "place").groupBy("target", "id").agg(F.round(F.sum(F.col("weight").cast("double") * F.col("times").cast("double")), 6).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+        """The same with sparse queries (target, q as map); rows without any shared place are no hits.
+
+        Queries are sent to the rows in rounds, and each task keeps the k best of a query, so no table of pairs is made.
+        """
+        ship(self.spark)
+        kind = dict(queries.dtypes)["target"]
+        wanted, found, n = queries.select("target", "q").where("q is not null").toLocalIterator(), [], 0
+        pairs = self.rows().select("id", F.map_keys("sparse").alias("places"), F.map_values("sparse").alias("weights"))
+        while (block := list(islice(wanted, dense.QUERIES))) or not found:
+            n += len(block)
+            found.append(pairs.mapInArrow(_sparse_hits(block, to_arrow_type(queries.schema["target"].dataType), k), f"target {kind}, id string, score double"))
+        every = reduce(DataFrame.unionByName, found)
+        ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+        if n * k <= SENT:
+            ranked = F.broadcast(ranked)  # so many rows at most: texts stay where they are
         return ranked.join(self.rows().select("id", "text"), "id")
+
+
+def _sparse_hits(block: list, kind: pa.DataType, k: int):
+    """A task's work: the k best rows (id, places, weights) of each query of a block (target, q) among those that share a place with it."""
+    n = len(block)
+    entries = [(place, j, float(w)) for j, r in enumerate(block) for place, w in r["q"].items() if w is not None]
+    names, at = np.unique(np.array([p for p, _, _ in entries], np.int64), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    who, times = np.array([j for _, j, _ in entries], np.int64)[order], np.array([w for _, _, w in entries], np.float64)[order]
+    counts = np.bincount(at, minlength=len(names))
+    starts = np.cumsum(counts) - counts
+    targets = pa.array([r["target"] for r in block], kind)
+    rows = max(1, min(1024, CELLS // max(1, n)))
+
+    def scored(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of a few rows for all queries, and whether they share a place."""
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part.column(1)), 0), np.int64)
+        place = np.asarray(part.column(1).flatten(), np.int64)
+        weight = np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), np.float64)
+        row = np.repeat(np.arange(part.num_rows), sizes)
+        slot = np.minimum(np.searchsorted(names, place), len(names) - 1)
+        keep = (names[slot] == place) & (np.asarray(part.column(2).flatten().is_valid()))
+        score, shared = np.zeros((part.num_rows, n)), np.zeros((part.num_rows, n), bool)
+        cells, shares = score.reshape(-1), shared.reshape(-1)
+        row, slot, weight = row[keep], slot[keep], weight[keep]
+        for i in range(0, len(row), STEP):  # so many entries of rows at a time, each with the queries that have its place
+            s = slot[i : i + STEP]
+            many = counts[s]
+            ends = np.cumsum(many)
+            e = np.repeat(starts[s] - (ends - many), many) + np.arange(ends[-1])
+            cell = np.repeat(row[i : i + STEP] * n, many) + who[e]
+            first, last = cell.min(), cell.max() + 1
+            cells[first:last] += np.bincount(cell - first, times[e] * np.repeat(weight[i : i + STEP], many), last - first)
+            shares[cell] = True
+        return np.where(shared, dense.rounded(score), -np.inf), shared
+
+    def run(batches):
+        best = dense.Best(n, k)
+        for b in batches if len(names) else ():
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                score, shared = scored(part)
+                floor = best.floor if part.num_rows <= k else np.maximum(best.floor, np.partition(score, -k, axis=0)[-k])
+                i, j = np.nonzero(shared & (score >= floor))
+                best.add(j, score[i, j], part.column(0).take(pa.array(i)))
+        if (whole := best.cut()) is not None:
+            yield pa.RecordBatch.from_arrays([targets.take(whole["query"].combine_chunks()), whole["ord"].combine_chunks(), whole["score"].combine_chunks()], names=["target", "id", "score"])
+
+    return run

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from longleaf import rulequeries
 from longleaf.functions import text as T
-from longleaf.operators import bm25, chunking, tables
+from longleaf.operators import bm25, chunking, collection, lexicon, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,3 +63,20 @@ def test_grams_and_words_are_counted_alike_by_squares_and_by_search(monkeypatch)
             monkeypatch.setattr(bm25, name, n)
         shared, held = bm25.overlaps(asked)(texts)
         assert [[(int(a), int(b)) for a, b in zip(x, y, strict=True)] for x, y in zip(shared, held, strict=True)] == want
+
+
+def test_terms_are_cut_a_few_texts_at_a_time(spark):
+    cut = lexicon.Lexicon(spark.createDataFrame([("ab", 5), ("cd", 5)], "word string, n long")).cutter()
+    got = list(cut.func(iter([pa.array([["abcd", "x"], None, []] * 400)])))
+    assert len(got) > 5 and max(map(len, got)) <= lexicon.SLICE
+    assert [x for c in got for x in c.to_pylist()] == [["ab", "cd", "x"], [], []] * 400
+
+
+def test_sparse_pairs_are_scored_in_tasks(spark, tmp_path):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("text"), F.lit(None).cast("array<float>").alias("dense"), F.when(F.col("id") % 11 != 0, F.create_map((F.col("id") % 5).cast("int"), F.col("id").cast("float"), F.lit(9), F.lit(-1.0))).alias("sparse"))
+    c = collection.Collection(spark, str(tmp_path / "c")).create()
+    c.insert(rows)
+    q = spark.createDataFrame([("a", {1: 2.0}), ("b", {9: 1.0, 7: 3.0}), ("c", {}), ("d", None), ("e", {77: 1.0})], "target string, q map<int,double>")
+    got = c.sparse_search(q, 2)
+    assert "Aggregate" not in optimized(got)
+    assert sorted((r["target"], r["id"], r["score"], r["rank"]) for r in got.collect()) == [("a", "51", 102.0, 2), ("a", "56", 112.0, 1), ("b", "1", -1.0, 1), ("b", "10", -1.0, 2)]
