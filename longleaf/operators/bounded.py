@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,25 +56,33 @@ class Blocks:
         """(target, range, bound, n): the largest score that a chunk of each range can have, and its postings for the target."""
         return asked.join(self.blocks, "term").groupBy("target", "range").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.sum("n").alias("n"))
 
-    def _scored(self, asked: DataFrame, where: DataFrame) -> DataFrame:
-        """(target, ord, score) of the chunks in some ranges (target, range)."""
-        pairs = asked.join(where.select("target", "range"), "target")
-        scored = self.postings.join(pairs, ["term", "range"]).groupBy("target", "ord").agg(F.sum(F.col("weight") * F.col("part")).alias("raw"))
-        return scored.select("target", "ord", F.round("raw", 4).alias("score"))
+    def _scored(self, asked: DataFrame, where: DataFrame, k: int, weights: dict | None) -> DataFrame:
+        """(target, ord, score) of the chunks in some ranges (target, range); with weights, the k best of each task, which scores its chunks for all targets."""
+        if weights is None:  # more terms than are sent to every task
+            pairs = asked.join(where.select("target", "range"), "target")
+            scored = self.postings.join(pairs, ["term", "range"]).groupBy("target", "ord").agg(F.sum(F.col("weight") * F.col("part")).alias("raw"))
+            return scored.select("target", "ord", F.round("raw", 4).alias("score"))
+        tasks = bm25.tasks_of(self.postings.sparkSession, self.index.corpus.head()["n_chunks"])
+        shares = self.postings.select("term", "ord", F.col("part").alias("share"), "range")
+        rows = where.groupBy("target").agg(F.collect_set("range").alias("ranges")).toLocalIterator()
+        parts: list[DataFrame] = []
+        while (block := list(islice(rows, bm25.TARGETS))) or not parts:
+            parts.append(bm25.best_of(shares, weights, block, k, asked.schema["target"].dataType, tasks, ranges={r["target"]: r["ranges"] for r in block}))
+        return reduce(DataFrame.unionByName, parts)
 
     def _searched(self, targets: DataFrame, k: int, first: int, tokenizer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
         """Hits, and the ranges (target, range, n, reads) with whether they were read."""
-        asked = targets.select("target", F.explode(tokenizer(F.col("query"))).alias("term")).groupBy("target", "term").agg(F.count(F.lit(1)).alias("times"))
-        asked = written(asked.join(self.index.vocabulary.select("term", "idf"), "term").select("target", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+        asked = bm25.weighted(self.index.vocabulary, targets, tokenizer)
+        weights = bm25.by_target(asked)
         bounds = self._bounds(asked).withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("bound"), "range")))
         bounds = written(bounds, "bounds")
         best = Window.partitionBy("target").orderBy(F.desc("score"), "ord")
         top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        found = written(top(self._scored(asked, bounds.where(F.col("place") <= first))), "first")
+        found = written(top(self._scored(asked, bounds.where(F.col("place") <= first), k, weights)), "first")
         floors = found.where(F.col("rank") == k).select("target", F.col("score").alias("floor"))
         reads = (F.col("place") <= first) | F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor"))
         judged = bounds.join(floors, "target", "left").select("target", "range", "n", (F.col("place") <= first).alias("first"), reads.alias("reads"))
-        rest = self._scored(asked, judged.where("reads and not first"))
+        rest = self._scored(asked, judged.where("reads and not first"), k, weights)
         return top(found.drop("rank").unionByName(rest)), judged
 
     def search(self, targets: DataFrame, k: int = 10, first: int = FIRST, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
