@@ -100,7 +100,11 @@ def build(chunks: DataFrame, tokenizer: Callable[[Column], Column] = T.terms, sl
     """Index of a table with ord, doc_id, chunk_id, header_path and text.  slots: how many a term's postings are dealt to, by the number of chunks if not stated."""
     base = chunks.select("ord", "doc_id", "chunk_id", "header_path", "text", tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
     sized = base.withColumn("n_terms", F.size("terms")).drop("terms")
-    counted = base.select("ord", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "ord", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
+    count = chunks.count()
+    slots = slots or max(1, -(-count // SLOT_CHUNKS))
+    dealt = chunks.select("ord", "text").repartition(tasks_of(chunks.sparkSession, count), "ord")  # texts are shuffled, and not each of their terms
+    terms = dealt.select("ord", tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
+    counted = terms.select("ord", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "ord", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
     return indexed(sized, counted, slots)
 
 

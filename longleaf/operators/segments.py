@@ -23,6 +23,9 @@ from longleaf.functions import text as T
 from longleaf.operators import bm25
 from longleaf.session import delete, folders, is_complete
 
+#: Removed chunks that are sent to every task at most.
+GONE = 1_000_000
+
 
 @dataclass
 class Segments:
@@ -49,11 +52,16 @@ class Segments:
         parts = [p.drop("idf") for p in parts]  # a saved vocabulary has it too
         return reduce(DataFrame.unionByName, parts) if parts else None
 
+    @staticmethod
+    def _sent(gone: DataFrame) -> DataFrame:
+        """Removed chunks, for a join: sent to postings, which stay where they are, unless there are too many."""
+        return F.broadcast(gone) if gone.limit(GONE + 1).count() <= GONE else gone
+
     def _live(self, name: str) -> DataFrame | None:
         rows, gone = self._read(name, "add", "whole"), self._read("gone", "remove")
         if rows is None or gone is None:
             return rows
-        gone = gone.select("ord", F.col("of").alias("segment"))
+        gone = self._sent(gone.select("ord", F.col("of").alias("segment")))
         return rows.join(gone, ["ord", "segment"], "left_anti")
 
     def add(self, chunks: DataFrame) -> None:
@@ -84,7 +92,7 @@ class Segments:
         if gone.isEmpty():
             delete(self.spark, folder)
             return
-        which = gone.select("ord", F.col("of").alias("segment")).distinct()
+        which = self._sent(gone.select("ord", F.col("of").alias("segment")).distinct())
         postings.join(which, ["ord", "segment"], "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df")).write.parquet(f"{folder}/terms")
         self._counts(gone).select(*[(-F.col(c)).alias(c) for c in ("n_chunks", "n_terms")]).write.parquet(f"{folder}/corpus")
 

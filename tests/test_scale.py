@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from longleaf import rulequeries
 from longleaf.functions import text as T
-from longleaf.operators import bm25, chunking, collection, lexicon, tables
+from longleaf.operators import bm25, chunking, collection, lexicon, segments, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -80,3 +80,18 @@ def test_sparse_pairs_are_scored_in_tasks(spark, tmp_path):
     got = c.sparse_search(q, 2)
     assert "Aggregate" not in optimized(got)
     assert sorted((r["target"], r["id"], r["score"], r["rank"]) for r in got.collect()) == [("a", "51", 102.0, 2), ("a", "56", 112.0, 1), ("b", "1", -1.0, 1), ("b", "10", -1.0, 2)]
+
+
+def test_postings_are_counted_where_texts_are(spark, tmp_path):
+    made = spark.range(40).select(F.col("id").alias("ord"), F.lit("d").alias("doc_id"), F.col("id").cast("string").alias("chunk_id"), F.lit("").alias("header_path"), F.concat(F.lit("a b w"), F.col("id").cast("string")).alias("text"))
+    plan = bm25.build(made, slots=1).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(ord" in plan
+    s = segments.Segments(spark, str(tmp_path / "s"))
+    s.add(made)
+    s.remove(made.where("ord < 5").select("ord"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in s.index().postings._jdf.queryExecution().executedPlan().toString()
+        assert s.index().postings.count() == 3 * 35
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
