@@ -474,3 +474,86 @@ def _filtered(index: Index, targets: DataFrame, filters: DataFrame, prefix: bool
         found = found.drop("req_doc").distinct()
     found = _enhanced(found, index.chunks, targets, tokenizer) if enhanced else found.withColumnRenamed("bm25", "raw")
     return found.withColumn("score", F.round("raw", 4)).drop("raw")
+
+
+def search_counted(counted: DataFrame, targets: DataFrame, asked: pa.Table, names: list[str], k: int) -> DataFrame:
+    """(target, ord, score, rank) of the k best chunks of each target, from chunks whose terms are counted in one row each.
+
+    counted: ord, n_terms, and t and tf for those of the terms names (by their places) that the chunk has.  asked: target, term and times, SENT rows at most.
+    A task scores its chunks for all targets (TARGETS in a round), and nothing is shuffled but its k best.
+    """
+    spark, kind, n = counted.sparkSession, targets.schema["target"].dataType, len(names)
+
+    def holders(batches):
+        """In how many of the task's chunks each term is."""
+        df = np.zeros(n, np.int64)
+        for b in batches:
+            df += np.bincount(np.asarray(b.column(0).flatten(), np.int64), minlength=n)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["t", "df"])
+
+    held = counted.select("t").mapInArrow(holders, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()  # a row for each asked term at most
+    corpus = counted.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.avg("n_terms"), F.lit(1.0)).alias("avg_terms")).head()
+    avg, df = corpus["avg_terms"], np.zeros(n)
+    df[np.asarray(held["t"], np.int64)] = np.asarray(held["df"])
+    idf = np.log((corpus["n_chunks"] - df + 0.5) / (df + 0.5) + 1.0)
+    place, weights = {t: i for i, t in enumerate(names)}, {}
+    for target, term, times in zip(*(asked[c].to_pylist() for c in ("target", "term", "times")), strict=True):
+        if df[place[term]]:
+            weights.setdefault(target, []).append((place[term], times * idf[place[term]]))
+    rows = targets.toLocalIterator()
+    parts = []
+    while (block := [r["target"] for r in islice(rows, TARGETS)]) or not parts:
+        parts.append(_best_counted(counted, weights, block, n, avg, k, kind))
+    best = reduce(DataFrame.unionByName, parts)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= k)
+
+
+def _best_counted(counted: DataFrame, weights: dict, block: list, n_names: int, avg: float, k: int, target_type) -> DataFrame:
+    """(target, ord, score): for each target of a block, its k best of each task's chunks."""
+    ship(counted.sparkSession)
+    n, kind = len(block), dict(counted.dtypes)["ord"]
+    each = sorted((t, j, w) for j, target in enumerate(block) for t, w in weights.get(target, ()))
+    term_of, who, weight = (np.array([e[i] for e in each], d) for i, d in enumerate((np.int64, np.int64, np.float64)))
+    names = pa.array(block, to_arrow_type(target_type))
+    mine = np.unique(term_of)  # the block's terms
+    square = len(mine) * n <= CELLS
+    rows = max(1, min(1024, CELLS // 4 // max(1, n, len(mine) if square else 1)))
+
+    def run(batches):
+        column = np.full(n_names, len(mine))
+        column[mine] = np.arange(len(mine))
+        counts = np.bincount(term_of, minlength=n_names)
+        starts = np.cumsum(counts) - counts
+        table = np.zeros((len(mine), n) if square else (0, n))
+        if square:
+            table[column[term_of], who] = weight
+
+        def scored(row, term, share, size):
+            """Sums of share times weight of a few chunks, for all targets."""
+            if square:
+                has = column[term] < len(mine)
+                cells = np.zeros((size, len(mine)))
+                cells[row[has], column[term[has]]] = share[has]
+                return cells @ table
+            many = counts[term]
+            ends = np.cumsum(many)
+            at = np.repeat(starts[term] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+            return np.bincount(np.repeat(row, many) * n + who[at], weight[at] * np.repeat(share, many), size * n).reshape(-1, n)
+
+        best = dense.Best(n, k)
+        for b in batches:
+            for start in range(0, b.num_rows, rows):
+                part = b.slice(start, rows)
+                row = np.repeat(np.arange(part.num_rows), np.asarray(pa.compute.list_value_length(part.column(2))))
+                term, tf = (np.asarray(part.column(c).flatten(), np.int64) for c in (2, 3))
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.asarray(part.column(1))[row] / avg))
+                raw = scored(row, term, share, part.num_rows)
+                score = np.where(raw > 0, np.floor(raw * 1e4 + 0.5) / 1e4, -np.inf)  # a term that a chunk has adds more than nothing
+                floor = best.floor if part.num_rows <= k else np.maximum(best.floor, np.partition(score, -k, axis=0)[-k])
+                i, j = np.nonzero((raw > 0) & (score >= floor))
+                best.add(j, score[i, j], part.column(0).take(pa.array(i)))
+        if (whole := best.cut()) is not None:
+            yield pa.RecordBatch.from_arrays([names.take(whole["query"].combine_chunks()), whole["ord"].combine_chunks(), whole["score"].combine_chunks()], names=["target", "ord", "score"])
+
+    return counted.mapInArrow(run, f"target {target_type.simpleString()}, ord {kind}, score double")
