@@ -52,3 +52,41 @@ def test_what_has_ended_is_forgotten(spark, tmp_path):
     q = run(spark, where, keep=60)
     rows = q.lastProgress["stateOperators"][0]
     assert rows["numRowsTotal"] <= 6 and conversions.ended(spark, where[1]).count() == 30
+
+
+def test_files_share_state_and_timers(spark, tmp_path):
+    """Many files are few rows of state, each by its own reports: as many calls to the state store as there are shares."""
+    where = [str(tmp_path / x) for x in ("in", "out", "check")]
+    reports(spark, where[0], [(f"f{i:03}", ("done", "failed", "running")[i % 3], "x" if i % 3 == 0 else None, f"2024-01-01 00:00:{i % 60:02}") for i in range(300)])
+    run(spark, where, shares=4, keep=600)
+    reports(spark, where[0], [(f"f{i:03}", "done", f"t{i}", "2024-01-01 00:10:00") for i in range(1, 150, 3)])
+    q = run(spark, where, shares=4, keep=600)
+    assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 4 * 3
+    for at in ("00:45:00", "01:30:00", "01:31:00"):
+        reports(spark, where[0], [("z", "done", "z", f"2024-01-01 {at}")])
+        q = run(spark, where, shares=4, keep=600)
+    got = {r[0]: r[1:] for r in seen(spark, where) if r[2] in conversions.ENDS and r[0] != "z"}
+    want = {}
+    for i in range(300):
+        second = i % 60
+        ended = {0: (f"00:00:{second:02}", "done", 0, "x"), 1: ("00:10:00", "done", 1, f"t{i}") if i < 150 else (f"00:30:{second:02}", "timed out", 1, None), 2: (f"00:30:{second:02}", "timed out", 0, None)}
+        want[f"f{i:03}"] = ended[i % 3]
+    assert got == want and len([r for r in seen(spark, where) if r[2] in conversions.ENDS and r[0] != "z"]) == 300
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_times_do_not_follow_the_session(spark, tmp_path):
+    """In a session of another time zone a file times out as late after its report as in any."""
+    where = [str(tmp_path / x) for x in ("in", "out", "check")]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for at in ("00:00:00", "00:10:00", "00:20:00", "01:00:00", "02:00:00"):
+            reports(spark, where[0], [("a" if at == "00:00:00" else "z", "running", None, f"2024-01-01 {at}")])
+            run(spark, where)
+            if at == "00:20:00":
+                assert not spark.read.parquet(where[1]).where("status = 'timed out'").count()
+        got = spark.read.parquet(where[1]).where("doc_id = 'a'").selectExpr("date_format(at, 'HH:mm:ss')", "status")
+        assert sorted(map(tuple, got.collect())) == [("00:00:00", "running"), ("00:30:00", "timed out")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
